@@ -6,12 +6,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspring.llm import decontamination, language_id, line_dedup, packing, simhash
+from wellspring.llm import chat_format, decontamination, language_id, line_dedup, media, packing, phrase_dedup, simhash, suffix_dedup, warc
 from wellspring.llm._common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.remove_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica, read from its archives' bytes, whose records lost the case of one header letter where their SHA-256 starts with 00."""
+    made = warc.records(table(spark, sf_dir, "pages"))
+    damaged = F.overlay(F.col("record").cast("string"), F.lit("resourcE"), F.lit(22)).cast("binary")
+    replica = warc.split_archives(warc.archives(made.withColumn("record", F.when(F.sha2("record", 256).startswith("00"), damaged).otherwise(F.col("record")))))
+    levels = warc.depth(made)
+    own, other = warc.tree(made, levels=levels), warc.tree(replica, levels=levels)
+    found = warc.audit(own, other, levels).select("archive", "seq", "status")
+    root = own.where(F.col("level") == levels).select("archive", F.col("hash").alias("root_sha256"))
+    leaves = own.where("level = 0").select("archive", F.col("node").alias("seq"), F.col("first").alias("offset"), (F.col("end") - F.col("first")).alias("length"), F.col("hash").alias("record_sha256"))
+    named = made.select("archive", "seq", F.col("id").alias("page_id"))
+    return named.join(leaves, ["archive", "seq"]).join(found, ["archive", "seq"], "left").join(root, "archive").select("page_id", "archive", "seq", "offset", "length", "record_sha256", "root_sha256", F.coalesce("status", F.lit("intact")).alias("status"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string")
+    return chat_format.digests(chat_format.format_conversations(turns.unionByName(extra)))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,15 +61,40 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(table(spark, sf_dir, "documents"))
+    feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumbnail_hash")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_simhash, op6_packing, op7_language_id, op8_decontamination, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_phrase_dedup, op2_suffix_dedup, op3_warc_fixity, op4_chat_format, op5_simhash, op6_packing, op7_language_id, op8_decontamination, op9_media, op10_line_dedup)}
 
 
 ORACLE: dict[str, str] = {
+    "op1_phrase_dedup": r"""
+        WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        place AS (SELECT r, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM doc WHERE len(w) >= 35)),
+        twice AS (SELECT h FROM place GROUP BY h HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM place JOIN twice USING (h)),
+        word AS (SELECT r, unnest(w) AS t, generate_subscripts(w, 1) AS k FROM doc),
+        kept AS (SELECT r, count(gone.k) AS n, coalesce(string_agg(t, ' ' ORDER BY k) FILTER (WHERE gone.k IS NULL), '') AS s FROM word LEFT JOIN gone USING (r, k) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM doc LEFT JOIN kept USING (r)""",
+    "op3_warc_fixity": r"""
+        WITH made AS (
+            SELECT page_id, CAST(floor(page_id / 256) AS BIGINT) AS archive,
+                'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(replace(replace(url, chr(13), ''), chr(10), ''), '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+                || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
+        leaf AS (
+            SELECT page_id, archive, row_number() OVER o - 1 AS seq, CAST(coalesce(sum(strlen(record)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+                CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS record_sha256 FROM made WINDOW o AS (PARTITION BY archive ORDER BY page_id)),
+        up1 AS (SELECT archive, seq // 16 AS node, sha256(string_agg(record_sha256, '' ORDER BY seq)) AS h FROM leaf GROUP BY ALL),
+        up2 AS (SELECT archive, node // 16 AS node, sha256(string_agg(h, '' ORDER BY node)) AS h FROM up1 GROUP BY ALL)
+        SELECT page_id, archive, seq, "offset", length, record_sha256, up2.h AS root_sha256, CASE WHEN record_sha256 LIKE '00%' THEN 'corrupt' ELSE 'intact' END AS status FROM leaf JOIN up2 USING (archive)""",
     "op8_decontamination": r"""
         WITH doc AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
