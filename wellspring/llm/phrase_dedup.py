@@ -82,12 +82,6 @@ def _anchor_rows(width: int, seed: int):
     return run
 
 
-def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    out = np.empty(len(first), dtype=[("a", np.uint64), ("b", np.uint64)])
-    out["a"], out["b"] = first, second
-    return out
-
-
 def _window_rows(width: int, seed: int):
     def run(docs: pa.Table, anchors: pa.Table) -> pa.Table:
         known = np.sort(_unsigned(anchors.column("anchor")))
@@ -116,18 +110,6 @@ def is_in(values: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
     return sorted_keys[np.minimum(np.searchsorted(sorted_keys, values), len(sorted_keys) - 1)] == values
 
 
-def _confirmed(words: Words, width: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Which windows are among the confirmed pairs (sorted by the first half; equal first halves are compared one by one)."""
-    a, b = words.windows(width)
-    at = np.searchsorted(first, a)
-    held = np.minimum(at, len(first) - 1)
-    out = (first[held] == a) & (second[held] == b)
-    for k in np.flatnonzero((first[held] == a) & ~out):
-        stop = np.searchsorted(first, a[k], side="right")
-        out[k] = bool((second[at[k] : stop] == b[k]).any())
-    return out
-
-
 def compile_automaton(passages: set[str]) -> ahocorasick.Automaton | None:
     """An automaton whose values are the passages' lengths; none for no passages."""
     automaton = ahocorasick.Automaton()
@@ -147,17 +129,16 @@ def locate(automaton: ahocorasick.Automaton | None, line: str, words: list[str],
 
 def _remove_rows(width: int):
     def run(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
-        first, second = _unsigned(confirmed.column("first")), _unsigned(confirmed.column("second"))
-        order = np.lexsort((second, first))
-        first, second = first[order], second[order]
+        # Of the confirmed hashes one half is enough to know a bucket's own windows by.
+        known = np.sort(_unsigned(confirmed.column("first")))
         # Latin-1 keeps bytes apart as characters, so the automaton works on the text's bytes.
         texts = [(t or b"").decode("latin-1") for t in byte_list(docs.column("text"))]
         split = [[w.decode("latin-1") for w in (t or b"").split()] for t in byte_list(docs.column("text"))]
         passages: set[str] = set()
-        if len(first):
+        if len(known):
             for words, text in zip(split, texts, strict=True):
                 if len(words) >= width:
-                    for start, end in H.runs(_confirmed(Words(text.encode("latin-1")), width, first, second)).tolist():
+                    for start, end in H.runs(is_in(Words(text.encode("latin-1")).windows(width)[0], known)).tolist():
                         for k in {*range(start, end, width), end - 1}:
                             passages.add(f" {' '.join(words[k : k + width])} ")
         automaton = compile_automaton(passages)
@@ -184,6 +165,6 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_bucket = held.groupBy("bucket")
     anchors = recurring(by_bucket.applyInArrow(_anchor_rows(width, seed), "bucket bigint, anchor bigint, n bigint"), "anchor")
     windows = by_bucket.cogroup(anchors.groupBy("bucket")).applyInArrow(_window_rows(width, seed), "bucket bigint, first bigint, second bigint, n bigint")
-    confirmed = recurring(windows, "first", "second")
+    confirmed = recurring(windows, "first", "second").select("bucket", "first")
     out = by_bucket.cogroup(confirmed.groupBy("bucket")).applyInArrow(_remove_rows(width), f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string, spans array<array<bigint>>")
     return out.withColumnRenamed("id", id_col)

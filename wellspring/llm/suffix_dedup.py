@@ -2,13 +2,14 @@
 
 1. Documents are dealt into buckets by a hash of the row; that exchange serves all steps. In each text the ``seed``-byte strings that are least by hash among
    those of some window are its anchors; a window belongs to the last of its least ones. Equal windows belong to equal anchors.
-2. A place's context is the text of all windows that belong to it. Contexts of anchors that occur once cannot recur. Contexts that occur twice
-   recur as a whole. What is left is contexts that share an anchor and differ: their texts are fetched, each once.
-3. Those are dealt by anchor into shards of about ``shard_bytes``. In each shard a Burrows-Wheeler transform is made of the texts, and common prefixes are
+2. A place's context is the text of all windows that belong to it; a context that occurs twice recurs as a whole. Windows on either side of a context's
+   middle share a core, the text common to all of that side; a context neither of whose cores occurs elsewhere cannot recur (that is so for short common
+   lines). What is left is contexts that share a core and differ; their texts are fetched, each once.
+3. Those are dealt by core into shards of about ``shard_bytes``. In each shard a Burrows-Wheeler transform is made of the texts, and common prefixes are
    derived by interval expansion up to ``width`` (see ``bwt``): neighbours that share ``width`` bytes are recurring windows.
-4. An anchor with more than ``shard_bytes`` of different contexts (a passage that very many documents share, each with its own surroundings) is
-   split: its windows by their place about the anchor, into halves, and each half by the text that all its windows share. Equal texts merge on the way,
-   so after at most log2(``width``) rounds every group fits. Nothing is left out.
+4. A core with more than ``shard_bytes`` of different texts (a passage that very many documents share, each with its own surroundings) is split again
+   into the halves of its windows, each with the core of its own. Equal texts merge on the way, so after at most log2(``width``) rounds every group
+   fits. Nothing is left out.
 5. The results go back to the buckets by context, and every text is cut.
 
 Null and empty texts have no bytes. Repeated rows are documents like any other, so their texts recur if long enough. Texts shorter than ``width`` stay. An
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.llm import _hashing as H
@@ -85,38 +86,52 @@ def _anchor_rows(width: int, seed: int):
     return run
 
 
+def _cores(text: bytes, place: int, first: int, last: int, width: int, seed: int) -> list[int]:
+    """Hashes of the text that all windows on the left share, and of that on the right, where there are such windows."""
+    middle = (seed - width) // 2
+    out = []
+    if first - place <= middle:
+        out.append(xxhash.xxh3_64_intdigest(text[place + middle : place + seed], 1) - (1 << 63))
+    if last - place > middle:
+        out.append(xxhash.xxh3_64_intdigest(text[place : place + middle + 1 + width], 2) - (1 << 63))
+    return out
+
+
 def _context_rows(width: int, seed: int):
     def run(docs: pa.Table, anchors: pa.Table) -> pa.Table:
         known = np.sort(_unsigned(anchors.column("anchor")))
         n: Counter = Counter()
-        about: dict[bytes, tuple[int, int]] = {}
+        about: dict[bytes, tuple[int, int, list[int]]] = {}
         for text in byte_list(docs.column("text")) if len(known) else []:
-            for value, _, first, last in contexts(text, width, seed, known):
+            for value, place, first, last in contexts(text, width, seed, known):
                 name = _name(text[first : last + width])
                 n[name] += 1
-                about[name] = (value, last - first + width)
+                if name not in about:
+                    about[name] = (value, last - first + width, _cores(text, place, first, last, width, seed))
         values = np.array([about[k][0] for k in n], dtype=np.uint64)
         bucket = (docs if docs.num_rows else anchors).column("bucket")[0]
-        return pa.table({"bucket": pa.repeat(bucket, len(n)), "context": pa.array(n, pa.binary()), "anchor": _signed(values), "size": pa.array([about[k][1] for k in n], pa.int64()), "n": pa.array(n.values(), pa.int64())})
+        return pa.table(
+            {"bucket": pa.repeat(bucket, len(n)), "context": pa.array(n, pa.binary()), "anchor": _signed(values), "size": pa.array([about[k][1] for k in n], pa.int64()), "cores": pa.array([about[k][2] for k in n], pa.list_(pa.int64())), "n": pa.array(n.values(), pa.int64())}
+        )
 
     return run
 
 
 def _fetch_rows(width: int, seed: int):
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-        left = set(wanted.column("context").to_pylist())
+        left = dict(zip(wanted.column("context").to_pylist(), wanted.column("n").to_pylist(), strict=True))
         known = np.unique(_unsigned(wanted.column("anchor")))
-        found, values, rel, texts = [], [], [], []
+        found, values, counts, rel, texts = [], [], [], [], []
         for text in byte_list(docs.column("text")) if left else []:
             for value, place, first, last in contexts(text, width, seed, known):
                 piece = text[first : last + width]
                 if (name := _name(piece)) in left:
-                    left.remove(name)
+                    counts.append(left.pop(name))
                     found.append(name)
                     values.append(value)
                     rel.append(first - place)
                     texts.append(piece)
-        return pa.table({"context": pa.array(found, pa.binary()), "anchor": _signed(np.array(values, dtype=np.uint64)), "rel": pa.array(rel, pa.int64()), "text": pa.array(texts, pa.binary())})
+        return pa.table({"context": pa.array(found, pa.binary()), "anchor": _signed(np.array(values, dtype=np.uint64)), "n": pa.array(counts, pa.int64()), "rel": pa.array(rel, pa.int64()), "text": pa.array(texts, pa.binary())})
 
     return run
 
@@ -153,27 +168,21 @@ def _halves(spans: DataFrame, width: int) -> DataFrame:
 
 
 def _resolve(spans: DataFrame, width: int, seed: int, shard_bytes: int) -> DataFrame:
-    """``context`` and ``ranges`` for the spans (context, anchor, rel, text) that occur once but share their anchor with others."""
-    spans = spans.withColumnRenamed("anchor", "group").withColumn("low", F.lit(seed - width).cast("bigint")).withColumn("high", F.lit(0).cast("bigint"))
-    links = spans.where("n = 1").select(F.col("context").alias("top"), "context", F.lit(0).cast("bigint").alias("shift"))
-    out = []
-    while True:
-        sizes = spans.groupBy("group").agg(F.sum(F.length("text")).alias("bytes"), F.count("*").alias("k"))
-        fit = spans.join(sizes.where((F.col("bytes") <= shard_bytes) | (F.col("k") == 1)).select("group"), "group", "left_semi")
-        large = cut(spans.join(sizes.where((F.col("bytes") > shard_bytes) & (F.col("k") > 1)).select("group"), "group", "left_semi"))
-        found = _decided(fit, shard_bytes, width)
-        whole = fit.where("n > 1").select("context", _whole(width).alias("ranges"))
-        known = found.unionByName(whole).groupBy("context").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-        out.append(links.join(known, "context").select(F.col("top").alias("context"), F.transform("ranges", lambda r: F.transform(r, lambda x: x + F.col("shift"))).alias("ranges")))
-        if large.isEmpty():
-            break
-        children = cut(_halves(large, width))
+    """``context`` and ``ranges`` for the spans (context, anchor, rel, n, text) that occur once but share a core with others."""
+    large = spans.withColumnRenamed("anchor", "group").withColumn("low", F.lit(seed - width).cast("bigint")).withColumn("high", F.lit(0).cast("bigint"))
+    links = large.where("n = 1").select(F.col("context").alias("top"), "context", F.lit(0).cast("bigint").alias("shift"))
+    out = None
+    while out is None or not large.isEmpty():
+        children = _halves(large, width)
         links = cut(links.join(children.select(F.col("parent").alias("context"), F.col("context").alias("child"), F.col("shift").alias("further")), "context").select("top", F.col("child").alias("context"), (F.col("shift") + F.col("further")).alias("shift")))
-        spans = cut(children.groupBy("context", "group").agg(F.sum("n").alias("n"), F.first("text").alias("text"), F.first("rel").alias("rel"), F.first("low").alias("low"), F.first("high").alias("high")))
-    total = out[0]
-    for more in out[1:]:
-        total = total.unionByName(more)
-    return total.groupBy("context").agg(F.flatten(F.collect_list("ranges")).alias("ranges")) if len(out) > 1 else total
+        held = cut(children.groupBy("context", "group").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("text", "rel", "low", "high"))))
+        sizes = held.groupBy("group").agg(F.sum(F.length("text")).alias("bytes"), F.count("*").alias("k")).where("k > 1")
+        found = _decided(held.join(sizes.where(F.col("bytes") <= shard_bytes).select("group"), "group", "left_semi"), shard_bytes, width)
+        large = cut(held.join(sizes.where(F.col("bytes") > shard_bytes).select("group"), "group", "left_semi"))
+        known = found.unionByName(held.where("n > 1").select("context", _whole(width).alias("ranges"))).where(F.size("ranges") > 0)
+        here = links.join(known, "context").select(F.col("top").alias("context"), F.transform("ranges", lambda r: F.transform(r, lambda x: x + F.col("shift"))).alias("ranges"))
+        out = here if out is None else out.unionByName(here)
+    return out.groupBy("context").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def _remove_rows(width: int, seed: int):
@@ -206,15 +215,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = held.schema["id"].dataType.simpleString()
     by_bucket = held.groupBy("bucket")
     anchors = recurring(by_bucket.applyInArrow(_anchor_rows(width, seed), "bucket bigint, anchor bigint, n bigint"), "anchor")
-    found = cut(by_bucket.cogroup(anchors.groupBy("bucket")).applyInArrow(_context_rows(width, seed), "bucket bigint, context binary, anchor bigint, size bigint, n bigint"))
-    distinct = found.groupBy("context", "anchor").agg(F.sum("n").alias("n"), F.min("bucket").alias("bucket"))
-    shared = distinct.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("anchor")
-    wanted = distinct.join(shared, "anchor", "left_semi")
-    fetched = by_bucket.cogroup(wanted.groupBy("bucket")).applyInArrow(_fetch_rows(width, seed), "context binary, anchor bigint, rel bigint, text binary")
-    spans = cut(fetched.join(wanted.select("context", "n"), "context"))
-    once = _resolve(spans, width, seed, shard_bytes)
-    twice = found.join(distinct.where("n > 1").select("context"), "context", "left_semi").select("bucket", "context", "anchor", F.array(F.array(F.lit(0).cast("bigint"), F.col("size") - F.lit(width - 1))).alias("ranges"))
-    single = found.join(once, "context").select("bucket", "context", "anchor", "ranges")
-    decided = twice.unionByName(single)
+    found = by_bucket.cogroup(anchors.groupBy("bucket")).applyInArrow(_context_rows(width, seed), "bucket bigint, context binary, anchor bigint, size bigint, cores array<bigint>, n bigint")
+    same = Window.partitionBy("context")
+    found = found.withColumn("total", F.sum("n").over(same)).withColumn("home", F.min("bucket").over(same))
+    cores = found.where("bucket = home").select("bucket", "context", "anchor", F.col("total").alias("n"), F.explode("cores").alias("core"))
+    useful = cores.groupBy("core").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("core")
+    wanted = cores.join(useful, "core", "left_semi").groupBy("context").agg(F.min("bucket").alias("bucket"), F.min("anchor").alias("anchor"), F.min("n").alias("n"))
+    fetched = by_bucket.cogroup(wanted.groupBy("bucket")).applyInArrow(_fetch_rows(width, seed), "context binary, anchor bigint, n bigint, rel bigint, text binary")
+    kept = found.join(wanted.select("context", F.lit(True).alias("open")), "context", "left").where("total > 1 or open")
+    # One table for both, so that the buckets' exchange and the contexts are computed once.
+    both = cut(kept.select("bucket", "context", "anchor", "size", "total").unionByName(fetched.withColumnRenamed("n", "total"), allowMissingColumns=True))
+    once = _resolve(both.where("text is not null").select("context", "anchor", "rel", F.col("total").alias("n"), "text"), width, seed, shard_bytes)
+    places = both.where("text is null")
+    whole = F.array(F.array(F.lit(0).cast("bigint"), F.col("size") - F.lit(width - 1)))
+    decided = places.where("total > 1").select("bucket", "context", "anchor", whole.alias("ranges")).unionByName(places.where("total = 1").join(once, "context").select("bucket", "context", "anchor", "ranges"))
     out = by_bucket.cogroup(decided.groupBy("bucket")).applyInArrow(_remove_rows(width, seed), f"id {kind}, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept_sha256 string, kept binary")
     return out.withColumnRenamed("id", id_col)
