@@ -29,13 +29,13 @@ CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"
 TEMPLATE = "{% for m in messages %}<|{{ m.role | escape }}|>{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}</s>\n{% endfor %}"
 PART_CHARS = 1 << 20
 
-_SPECIAL = re.compile("|".join(map(re.escape, ("\\", *CONTROL))))
+_SPECIAL = re.compile(r"\\|" + "|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL))
 _TURN = re.compile(r"<\|((?:[^|]|\|(?!>))*)\|>(.*?)</s>\n", re.S)
 
 
 def escape(text: str) -> str:
     """The text without control strings, from which :func:`unescape` makes it again."""
-    return _SPECIAL.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
+    return _SPECIAL.sub(lambda m: m[0] + "\\", text)
 
 
 def unescape(text: str) -> str:

@@ -101,18 +101,16 @@ def _context_rows(width: int, seed: int):
     def run(docs: pa.Table, anchors: pa.Table) -> pa.Table:
         known = np.sort(_unsigned(anchors.column("anchor")))
         n: Counter = Counter()
-        about: dict[bytes, tuple[int, int, list[int]]] = {}
+        about: dict[bytes, tuple[int, list[int]]] = {}
         for text in byte_list(docs.column("text")) if len(known) else []:
             for value, place, first, last in contexts(text, width, seed, known):
                 name = _name(text[first : last + width])
                 n[name] += 1
                 if name not in about:
-                    about[name] = (value, last - first + width, _cores(text, place, first, last, width, seed))
+                    about[name] = (value, _cores(text, place, first, last, width, seed))
         values = np.array([about[k][0] for k in n], dtype=np.uint64)
         bucket = (docs if docs.num_rows else anchors).column("bucket")[0]
-        return pa.table(
-            {"bucket": pa.repeat(bucket, len(n)), "context": pa.array(n, pa.binary()), "anchor": _signed(values), "size": pa.array([about[k][1] for k in n], pa.int64()), "cores": pa.array([about[k][2] for k in n], pa.list_(pa.int64())), "n": pa.array(n.values(), pa.int64())}
-        )
+        return pa.table({"bucket": pa.repeat(bucket, len(n)), "context": pa.array(n, pa.binary()), "anchor": _signed(values), "cores": pa.array([about[k][1] for k in n], pa.list_(pa.int64())), "n": pa.array(n.values(), pa.int64())})
 
     return run
 
@@ -185,6 +183,12 @@ def _resolve(spans: DataFrame, width: int, seed: int, shard_bytes: int) -> DataF
     return out.groupBy("context").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
+def _ranges(decided: dict, name: bytes, windows: int) -> list:
+    """A context's recurring windows: none if it is not decided, all if no ranges are given."""
+    found = decided.get(name, ())
+    return [(0, windows)] if found is None else found
+
+
 def _remove_rows(width: int, seed: int):
     def run(docs: pa.Table, decided: pa.Table) -> pa.Table:
         ranges = dict(zip(decided.column("context").to_pylist(), decided.column("ranges").to_pylist(), strict=True))
@@ -194,7 +198,7 @@ def _remove_rows(width: int, seed: int):
             text = text or b""
             marks = np.zeros(len(text) + 1, dtype=np.int64)
             for _, _, first, last in contexts(text, width, seed, known) if len(known) else ():
-                for a, b in ranges.get(_name(text[first : last + width]), ()):
+                for a, b in _ranges(ranges, _name(text[first : last + width]), last - first + 1):
                     marks[first + a] += 1
                     marks[first + b - 1 + width] -= 1
             gone = np.cumsum(marks[:-1]) > 0
@@ -215,19 +219,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = held.schema["id"].dataType.simpleString()
     by_bucket = held.groupBy("bucket")
     anchors = recurring(by_bucket.applyInArrow(_anchor_rows(width, seed), "bucket bigint, anchor bigint, n bigint"), "anchor")
-    found = by_bucket.cogroup(anchors.groupBy("bucket")).applyInArrow(_context_rows(width, seed), "bucket bigint, context binary, anchor bigint, size bigint, cores array<bigint>, n bigint")
+    found = by_bucket.cogroup(anchors.groupBy("bucket")).applyInArrow(_context_rows(width, seed), "bucket bigint, context binary, anchor bigint, cores array<bigint>, n bigint")
     same = Window.partitionBy("context")
     found = found.withColumn("total", F.sum("n").over(same)).withColumn("home", F.min("bucket").over(same))
     cores = found.where("bucket = home").select("bucket", "context", "anchor", F.col("total").alias("n"), F.explode("cores").alias("core"))
-    useful = cores.groupBy("core").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("core")
+    # All columns are used in each branch, so that the branches share one exchange of contexts.
+    useful = cores.groupBy("core").agg(F.count("context").alias("k"), F.min("n").alias("least"), F.min("bucket").alias("b"), F.count("anchor").alias("a")).where("k > 1 and least = 1 and b >= 0 and a > 0").select("core")
     wanted = cores.join(useful, "core", "left_semi").groupBy("context").agg(F.min("bucket").alias("bucket"), F.min("anchor").alias("anchor"), F.min("n").alias("n"))
     fetched = by_bucket.cogroup(wanted.groupBy("bucket")).applyInArrow(_fetch_rows(width, seed), "context binary, anchor bigint, n bigint, rel bigint, text binary")
     kept = found.join(wanted.select("context", F.lit(True).alias("open")), "context", "left").where("total > 1 or open")
     # One table for both, so that the buckets' exchange and the contexts are computed once.
-    both = cut(kept.select("bucket", "context", "anchor", "size", "total").unionByName(fetched.withColumnRenamed("n", "total"), allowMissingColumns=True))
+    both = cut(kept.select("bucket", "context", "anchor", "cores", "total").unionByName(fetched.withColumnRenamed("n", "total"), allowMissingColumns=True))
     once = _resolve(both.where("text is not null").select("context", "anchor", "rel", F.col("total").alias("n"), "text"), width, seed, shard_bytes)
     places = both.where("text is null")
-    whole = F.array(F.array(F.lit(0).cast("bigint"), F.col("size") - F.lit(width - 1)))
+    whole = F.lit(None).cast("array<array<bigint>>")  # all windows of a context
     decided = places.where("total > 1").select("bucket", "context", "anchor", whole.alias("ranges")).unionByName(places.where("total = 1").join(once, "context").select("bucket", "context", "anchor", "ranges"))
     out = by_bucket.cogroup(decided.groupBy("bucket")).applyInArrow(_remove_rows(width, seed), f"id {kind}, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept_sha256 string, kept binary")
     return out.withColumnRenamed("id", id_col)
