@@ -68,6 +68,7 @@ def tree(made: DataFrame, fanout: int = FANOUT, levels: int | None = None) -> Da
     if levels is None:
         levels = depth(level.withColumnRenamed("node", "seq"), fanout)
     out = level.withColumn("level", F.lit(0))
+    # Each level is a small part of the one below; only the leaves are worth keeping.
     for k in range(1, levels + 1):
         children = F.array_sort(F.collect_list(F.struct("node", "hash")))
         level = level.groupBy("archive", F.floor(F.col("node") / fanout).alias("up")).agg(F.min("first").alias("first"), F.max("end").alias("end"), children.alias("c")).select("archive", F.col("up").alias("node"), "first", "end", F.sha2(F.array_join(F.col("c.hash"), "").cast("binary"), 256).alias("hash"))
@@ -94,5 +95,5 @@ def audit(primary: DataFrame, replica: DataFrame, levels: int, fanout: int = FAN
             a, b = (t.withColumn("up", F.floor(F.col("node") / fanout)).join(above, ["archive", "up"], "left_semi").drop("up") for t in (a, b))
         joined = a.alias("a").join(b.alias("b"), ["archive", "node"], "full").where(~F.col("a.hash").eqNullSafe(F.col("b.hash")))
         status = F.when(F.col("b.hash").isNull(), "missing").when(F.col("a.hash").isNull(), "extra").otherwise("corrupt")
-        bad = joined.select("archive", "node", status.alias("status"), F.coalesce("a.first", "b.first").alias("first"), F.coalesce("a.end", "b.end").alias("end"))
+        bad = cut(joined.select("archive", "node", status.alias("status"), F.coalesce("a.first", "b.first").alias("first"), F.coalesce("a.end", "b.end").alias("end")))
     return bad.withColumnRenamed("node", "seq")
