@@ -30,6 +30,8 @@ SYMBOL_BITS = 12
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
 MARGIN = 1.0
+#: Nats by which a text of one character may exceed its limit; of n characters by the square root of n less, as a mean of n terms varies.
+SHORT = 4.0
 UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -75,7 +77,7 @@ class KneserNey:
         self.base = -np.log(len(kept) + 1.0)
         tables = [self._tables(counts[language]) for language in self.languages]
         self.levels: list[Level] = []
-        for order in range(1, ORDER + 1):
+        for order in range(1, ORDER + 1 if tables else 1):
             grams = np.unique(np.concatenate([t[order - 1][0] for t in tables]))
             contexts = np.unique(np.concatenate([t[order - 1][2] for t in tables]))
             lower = self._at(order - 1, grams & ((1 << SYMBOL_BITS * (order - 1)) - 1))
@@ -175,7 +177,7 @@ def _judge(model: KneserNey, texts: list[str | None]) -> list[tuple[str, float,
             continue
         best = int(row.argmin())
         score = 1.0 / float(np.exp(-(row - row[best]) * min(len(line), 50)).sum())
-        out.append((model.languages[best], score, float(row[best]), bool(row[best] <= model.limits[best])))
+        out.append((model.languages[best], score, float(row[best]), bool(row[best] <= model.limits[best] + SHORT / len(line) ** 0.5)))
     return out
 
 
