@@ -18,8 +18,9 @@ def test_tokens_of_words_are_tokens_of_texts():
     rng = random.Random(1)
     parts = ["Hello", "WORLD's", "n't", "é", "é", "ΣΟΦΟΣ", "12345", "<|endoftext|>", "a<|startoftext|>b", "日本語", "🙂!!", " ", "İ", "x\x1cy", "--", "'ll", " ", "ﬁ", "̀"]
     assert own.by_word
-    for _ in range(300):
-        text = "".join(rng.choice(parts) + rng.choice(["", " ", "\n", "\t ", "\x0b", "　"]) for _ in range(rng.randint(0, 30)))
+    latin = ["Hello", "WORLD's", "n't", "é", "ÀÉßÿ", "123", "--", "'ll", "''s", "\x00\x1f", "\x7f", "a.b,c", "_x_", "DON'T"]
+    for k in range(600):
+        text = "".join(rng.choice(parts if k % 2 else latin) + rng.choice(["", " ", "\n", "\t ", "\x0b", "　"]) for _ in range(rng.randint(0, 30)))
         assert np.frombuffer(own.encode(text.encode()), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
@@ -58,10 +59,10 @@ def test_column_generation_reaches_the_bound(seed):
     held = {s: sum(p.get(s, 0) * n for p, n in patterns) for s in sizes}
     assert held == histogram and all(sum(s * c for s, c in p.items()) <= 64 for p, _ in patterns)
     demand, order = np.array([histogram[s] for s in sorted(sizes)], float), np.array(sorted(sizes))
-    solved = packing.solve(demand, order, 64)
+    solved = packing.solve(demand, order, 64, gap=1e-7)
     bound = sum(x for _, x in solved)
     assert np.allclose(sum(np.asarray(p) * x for p, x in solved), demand)
-    assert sum(n for _, n in patterns) <= bound + len(sizes) and bound >= sum(s * n for s, n in histogram.items()) / 64 - 1e-6
+    assert sum(n for _, n in patterns) <= bound * (1 + packing.GAP) + len(sizes) and bound >= sum(s * n for s, n in histogram.items()) / 64 - 1e-6
 
 
 def test_pricing_equals_enumeration():

@@ -15,6 +15,7 @@ gives no pieces.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,14 +29,32 @@ from wellspring.llm._common import byte_list, cut, pieces, utf8
 CAPACITY = 4096
 QUANTUM = 8
 END_ID = 2
-CACHE = 300_000
+CACHE = 200_000
+GAP = 5e-4
+
+# The tokenizer's pattern, and the same for texts of ASCII and Latin-1 letters only; fixed values.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^ \t-\ra-zà-öø-ÿß0-9]+")
+_OTHER = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]|<\|")
+_SPACE = re.compile("[ \t-\r]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Of each character below 256, its UTF-8 bytes in byte-level letters: printable bytes stand for themselves, the others, in order, for 256 and on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
+_BYTE_LETTER = _byte_letters()
 
 
 class WordTokenizer:
-    """Ids of a text as little-endian unsigned 32-bit numbers, by way of the ids of its white-space separated parts.
+    """Ids of a text as little-endian unsigned 32-bit numbers, by way of the ids of its parts, which are remembered, up to ``cache`` of them.
 
-    That is the same as encoding the whole text where, as checked, the tokenizer's own split drops white space and its normaliser does not compose
-    across it; otherwise whole texts are encoded. The parts' ids are remembered, up to ``cache`` of them.
+    Where the tokenizer drops white space and splits by letters, digits and the rest, as is checked, a text's ids are those of its white-space separated
+    words; and a text of ASCII and Latin-1 letters is split into the tokenizer's own pieces, of which there are fewer. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -46,28 +65,37 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         state = json.loads(self.tokenizer.to_str())
         split = [p for p in (state.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
-        self.by_word = any(p["invert"] and p["behavior"] == "Removed" and r"[^\s" in p["pattern"].get("Regex", "") for p in split)
-        self.known: dict[bytes, bytes] = {}
+        self.by_word = any(p["invert"] and p["behavior"] == "Removed" and p["pattern"].get("Regex") == SPLIT for p in split)
+        self.known: dict[str, bytes] = {}
         self.cache = cache
 
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that the tokenizer's pattern does not split further: its model alone is asked, in its letters for bytes."""
+        tokenize = self.tokenizer.model.tokenize
+        return [np.array([t.id for t in tokenize(p.translate(_BYTE_LETTER))], dtype="<u4").tobytes() for p in pieces]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def encode(self, text: bytes | None) -> bytes:
-        if not text:
+    def encode(self, data: bytes | None) -> bytes:
+        if not data:
             return b""
+        text = data.decode()
         if not self.by_word:
             return self._encode([text])[0]
-        words = text.split()
+        plain = not _OTHER.search(text)
+        # Pieces and words can look alike and differ, so words are kept under their text with a space.
+        parts = _PIECE.findall(text.lower()) if plain else [f" {w}" for w in _SPACE.split(text)]
         known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
+        missing = {p for p in parts if p not in known}
         if missing:
             if len(known) + len(missing) > self.cache:
                 known.clear()
-                missing = list(dict.fromkeys(words))
-            known.update(zip(missing, self._encode(missing), strict=True))
-        return b"".join([known[w] for w in words])
+                missing = set(parts)
+            order = list(missing)
+            known.update(zip(order, self._pieces(order) if plain else self._encode(order), strict=True))
+        return b"".join([known[p] for p in parts])
 
 
 def _cut_pieces(path: str, capacity: int, end_id: int):
@@ -119,10 +147,11 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), counts
 
 
-def solve(demand: np.ndarray, sizes: np.ndarray, capacity: int, most: int = 4000) -> list[tuple[np.ndarray, float]]:
+def solve(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap: float = GAP, most: int = 4000) -> list[tuple[np.ndarray, float]]:
     """The linear program's patterns with their multiplicities: fewest sequences that cover ``demand`` pieces of each size.
 
-    Starts from one pattern per class, then adds the pattern of best price until none is worth more than one sequence, or ``most`` were added.
+    Starts from one pattern per class, then adds the pattern of best price until none is worth more than 1 + ``gap`` sequences, or ``most`` were added. The
+    number of sequences is then at most 1 + ``gap`` times the least.
     """
     n = len(sizes)
     patterns = [np.where(np.arange(n) == i, capacity // sizes[i], 0) for i in range(n)]
@@ -131,7 +160,7 @@ def solve(demand: np.ndarray, sizes: np.ndarray, capacity: int, most: int = 4000
     for step in range(most):
         duals = inverse.sum(axis=0)
         value, column = price(np.maximum(duals, 0), sizes, capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + gap:
             break
         direction = inverse @ column
         up = direction > 1e-11
