@@ -29,7 +29,7 @@ from wellspring.llm._common import byte_list, cut, pieces, utf8
 CAPACITY = 4096
 QUANTUM = 8
 END_ID = 2
-CACHE = 200_000
+CACHE = 120_000
 GAP = 5e-4
 
 # The tokenizer's pattern, and the same for texts of ASCII and Latin-1 letters only; fixed values.
