@@ -4,8 +4,8 @@ Lines are the parts of a text between line feeds; a line without other character
 of the sites are built before the shuffle and merged after it. Lines whose estimate is clear of the threshold are decided by it; those near the threshold,
 within ``margin`` standard errors, get an exact distinct count. A sketch of few sites is practically exact, so little is near.
 
-Only DataFrame functions are used. Lines go through the shuffle as 8-byte hashes; a hash seen fewer times than the threshold cannot be on that many sites
-and gets no sketch. Removal joins back the positions of the hit lines by document, not by line, so a line that a third of all documents have stays spread.
+Only DataFrame functions are used. Lines go through the shuffle as 8-byte hashes with a sketch, and for the exact count as distinct pairs of hash and site, so
+a very common line is one row of each task. Removal joins back the positions of the hit lines by document, not by line, so a line that a third of all documents have stays spread.
 
 Null text stays null and has no lines; an empty text has one line, which is blank. A null site counts as no site. Repeated rows are treated alike, and
 count once per site. An empty table gives an empty result. Columns of the same name as an internal one do not clash: those start with two underscores.
@@ -34,13 +34,12 @@ def _blank(line: Column) -> Column:
 def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K, margin: float = MARGIN) -> DataFrame:
     """``line`` (its 64-bit hash) and ``sites`` (estimated or exact) of every line on ``min_sites`` sites or more."""
     lines = docs.where(F.col(text_col).isNotNull()).select(F.explode(_lines(F.col(text_col))).alias("text"), F.col(site_col).cast("string").alias("site")).where(~_blank(F.col("text")) & F.col("site").isNotNull()).select(F.xxhash64("text").alias("line"), "site")
-    frequent = lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line")
-    held = lines.join(frequent, "line", "left_semi")
     error = 1.04 / (2 ** (lg_k / 2))
-    spread = cut(held.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites")).where(F.col("sites") >= min_sites * (1 - margin * error) - 1))
+    sketches = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"))
+    spread = cut(sketches.where(F.col("sites") >= min_sites * (1 - margin * error) - 1))
     far = F.col("sites") > min_sites * (1 + margin * error) + 1
     near = spread.where(~far).select("line")
-    exact = held.join(near, "line", "left_semi").distinct().groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    exact = lines.distinct().join(near, "line", "left_semi").groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     return cut(spread.where(far).unionByName(exact))
 
 
