@@ -169,17 +169,17 @@ def _resolve(spans: DataFrame, width: int, seed: int, shard_bytes: int) -> DataF
     """``context`` and ``ranges`` for the spans (context, anchor, rel, n, text) that occur once but share a core with others."""
     large = spans.withColumnRenamed("anchor", "group").withColumn("low", F.lit(seed - width).cast("bigint")).withColumn("high", F.lit(0).cast("bigint"))
     links = large.where("n = 1").select(F.col("context").alias("top"), "context", F.lit(0).cast("bigint").alias("shift"))
-    out = None
+    out, limit = None, 0  # first all are split once more, as most quarters are equal and need no transform
     while out is None or not large.isEmpty():
         children = _halves(large, width)
         links = cut(links.join(children.select(F.col("parent").alias("context"), F.col("context").alias("child"), F.col("shift").alias("further")), "context").select("top", F.col("child").alias("context"), (F.col("shift") + F.col("further")).alias("shift")))
         held = cut(children.groupBy("context", "group").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("text", "rel", "low", "high"))))
         sizes = held.groupBy("group").agg(F.sum(F.length("text")).alias("bytes"), F.count("*").alias("k")).where("k > 1")
-        found = _decided(held.join(sizes.where(F.col("bytes") <= shard_bytes).select("group"), "group", "left_semi"), shard_bytes, width)
-        large = cut(held.join(sizes.where(F.col("bytes") > shard_bytes).select("group"), "group", "left_semi"))
+        found = _decided(held.join(sizes.where(F.col("bytes") <= limit).select("group"), "group", "left_semi"), shard_bytes, width)
+        large = cut(held.join(sizes.where(F.col("bytes") > limit).select("group"), "group", "left_semi"))
         known = found.unionByName(held.where("n > 1").select("context", _whole(width).alias("ranges"))).where(F.size("ranges") > 0)
         here = links.join(known, "context").select(F.col("top").alias("context"), F.transform("ranges", lambda r: F.transform(r, lambda x: x + F.col("shift"))).alias("ranges"))
-        out = here if out is None else out.unionByName(here)
+        out, limit = here if out is None else out.unionByName(here), shard_bytes
     return out.groupBy("context").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
@@ -227,7 +227,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     useful = cores.groupBy("core").agg(F.count("context").alias("k"), F.min("n").alias("least"), F.min("bucket").alias("b"), F.count("anchor").alias("a")).where("k > 1 and least = 1 and b >= 0 and a > 0").select("core")
     wanted = cores.join(useful, "core", "left_semi").groupBy("context").agg(F.min("bucket").alias("bucket"), F.min("anchor").alias("anchor"), F.min("n").alias("n"))
     fetched = by_bucket.cogroup(wanted.groupBy("bucket")).applyInArrow(_fetch_rows(width, seed), "context binary, anchor bigint, n bigint, rel bigint, text binary")
-    kept = found.join(wanted.select("context", F.lit(True).alias("open")), "context", "left").where("total > 1 or open")
+    kept = found.join(wanted.select("context", F.struct("bucket", "anchor", "n").alias("open")), "context", "left").where("total > 1 or open is not null")
     # One table for both, so that the buckets' exchange and the contexts are computed once.
     both = cut(kept.select("bucket", "context", "anchor", "cores", "total").unionByName(fetched.withColumnRenamed("n", "total"), allowMissingColumns=True))
     once = _resolve(both.where("text is not null").select("context", "anchor", "rel", F.col("total").alias("n"), "text"), width, seed, shard_bytes)
