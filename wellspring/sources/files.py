@@ -25,8 +25,8 @@ def linear_road(spark: SparkSession, path: str, instances: int = 1, id_shift: in
     """Position reports with ``ts`` (seconds in the file) and ``key``. Each of ``instances`` readers has the file once more, its vehicles' ids shifted and its number for ``xway``."""
     rows = _csv(spark, path, LINEAR_ROAD, stream, per_trigger)
     rows = rows.withColumn("xway", F.explode(F.sequence(F.lit(0), F.lit(instances - 1))))
-    vid = F.col("vid") + F.col("xway") * F.lit(id_shift)
-    return rows.withColumn("vid", vid).withColumn("key", vid.cast("string")).withColumn("ts", from_units("time", 1000)).drop("time")
+    rows = rows.withColumn("vid", F.col("vid") + F.col("xway") * F.lit(id_shift))
+    return rows.withColumn("key", F.col("vid").cast("string")).withColumn("ts", from_units("time", 1000)).drop("time")
 
 
 def smart_grid(spark: SparkSession, path: str, instances: int = 1, id_shift: int = 0, stream: bool = False, per_trigger: int | None = None) -> DataFrame:
