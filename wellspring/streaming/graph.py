@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from wellspring.operators.lineage import Lineage
+from wellspring.operators.lineage import HIDDEN, Lineage
 
 
 def prepare(spark: SparkSession) -> None:
@@ -57,13 +57,16 @@ def acknowledged_sources(queries: dict[str, Lineage], times: DataFrame, uid: str
 
 
 def graph_stream(queries: dict[str, Lineage]) -> DataFrame:
-    """Results and edges of streaming queries as nodes (kind, uid1, uid2, ts, data); a result's ACK is there with it."""
+    """Results and edges of streaming queries as nodes (kind, uid1, uid2, ts, data); a result's ACK is there with it.
+
+    All of a result's nodes come out of its one row, so a query's state is kept once.
+    """
     none = F.lit(None).cast("string")
     out = []
     for name, q in queries.items():
-        sinks = q.sinks(name)
-        for kind, data in (("SINK", F.col("data")), ("ACK", none)):
-            out.append(sinks.select(F.lit(kind).alias("kind"), F.col("sink").alias("uid1"), none.alias("uid2"), "ts", data.alias("data")))
-        edges = q.df.select(F.explode("prov").alias("uid1"), F.concat(F.lit(f"{name}|"), "rid").alias("uid2"), "ts")
-        out.append(edges.select(F.lit("EDGE").alias("kind"), F.col("uid1").cast("string").alias("uid1"), "uid2", "ts", none.alias("data")))
+        sink = F.concat(F.lit(f"{name}|"), "rid")
+        payload = F.to_json(F.struct(*(c for c in q.df.columns if c not in (*HIDDEN, "ts"))))
+        node = lambda kind, a, b, data: F.struct(F.lit(kind).alias("kind"), a.alias("uid1"), b.alias("uid2"), F.col("ts"), data.alias("data"))
+        edges = F.transform("prov", lambda u: node("EDGE", u.cast("string"), sink, none))
+        out.append(q.df.select(F.explode(F.concat(F.array(node("SINK", sink, none, payload)), edges, F.array(node("ACK", sink, none, none)))).alias("node")).select("node.*"))
     return reduce(DataFrame.unionByName, out)

@@ -42,7 +42,18 @@ def drain(stream: DataFrame, name: str = "out") -> DataFrame:
 
 
 def write_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> list[dict]:
-    """Runs a stream through ``write(rows, batch)``, which must give the same for a batch that comes again; returns each batch's progress."""
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a stream through ``write(rows, batch)``, which must give the same for a batch that comes again; returns each batch's progress.
+
+    A batch's rows are kept while they are written, so that several writes do not run its stateful steps again.
+    """
+
+    def once(rows: DataFrame, batch: int) -> None:
+        held = rows.persist()
+        try:
+            write(held, batch)
+        finally:
+            held.unpersist()
+
+    query = stream.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return [dict(p) if isinstance(p, dict) else p for p in query.recentProgress]
