@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.llm import _hashing as H
-from wellspring.llm._common import byte_list, cut
+from wellspring.llm._common import byte_list, kept
 from wellspring.llm.bwt import recurring_starts
 from wellspring.llm.phrase_dedup import BUCKET_BYTES, _signed, _unsigned, dealt, is_in, recurring
 
@@ -157,30 +158,40 @@ def _halves(spans: DataFrame, width: int) -> DataFrame:
     """Each span's windows in two, by their place about the anchor; ``group`` is then the text that all windows of the half share. ``shift``: windows skipped."""
     middle = F.floor((F.col("low") + F.col("high")) / 2)
     half = F.explode(F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))).alias("half")
-    cutting = spans.select("context", "group", "rel", "n", "text", half).select("context", "group", "rel", "n", "text", "half.low", "half.high")
+    own = [c for c in ("top", "skip") if c in spans.columns]
+    cutting = spans.select("context", "group", "rel", "n", "text", *own, half).select("context", "group", "rel", "n", "text", *own, "half.low", "half.high")
     last = F.col("rel") + F.length("text") - width
     cutting = cutting.withColumn("s", F.greatest("rel", "low")).withColumn("e", F.least(last, F.col("high"))).where("s <= e and low <= high")
     core = F.expr(f"substring(text, cast(high - rel + 1 as int), cast(low - high + {width} as int))")
     text = F.expr(f"substring(text, cast(s - rel + 1 as int), cast(e - s + {width} as int))")
-    return cutting.select(F.col("context").alias("parent"), F.xxhash64("group", "low", "high", core).alias("group"), (F.col("s") - F.col("rel")).alias("shift"), F.col("s").alias("rel"), "low", "high", "n", text.alias("text")).withColumn("context", F.unhex(F.md5("text")))
+    return cutting.select(F.col("context").alias("parent"), F.xxhash64("group", "low", "high", core).alias("group"), (F.col("s") - F.col("rel")).alias("shift"), F.col("s").alias("rel"), "low", "high", "n", text.alias("text"), *own).withColumn("context", F.unhex(F.md5("text")))
+
+
+def _merged(children: DataFrame) -> DataFrame:
+    return kept(children.groupBy("context", "group").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("text", "rel", "low", "high"))))
 
 
 def _resolve(spans: DataFrame, width: int, seed: int, shard_bytes: int) -> DataFrame:
-    """``context`` and ``ranges`` for the spans (context, anchor, rel, n, text) that occur once but share a core with others."""
-    large = spans.withColumnRenamed("anchor", "group").withColumn("low", F.lit(seed - width).cast("bigint")).withColumn("high", F.lit(0).cast("bigint"))
-    links = large.where("n = 1").select(F.col("context").alias("top"), "context", F.lit(0).cast("bigint").alias("shift"))
-    out, limit = None, 0  # first all are split once more, as most quarters are equal and need no transform
-    while out is None or not large.isEmpty():
-        children = _halves(large, width)
-        links = cut(links.join(children.select(F.col("parent").alias("context"), F.col("context").alias("child"), F.col("shift").alias("further")), "context").select("top", F.col("child").alias("context"), (F.col("shift") + F.col("further")).alias("shift")))
-        held = cut(children.groupBy("context", "group").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("text", "rel", "low", "high"))))
+    """``context`` and ``ranges`` for the spans (context, anchor, rel, n, text) that occur once but share a core with others.
+
+    All are split twice to begin with, as most quarters are equal and need no transform.
+    """
+    all = spans.withColumnRenamed("anchor", "group").withColumn("low", F.lit(seed - width).cast("bigint")).withColumn("high", F.lit(0).cast("bigint")).withColumn("top", F.when(F.col("n") == 1, F.col("context"))).withColumn("skip", F.lit(0).cast("bigint"))
+    quarters = _halves(_halves(all, width).withColumn("skip", F.col("skip") + F.col("shift")), width)
+    links = kept(quarters.where("top is not null").select("top", "context", (F.col("skip") + F.col("shift")).alias("shift")))
+    held, out = _merged(quarters), []
+    while True:
         sizes = held.groupBy("group").agg(F.sum(F.length("text")).alias("bytes"), F.count("*").alias("k")).where("k > 1")
-        found = _decided(held.join(sizes.where(F.col("bytes") <= limit).select("group"), "group", "left_semi"), shard_bytes, width)
-        large = cut(held.join(sizes.where(F.col("bytes") > limit).select("group"), "group", "left_semi"))
+        found = _decided(held.join(sizes.where(F.col("bytes") <= shard_bytes).select("group"), "group", "left_semi"), shard_bytes, width)
         known = found.unionByName(held.where("n > 1").select("context", _whole(width).alias("ranges"))).where(F.size("ranges") > 0)
-        here = links.join(known, "context").select(F.col("top").alias("context"), F.transform("ranges", lambda r: F.transform(r, lambda x: x + F.col("shift"))).alias("ranges"))
-        out, limit = here if out is None else out.unionByName(here), shard_bytes
-    return out.groupBy("context").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+        out.append(links.join(known, "context").select(F.col("top").alias("context"), F.transform("ranges", lambda r: F.transform(r, lambda x: x + F.col("shift"))).alias("ranges")))
+        large = held.join(sizes.where(F.col("bytes") > shard_bytes).select("group"), "group", "left_semi")
+        if large.isEmpty():
+            break
+        children = _halves(large, width)
+        links = kept(links.join(children.select(F.col("parent").alias("context"), F.col("context").alias("child"), F.col("shift").alias("further")), "context").select("top", F.col("child").alias("context"), (F.col("shift") + F.col("further")).alias("shift")))
+        held = _merged(children)
+    return reduce(DataFrame.unionByName, out).groupBy("context").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def _ranges(decided: dict, name: bytes, windows: int) -> list:
@@ -227,9 +238,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     useful = cores.groupBy("core").agg(F.count("context").alias("k"), F.min("n").alias("least"), F.min("bucket").alias("b"), F.count("anchor").alias("a")).where("k > 1 and least = 1 and b >= 0 and a > 0").select("core")
     wanted = cores.join(useful, "core", "left_semi").groupBy("context").agg(F.min("bucket").alias("bucket"), F.min("anchor").alias("anchor"), F.min("n").alias("n"))
     fetched = by_bucket.cogroup(wanted.groupBy("bucket")).applyInArrow(_fetch_rows(width, seed), "context binary, anchor bigint, n bigint, rel bigint, text binary")
-    kept = found.join(wanted.select("context", F.struct("bucket", "anchor", "n").alias("open")), "context", "left").where("total > 1 or open is not null")
+    open_or_twice = found.join(wanted.select("context", F.struct("bucket", "anchor", "n").alias("open")), "context", "left").where("total > 1 or open is not null")
     # One table for both, so that the buckets' exchange and the contexts are computed once.
-    both = cut(kept.select("bucket", "context", "anchor", "cores", "total").unionByName(fetched.withColumnRenamed("n", "total"), allowMissingColumns=True))
+    both = kept(open_or_twice.select("bucket", "context", "anchor", "cores", "total").unionByName(fetched.withColumnRenamed("n", "total"), allowMissingColumns=True))
     once = _resolve(both.where("text is not null").select("context", "anchor", "rel", F.col("total").alias("n"), "text"), width, seed, shard_bytes)
     places = both.where("text is null")
     whole = F.lit(None).cast("array<array<bigint>>")  # all windows of a context
