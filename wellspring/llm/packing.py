@@ -16,6 +16,7 @@ gives no pieces.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from wellspring.llm._common import byte_list, cut, pieces, utf8
 CAPACITY = 4096
 QUANTUM = 8
 END_ID = 2
-CACHE = 120_000
+CACHE = 80_000
 GAP = 5e-4
 
 # The tokenizer's pattern, and the same for texts of ASCII and Latin-1 letters only; fixed values.
@@ -50,8 +51,26 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTER = _byte_letters()
 
 
+class Recent(dict):
+    """Values by key, made where absent. When ``limit`` of them are held they become the older generation, from which those still in use come back: common keys stay."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordTokenizer:
-    """Ids of a text as little-endian unsigned 32-bit numbers, by way of the ids of its parts, which are remembered, up to ``cache`` of them.
+    """Ids of a text as little-endian unsigned 32-bit numbers, by way of the ids of its parts, of which at most two times ``cache`` are remembered.
 
     Where the tokenizer drops white space and splits by letters, digits and the rest, as is checked, a text's ids are those of its white-space separated
     words; and a text of ASCII and Latin-1 letters is split into the tokenizer's own pieces, of which there are fewer. Other tokenizers get whole texts.
@@ -63,39 +82,29 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         state = json.loads(self.tokenizer.to_str())
         split = [p for p in (state.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
         self.by_word = any(p["invert"] and p["behavior"] == "Removed" and p["pattern"].get("Regex") == SPLIT for p in split)
-        self.known: dict[str, bytes] = {}
-        self.cache = cache
+        self.pieces, self.words = Recent(self._piece, cache), Recent(self._text, cache)
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that the tokenizer's pattern does not split further: its model alone is asked, in its letters for bytes."""
-        tokenize = self.tokenizer.model.tokenize
-        return [np.array([t.id for t in tokenize(p.translate(_BYTE_LETTER))], dtype="<u4").tobytes() for p in pieces]
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that the tokenizer's pattern does not split further: its model alone is asked, in its letters for bytes."""
+        ids = [t.id for t in self.model.tokenize(piece.translate(_BYTE_LETTER))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+    def _text(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, data: bytes | None) -> bytes:
         if not data:
             return b""
         text = data.decode()
         if not self.by_word:
-            return self._encode([text])[0]
-        plain = not _OTHER.search(text)
-        # Pieces and words can look alike and differ, so words are kept under their text with a space.
-        parts = _PIECE.findall(text.lower()) if plain else [f" {w}" for w in _SPACE.split(text)]
-        known = self.known
-        missing = {p for p in parts if p not in known}
-        if missing:
-            if len(known) + len(missing) > self.cache:
-                known.clear()
-                missing = set(parts)
-            order = list(missing)
-            known.update(zip(order, self._pieces(order) if plain else self._encode(order), strict=True))
-        return b"".join([known[p] for p in parts])
+            return self._text(text)
+        if _OTHER.search(text):
+            return b"".join(map(self.words.__getitem__, _SPACE.split(text)))
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
 
 
 def _cut_pieces(path: str, capacity: int, end_id: int):
