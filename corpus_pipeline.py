@@ -25,8 +25,8 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component, the documents with the smallest id stay, one of them if that id occurs on several rows."""
-    return simhash.keep_one(docs)
+    """Of each component over SimHash links and over similarities of 0.8 on five words, the document with the smallest id stays, one of them if that id occurs on several rows."""
+    return simhash.keep_one(docs, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,6 +122,35 @@ def test_simhash_equals_brute_force(documents):
     assert kept.count() == len({c if c is not None else (p,) for (_, _, c), p in zip(expected, prints, strict=True)})
 
 
+def test_similar_texts_are_linked_like_brute_force(documents):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(900, None), (901, ""), (902, "Two words"), (903, "two  WORDS")]
+    common = rng.choices(words, k=40)
+    for k in range(40):
+        base = rng.choices(words, k=rng.choice([8, 60, 200])) + common * (k % 2)
+        for _ in range(rng.choice([1, 3, 40 if k == 0 else 4])):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), len(copy) // rng.choice([30, 60, 90, 150])):
+                copy[at] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    prints = [simhash.fingerprint_of((t or "").encode()) for _, t in rows]
+    label = list(range(len(rows)))
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2 or 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b])
+    for a in range(len(rows)):
+        for b in range(a):
+            if label[a] != label[b] and near(a, b):
+                label = [label[b] if x == label[a] else x for x in label]
+    expected = {}
+    for (i, _), x in zip(rows, label, strict=True):
+        expected[x] = min(expected.get(x, i), i)
+    assert 40 < len(expected) < len(rows) - 30
+    found = simhash.near_duplicates(documents(rows), similarity=0.8).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: expected[x] for (i, _), x in zip(rows, label, strict=True)}
+    assert sorted(r.doc_id for r in simhash.keep_one(documents(rows), similarity=0.8).collect()) == sorted(expected.values())
+
+
 @pytest.mark.parametrize("distance,dense,bits", [(2, 64, 4), (2, 1, 4), (2, 3, 8), (1, 64, 4), (1, 1, 4), (0, 1, 4)])
 def test_links_equal_brute_force(spark, distance, dense, bits):
     rng = random.Random(11)

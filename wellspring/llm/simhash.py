@@ -9,6 +9,9 @@ Only distinct fingerprints are linked, so exact copies never form pairs. A grid
 there, two fingerprints within 2 bits share a neighbour at 1 bit or less, so each announces its 65 neighbours and all that announce the same one are tied
 to the smallest of them. Both ways are exact for ``distance`` 2 and less, and grow in proportion to the number of fingerprints.
 
+Where a ``similarity`` is given, texts whose sets of ``shingle``-word shingles are at least that similar (Jaccard) are linked too. Such texts have fingerprints
+some 10 bits apart at 0.8, too far for any grid, so they are found on the sets themselves (see ``similar``).
+
 Null, empty and wordless texts have fingerprint zero and are linked like any other. Repeated rows share a fingerprint. A null id has no say in a component's
 smallest id. An empty table gives an empty result.
 """
@@ -25,12 +28,14 @@ from pyspark.sql import functions as F
 
 from wellspring.llm._common import byte_list, cut, pieces, utf8
 from wellspring.llm.components import components
+from wellspring.llm.similar import set_name, shingle_set, similar_links
 
 BITS = 64
 SEGMENT_BITS = 4
 DISTANCE = 2
 DENSE = 64
 SHINGLE = 3
+SIMILAR_SHINGLE = 5
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -53,19 +58,21 @@ def fingerprint_of(text: bytes | None, width: int = SHINGLE) -> int:
     return sum(1 << k for k in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
-def _fingerprints(width: int):
+def _fingerprints(width: int, shingle: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            prints = np.array([fingerprint_of(t, width) for t in byte_list(batch.column("text"))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(prints)], names=["id", "digest", "print"])
+            texts = byte_list(batch.column("text"))
+            prints = np.array([fingerprint_of(t, width) for t in texts], dtype=np.uint64).view(np.int64)
+            names = [] if shingle is None else [pa.array([set_name(shingle_set(t, shingle)) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(prints), *names], names=["id", "digest", "print", *["name"] * len(names)])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """``id``, ``digest`` (a hash of the text) and ``print``, the fingerprint as a signed long, of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, shingle: int | None = None) -> DataFrame:
+    """``id``, ``digest`` (a hash of the text), ``print``, the fingerprint as a signed long, and for a ``shingle`` width ``name``, that of its shingle set, of every row."""
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(utf8(text_col)).alias("digest"), utf8(text_col).alias("text"))
-    return named.mapInArrow(_fingerprints(width), f"id {named.schema['id'].dataType.simpleString()}, digest bigint, print bigint")
+    return named.mapInArrow(_fingerprints(width, shingle), f"id {named.schema['id'].dataType.simpleString()}, digest bigint, print bigint" + ", name bigint" * (shingle is not None))
 
 
 def _hex(column: str):
@@ -103,25 +110,37 @@ def links(prints: DataFrame, segment_bits: int = SEGMENT_BITS, distance: int = D
     return pairs.unionByName(tied).distinct()
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, segment_bits: int, distance: int, dense: int) -> tuple[DataFrame, DataFrame]:
+def _similar_prints(docs: DataFrame, found: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Pairs of fingerprints (a, b) that tie together the fingerprints of equal or similar shingle sets."""
+    of = cut(found.select("name", "print").distinct())
+    least = of.groupBy("name").agg(F.min("print").alias("least"))
+    a, b = (least.select(F.col("name").alias(x), F.col("least").alias(f"least_{x}")) for x in ("a", "b"))
+    similar = similar_links(docs, text_col, shingle, similarity).join(a, "a").join(b, "b").select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b"))
+    return similar.unionByName(of.join(least, "name").select(F.col("least").alias("a"), F.col("print").alias("b"))).where("a < b")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, segment_bits: int, distance: int, dense: int, similarity: float | None = None, shingle: int = SIMILAR_SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Ids with fingerprints, and the smallest id of each fingerprint's component."""
-    found = cut(fingerprints(docs, id_col, text_col, width))
+    found = cut(fingerprints(docs, id_col, text_col, width, None if similarity is None else shingle))
     distinct = found.groupBy("print").agg(F.min("id").alias("least"))
-    of = components(links(distinct.select("print"), segment_bits, distance, dense))
+    pairs = links(distinct.select("print"), segment_bits, distance, dense)
+    if similarity is not None:
+        pairs = pairs.unionByName(_similar_prints(docs, found, text_col, shingle, similarity))
+    of = components(pairs)
     named = distinct.join(of.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("component", "print").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return found, cut(named.join(least, "component").select("print", "component", "component_id"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, segment_bits: int = SEGMENT_BITS, distance: int = DISTANCE, dense: int = DENSE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, segment_bits: int = SEGMENT_BITS, distance: int = DISTANCE, dense: int = DENSE, similarity: float | None = None, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """One row per document row: its id, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id reachable over links."""
-    found, label = _labelled(docs, id_col, text_col, width, segment_bits, distance, dense)
+    found, label = _labelled(docs, id_col, text_col, width, segment_bits, distance, dense, similarity, shingle)
     return found.join(label, "print").select(F.col("id").alias(id_col), _hex("print").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, segment_bits: int = SEGMENT_BITS, distance: int = DISTANCE, dense: int = DENSE) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, segment_bits: int = SEGMENT_BITS, distance: int = DISTANCE, dense: int = DENSE, similarity: float | None = None, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """``docs`` with its own columns, one row of each component: that of the smallest id (nulls last), of equal ids that of the least text hash."""
-    found, label = _labelled(docs, id_col, text_col, width, segment_bits, distance, dense)
+    found, label = _labelled(docs, id_col, text_col, width, segment_bits, distance, dense, similarity, shingle)
     row = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
     rows = found.groupBy("id", "digest", "print").agg(F.count("*").alias("n")).join(label, "print")
     least = cut(rows.groupBy("component").agg(F.min_by(F.struct("id", "digest", "n"), row).alias("kept")).select(F.col("kept.id").alias("__id"), F.col("kept.digest").alias("__of"), F.col("kept.n").alias("__n")))
