@@ -113,6 +113,19 @@ def test_decontamination_equals_brute_force(spark, documents, block):
     assert not any(r.contaminated or r.n_hit for r in decontamination.scan(docs, bench.where("false")).collect())
 
 
+def test_spans_of_several_blocks_are_judged_on_the_input(spark, documents):
+    words = [f"w{k}" for k in range(80)]
+    items = [(k, " ".join(words[k * 5 : k * 5 + 20])) for k in range(10)]
+    rows = [(0, " ".join(["a", *words[:65], "b"])), (1, " ".join(words[:20] + ["x"] + words[20:25])), (2, None), (3, ""), (4, "y z")]
+    rows += [rows[0], (5, " ".join(words[20:27] + words[:20] + words[27:33]))]
+    docs, bench = documents(rows), spark.createDataFrame(items, "item_id bigint, text string")
+    assert decontamination._count(bench, "item_id", "text", 300) > 2
+    one, many = (sorted(map(repr, ((r.doc_id, r.text) for r in decontamination.decontaminate(docs, bench, remove="spans", block_bytes=b).collect()))) for b in (1 << 24, 300))
+    assert many == one
+    assert decontamination.decontaminate(docs, bench, remove="spans", block_bytes=300).columns == docs.columns
+    assert {len(decontamination.words_of(r.text.encode())) for r in decontamination.decontaminate(docs, bench, remove="spans", block_bytes=300).where("doc_id = 0").collect()} == {2}
+
+
 def corpus(seed):
     rng = random.Random(seed)
     letters = {"en": "etaoinshrdlu", "fr": "esaitnruléàô", "de": "enisratdhuüö"}

@@ -77,11 +77,20 @@ class WindowIndex:
         return np.cumsum(hit[:-1]) > 0, items
 
 
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), utf8(text_col).alias("text"))
+
+
+def _count(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> int:
+    """How many blocks the items make."""
+    total = _items(benchmark, item_col, text_col).agg(F.sum(F.length("text"))).first()[0] or 0
+    return -(-total // block_bytes) or 1
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[object, bytes | None]]]:
     """The items in blocks of about ``block_bytes`` of text; the sum of sizes is known before anything is collected."""
-    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), utf8(text_col).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    count = -(-total // block_bytes) or 1
+    items = _items(benchmark, item_col, text_col)
+    count = _count(benchmark, item_col, text_col, block_bytes)
     for k in range(count):
         yield [(r.item, bytes(r.text)) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(count)) == k).collect()]
 
@@ -125,6 +134,7 @@ def _merged(frames: list[DataFrame]) -> DataFrame:
         hits = hits.unionByName(frame)
     joined = (
         hits.where("n_hit > 0")
+        .distinct()
         .groupBy("id", "digest")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("found"))
         .withColumn("words", F.array_distinct(F.flatten(F.transform("found", lambda s: F.sequence(s[0], s[1] - 1)))))
@@ -155,6 +165,24 @@ def _remove(shared, n: int, text_col: str, spans: bool):
     return run
 
 
+def _remove_found(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text_col):
+            texts = []
+            for text, spans in zip(byte_list(batch.column(text_col)), batch.column("__spans").to_pylist(), strict=True):
+                if spans:
+                    hit = np.zeros(len(words_of(text)), dtype=bool)
+                    for start, end in spans:
+                        hit[start:end] = True
+                    text = _without(text, hit)
+                texts.append(text)
+            at = batch.schema.get_field_index(text_col)
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.binary()).cast(pa.string()).cast(batch.schema.field(at).type))
+            yield batch.select(batch.schema.names[:-1])
+
+    return run
+
+
 def _without(text: bytes, hit: np.ndarray) -> bytes:
     """The text without its hit words; what stands between words stays."""
     marks = np.frombuffer(text.translate(_FOLD), dtype=np.uint8) != 32
@@ -168,13 +196,16 @@ def _without(text: bytes, hit: np.ndarray) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with its own columns, less contaminated documents, or less the hit words where ``remove`` is ``"spans"``.
 
-    With several blocks, documents are judged by ``scan`` over all of them; spans are removed block by block.
+    With several blocks, documents and spans are judged on the input by ``scan`` over all of them, and spans are removed in one pass.
     """
-    blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes))
-    if len(blocks) > 1 and remove == "documents":
-        named = docs.withColumn("__digest", F.xxhash64(utf8(text_col)))
-        found = scan(named, benchmark, "__digest", text_col, item_col, item_text_col, n, block_bytes).where("contaminated").select(F.col("__digest").alias("__bad")).distinct()
+    if _count(benchmark, item_col, item_text_col, block_bytes) == 1:
+        block = next(_blocks(benchmark, item_col, item_text_col, block_bytes))
+        return docs.mapInArrow(_remove(docs.sparkSession.sparkContext.broadcast(WindowIndex(block, n)), n, text_col, remove == "spans"), docs.schema)
+    named = docs.withColumn("__digest", F.xxhash64(utf8(text_col)))
+    found = scan(named, benchmark, "__digest", text_col, item_col, item_text_col, n, block_bytes)
+    if remove == "documents":
+        found = found.where("contaminated").select(F.col("__digest").alias("__bad")).distinct()
         return named.join(found, named["__digest"] == found["__bad"], "left_anti").drop("__digest")
-    for block in blocks:
-        docs = docs.mapInArrow(_remove(docs.sparkSession.sparkContext.broadcast(WindowIndex(block, n)), n, text_col, remove == "spans"), docs.schema)
-    return docs
+    found = found.where("n_hit > 0").select(F.col("__digest").alias("__hit"), F.col("spans").alias("__spans")).dropDuplicates(["__hit"])
+    joined = named.join(found, named["__digest"] == found["__hit"], "left")
+    return joined.select(*docs.columns, "__spans").mapInArrow(_remove_found(text_col), docs.schema)
