@@ -68,6 +68,19 @@ def test_suffix_dedup_equals_brute_force(documents, width, seed, shard):
     assert sorted(map(repr, ((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in found))) == sorted(map(repr, expected))
 
 
+@pytest.mark.parametrize("module,run", [(phrase_dedup, "remove_passages"), (suffix_dedup, "remove_repeats")])
+def test_repeated_rows_meet_as_one(documents, module, run):
+    text = " ".join(f"w{k}" for k in range(120))
+    rows = [(1, text)] * 300 + [(None, text + " x")] * 200 + [(2, "alone " + " ".join(f"v{k}" for k in range(120))), (3, None), (3, None)]
+    held = phrase_dedup.dealt(documents(rows), "doc_id", "text", 4_000).collect()
+    assert sorted((r.id or 0, r.copies) for r in held) == [(0, 200), (1, 300), (2, 1), (3, 2)]
+    found = getattr(module, run)(documents(rows), bucket_bytes=4_000).collect()
+    assert len(found) == len(rows)
+    assert {(r.doc_id, r.n_removed > 0) for r in found} == {(1, True), (None, True), (2, False), (3, False)}
+    assert sum(r.doc_id == 1 for r in found) == 300 and sum(r.doc_id is None for r in found) == 200
+    assert "copies" not in found[0].asDict()
+
+
 def test_interval_expansion_equals_plain_common_prefixes():
     rng = random.Random(3)
     parts = [bytes(rng.choices(b"ab", k=rng.randint(0, 40))) for _ in range(12)] + [b"ab" * 30, b"", b"ab" * 30]

@@ -1,6 +1,7 @@
 """Substring dedup on words: passages of ``width`` words that occur more than once are found everywhere and removed.
 
-1. Documents are dealt into buckets of about ``bucket_bytes`` by a hash of the row; that one exchange serves all steps.
+1. Documents are dealt into buckets of about ``bucket_bytes`` by a hash of the row; that one exchange serves all steps. Rows of equal id and text are
+   dealt as one row with their number, and become that many rows again at the end.
 2. In each text the phrases of ``seed`` words that are least by hash among those of some window are its anchors. Equal windows have equal anchors, so only
    windows whose anchor occurs twice in the corpus can recur. A few hundredths of all positions are anchors, and only those are counted over the corpus.
 3. The windows with such anchors are hashed (128 bits) and counted: those seen twice are confirmed recurring passages.
@@ -17,6 +18,7 @@ all of them. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -25,18 +27,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.llm import _hashing as H
-from wellspring.llm._common import byte_list, utf8
+from wellspring.llm._common import byte_list, kept, utf8
 
 WIDTH = 35
 SEED = 8
 BUCKET_BYTES = 2 << 20
+_BLOCK = 1 << 16
 
 
 def dealt(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) -> DataFrame:
-    """``bucket``, ``id``, ``text`` (bytes), with as many buckets as the corpus needs at ``bucket_bytes`` each."""
+    """``bucket``, ``id``, ``text`` (bytes), ``copies`` (rows of this id and text), with as many buckets as the corpus needs at ``bucket_bytes`` each."""
     named = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
     total = named.agg(F.sum(F.length("text"))).first()[0] or 0
-    return named.select(F.pmod(F.xxhash64("id", "text"), F.lit(total // bucket_bytes + 1)).alias("bucket"), "id", "text")
+    # Only rows whose hash occurs twice are grouped by their texts, so that the others are not moved for it.
+    row = F.xxhash64("id", "text")
+    twice = kept(named.groupBy(row.alias("row")).agg(F.count("*").alias("n")).where("n > 1").select("row"))
+    rows = named.withColumn("copies", F.lit(1).cast("bigint"))
+    if not twice.isEmpty():
+        hashed = named.withColumn("row", row)
+        grouped = hashed.join(twice, "row", "left_semi").groupBy("id", "text").agg(F.count("*").alias("copies"))
+        rows = hashed.join(twice, "row", "left_anti").select("id", "text", F.lit(1).cast("bigint").alias("copies")).unionByName(grouped)
+    return rows.select(F.pmod(row, F.lit(total // bucket_bytes + 1)).alias("bucket"), "id", "text", "copies")
+
+
+def expanded(out: DataFrame) -> DataFrame:
+    """Every row ``copies`` times, by blocks so that no array grows with them; without that column."""
+    blocks = out.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / _BLOCK))))
+    each = blocks.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(_BLOCK).cast("bigint"), F.col("copies") - F.col("__block") * _BLOCK))))
+    return each.drop("copies", "__block", "__copy")
+
+
+def counted(docs: pa.Table) -> Iterator[tuple[bytes | None, int]]:
+    """Each text with 1, or 2 for several copies: what occurs in it recurs then, and no count is asked for more."""
+    return zip(byte_list(docs.column("text")), np.minimum(docs.column("copies").to_numpy(), 2).tolist(), strict=True)
 
 
 def recurring(rows: DataFrame, *key: str) -> DataFrame:
@@ -75,7 +98,7 @@ def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
 
 def _anchor_rows(width: int, seed: int):
     def run(docs: pa.Table) -> pa.Table:
-        found = [Words(t).anchors(width, seed)[1] for t in byte_list(docs.column("text"))]
+        found = [x for t, copies in counted(docs) for x in [Words(t).anchors(width, seed)[1]] * copies]
         keys, n = np.unique(np.concatenate(found), return_counts=True)
         return pa.table({"bucket": pa.repeat(docs.column("bucket")[0], len(keys)), "anchor": _signed(keys), "n": pa.array(n)})
 
@@ -87,13 +110,13 @@ def _window_rows(width: int, seed: int):
         known = np.sort(_unsigned(anchors.column("anchor")))
         first, second = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.uint64)]
         if len(known):
-            for text in byte_list(docs.column("text")):
+            for text, copies in counted(docs):
                 words = Words(text)
                 likely = is_in(words.anchors(width, seed)[0], known)
                 if likely.any():
                     a, b = words.windows(width)
-                    first.append(a[likely])
-                    second.append(b[likely])
+                    first += [a[likely]] * copies
+                    second += [b[likely]] * copies
         a, b = np.concatenate(first), np.concatenate(second)
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
@@ -152,7 +175,7 @@ def _remove_rows(width: int):
             kept_text.append(kept)
             spans.append(H.runs(gone).tolist())
         return pa.table(
-            {"id": docs.column("id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept_text, pa.binary()).cast(pa.string()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64())))}
+            {"id": docs.column("id"), "copies": docs.column("copies"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept_text, pa.binary()).cast(pa.string()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64())))}
         )
 
     return run
@@ -166,5 +189,5 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchors = recurring(by_bucket.applyInArrow(_anchor_rows(width, seed), "bucket bigint, anchor bigint, n bigint"), "anchor")
     windows = by_bucket.cogroup(anchors.groupBy("bucket")).applyInArrow(_window_rows(width, seed), "bucket bigint, first bigint, second bigint, n bigint")
     confirmed = recurring(windows, "first", "second").select("bucket", "first")
-    out = by_bucket.cogroup(confirmed.groupBy("bucket")).applyInArrow(_remove_rows(width), f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string, spans array<array<bigint>>")
-    return out.withColumnRenamed("id", id_col)
+    out = by_bucket.cogroup(confirmed.groupBy("bucket")).applyInArrow(_remove_rows(width), f"id {kind}, copies bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, spans array<array<bigint>>")
+    return expanded(out).withColumnRenamed("id", id_col)

@@ -1,6 +1,6 @@
 """Suffix-array dedup on bytes: strings of ``width`` bytes that start at more than one place in the corpus are removed wherever they stand.
 
-1. Documents are dealt into buckets by a hash of the row; that exchange serves all steps. In each text the ``seed``-byte strings that are least by hash among
+1. Documents are dealt into buckets by a hash of the row, equal rows as one with their number; that exchange serves all steps. In each text the ``seed``-byte strings that are least by hash among
    those of some window are its anchors; a window belongs to the last of its least ones. Equal windows belong to equal anchors.
 2. A place's context is the text of all windows that belong to it; a context that occurs twice recurs as a whole. Windows on either side of a context's
    middle share a core, the text common to all of that side; a context neither of whose cores occurs elsewhere cannot recur (that is so for short common
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from wellspring.llm import _hashing as H
 from wellspring.llm._common import byte_list, kept
 from wellspring.llm.bwt import recurring_starts
-from wellspring.llm.phrase_dedup import BUCKET_BYTES, _signed, _unsigned, dealt, is_in, recurring
+from wellspring.llm.phrase_dedup import BUCKET_BYTES, _signed, _unsigned, counted, dealt, expanded, is_in, recurring
 
 WIDTH = 400
 SEED = 32
@@ -76,11 +76,11 @@ def _name(text: bytes) -> bytes:
 def _anchor_rows(width: int, seed: int):
     def run(docs: pa.Table) -> pa.Table:
         found = []
-        for text in byte_list(docs.column("text")):
+        for text, copies in counted(docs):
             data = np.frombuffer(text or b"", dtype=np.uint8)
             if len(data) >= width:
                 hashes = H.grams(H.byte_prefix(data), seed, H.BYTE_BASE)
-                found.append(hashes[H.anchors(hashes, width - seed + 1)[1]])
+                found += [hashes[H.anchors(hashes, width - seed + 1)[1]]] * copies
         keys, n = np.unique(np.concatenate(found or [np.empty(0, dtype=np.uint64)]), return_counts=True)
         return pa.table({"bucket": pa.repeat(docs.column("bucket")[0], len(keys)), "anchor": _signed(keys), "n": pa.array(n)})
 
@@ -103,10 +103,10 @@ def _context_rows(width: int, seed: int):
         known = np.sort(_unsigned(anchors.column("anchor")))
         n: Counter = Counter()
         about: dict[bytes, tuple[int, list[int]]] = {}
-        for text in byte_list(docs.column("text")) if len(known) else []:
+        for text, copies in counted(docs) if len(known) else ():
             for value, place, first, last in contexts(text, width, seed, known):
                 name = _name(text[first : last + width])
-                n[name] += 1
+                n[name] += copies
                 if name not in about:
                     about[name] = (value, _cores(text, place, first, last, width, seed))
         values = np.array([about[k][0] for k in n], dtype=np.uint64)
@@ -219,7 +219,7 @@ def _remove_rows(width: int, seed: int):
             spans.append(H.runs(gone).tolist())
             digest.append(hashlib.sha256(kept).hexdigest())
             kept_text.append(kept)
-        return pa.table({"id": docs.column("id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, _RANGES), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept_text, pa.binary())})
+        return pa.table({"id": docs.column("id"), "copies": docs.column("copies"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, _RANGES), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept_text, pa.binary())})
 
     return run
 
@@ -245,5 +245,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = both.where("text is null")
     whole = F.lit(None).cast("array<array<bigint>>")  # all windows of a context
     decided = places.where("total > 1").select("bucket", "context", "anchor", whole.alias("ranges")).unionByName(places.where("total = 1").join(once, "context").select("bucket", "context", "anchor", "ranges"))
-    out = by_bucket.cogroup(decided.groupBy("bucket")).applyInArrow(_remove_rows(width, seed), f"id {kind}, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept_sha256 string, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    out = by_bucket.cogroup(decided.groupBy("bucket")).applyInArrow(_remove_rows(width, seed), f"id {kind}, copies bigint, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept_sha256 string, kept binary")
+    return expanded(out).withColumnRenamed("id", id_col)
