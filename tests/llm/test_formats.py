@@ -220,3 +220,19 @@ def test_warc_audit_finds_each_fault(spark):
     swapped = warc.audit(warc.tree(bad, 4, levels), own, levels, 4)
     assert {(r.archive, r.seq) for r in swapped.where("status = 'extra'").collect()} == lost
     assert warc.tree(warc.records(pages.where("false"))).collect() == []
+
+
+def test_warc_archives_are_cut_into_segments(spark):
+    rows = [(7, "http://a/7", "same" * 20)] * 120 + [(7, f"http://a/{k}", "x" * (k * 31 % 400)) for k in range(200)] + [(k, "http://b", "y" * k) for k in range(20)] + [(300, "http://c", "z" * 9000), (None, None, None)]
+    made = warc.records(spark.createDataFrame(rows, "page_id bigint, url string, html string"), large_bytes=20_000).cache()
+    assert made.count() == len(rows)
+    plain = sorted(map(tuple, made.select("archive", "seq", "offset", "length", "record").collect()))
+    ends = {}
+    for archive, seq, offset, length, record in plain:
+        assert (seq, offset) == ends.get(archive, (0, 0)) and length == len(record)
+        ends[archive] = (seq + 1, offset + length)
+    ids = [42 if r.id is None else r.id for r in made.where("archive = 0").orderBy("seq").collect()]
+    assert ids == sorted(ids) and len(ids) == 341
+    held = warc.archives(made, segment_bytes=2_000).cache()
+    assert max(len(r.content) for r in held.where("archive = 0").collect()) < 2_000 + 600
+    assert sorted(map(tuple, warc.split_archives(held).select("archive", "seq", "offset", "length", "record").collect())) == plain

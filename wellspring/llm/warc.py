@@ -3,7 +3,8 @@
 Pages become WARC records, records become archives of ``per_archive`` consecutive page ids. In an archive, records are leaves in the order of their byte
 offsets; ``fanout`` neighbouring nodes, an ordered range of offsets, make the node above, up to the archive's root. Two replicas are compared by roots, and
 only below a node that differs are its children compared, level by level, down to the records that differ. An archive's rows meet in one
-group per node, never more than ``fanout`` of them; different archives are independent.
+group per node, never more than ``fanout`` of them; different archives are independent. The order of an archive of over ``large_bytes`` comes from running sums over parts of an archive (a
+page id and a range of record hashes), over hashes and lengths only, with equal records as one row. An archive's bytes are written and read in segments of about ``segment_bytes``.
 
 A node's hash is the SHA-256 of its children's hexadecimal hashes, joined; a leaf's is that of the record's bytes.
 
@@ -16,50 +17,100 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellspring.llm._common import cut
+from wellspring.llm._common import byte_list, cut
 
 PER_ARCHIVE = 256
 FANOUT = 16
+SEGMENT_BYTES = 4 << 20
+LARGE_BYTES = 32 << 20
+_BLOCK = 1 << 16
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_archive: int = PER_ARCHIVE) -> DataFrame:
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_archive: int = PER_ARCHIVE, large_bytes: int = LARGE_BYTES) -> DataFrame:
     """``archive``, ``seq``, ``offset``, ``length``, ``record`` (bytes) and ``id`` of each page's record."""
     url, html = F.coalesce(F.translate(F.col(url_col), "\r\n", ""), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
     made = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col), F.xxhash64(url_col, html_col)).alias("key"), F.concat(head, html, F.lit("\r\n\r\n")).cast("binary").alias("record"))
-    order = Window.partitionBy("archive").orderBy("key", "digest")
     placed = made.withColumn("archive", F.floor(F.col("key") / per_archive)).withColumn("length", F.octet_length("record").cast("bigint")).withColumn("digest", F.xxhash64("record"))
-    return placed.select("archive", (F.row_number().over(order) - 1).cast("bigint").alias("seq"), F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), "length", "record", "id")
-
-
-def archives(made: DataFrame) -> DataFrame:
-    """``archive`` and ``content``, its records' bytes in order."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", "record")))
-    joined = F.unhex(F.array_join(F.transform("rows", lambda r: F.hex(r["record"])), ""))
-    return made.groupBy("archive").agg(rows.alias("rows")).select("archive", joined.alias("content"))
+    # Archives that fit a task are ranked whole, in the exchange that also serves to write them.
+    big = cut(placed.groupBy("archive").agg(F.sum("length").alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > large_bytes) | (F.col("n") > large_bytes // 512)).select("archive"))
+    order = Window.partitionBy("archive").orderBy("key", "digest")
+    columns = ["archive", "seq", "offset", "length", "record", "id"]
+    if big.isEmpty():
+        return _ranked(placed, order).select(columns)
+    small = _ranked(placed.join(F.broadcast(big), "archive", "left_anti"), order).select(columns)
+    return small.unionByName(_ranked_by_parts(placed.join(F.broadcast(big), "archive", "left_semi")).select(columns))
+
+
+def _ranked(placed: DataFrame, order) -> DataFrame:
+    return placed.withColumn("seq", (F.row_number().over(order) - 1).cast("bigint")).withColumn("offset", F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def _ranked_by_parts(placed: DataFrame) -> DataFrame:
+    """The same for archives of any size: ranks from running sums over parts, equal records as one row until they get their places."""
+    row = ["archive", "key", "digest", "length", "none"]
+    placed = placed.withColumn("none", F.col("id").isNull())
+    found = cut(_places(placed.groupBy(*row).agg(F.count("*").alias("n"))))
+    several = found.where("n > 1")
+    equal = placed.join(several, row, "left_semi").groupBy(*row, "id", "record").count().drop("count").join(several, row)
+    blocks = equal.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / _BLOCK))))
+    each = blocks.withColumn("k", F.explode(F.sequence(F.col("block") * _BLOCK, F.least(F.col("n") - 1, F.col("block") * _BLOCK + (_BLOCK - 1)))))
+    each = each.withColumn("seq", F.col("seq") + F.col("k")).withColumn("offset", F.col("offset") + F.col("k") * F.col("length"))
+    return placed.join(found.where("n = 1"), row).unionByName(each, allowMissingColumns=True)
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """``seq`` and ``offset`` of the first of each row's ``n`` equal records in its archive, in the order of key and digest."""
+    rows = rows.withColumn("part", F.shiftright("digest", 52))
+    bytes_of = F.col("n") * F.col("length")
+    inside = Window.partitionBy("archive", "key", "part").orderBy("digest", "length", "none").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("archive").orderBy("key", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("archive", "key", "part").agg(F.sum("n").alias("n"), F.sum(bytes_of).alias("bytes"))
+    before = parts.select("archive", "key", "part", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("seq_before"), F.coalesce(F.sum("bytes").over(across), F.lit(0)).alias("bytes_before"))
+    own = rows.withColumn("seq", F.coalesce(F.sum("n").over(inside), F.lit(0))).withColumn("offset", F.coalesce(F.sum(bytes_of).over(inside), F.lit(0)))
+    return own.join(before, ["archive", "key", "part"]).select("archive", "key", "digest", "length", "none", "n", (F.col("seq") + F.col("seq_before")).alias("seq"), (F.col("offset") + F.col("bytes_before")).alias("offset"))
+
+
+def _join_rows(rows: pa.Table) -> pa.Table:
+    held, seq = byte_list(rows.column("record")), rows.column("seq").to_numpy()
+    content = b"".join([held[k] or b"" for k in np.argsort(seq, kind="stable").tolist()])
+    late = rows.column("segment")[0].as_py() > 0
+    first, start = (int(seq.min()), int(rows.column("offset").to_numpy().min())) if late else (0, 0)
+    return pa.table({"archive": rows.column("archive").slice(0, 1), "segment": rows.column("segment").slice(0, 1), "first": pa.array([first], pa.int64()), "start": pa.array([start], pa.int64()), "content": pa.array([content], pa.binary())})
+
+
+def archives(made: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """``archive``, ``segment``, ``first``, ``start`` (number and offset of its first record) and ``content``, its records' bytes in order.
+
+    The records that start in a stretch of ``segment_bytes`` are a segment; a record has 90 bytes at least, so a segment's rows are bounded too.
+    """
+    cutting = made.select("archive", F.floor(F.col("offset") / segment_bytes).alias("segment"), "seq", "offset", "record")
+    return cutting.groupBy("archive", "segment").applyInArrow(_join_rows, "archive bigint, segment bigint, first bigint, start bigint, content binary")
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for archive, content in zip(batch.column("archive").to_pylist(), batch.column("content").to_pylist(), strict=True):
+        for k in range(batch.num_rows):
+            archive, first, start, content = (batch.column(name)[k].as_py() for name in ("archive", "first", "start", "content"))
             starts, found, at = [], [], 0
             while at < len(content):
                 body = content.index(b"\r\n\r\n", at) + 4
                 size = next(int(line[15:]) for line in content[at:body].split(b"\r\n") if line[:15].lower() == b"content-length:")
-                starts.append(at)
+                starts.append(start + at)
                 found.append(content[at : body + size + 4])
                 at = body + size + 4
             n = len(found)
-            yield pa.RecordBatch.from_arrays([pa.array([archive] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(starts, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(found, pa.binary())], names=["archive", "seq", "offset", "length", "record"])
+            yield pa.RecordBatch.from_arrays([pa.array([archive] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(starts, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(found, pa.binary())], names=["archive", "seq", "offset", "length", "record"])
 
 
 def split_archives(held: DataFrame) -> DataFrame:
-    """``archive``, ``seq``, ``offset``, ``length`` and ``record`` of each record in archives' bytes."""
-    return held.select("archive", "content").mapInArrow(_split, "archive bigint, seq bigint, offset bigint, length bigint, record binary")
+    """``archive``, ``seq``, ``offset``, ``length`` and ``record`` of each record in archives' bytes, counted on from where each segment starts."""
+    return held.select("archive", "first", "start", "content").mapInArrow(_split, "archive bigint, seq bigint, offset bigint, length bigint, record binary")
 
 
 def tree(made: DataFrame, fanout: int = FANOUT, levels: int | None = None) -> DataFrame:
