@@ -18,10 +18,16 @@ def test_tokens_of_words_are_tokens_of_texts():
     rng = random.Random(1)
     parts = ["Hello", "WORLD's", "n't", "é", "é", "ΣΟΦΟΣ", "12345", "<|endoftext|>", "a<|startoftext|>b", "日本語", "🙂!!", " ", "İ", "x\x1cy", "--", "'ll", " ", "ﬁ", "̀"]
     assert own.by_word
+    texts = []
     latin = ["Hello", "WORLD's", "n't", "é", "ÀÉßÿ", "123", "--", "'ll", "''s", "\x00\x1f", "\x7f", "a.b,c", "_x_", "DON'T"]
     for k in range(600):
         text = "".join(rng.choice(parts if k % 2 else latin) + rng.choice(["", " ", "\n", "\t ", "\x0b", "　"]) for _ in range(rng.randint(0, 30)))
-        assert np.frombuffer(own.encode(text.encode()), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+        texts.append(text)
+    for batch in (texts, texts[:1], [""], [None, "a", None], [], ["'"], ["it's"], ["'s", "'l", "l", "'"], ["x" * 500, "\u65e5" * 500]):
+        found = own.encode([None if t is None else t.encode() for t in batch])
+        assert len(found) == len(batch)
+        for text, ids in zip(batch, found, strict=True):
+            assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
 def test_packing_holds_every_token_once(documents):
@@ -50,6 +56,16 @@ def test_packing_holds_every_token_once(documents):
     assert packing.pack(documents(rows).where("false"), PATH).collect() == []
 
 
+def test_short_pieces_fill_sequences(documents):
+    rows = [(k, " ".join(["of"] * (k % 5 * 7 + 1))) for k in range(6000)] + [(7, "one more " * 2000)]
+    found = packing.pack(documents(rows), PATH).collect()
+    sequences = {}
+    for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == sequences.get(r.sequence_id, 0)
+        sequences[r.sequence_id] = r.offset + r.length
+    assert len(found) == 6001 and max(sequences.values()) <= 4096 and sum(sequences.values()) / (4096 * len(sequences)) > 0.95
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_column_generation_reaches_the_bound(seed):
     rng = random.Random(seed)

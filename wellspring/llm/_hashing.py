@@ -17,7 +17,7 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         size = max(1 << 16, 1 << int(n).bit_length())
         inverse = pow(base, -1, 1 << 64)
         held = tuple(np.concatenate((np.ones(1, dtype=_U), np.cumprod(np.full(size, b, dtype=_U)))) for b in (base, inverse))
-        if size <= 1 << 20:
+        if size <= 1 << 21:
             _powers[base] = held
     return held
 
