@@ -292,9 +292,10 @@ def solve(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap: float = GAP
             if gains.max() <= 1 + gap:  # only negative duals made it look better
                 break
         direction = inverse @ column
-        up = direction > 1e-11
+        up = direction > 1e-7
         ratios = np.where(up, x / np.where(up, direction, 1), np.inf)
-        out = int(ratios.argmin())
+        # Of pivots that are as good, the largest keeps the basis well conditioned.
+        out = int(np.where(ratios <= ratios.min() * (1 + 1e-9) + 1e-12, direction, -1.0).argmax())
         idle = idle + 1 if ratios[out] <= 1e-12 else 0
         x = x - ratios[out] * direction
         x[out] = ratios[out]
@@ -308,7 +309,7 @@ def solve(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap: float = GAP
         if idle > n:
             demand = demand + demand.max() * 1e-9 * np.random.default_rng(step).random(n)
             x, idle = np.maximum(inverse @ demand, 0), 0
-        if step % 100 == 0:
+        if step % 50 == 0:
             inverse = np.linalg.inv(np.stack(patterns, axis=1).astype(float))
             x = np.maximum(inverse @ demand, 0)
     return list(zip(patterns, x, strict=True))
