@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wellspring.functions import speed_kmh, uid
 from wellspring.operators import Lineage, forward_graph
-from wellspring.operators.graph import latencies, violations
+from wellspring.operators.graph import delivery_order, latencies, violations
 from wellspring.plans import events as plans
 from wellspring.plans import workloads
 from wellspring.sinks import DeliveryStore, backward_lines, command_lines, graph_tables, lines, timestamped_lines
@@ -149,6 +149,11 @@ def test_graph_rules_find_faults(spark):
     assert rules(sound[:3] + [("ACK", "1", None, 5), sound[4]]) == {"ack after vertex", "edge before ack"}
     assert rules(sound[:2] + [("EDGE", "1", "q|a", 15)] + sound[3:]) == {"edge after vertices"}
     assert rules(sound + [sound[2]]) == {"edge once"}
+    placed = lambda batches: delivery_order(frame(sound).join(spark.createDataFrame(batches, "kind string, uid1 string, batch bigint"), ["kind", "uid1"])).first()
+    good = [("SOURCE", "1", 0), ("SINK", "q|a", 0), ("EDGE", "1", 0), ("ACK", "1", 1), ("ACK", "q|a", 0)]
+    assert tuple(placed(good)) == (1, 0, 0)
+    assert tuple(placed([("SOURCE", "1", 1), *good[1:3], ("ACK", "1", 2), good[4]])) == (1, 1, 0)
+    assert tuple(placed([*good[:2], ("EDGE", "1", 2), *good[3:]])) == (1, 0, 1)
 
 
 def test_encoders(events, spark):
@@ -171,7 +176,7 @@ def test_encoders(events, spark):
 def test_delivery_store_delivers_each_element_once(events, spark, tmp_path):
     graph = forward_graph({"inarea": plans.in_area(plans.source(events))}, events, "event_id", "ts")
     nodes = graph.nodes().where("kind <> 'ACK'").cache()
-    store = DeliveryStore(spark, str(tmp_path / "store")).create()
+    store = DeliveryStore(spark, str(tmp_path / "store")).create(["inarea"])
     half = nodes.agg(F.percentile("ts", 0.5)).first()[0]
     store.append(nodes.where(F.col("ts") < half), 0)
     store.mark_safe("inarea", int(half), 0)
@@ -185,6 +190,31 @@ def test_delivery_store_delivers_each_element_once(events, spark, tmp_path):
     assert store.pending(graph.max_delay).count() == 0
 
 
+def test_no_source_is_acknowledged_before_every_sink_has_reported(spark, tmp_path):
+    node = lambda *rows: spark.createDataFrame([(*r, None) for r in rows], "kind string, uid1 string, uid2 string, ts bigint, data string")
+    store = DeliveryStore(spark, str(tmp_path / "store")).create(["a", "b"])
+    store.append(node(("SOURCE", "1", None, 10), ("SINK", "a|x", None, 20), ("EDGE", "1", "a|x", 20)), 0)
+    store.mark_safe("a", 10**12, 0)
+    first = store.deliver(1, 0).collect()
+    store.append(node(("SOURCE", "1", None, 10), ("SINK", "b|y", None, 30), ("EDGE", "1", "b|y", 30)), 1)
+    store.mark_safe("b", 10**12, 1)
+    second = store.deliver(1, 1).collect()
+    assert {(r.kind, r.uid1) for r in first} == {("SOURCE", "1"), ("SINK", "a|x"), ("EDGE", "1"), ("ACK", "a|x")}
+    assert {(r.kind, r.uid1) for r in second} == {("SINK", "b|y"), ("EDGE", "1"), ("ACK", "b|y"), ("ACK", "1")}
+
+
+@pytest.mark.parametrize("carry", [True, False])
+def test_ids_of_null_and_marked_keys_differ(spark, carry):
+    keys = [("a|b", "c"), ("a", "b|c"), (None, "z"), ("", "z"), ("\\0", "z"), ("a#b", "z"), ("a\\hb", "z"), ("a", "b"), (None, None)]
+    rows = spark.createDataFrame([(k, at(0), *key) for k, key in enumerate(keys)], "uid bigint, ts timestamp, a string, b string")
+    found = Lineage.source(rows, "uid", "ts", carry).window_agg(["a", "b"], "1 hours", n=F.count("*"))
+    assert len({r.rid for r in found.df.collect()}) == len(keys)
+    edges = found.edges().collect()
+    assert len(edges) == len({r.sink for r in edges}) == len(keys)
+    twice = found.window_join(found, {"b": "b"}, "1 hours")
+    assert len({r.rid for r in twice.df.collect()}) == twice.df.count() and twice.edges().count() == sum(1 if x.l_a == x.r_a else 2 for x in twice.df.collect())
+
+
 def test_ids_keep_generator_and_counter(spark):
     r = spark.range(1).select(uid(F.lit(3), F.lit(12345)).alias("u")).first()
     assert r.u == (3 << 58) | 12345

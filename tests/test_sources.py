@@ -36,6 +36,38 @@ def test_annotation_files_become_frames(spark, tmp_path):
     assert row.lidar.payload_type == "lidar" and {e.key: e.value.x for e in row.left.annotations} == {"a": 7.0, "b": 4.0}
 
 
+def test_frames_of_clocks_that_differ_are_numbered_and_repeated(spark):
+    rows = [(p, 7_000_000_000 + k * 100_000_000 + late, {"k": (str(k), 0.0, 0.0, 0.0)}) for k in range(6) for p, late in (("ring_front_right", 5_000_000), ("lidar", 0), ("ring_front_left", 3_000_000))]
+    held = spark.createDataFrame(rows[:-1] + [("lidar", 8_000_000_000, {})] + rows[-1:], "payload_type string, ns bigint, annotations map<string, struct<label:string,x:double,y:double,z:double>>")
+    found = lambda **how: sorted((r.ms, r.l, r.r) for r in frames(held, **how).select(F.unix_millis("ts").alias("ms"), F.col("left.annotations")[0]["value"]["label"].alias("l"), F.col("right.annotations")[0]["value"]["label"].alias("r")).collect())
+    once = found()
+    assert once == [(7000 + 100 * k, str(k), str(k)) for k in range(6)]
+    assert found(every=4) == [once[0], once[4]]
+    assert found(every=4, times=2) == [once[0], once[4], (7000 + 200 + 500, "2", "2")]
+
+
+def test_result_files_and_ratio(spark, tmp_path):
+    folder = tmp_path / "lr_ANK"
+    folder.mkdir()
+    (folder / "latency.csv").write_text("".join(f"1,1,n,0,{100 + t},{1000 * t - 1000}\n" for t in range(11)))
+    (folder / "provreads.csv").write_text("1,1,n,0,0,1\n1,1,n,0,10,1\n1,1,n,0,5,30\n1,1,n,1,5,30\n")
+    (folder / "provwrites.csv").write_text("1,1,n,0,0,1\n1,1,n,0,10,1\n1,1,n,0,5,20\n")
+    held = metrics.results(spark, str(tmp_path)).cache()
+    late = {r.t: r.value for r in held.where("parameter = 'latency'").collect()}
+    assert late == {t: (t - 1.0 if 1 <= t <= 9 else None) for t in range(11)}
+    assert {r.t: r.ratio for r in metrics.read_write_ratio(held).collect()} == {0: None, 5: 3.0, 10: None}
+
+
+def test_latency_of_delivery_and_by_the_clock(spark):
+    second = lambda df, *cols: df.withColumns({c: F.timestamp_seconds(c) for c in cols})
+    acks = second(spark.createDataFrame([("a", 5_000_000, 100), ("b", 7_200_000_000, 101), ("c", 9_000_000, 103)], "uid1 string, ts bigint, delivered bigint"), "delivered")
+    safe = second(spark.createDataFrame([(5_000_000, 90), (9_000_000, 95), (9_000_001, 97), (7_300_000_000, 99)], "ts bigint, stimulus bigint"), "stimulus")
+    assert {r.uid1: r.delivery_ms for r in metrics.ack_delivery(acks, safe).collect()} == {"a": 5000, "b": 2000, "c": 6000}
+    rows = spark.range(3).select((F.current_timestamp() - F.expr("INTERVAL 2 SECONDS")).alias("at"))
+    (row,) = metrics.wall_latency(rows, "at").collect()
+    assert row["count"] == 3 and 1900 < row.average < 60_000
+
+
 def test_repeated_input_is_later_each_time(spark):
     rows = spark.createDataFrame([(1, 10.0), (2, 20.0)], "id bigint, s double").withColumn("ts", F.timestamp_seconds("s"))
     found = repeated(rows, 3, "ts", "id").select("id", F.unix_seconds("ts").alias("t")).collect()

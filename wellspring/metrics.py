@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Share of a run's start and end that is left out of its figures. Fixed value.
@@ -13,7 +13,10 @@ def per_second(rows: DataFrame, ts: str, value: str, step: int = 1) -> DataFrame
     """``second`` (or first of ``step`` seconds), ``count``, ``average`` and ``most``; steps between the first and the last without rows have 0, -1 and -1."""
     at = (F.floor(F.unix_micros(ts) / (1_000_000 * step)) * step).alias("second")
     held = rows.groupBy(at).agg(F.count("*").alias("count"), F.avg(value).alias("average"), F.max(value).alias("most"))
-    span = held.agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a is not null").select(F.explode(F.expr(f"sequence(a, b, {step}L)")).alias("second"))
+    # Days first, so that no row holds all steps of a long span.
+    day = step * max(1, 86_400 // step)
+    span = held.agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a is not null").select("b", F.explode(F.expr(f"sequence(a, b, {day}L)")).alias("from"))
+    span = span.select(F.explode(F.expr(f"sequence(from, least(b, from + {day - step}L), {step}L)")).alias("second"))
     return span.join(held, "second", "left").select("second", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("average", F.lit(-1.0)).alias("average"), F.coalesce("most", F.lit(-1.0)).alias("most"))
 
 
@@ -25,6 +28,48 @@ def trimmed(series: DataFrame, at: str = "second") -> DataFrame:
     return kept.withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in numbers})
 
 
+def wall_latency(rows: DataFrame, stimulus: str, step: int = 1) -> DataFrame:
+    """The average milliseconds from ``stimulus`` (when a row's last input arrived) until this plan runs, by second of now: what a sink logs per micro-batch."""
+    late = rows.select(F.current_timestamp().alias("now"), (F.unix_millis(F.current_timestamp()) - F.unix_millis(stimulus)).alias("late"))
+    return per_second(late, "now", "late", step)
+
+
+def ack_delivery(acks: DataFrame, safe: DataFrame) -> DataFrame:
+    """Each ACK's ``delivery_ms``: from when event time was first safe past it until it was delivered.
+
+    ``acks``: uid1, ts (event time, microseconds) and ``delivered`` (an instant). ``safe``: ts (event time that was safe) and ``stimulus`` (when it was). The log is one row for
+    each report of a sink, which is small beside the graph; it is joined by the hour of event time, so that a long one is not compared as a whole.
+    """
+    hour = 3_600_000_000
+    log = safe.groupBy("ts").agg(F.min("stimulus").alias("stimulus"))
+    spans = log.withColumn("before", F.coalesce(F.max("ts").over(Window.orderBy("ts").rowsBetween(-1, -1)), F.col("ts") - 24 * hour))
+    cells = spans.withColumn("cell", F.explode(F.expr(f"sequence(before div {hour}, ts div {hour})")))
+    due = acks.withColumn("cell", F.expr(f"ts div {hour}")).alias("a")
+    met = due.join(cells.alias("s"), (F.col("a.cell") == F.col("s.cell")) & (F.col("a.ts") < F.col("s.ts")) & (F.col("a.ts") >= F.col("s.before")))
+    return met.select("a.uid1", (F.unix_millis("a.delivered") - F.unix_millis("s.stimulus")).alias("delivery_ms"))
+
+
+def results(spark: SparkSession, folder: str) -> DataFrame:
+    """Result files ``<experiment>_<variant>/<parameter>.csv`` (rep, parallelism, node, idx, t, value): times from a run's start, warm-up and cool-down null, negative values null, latencies in seconds."""
+    rows = spark.read.schema("rep INT, parallelism INT, node STRING, idx STRING, t BIGINT, value DOUBLE").csv(f"{folder}/*_*/*.csv")
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)/([^/]+)\.csv$", 1)
+    rows = rows.withColumn("experiment", F.split_part(name, F.lit("_"), F.lit(1))).withColumn("variant", F.split_part(name, F.lit("_"), F.lit(2))).withColumn("parameter", F.regexp_extract(F.input_file_name(), r"([^/]+)/([^/]+)\.csv$", 2))
+    run = ["experiment", "variant", "parameter", "rep", "parallelism"]
+    span = rows.groupBy(*run).agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    held = rows.join(span, run).withColumn("t", F.col("t") - F.col("a")).withColumn("end", F.col("b") - F.col("a")).drop("a", "b")
+    inside = (F.col("t") >= F.floor(F.col("end") * TRIM)) & (F.col("t") <= F.ceil(F.col("end") - F.col("end") * TRIM)) & (F.col("value") >= 0)
+    seconds = F.when(F.col("parameter").isin("latency", "deliverylatency", "provreadtime", "provwritetime"), F.col("value") / 1000).otherwise(F.col("value"))
+    return held.withColumn("value", F.when(inside, seconds)).drop("end")
+
+
+def read_write_ratio(held: DataFrame) -> DataFrame:
+    """``ratio`` of provenance reads to writes of each run and second in :func:`results`; null where nothing was written."""
+    by = ["experiment", "variant", "rep", "parallelism", "t"]
+    of = lambda name: F.sum(F.when(F.col("parameter") == name, F.col("value")))
+    sums = held.where(F.col("parameter").isin("provreads", "provwrites")).groupBy(*by).agg(of("provreads").alias("reads"), of("provwrites").alias("writes"))
+    return sums.withColumn("ratio", F.try_divide("reads", "writes"))
+
+
 def progress_summary(progress: list[dict]) -> dict[str, float]:
     """Rows per second, longest batch in seconds, and rows of state at the end, of a stream's progress reports."""
     total = sum(p["numInputRows"] for p in progress)

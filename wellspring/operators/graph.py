@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.operators.lineage import Lineage
+from wellspring.scratch import kept
 
 #: Order of kinds at one time. Fixed values.
 ORDER = {"SINK": 0, "SOURCE": 1, "EDGE": 2, "ACK": 3}
@@ -50,7 +51,8 @@ def _us(df: DataFrame) -> DataFrame:
 def forward_graph(queries: dict[str, Lineage], sources: DataFrame, uid: str, ts: str, max_delay: int | None = None) -> ForwardGraph:
     """The graph of named queries over ``sources``. ``max_delay`` in seconds; by default what the queries' windows need."""
     delay = max(q.reach for q in queries.values()) if max_delay is None else max_delay
-    edge = reduce(DataFrame.unionByName, [q.edges(n) for n, q in queries.items()]).distinct()
+    queries = {n: q.settled() for n, q in queries.items()}
+    edge = kept(reduce(DataFrame.unionByName, [q.edges(n) for n, q in queries.items()]))
     sink = _us(reduce(DataFrame.unionByName, [q.sinks(n) for n, q in queries.items()])).groupBy(F.col("sink").alias("id")).agg(F.max("ts").alias("ts"), F.max("data").alias("data"))
     payload = [c for c in sources.columns if c not in (uid, ts)]
     held = _us(sources.withColumnRenamed(ts, "ts") if ts != "ts" else sources)
@@ -81,6 +83,17 @@ def violations(nodes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def delivery_order(nodes: DataFrame) -> DataFrame:
+    """``edges`` of a graph delivered in batches (``batch``; within one by kind), and how many came before a vertex of theirs (``early``) or after its ACK (``late``)."""
+    kinds = F.create_map(*(F.lit(x) for pair in ORDER.items() for x in pair))
+    placed = nodes.withColumn("at", F.struct("batch", F.when(F.col("kind").isin("SINK", "SOURCE"), 0).otherwise(kinds[F.col("kind")]).alias("order")))
+    vertex = placed.where("kind <> 'EDGE'").groupBy(F.col("uid1").alias("id")).agg(F.max(F.when(F.col("kind") != "ACK", F.col("at"))).alias("seen"), F.min(F.when(F.col("kind") == "ACK", F.col("at"))).alias("acked"))
+    edges = placed.where("kind = 'EDGE'")
+    ends = reduce(DataFrame.unionByName, [edges.select(F.concat_ws(" ", "uid1", "uid2").alias("edge"), F.col(c).alias("id"), "at") for c in ("uid1", "uid2")]).join(vertex, "id", "left")
+    each = ends.groupBy("edge").agg(F.max(F.coalesce(F.col("at") <= F.col("seen"), F.lit(True)).cast("int")).alias("early"), F.max(F.coalesce(F.col("at") >= F.col("acked"), F.lit(False)).cast("int")).alias("late"))
+    return each.agg(F.count("*").alias("edges"), F.coalesce(F.sum("early"), F.lit(0)).alias("early"), F.coalesce(F.sum("late"), F.lit(0)).alias("late"))
+
+
 def latencies(nodes: DataFrame, max_delay: int) -> DataFrame:
     """Logical latency of acknowledgements, in seconds and in units of ``max_delay``: ``uid1``, ``kind``, ``latency_s``, ``latency_u``."""
     vertex = nodes.where("kind in ('SOURCE', 'SINK')").select("uid1", "kind", F.col("ts").alias("seen"))

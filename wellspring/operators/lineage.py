@@ -1,10 +1,13 @@
-"""Windowed operators whose results know the source rows they came from.
+r"""Windowed operators whose results know the source rows they came from.
 
 Two ways to know, with equal results:
 
 * ``carry=True``: every row has ``prov``, the sorted array of its source ids. Works in Structured Streaming too. An array is as long as its row's lineage.
-* ``carry=False``: rows carry only ``rid``, their own id, and :meth:`Lineage.edges` joins results back to what their windows held, step by step. No row ever
-  holds a group, so a window over all keys or a hot key stays spread over tasks. Batch only.
+* ``carry=False``: rows carry only their own id, as text (``rid``) and in its parts with their types (``rkey``). :meth:`Lineage.edges` writes the results' keys down and
+  joins them to what their windows held, step by step: a key of a join has those of both sides in it and needs no join. Keys of few results are broadcast, after
+  a count, so that the sources are scanned and not shuffled. No row ever holds a group, so a window over all keys or a hot key stays spread. Batch only.
+
+Texts of different ids differ: in a key, ``\``, ``|`` and ``#`` are escaped, and null is ``\0``.
 
 Beside its own columns each row has ``ts`` (the largest of its inputs' times, as a fact about the data) and ``event`` (what later windows go by: a result's
 window end less a microsecond). ``reach`` is the longest sum of window lengths from the sources: nothing contributes to a result later than that.
@@ -18,9 +21,31 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
+
+from wellspring.scratch import BROADCAST_ROWS, kept
+
+HIDDEN = ("rid", "rkey", "prov", "event")
+
+
+@dataclass(frozen=True)
+class Links:
+    """Results (``out``) and the keys of rows they came from (``key``); ``rows`` is known once they are written down."""
+
+    df: DataFrame
+    rows: int | None = None
 
-HIDDEN = ("rid", "prov", "event")
-Trace = Callable[[DataFrame], DataFrame]
+    def settled(self) -> Links:
+        if self.rows is not None:
+            return self
+        held = kept(self.df)
+        return Links(held, held.count())
+
+    def of(self, key: Column) -> Links:
+        return Links(self.df.select("out", key.alias("key")), self.rows)
+
+
+Trace = Callable[[Links], DataFrame]
 
 
 def seconds(length: str) -> int:
@@ -29,8 +54,13 @@ def seconds(length: str) -> int:
     return int(count) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
 
 
-def _text(column: str | Column) -> Column:
-    return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))
+def _text(df: DataFrame, column: str) -> Column:
+    """A key as text, without the marks that stand between keys."""
+    text = F.col(column).cast("string")
+    if not isinstance(df.schema[column].dataType, NumericType | BooleanType | DateType | TimestampType):
+        for mark, instead in (("\\", "\\\\"), ("|", "\\p"), ("#", "\\h")):
+            text = F.replace(text, F.lit(mark), F.lit(instead))
+    return F.coalesce(text, F.lit("\\0"))
 
 
 def _end(window: str) -> Column:
@@ -47,16 +77,26 @@ class Lineage:
     carry: bool = True
 
     @classmethod
-    def source(cls, df: DataFrame, uid: str, ts: str, carry: bool = True, watermark: str | None = None) -> Lineage:
-        """Source rows; ``uid`` is a unique long. ``watermark``: how late a stream's rows may be."""
+    def source(cls, df: DataFrame, uid: str, ts: str, carry: bool = True, watermark: str | None = None, stamped: bool = False) -> Lineage:
+        """Source rows; ``uid`` is a unique long. ``watermark``: how late a stream's rows may be.
+
+        ``stamped``: ``prov`` has more than ids: (``id``, ``ts`` in microseconds, ``data``, the other columns as JSON), all that a graph needs of a source.
+        """
+        payload = [c for c in df.columns if c not in (uid, ts)]
         df = df.withColumnRenamed(ts, "ts") if ts != "ts" else df
         df = df.withColumn("event", F.col("ts"))
         if watermark is not None:
             df = df.withColumn("ts", F.unix_micros("ts")).withWatermark("event", watermark)
         df = df.withColumn("rid", F.col(uid).cast("string"))
-        if carry:
-            df = df.withColumn("prov", F.array(F.col(uid).cast("bigint")))
-        return cls(df, lambda links: links.select("out", F.col("rid").cast("bigint").alias("uid")), 0, carry)
+        own = F.col(uid).cast("bigint")
+        if not carry:
+            df = df.withColumn("rkey", own)
+        elif stamped:
+            at = F.col("ts") if dict(df.dtypes)["ts"] == "bigint" else F.unix_micros("ts")
+            df = df.withColumn("prov", F.array(F.struct(own.alias("id"), at.alias("ts"), F.to_json(F.struct(*payload)).alias("data"))))
+        else:
+            df = df.withColumn("prov", F.array(own))
+        return cls(df, lambda links: links.df.select("out", F.col("key").alias("uid")), 0, carry)
 
     def _hidden(self) -> list[str]:
         return [c for c in HIDDEN if c in self.df.columns]
@@ -81,10 +121,14 @@ class Lineage:
         """Rows of all, by column name."""
         parts = (self, *others)
         frames = [p.df.withColumn("rid", F.concat(F.lit(f"{k}:"), "rid")) for k, p in enumerate(parts)]
+        if not self.carry:
+            kinds = [p.df.schema["rkey"].dataType for p in parts]
+            own = lambda k, j: F.col("rkey") if j == k else F.lit(None).cast(kinds[j])
+            frames = [f.withColumn("rkey", F.struct(F.lit(k).alias("part"), *(own(k, j).alias(f"k{j}") for j in range(len(parts))))) for k, f in enumerate(frames)]
 
-        def trace(links: DataFrame) -> DataFrame:
-            found = [p.trace(links.where(F.col("rid").startswith(f"{k}:")).select("out", F.expr(f"substring(rid, {len(str(k)) + 2})").alias("rid"))) for k, p in enumerate(parts)]
-            return reduce(DataFrame.unionByName, found)
+        def trace(links: Links) -> DataFrame:
+            links = links.settled()
+            return reduce(DataFrame.unionByName, [p.trace(Links(links.df.where(F.col("key.part") == k), links.rows).of(F.col(f"key.k{k}"))) for k, p in enumerate(parts)])
 
         return Lineage(reduce(DataFrame.unionByName, frames), trace, max(p.reach for p in parts), self.carry)
 
@@ -94,14 +138,20 @@ class Lineage:
         Results have the keys, ``window_end`` and the aggregates.
         """
         windowed = self.df.withColumn("window", F.window("event", size, slide or size))
-        rid = F.concat_ws("|", *(_text(k) for k in keys), _end("window"))
+        rid = F.concat_ws("|", *(_text(self.df, k) for k in keys), _end("window"))
         more = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("prov")))).alias("prov")] if self.carry else []
         grouped = windowed.groupBy("window", *keys).agg(*(c.alias(n) for n, c in aggregates.items()), *([] if "ts" in aggregates else [F.max("ts").alias("ts")]), *more)
-        out = grouped.withColumn("rid", rid).withColumn("event", F.window_time("window")).withColumn("window_end", F.col("window.end")).drop("window")
-
-        def trace(links: DataFrame) -> DataFrame:
-            members = windowed.select(rid.alias("rid"), F.col("rid").alias("inner"))
-            return self.trace(links.join(members, "rid").select("out", F.col("inner").alias("rid")).distinct())
+        out = grouped.withColumn("rid", rid)
+        if not self.carry:
+            out = out.withColumn("rkey", F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col("window.end").alias("end")))
+        out = out.withColumn("event", F.window_time("window")).withColumn("window_end", F.col("window.end")).drop("window")
+
+        def trace(links: Links) -> DataFrame:
+            links = links.settled()
+            wanted = links.df.select("out", F.col("key").alias("of"))
+            members = windowed.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col("window.end").alias("end"), F.col("rkey").alias("key"))
+            match = [F.col("of.end") == F.col("end"), *(F.col(f"of.k{i}").eqNullSafe(F.col(f"k{i}")) for i in range(len(keys)))]
+            return self.trace(Links(members.join(F.broadcast(wanted) if links.rows <= BROADCAST_ROWS else wanted, match).select("out", "key")))
 
         return Lineage(out, trace, self.reach + seconds(size), self.carry)
 
@@ -115,13 +165,15 @@ class Lineage:
         if self.carry:
             out = out.withColumn("prov", F.array_sort(F.array_union(f"{a}prov", f"{b}prov")))
 
-        def trace(links: DataFrame) -> DataFrame:
-            pairs = out.select("rid", F.col(f"{a}rid").alias("first"), F.col(f"{b}rid").alias("second"))
-            held = links.join(pairs, "rid")
-            left = self.trace(held.select("out", F.col("first").alias("rid")).distinct())
-            return left.unionByName(other.trace(held.select("out", F.col("second").alias("rid")).distinct())).distinct()
+        else:
+            sides = [F.col(f"{a}rkey").alias("l"), F.col(f"{b}rkey").alias("r")]
+            out = out.withColumn("rkey", F.struct(*sides, *([F.col("window.end").alias("end")] if "window" in rows.columns else [])))
+
+        def trace(links: Links) -> DataFrame:
+            links = links.settled()
+            return self.trace(links.of(F.col("key.l"))).unionByName(other.trace(links.of(F.col("key.r"))))
 
-        hidden = [f"{p}{c}" for p in (a, b) for c in ("rid", "prov", "event")]
+        hidden = [f"{p}{c}" for p in (a, b) for c in HIDDEN]
         return Lineage(out.drop(*(h for h in hidden if h in out.columns)), trace, reach, self.carry)
 
     def window_join(self, other: Lineage, on: dict[str, str], size: str, slide: str | None = None, prefix: tuple[str, str] = ("l_", "r_")) -> Lineage:
@@ -152,9 +204,15 @@ class Lineage:
         """``sink`` (the name, ``|`` and the row's id) and ``source`` ids, each pair once."""
         sink = F.concat(F.lit(f"{name}|"), "rid").alias("sink")
         if self.carry:
-            return self.df.select(sink, F.explode("prov").alias("source")).distinct()
-        found = self.trace(self.df.select(F.col("rid").alias("out"), "rid").distinct())
-        return found.select(F.concat(F.lit(f"{name}|"), "out").alias("sink"), F.col("uid").alias("source")).distinct()
+            found = self.df.select(sink, F.explode("prov").alias("source"))
+            stamped = dict(found.dtypes)["source"] != "bigint"
+            return (found.select("sink", F.col("source.id").alias("source")) if stamped else found).distinct()
+        found = self.trace(Links(self.df.select(sink.alias("out"), F.col("rkey").alias("key"))))
+        return found.select(F.col("out").alias("sink"), F.col("uid").alias("source")).distinct()
+
+    def settled(self) -> Lineage:
+        """The same with its rows written down, for uses that would compute them more than once."""
+        return replace(self, df=kept(self.df))
 
     def sinks(self, name: str = "") -> DataFrame:
         """``sink``, ``ts``, and ``data``, the payload as JSON."""

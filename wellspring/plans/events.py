@@ -15,20 +15,21 @@ def read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", event_time("ts").alias("ts"), "user_id", "event_type", "value")
 
 
-def source(events: DataFrame, carry: bool = True, watermark: str | None = None) -> Lineage:
-    return Lineage.source(events, "event_id", "ts", carry, watermark)
+def source(events: DataFrame, carry: bool = True, watermark: str | None = None, stamped: bool = False) -> Lineage:
+    return Lineage.source(events, "event_id", "ts", carry, watermark, stamped)
 
 
 def stopped(events: Lineage, n: int = 3) -> Lineage:
     """Users with exactly n small values of one type in four days."""
     kind = latest(F.col("event_type"), F.col("ts"), F.col("event_id"))
-    out = events.where("value < 20").window_agg(["user_id"], "96 hours", "24 hours", n=F.count("*"), kinds=distinct_count("event_type"), latest_type=kind)
+    out = events.where("value < 20").window_agg(["user_id"], "96 hours", "24 hours", n=F.count("*"), kinds=distinct_count(events, "event_type"), latest_type=kind)
     return out.where((F.col("n") == n) & (F.col("kinds") == 1)).select("user_id", "n", "latest_type", "window_end")
 
 
 def accident(events: Lineage) -> Lineage:
     """Types at which more than one user has stopped within a day."""
-    return stopped(events).window_agg(["latest_type"], "24 hours", users=distinct_count("user_id")).where("users > 1")
+    still = stopped(events)
+    return still.window_agg(["latest_type"], "24 hours", users=distinct_count(still, "user_id")).where("users > 1")
 
 
 def blackout(events: Lineage) -> Lineage:

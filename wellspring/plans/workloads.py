@@ -18,9 +18,9 @@ EMPTY = -1.0
 POSITION = ("xway", "lane", "dir", "seg", "pos")
 
 
-def distinct_count(column: str | Column) -> Column:
-    """Exact, and allowed in streams; keeps the distinct values of a group, which must be few."""
-    return F.size(F.collect_set(column)).cast("bigint")
+def distinct_count(rows: Lineage, column: str | Column) -> Column:
+    """The exact number of distinct values. Streams, which have no such aggregate, keep a group's values, which must be few there."""
+    return F.size(F.collect_set(column)).cast("bigint") if rows.df.isStreaming else F.count_distinct(column)
 
 
 # Linear road: rows (type, vid, speed, xway, lane, dir, seg, pos).
@@ -30,14 +30,14 @@ def stopped_vehicles(reports: Lineage, size: str = "120 seconds", slide: str = "
     """Vehicles with exactly so many reports of speed 0 in a window, all at one position."""
     place = F.struct(*POSITION)
     out = reports.where("type = 0 AND speed = 0").window_agg(
-        ["vid"], size, slide, reports=F.count("*"), places=distinct_count(place), latest=latest(place, F.col("ts"), F.xxhash64("rid"))
+        ["vid"], size, slide, reports=F.count("*"), places=distinct_count(reports, place), latest=latest(place, F.col("ts"), F.xxhash64("rid"))
     )
     return out.where((F.col("reports") == reports_needed) & (F.col("places") == 1)).select("vid", "reports", *(F.col(f"latest.{c}").alias(c) for c in POSITION), "window_end")
 
 
 def accidents(stopped: Lineage, size: str = "30 seconds", vehicles: int = 1) -> Lineage:
     """Positions at which more than ``vehicles`` different vehicles have stopped."""
-    return stopped.window_agg(["pos"], size, count=distinct_count("vid")).where(F.col("count") > vehicles)
+    return stopped.window_agg(["pos"], size, count=distinct_count(stopped, "vid")).where(F.col("count") > vehicles)
 
 
 # Smart grid: rows (key, value).

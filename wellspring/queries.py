@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspring import metrics
+from wellspring import metrics, workload_queries
 from wellspring.functions import event_time
 from wellspring.operators import ForwardGraph, Lineage, forward_graph
-from wellspring.operators.graph import latencies, violations
+from wellspring.operators.graph import delivery_order, latencies, violations
 from wellspring.plans import events as plans
 from wellspring.sinks import DeliveryStore, backward_lines, command_lines, graph_tables, lines, timestamped_lines
 from wellspring.sources import repeated, synthetic_lineage, synthetic_overlap
-from wellspring.streaming import acknowledged_sources, drain, graph_stream, prepare, staged
-from wellspring.streaming.run import END_UID, folder
+from wellspring.streaming import delivered, drain, graph_stream, prepare, staged
+from wellspring.streaming.run import folder
 
 #: What each plan's rows show.
 SHOWN = {
@@ -54,10 +54,10 @@ def _graph(spark: SparkSession, sf_dir: str) -> ForwardGraph:
     return forward_graph({n: plans.PLANS[n](held) for n in GRAPHED}, events, "event_id", "ts")
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> Lineage:
+def _stream(spark: SparkSession, sf_dir: str, stamped: bool = False) -> Lineage:
     prepare(spark)
     ends = [{"user_id": -1, "event_type": "click", "value": v} for v in (1.0, 25.0)]
-    return plans.source(staged(plans.read(spark, sf_dir), "event_id", "ts", ends=ends), watermark="0 seconds")
+    return plans.source(staged(plans.read(spark, sf_dir), "event_id", "ts", ends=ends), watermark="0 seconds", stamped=stamped)
 
 
 def anomaly_prov(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +67,11 @@ def anomaly_prov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark, sf_dir).source.select("id", "ts")
+    return _graph(spark, sf_dir).source
 
 
 def graph_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark, sf_dir).sink.select("id", "ts")
+    return _graph(spark, sf_dir).sink
 
 
 def graph_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,15 @@ def graph_ack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return violations(_graph(spark, sf_dir).nodes()).groupBy("rule").agg(F.count("*").alias("n"))
+    """What the rules find in a graph without some ACKs (of ids that end with 7), with some results twice (with 3), and with edges that are too early (of sources that end with 5)."""
+    nodes = _graph(spark, sf_dir).nodes().where("not (kind = 'ACK' and uid1 like '%7')").withColumn("ts", F.expr("if(kind = 'EDGE' and uid1 like '%5', 0, ts)"))
+    return violations(nodes.unionByName(nodes.where("kind = 'SINK' and uid1 like '%3'"))).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def graph_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of each kind, and how many break a rule."""
+    nodes = _graph(spark, sf_dir).nodes()
+    return nodes.groupBy("kind").agg(F.count("*").alias("n")).join(violations(nodes).agg(F.count("*").alias("broken")))
 
 
 def graph_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,15 +100,15 @@ def graph_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(_graph(spark, sf_dir).nodes().where("kind in ('EDGE', 'ACK')"))
+    return lines(_graph(spark, sf_dir).nodes())
 
 
 def graph_timestamped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timestamped_lines(_graph(spark, sf_dir).nodes().where("kind in ('EDGE', 'ACK')"))
+    return timestamped_lines(_graph(spark, sf_dir).nodes())
 
 
 def graph_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return command_lines(_graph(spark, sf_dir).nodes().where("kind in ('EDGE', 'ACK')"))
+    return command_lines(_graph(spark, sf_dir).nodes())
 
 
 def graph_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,17 +122,17 @@ def backward_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delivery_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two polls of a delivery store whose sinks are complete up to 2024-01-20; what both delivered."""
+    """Two polls of a delivery store; in the first, one sink has not reported, so no source is acknowledged. Both sinks are complete up to 2024-01-20 in the second."""
     graph = _graph(spark, sf_dir)
-    store = DeliveryStore(spark, folder(spark, "store")).create()
+    store = DeliveryStore(spark, folder(spark, "store")).create(GRAPHED)
     nodes = graph.nodes().where("kind <> 'ACK'")
     store.append(nodes.where("ts < 1705190400000000"), 0)
     store.mark_safe("anomaly", 1705708800000000, 0)
-    first = store.deliver(graph.max_delay, 0)
+    first = store.deliver(graph.max_delay, 0).withColumn("poll", F.lit(1))
     store.append(nodes, 1)
     store.mark_safe("inarea", 1705708800000000, 1)
-    second = store.deliver(graph.max_delay, 1)
-    return first.unionByName(second).select("kind", "uid1", "uid2", "ts")
+    second = store.deliver(graph.max_delay, 1).withColumn("poll", F.lit(2))
+    return first.unionByName(second).select("poll", "kind", "uid1", "uid2", "ts", "data")
 
 
 def repeated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +155,7 @@ def exploded_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def day_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = metrics.per_second(plans.read(spark, sf_dir).where("value < 3"), "ts", "value", 43200)
+    held = metrics.per_second(plans.read(spark, sf_dir), "ts", "value", 60)
     return held.select("second", "count", F.round("average", 6).alias("average"), F.round("most", 6).alias("most"))
 
 
@@ -168,11 +176,13 @@ def shipped_soon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic_lineage(spark, 1000, 25, 10, 2).select("sink_id", "sink_ts", F.explode("prov.uid").alias("uid"))
+    """The sources of 250,000 generated results, by result."""
+    held = synthetic_lineage(spark, 250_000, 25, 10, 2).select("sink_id", "sink_ts", F.explode("prov.uid").alias("uid"))
+    return held.groupBy("sink_id", "sink_ts").agg(F.count("*").alias("n"), F.min("uid").alias("first"), F.max("uid").alias("last"), F.sum("uid").alias("total"))
 
 
 def synthetic_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic_overlap(synthetic_lineage(spark, 1000, 25, 50, 12))
+    return synthetic_overlap(synthetic_lineage(spark, 50_000, 25, 50, 12))
 
 
 def stream_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,26 +193,40 @@ def stream_accident(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(drain(plans.accident(_stream(spark, sf_dir)).plain(), "accident"), SHOWN["accident"])
 
 
+def _stream_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_stream({"inarea": plans.in_area(_stream(spark, sf_dir, stamped=True))})
+
+
+def stream_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming graph of one plan, all kinds of nodes."""
+    return drain(_stream_nodes(spark, sf_dir), "graph")
+
+
+def stream_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the streaming graph, and how many were delivered before their vertices or after an ACK of one."""
+    return delivery_order(delivered(_stream_nodes(spark, sf_dir)))
+
+
 def stream_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the streaming graph of one plan."""
-    return drain(graph_stream({"inarea": plans.in_area(_stream(spark, sf_dir))}), "edges").where("kind = 'EDGE'").select(F.col("uid2").alias("sink"), F.col("uid1").cast("bigint").alias("source"))
+    return stream_graph(spark, sf_dir).where("kind = 'EDGE'").select(F.col("uid2").alias("sink"), F.col("uid1").cast("bigint").alias("source"))
 
 
 def stream_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of the streaming graph and their acknowledgements."""
-    found = acknowledged_sources({"inarea": plans.in_area(_stream(spark, sf_dir))}, plans.read(spark, sf_dir), "event_id", "ts")
-    return drain(found, "sources").where(F.col("uid") != END_UID)
+    found = stream_graph(spark, sf_dir).where("kind = 'SOURCE' or kind = 'ACK' and uid1 not like 'inarea|%'")
+    return found.select("kind", F.col("uid1").cast("bigint").alias("uid"), "ts")
 
 
 DIRECT = (
-    anomaly_prov, graph_source, graph_sink, graph_edge, graph_ack, graph_violations, graph_latency, graph_lines, graph_timestamped_lines, graph_commands, graph_relations, backward_text, delivery_poll, repeated_events, union_counts,
-    exploded_props, day_series, orders_by_week, shipped_soon, synthetic_edges, synthetic_shared, stream_anomaly, stream_accident, stream_edges, stream_sources,
+    anomaly_prov, graph_source, graph_sink, graph_edge, graph_ack, graph_violations, graph_sound, graph_latency, graph_lines, graph_timestamped_lines, graph_commands, graph_relations, backward_text, delivery_poll, repeated_events, union_counts,
+    exploded_props, day_series, orders_by_week, shipped_soon, synthetic_edges, synthetic_shared, stream_anomaly, stream_accident, stream_graph, stream_delivery, stream_edges, stream_sources,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _plan(name) for name in SHOWN} | {f"{name}_lineage": _lineage(name) for name in SHOWN}
-    return out | {f.__name__: f for f in DIRECT}
+    return out | {f.__name__: f for f in DIRECT} | workload_queries.queries()
 
 
 def _windowed(rows: str, size: int, slide: int) -> str:
@@ -232,7 +256,7 @@ PLAN_SQL = {
         FROM {_windowed(f"(SELECT * EXCLUDE (ts), ts AS data_ts, window_end - {_MICRO} AS ts FROM ({_stopped_sql(3)}))", 24, 24)} GROUP BY latest_type, w HAVING count(DISTINCT user_id) > 1""",
     "blackout": f"""SELECT count(*) AS users, CAST(epoch_us(w) AS VARCHAR) AS rid, max(data_ts) AS ts, flatten(list(prov)) AS prov, w AS window_end
         FROM {_windowed(f"(SELECT * EXCLUDE (ts), ts AS data_ts, window_end - {_MICRO} AS ts FROM ({_DAY}) WHERE total < 5)", 24, 24)} GROUP BY w HAVING count(*) > 3""",
-    "anomaly": f"""SELECT d.user_id AS l_user_id, r.event_id AS r_event_id, d.total AS l_total, r.value AS r_value, round(abs(d.total - r.value), 6) AS difference, d.rid || '#' || r.event_id || '#' || epoch_us(d.window_end) AS rid,
+    "anomaly": f"""SELECT d.user_id AS l_user_id, r.event_id AS r_event_id, r.event_type AS r_event_type, d.ts AS l_ts, r.ts AS r_ts, d.total AS l_total, r.value AS r_value, round(abs(d.total - r.value), 6) AS difference, d.rid || '#' || r.event_id || '#' || epoch_us(d.window_end) AS rid,
         greatest(d.ts, r.ts) AS ts, list_append(d.prov, r.event_id) AS prov, d.window_end FROM ({_DAY}) d JOIN {_EV} r ON d.user_id = r.user_id AND r.ts >= d.window_end - INTERVAL 1 HOUR AND r.ts < d.window_end
         WHERE d.total > 60 AND round(abs(d.total - r.value), 6) > 60""",
     "inarea": f"""SELECT user_id, count(*) AS n, user_id || '|' || epoch_us(w) AS rid, {_AGG} FROM {_windowed(f"(SELECT * FROM {_EV} WHERE value > 10 AND value < 40)", 96, 48)} GROUP BY user_id, w HAVING count(*) > 5""",
@@ -258,55 +282,93 @@ def _edge_sql(name: str) -> str:
 
 
 _EDGES = " UNION ".join(_edge_sql(n) for n in GRAPHED)
-_SINKS = " UNION ".join(f"SELECT '{n}|' || rid AS id, epoch_us(ts) AS ts FROM ({PLAN_SQL[n]})" for n in GRAPHED)
-_SOURCES = f"SELECT CAST(event_id AS VARCHAR) AS id, epoch_us(ts) AS ts FROM events WHERE event_id IN (SELECT source FROM ({_EDGES}))"
+_JSON_TS = "strftime({}, '%Y-%m-%dT%H:%M:%S.%gZ')".format
+_JSON_END = _JSON_TS("window_end")
+_SINK_DATA = {
+    "anomaly": f"""'{{"l_user_id":' || l_user_id || ',"l_total":' || l_total || ',"l_ts":"' || {_JSON_TS('l_ts')} || '","l_window_end":"' || {_JSON_END} || '","r_event_id":' || r_event_id || ',"r_ts":"' || {_JSON_TS('r_ts')} || '","r_user_id":' || l_user_id || ',"r_event_type":"' || r_event_type || '","r_value":' || r_value || ',"window_end":"' || {_JSON_END} || '","difference":' || difference || '}}'""",
+    "inarea": f"""'{{"user_id":' || user_id || ',"n":' || n || ',"window_end":"' || {_JSON_END} || '"}}'""",
+}
+
+
+def _sink_sql(name: str) -> str:
+    return f"SELECT '{name}|' || rid AS id, epoch_us(ts) AS ts, {_SINK_DATA[name]} AS data FROM ({PLAN_SQL[name]})"
+
+
+def _source_sql(edges: str) -> str:
+    data = """'{"user_id":' || user_id || ',"event_type":"' || event_type || '","value":' || value || '}'"""
+    return f"SELECT CAST(event_id AS VARCHAR) AS id, epoch_us(ts) AS ts, {data} AS data FROM events WHERE event_id IN (SELECT source FROM ({edges}))"
+
+
+_SINKS = " UNION ".join(_sink_sql(n) for n in GRAPHED)
+_SOURCES = _source_sql(_EDGES)
 _DELAY = 96 * 3600 * 1_000_000
 _ACKS = f"SELECT id, ts + {_DELAY} AS ts FROM ({_SOURCES}) UNION ALL SELECT id, ts FROM ({_SINKS})"
+def _timed_edges(edges: str, sources: str, sinks: str) -> str:
+    return f"SELECT CAST(e.source AS VARCHAR) AS source, e.sink, greatest(s.ts, k.ts) AS ts FROM ({edges}) e JOIN ({sources}) s ON CAST(e.source AS VARCHAR) = s.id JOIN ({sinks}) k ON e.sink = k.id"
+
+
+def _node_sql(edges: str, sources: str, sinks: str) -> str:
+    """All nodes of a graph."""
+    acks = f"SELECT id, ts + {_DELAY} AS ts FROM ({sources}) UNION ALL SELECT id, ts FROM ({sinks})"
+    return f"""SELECT 'SOURCE' AS kind, id AS uid1, NULL AS uid2, ts, data FROM ({sources}) UNION ALL SELECT 'SINK', id, NULL, ts, data FROM ({sinks})
+        UNION ALL SELECT 'EDGE', source, sink, ts, NULL FROM ({_timed_edges(edges, sources, sinks)}) UNION ALL SELECT 'ACK', id, NULL, ts, NULL FROM ({acks})"""
+
+
 _TIMED_EDGES = f"SELECT CAST(e.source AS VARCHAR) AS source, e.sink, greatest(s.ts, k.ts) AS ts FROM ({_EDGES}) e JOIN ({_SOURCES}) s ON CAST(e.source AS VARCHAR) = s.id JOIN ({_SINKS}) k ON e.sink = k.id"
 
 
+_NODES = _node_sql(_EDGES, _SOURCES, _SINKS)
+_IN_AREA = (_edge_sql("inarea"), _source_sql(_edge_sql("inarea")), _sink_sql("inarea"))
+_LINE = "CASE kind WHEN 'EDGE' THEN 'EDGE ::: ' || uid1 || ' -> ' || uid2 WHEN 'ACK' THEN 'ACK ::: ' || uid1 ELSE kind || ' ::: ' || uid1 || ' ::: ' || data END"
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {name: _plan_sql(name) for name in SHOWN} | {f"{name}_lineage": _edge_sql(name) for name in SHOWN}
+    out = {name: _plan_sql(name) for name in SHOWN} | {f"{name}_lineage": _edge_sql(name) for name in SHOWN} | workload_queries.oracle_sql()
     return out | {
         "anomaly_prov": f"SELECT 'anomaly|' || rid AS sink, CAST(len(p) AS BIGINT) AS n, array_to_string(p, ',') AS sources FROM (SELECT rid, list_sort(list_distinct(prov)) AS p FROM ({PLAN_SQL['anomaly']}))",
         "graph_source": _SOURCES,
         "graph_sink": _SINKS,
         "graph_edge": f"SELECT CAST(source AS VARCHAR) AS source, sink FROM ({_EDGES})",
         "graph_ack": _ACKS,
-        "graph_violations": "SELECT 'none' AS rule, CAST(0 AS BIGINT) AS n WHERE 1 = 0",
+        "graph_violations": f"""WITH node AS (SELECT * EXCLUDE (ts), CASE WHEN kind = 'EDGE' AND uid1 LIKE '%5' THEN 0 ELSE ts END AS ts FROM ({_NODES}) WHERE NOT (kind = 'ACK' AND uid1 LIKE '%7'))
+            SELECT 'vertex acked' AS rule, count(*) AS n FROM node WHERE kind IN ('SOURCE', 'SINK') AND uid1 LIKE '%7' HAVING count(*) > 0
+            UNION ALL SELECT 'vertex once', count(*) FROM node WHERE kind = 'SINK' AND uid1 LIKE '%3' HAVING count(*) > 0
+            UNION ALL SELECT 'edge after vertices', 2 * count(*) FROM node WHERE kind = 'EDGE' AND uid1 LIKE '%5' HAVING count(*) > 0""",
+        "graph_sound": f"SELECT kind, count(*) AS n, CAST(0 AS BIGINT) AS broken FROM ({_NODES}) GROUP BY kind",
         "graph_latency": f"""SELECT kind, count(*) AS n, round(avg(l), 6) AS latency_s, round(avg(l) / {_DELAY / 1e6}, 6) AS latency_u
             FROM (SELECT 'SOURCE' AS kind, {_DELAY / 1e6} AS l FROM ({_SOURCES}) UNION ALL SELECT 'SINK', 0 FROM ({_SINKS})) GROUP BY kind""",
-        "graph_lines": f"SELECT 'EDGE ::: ' || source || ' -> ' || sink AS value FROM ({_EDGES}) UNION ALL SELECT 'ACK ::: ' || id FROM ({_ACKS})",
-        "graph_timestamped_lines": f"""SELECT ts // 1000 || ' 2 ' || ts // 1000 || ' EDGE ::: ' || source || ' -> ' || sink AS value FROM ({_TIMED_EDGES})
-            UNION ALL SELECT ts // 1000 || ' 3 ' || ts // 1000 || ' ACK ::: ' || id FROM ({_ACKS})""",
-        "graph_commands": f"""SELECT '{{"ae":{{"' || source || '->' || sink || '":{{"source":"' || source || '","target":"' || sink || '","directed":true}}}}}}' AS value FROM ({_EDGES})
-            UNION ALL SELECT '{{"cn":{{"' || id || '":{{"done":true}}}}}}' FROM ({_ACKS})""",
+        "graph_lines": f"SELECT {_LINE} AS value FROM ({_NODES})",
+        "graph_timestamped_lines": f"""SELECT ts // 1000 || CASE kind WHEN 'SINK' THEN ' 0 ' WHEN 'SOURCE' THEN ' 1 ' WHEN 'EDGE' THEN ' 2 ' ELSE ' 3 ' END || ts // 1000 || ' ' || {_LINE} AS value FROM ({_NODES})""",
+        "graph_commands": f"""SELECT CASE kind WHEN 'EDGE' THEN '{{"ae":{{"' || uid1 || '->' || uid2 || '":{{"source":"' || uid1 || '","target":"' || uid2 || '","directed":true}}}}}}'
+            WHEN 'ACK' THEN '{{"cn":{{"' || uid1 || '":{{"done":true}}}}}}'
+            ELSE '{{"an":{{"' || uid1 || '":{{"label":"' || uid1 || '","type":"' || lower(kind) || '","data":' || to_json(data) || ',"timestamp":' || ts || ',"done":false}}}}}}' END AS value FROM ({_NODES})""",
         "graph_relations": f"SELECT CAST(source AS VARCHAR) AS src, sink AS dst, 'PROVENANCE' AS relationship FROM ({_EDGES})",
         "backward_text": f"""SELECT '> {{' || '{{"user_id":' || user_id || ',"event_id":' || event_id || '}}' || '}} <- [' || n || '] {{' || chr(10) || rows || chr(10) || '}}' AS value FROM (
             SELECT rid, any_value(l_user_id) AS user_id, any_value(r_event_id) AS event_id, count(*) AS n, string_agg('{{"event_id":' || e.event_id || ',"user_id":' || e.user_id || '}}', chr(10) ORDER BY e.event_id) AS rows
             FROM (SELECT rid, l_user_id, r_event_id, unnest(list_distinct(prov)) AS source FROM ({PLAN_SQL['anomaly']})) JOIN events e ON e.event_id = source GROUP BY rid)""",
-        "delivery_poll": f"""WITH node AS (
-                SELECT 'SOURCE' AS kind, id AS uid1, NULL AS uid2, ts FROM ({_SOURCES}) UNION ALL SELECT 'SINK', id, NULL, ts FROM ({_SINKS}) UNION ALL SELECT 'EDGE', source, sink, ts FROM ({_TIMED_EDGES}))
-            SELECT * FROM node UNION ALL SELECT 'ACK', uid1, NULL, ts FROM node WHERE kind = 'SINK'
-            UNION ALL SELECT 'ACK', uid1, NULL, ts + {_DELAY} FROM node WHERE kind = 'SOURCE' AND ts + {_DELAY} < 1705708800000000""",
+        "delivery_poll": f"""WITH node AS (SELECT * FROM ({_NODES}) WHERE kind <> 'ACK'), part AS (SELECT CAST(CASE WHEN ts < 1705190400000000 THEN 1 ELSE 2 END AS INTEGER) AS poll, * FROM node)
+            SELECT * FROM part UNION ALL SELECT poll, 'ACK', uid1, NULL, ts, NULL FROM part WHERE kind = 'SINK'
+            UNION ALL SELECT 2, 'ACK', uid1, NULL, ts + {_DELAY}, NULL FROM node WHERE kind = 'SOURCE' AND ts + {_DELAY} < 1705708800000000""",
         "repeated_events": """SELECT (k << 58) | event_id AS event_id, epoch_us(ts) + k * len AS ts_us, value
             FROM events, (SELECT epoch_us(max(ts)) - epoch_us(min(ts)) + 1000000 AS len FROM events), (SELECT CAST(range AS BIGINT) AS k FROM range(3))""",
         "union_counts": f"""SELECT user_id, CASE WHEN value < 10 THEN 'small' ELSE 'large' END AS side, count(*) AS n, epoch_us(w) AS window_end_us
             FROM {_windowed(f"(SELECT * FROM {_EV} WHERE value < 10 OR value > 100)", 24, 24)} GROUP BY ALL""",
         "exploded_props": f"""SELECT name, count(*) AS n, CAST(max(length(t)) AS BIGINT) AS longest, epoch_us(w) AS window_end_us FROM (
             SELECT w, name, json_extract_string(props, '$."' || name || '"') AS t FROM (SELECT w, props, unnest(json_keys(props)) AS name FROM {_windowed('(SELECT ts, props FROM events)', 24, 24)})) WHERE t IS NOT NULL GROUP BY name, w""",
-        "day_series": """WITH held AS (SELECT epoch_us(ts) // 43200000000 * 43200 AS second, count(*) AS n, avg(value) AS a, max(value) AS m FROM events WHERE value < 3 GROUP BY 1),
-            span AS (SELECT unnest(range(min(second), max(second) + 1, 43200)) AS second FROM held)
+        "day_series": """WITH held AS (SELECT epoch_us(ts) // 60000000 * 60 AS second, count(*) AS n, avg(value) AS a, max(value) AS m FROM events GROUP BY 1),
+            span AS (SELECT unnest(range(min(second), max(second) + 1, 60)) AS second FROM held)
             SELECT second, coalesce(n, 0) AS count, round(coalesce(a, -1.0), 6) AS average, round(coalesce(m, -1.0), 6) AS most FROM span LEFT JOIN held USING (second)""",
         "orders_by_week": f"""SELECT o_orderpriority, count(*) AS n, round(max(o_totalprice), 6) AS most, epoch_us(w) AS window_end_us
             FROM {_windowed('(SELECT CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS ts, o_orderpriority, o_totalprice FROM orders)', 672, 168)} GROUP BY o_orderpriority, w""",
         "shipped_soon": """SELECT o_orderkey, count(*) AS n, round(sum(l_quantity), 6) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey
             AND CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE) AND CAST(l_shipdate AS DATE) <= CAST(o_orderdate AS DATE) + INTERVAL 30 DAY GROUP BY o_orderkey""",
-        "synthetic_edges": "SELECT i AS sink_id, i + 25 AS sink_ts, i * 8 + j AS uid FROM range(1000) a(i), range(10) b(j)",
-        "synthetic_shared": "SELECT 12.0::DOUBLE AS mean_overlap",
+        "synthetic_edges": "SELECT i AS sink_id, i + 25 AS sink_ts, count(*) AS n, min(i * 8 + j) AS first, max(i * 8 + j) AS last, CAST(sum(i * 8 + j) AS BIGINT) AS total FROM range(250000) a(i), range(10) b(j) GROUP BY i",
+        "synthetic_shared": """WITH held AS (SELECT i, list(i * 38 + j) AS ids FROM range(50000) a(i), range(50) b(j) GROUP BY i)
+            SELECT avg(len(list_intersect(x.ids, y.ids))) AS mean_overlap FROM held x JOIN held y ON x.i = y.i + 1""",
         "stream_anomaly": _plan_sql("anomaly"),
         "stream_accident": _plan_sql("accident"),
         "stream_edges": _edge_sql("inarea"),
-        "stream_sources": f"""WITH s AS (SELECT event_id AS uid, epoch_us(ts) AS ts FROM events WHERE event_id IN (SELECT source FROM ({_edge_sql("inarea")})))
-            SELECT 'SOURCE' AS kind, uid, ts FROM s UNION ALL SELECT 'ACK', uid, ts + {_DELAY} FROM s""",
+        "stream_graph": _node_sql(*_IN_AREA),
+        "stream_delivery": f"SELECT count(*) AS edges, CAST(0 AS BIGINT) AS early, CAST(0 AS BIGINT) AS late FROM ({_edge_sql('inarea')})",
+        "stream_sources": f"SELECT kind, CAST(uid1 AS BIGINT) AS uid, ts FROM ({_node_sql(*_IN_AREA)}) WHERE kind = 'SOURCE' OR kind = 'ACK' AND uid1 NOT LIKE 'inarea|%'",
     }

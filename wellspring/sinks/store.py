@@ -6,6 +6,7 @@ lookup is needed when writing. Nothing is deleted; what was delivered is a table
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ _NODES = "kind STRING, uid1 STRING, uid2 STRING, ts BIGINT, data STRING"
 
 @dataclass(frozen=True)
 class DeliveryStore:
-    """Tables below ``path``: ``nodes``, ``safe`` (name, ts: event time passed at a sink) and ``sent``."""
+    """Tables below ``path``: ``nodes``, ``safe`` (name, ts: event time passed at a sink) and ``sent``. A sink reports its rows before it reports their time as safe."""
 
     spark: SparkSession
     path: str
@@ -54,8 +55,8 @@ class DeliveryStore:
         self._write(self.pending(max_delay), "sent", batch)
         return self._read("sent", _NODES).where(F.col("batch") == batch).drop("batch")
 
-    def create(self) -> DeliveryStore:
-        """Empty tables, so that all can be read from the start."""
-        for name, schema in (("nodes", _NODES), ("safe", "name STRING, ts BIGINT"), ("sent", _NODES)):
-            self._write(self.spark.createDataFrame([], schema), name, -1)
+    def create(self, sinks: Sequence[str]) -> DeliveryStore:
+        """Tables that can be read from the start. All ``sinks`` are registered with the lowest time, so that no source is acknowledged before each of them has reported."""
+        for name, rows, schema in (("nodes", [], _NODES), ("safe", [(s, -(1 << 62)) for s in sinks], "name STRING, ts BIGINT"), ("sent", [], _NODES)):
+            self._write(self.spark.createDataFrame(rows, schema), name, -1)
         return self

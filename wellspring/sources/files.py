@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wellspring.functions import from_units, uid
@@ -41,25 +41,48 @@ def cloud_vehicles(spark: SparkSession, path: str, stream: bool = False, per_tri
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """Annotation files ``[objects_]<payload>-...-<ns>.txt`` as ``payload_type``, ``ts`` and ``annotations``, a map from track to (label, x, y, z).
+    """Annotation files ``[objects_]<payload>-...-<ns>.txt`` as ``payload_type``, ``ns``, ``ts`` (milliseconds of it) and ``annotations``, a map from track to (label, x, y, z).
 
     Of lines with the same track in a file the last counts. The file's name gives payload and time.
     """
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1)
     rows = spark.read.schema(ANNOTATION).option("mode", "FAILFAST").csv(path).select("*", name.alias("name"), F.monotonically_increasing_id().alias("line"))
     payload = F.regexp_extract("name", r"^(?:objects_)?([^-]+)-", 1)
-    millis = F.floor(F.regexp_extract("name", r"-(\d+)$", 1).cast("bigint") / 1_000_000)
     last = F.max_by(F.struct("label", "x", "y", "z"), "line").alias("object")
-    tracks = rows.groupBy(payload.alias("payload_type"), F.timestamp_millis(millis).alias("ts"), "track_id").agg(last)
-    return tracks.groupBy("payload_type", "ts").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("track_id", "object")))).alias("annotations"))
+    tracks = rows.groupBy(payload.alias("payload_type"), F.regexp_extract("name", r"-(\d+)$", 1).cast("bigint").alias("ns"), "track_id").agg(last)
+    held = tracks.groupBy("payload_type", "ns").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("track_id", "object")))).alias("annotations"))
+    return held.select("payload_type", "ns", _millis("ns").alias("ts"), "annotations")
 
 
-def frames(held: DataFrame, every: int = 1) -> DataFrame:
-    """One row per time that has all three payloads, as ``lidar``, ``left``, ``right``; of these every ``every``-th by its millisecond."""
-    part = lambda payload, name: F.max(F.when(F.col("payload_type") == payload, F.struct("payload_type", "ts", "annotations"))).alias(name)
-    plain = held.withColumn("annotations", F.map_entries("annotations"))
-    rows = plain.groupBy("ts").agg(part("lidar", "lidar"), part("ring_front_left", "left"), part("ring_front_right", "right"))
-    return rows.where("lidar is not null and left is not null and right is not null").where(F.unix_millis("ts") % every == 0)
+def _millis(ns: str) -> Column:
+    return F.timestamp_millis(F.expr(f"{ns} div 1000000"))
+
+
+_HOUR = 3_600_000_000_000
+
+
+def frames(held: DataFrame, every: int = 1, times: int = 1) -> DataFrame:
+    """Frames ``ts``, ``lidar``, ``left``, ``right`` of payloads (payload_type, ns, annotations), whose clocks differ: in order of time, each three payloads make one.
+
+    The frame has its lidar's time. The whole is played ``times`` over, each time later by its length, and every ``every``-th frame of it stays. Threes without all
+    of the payloads make no frame. Places in the order come from counts by hour, so that only an hour's payloads are sorted together.
+    """
+    plain = held.select("payload_type", "ns", F.map_entries("annotations").alias("annotations"), F.expr(f"ns div {_HOUR}").alias("hour"))
+    before = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    first = plain.groupBy("hour").agg(F.count("*").alias("n")).select("hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    order = Window.partitionBy("hour").orderBy("ns", "payload_type")
+    placed = plain.withColumn("place", F.row_number().over(order)).join(first, "hour").withColumn("three", F.expr("(first + place - 1) div 3"))
+    part = lambda which, name: F.max(F.when(which, F.struct("payload_type", "ns", "annotations"))).alias(name)
+    lidar, left = F.col("payload_type") == "lidar", F.col("payload_type").contains("left")
+    threes = placed.groupBy("three").agg(part(lidar, "lidar"), part(left, "left"), part(~lidar & ~left, "right")).where("lidar is not null and left is not null and right is not null")
+    span = F.broadcast(threes.agg(F.count("*").alias("length"), (F.max("lidar.ns") - F.min("lidar.ns") + 1).alias("shift")))
+    ranked = threes.withColumn("hour", F.expr(f"lidar.ns div {_HOUR}"))
+    start = ranked.groupBy("hour").agg(F.count("*").alias("n")).select("hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    numbered = ranked.withColumn("place", F.row_number().over(Window.partitionBy("hour").orderBy("three"))).join(start, "hour").withColumn("index", F.col("first") + F.col("place") - 1)
+    played = numbered.join(span).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).where((F.col("turn") * F.col("length") + F.col("index")) % every == 0)
+    played = played.withColumn("at", F.col("lidar.ns") + F.col("turn") * F.col("shift"))
+    payload = lambda name: F.struct(F.col(f"{name}.payload_type").alias("payload_type"), _millis("at").alias("ts"), F.col(f"{name}.annotations").alias("annotations")).alias(name)
+    return played.select(_millis("at").alias("ts"), payload("lidar"), payload("left"), payload("right"))
 
 
 def repeated(df: DataFrame, times: int, ts: str = "ts", uid_col: str | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """The plans as streams, and the forward graph with keyed state and event-time timers."""
 
-from wellspring.streaming.graph import acknowledged_sources, graph_stream, prepare
-from wellspring.streaming.run import drain, staged, write_batches
+from wellspring.streaming.graph import graph_stream, prepare
+from wellspring.streaming.run import delivered, drain, staged, write_batches
 
-__all__ = ["acknowledged_sources", "drain", "graph_stream", "prepare", "staged", "write_batches"]
+__all__ = ["delivered", "drain", "graph_stream", "prepare", "staged", "write_batches"]

@@ -1,4 +1,4 @@
-"""The forward graph as a stream: edges and results pass through; each source has keyed state and a timer for its acknowledgement."""
+"""The forward graph as one stream of sources, results, edges and acknowledgements, with keyed state and event-time timers."""
 
 from __future__ import annotations
 
@@ -11,14 +11,19 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wellspring.operators.lineage import HIDDEN, Lineage
 
+_NODES = "kind string, uid1 string, uid2 string, ts long, data string"
+
 
 def prepare(spark: SparkSession) -> None:
     """State that is kept by key needs the RocksDB store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-class _Acknowledge(StatefulProcessor):
-    """Emits a source when first seen, and its ACK when event time has passed its own by more than the delay."""
+class _Graph(StatefulProcessor):
+    """Of each result, itself and its ACK. Of each source, itself when first seen, its edges, and its ACK when event time has passed its own by more than the delay.
+
+    The timer of a batch comes after its rows, and windows that hold a source end before the delay is over, so no edge follows an ACK.
+    """
 
     def __init__(self, delay_ms: int):
         self.delay_ms = delay_ms
@@ -28,45 +33,42 @@ class _Acknowledge(StatefulProcessor):
         self.seen = handle.getValueState("seen", "ts long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        ts = min(r.source_ts for r in rows)
-        if not self.seen.exists():
-            self.seen.update((ts,))
-            self.handle.registerTimer(ts // 1000 + self.delay_ms + 1)
-            yield Row(kind="SOURCE", uid=key[0], ts=ts)
+        known = None
+        for r in rows:
+            if r.sink is None:
+                yield Row(kind="SINK", uid1=key[0], uid2=None, ts=r.ts, data=r.data)
+                yield Row(kind="ACK", uid1=key[0], uid2=None, ts=r.ts, data=None)
+                continue
+            if known is None:
+                known = self.seen.exists()
+            if not known:
+                known = True
+                self.seen.update((r.source_ts,))
+                self.handle.registerTimer(r.source_ts // 1000 + self.delay_ms + 1)
+                yield Row(kind="SOURCE", uid1=key[0], uid2=None, ts=r.source_ts, data=r.data)
+            yield Row(kind="EDGE", uid1=key[0], uid2=r.sink, ts=max(r.ts, r.source_ts), data=None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         ts = self.seen.get()[0]
         self.seen.clear()
-        yield Row(kind="ACK", uid=key[0], ts=ts + self.delay_ms * 1000)
+        yield Row(kind="ACK", uid1=key[0], uid2=None, ts=ts + self.delay_ms * 1000, data=None)
 
     def close(self) -> None:
         pass
 
 
-def edge_stream(queries: dict[str, Lineage]) -> DataFrame:
-    """``sink``, ``source``, ``event`` of every edge."""
-    return reduce(DataFrame.unionByName, [q.df.select(F.concat(F.lit(f"{n}|"), "rid").alias("sink"), "event", F.explode("prov").alias("source")) for n, q in queries.items()])
+def graph_stream(queries: dict[str, Lineage], max_delay: int | None = None) -> DataFrame:
+    """The graph of streaming queries over ``stamped`` sources as nodes (kind, uid1, uid2, ts, data), the same as the batch graph's.
 
-
-def acknowledged_sources(queries: dict[str, Lineage], times: DataFrame, uid: str, ts: str, max_delay: int | None = None) -> DataFrame:
-    """``kind`` (SOURCE, ACK), ``uid`` and ``ts`` (microseconds) of the sources of streaming queries; ``times`` is a static table of the sources' times."""
-    delay = max(q.reach for q in queries.values()) if max_delay is None else max_delay
-    known = times.select(F.col(uid).alias("source"), F.unix_micros(ts).alias("source_ts"))
-    edges = edge_stream(queries).join(known, "source").select("source", "source_ts", "event")
-    return edges.groupBy("source").transformWithState(_Acknowledge(delay * 1000), "kind string, uid long, ts long", "append", "eventTime")
-
-
-def graph_stream(queries: dict[str, Lineage]) -> DataFrame:
-    """Results and edges of streaming queries as nodes (kind, uid1, uid2, ts, data); a result's ACK is there with it.
-
-    All of a result's nodes come out of its one row, so a query's state is kept once.
+    Within a micro-batch nodes come in the order of their kinds once they are sorted by it; over micro-batches a vertex comes before its edges and these before its ACK.
+    Sources come with the results' lineage, so no table of them is joined. Source ids are numbers and results have a name before ``|``, so they differ as keys.
     """
-    none = F.lit(None).cast("string")
-    out = []
+    delay = max(q.reach for q in queries.values()) if max_delay is None else max_delay
+    out, none = [], F.lit(None).cast("string")
     for name, q in queries.items():
         sink = F.concat(F.lit(f"{name}|"), "rid")
         payload = F.to_json(F.struct(*(c for c in q.df.columns if c not in (*HIDDEN, "ts"))))
-        node = lambda kind, a, b, data: F.struct(F.lit(kind).alias("kind"), a.alias("uid1"), b.alias("uid2"), F.col("ts"), data.alias("data"))
-        edges = F.transform("prov", lambda u: node("EDGE", u.cast("string"), sink, none))
-        out.append(q.df.select(F.explode(F.concat(F.array(node("SINK", sink, none, payload)), edges, F.array(node("ACK", sink, none, none)))).alias("node")).select("node.*"))
-    return reduce(DataFrame.unionByName, out)
+        node = lambda key, to, data, at: F.struct(key.alias("id"), to.alias("sink"), data.alias("data"), at.alias("source_ts"))
+        each = F.concat(F.array(node(sink, none, payload, F.lit(None).cast("bigint"))), F.transform("prov", lambda p: node(p["id"].cast("string"), sink, p["data"], p["ts"])))  # noqa: B023
+        out.append(q.df.select("event", "ts", F.explode(each).alias("node")).select("event", "ts", "node.*"))
+    return reduce(DataFrame.unionByName, out).groupBy("id").transformWithState(_Graph(delay * 1000), _NODES, "append", "eventTime")

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wellspring.scratch import shared_folder
+
 #: The time of the rows that end a staged stream, later than any window; their id is -1.
 END_TS, END_UID = "2999-01-01 23:30:00", -1
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder for staged rows, results or a stream's progress, in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, uid: str, ts: str, parts: int = 4, ends: Sequence[dict] = ({},)) -> DataFrame:
@@ -57,3 +57,10 @@ def write_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
     query = stream.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return [dict(p) if isinstance(p, dict) else p for p in query.recentProgress]
+
+
+def delivered(stream: DataFrame, name: str = "delivered") -> DataFrame:
+    """Runs a stream over all rows that there are; its results with ``batch``, the number of the micro-batch that delivered them."""
+    path = folder(stream.sparkSession, name)
+    write_batches(stream, lambda rows, batch: rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}"), f"{path}/progress")
+    return stream.sparkSession.read.schema(f"{stream.schema.toDDL()}, batch BIGINT").parquet(f"{path}/rows")
