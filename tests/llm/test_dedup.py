@@ -135,6 +135,15 @@ def test_simhash_equals_brute_force(documents):
     assert kept.count() == len({c if c is not None else (p,) for (_, _, c), p in zip(expected, prints, strict=True)})
 
 
+def test_names_of_columns_do_not_clash(spark):
+    rows = [(k, f"text of {k // 2} and more words here", "mine", "own", k, 0) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, digest string, kept_id string, print bigint, source int")
+    assert {tuple(r) for r in simhash.keep_one(docs).collect()} == {r for r in rows if r[0] % 2 == 0}
+    lines = spark.createDataFrame([(k, "common\nown", f"s{k}", "mine", "own", 5) for k in range(12)], "doc_id bigint, text string, source string, key string, gone string, __key int")
+    assert {tuple(r)[3:] for r in line_dedup.remove_boilerplate(lines, min_sites=20).collect()} == {("mine", "own", 5)}
+    assert {r.text for r in line_dedup.remove_boilerplate(lines, min_sites=10).collect()} == {""}
+
+
 def test_similar_texts_are_linked_like_brute_force(documents):
     rng = random.Random(12)
     words = [f"w{k}" for k in range(400)]
@@ -177,6 +186,8 @@ def test_links_equal_brute_force(spark, distance, dense, bits):
             prints.add(p)
     prints = sorted(prints | {0, 1, 1 << 63})
     frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "print bigint")
+    pairs = {(min(a, b), max(a, b)) for a, b in ((r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(frame, bits, distance, dense).collect())}
+    assert pairs == {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= distance}
     found = {r.node % (1 << 64): r.component % (1 << 64) for r in components(simhash.links(frame, bits, distance, dense)).collect()}
     groups = {}
     for p in prints:

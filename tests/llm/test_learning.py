@@ -120,10 +120,12 @@ def test_decontamination_equals_brute_force(spark, documents, block):
     expected = [(i, *plain_scan(t, items)) for i, t in rows]
     found = [(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontamination.scan(docs, bench, block_bytes=block).collect()]
     assert sorted(map(repr, found)) == sorted(map(repr, expected))
+    runs = {(r.doc_id, r.n_hit): r.spans for r in decontamination.scan(docs, bench, block_bytes=block).collect()}
+    assert all(sum(b - a for a, b in v) == k[1] and all(x[1] < y[0] for x, y in zip(v, v[1:], strict=False)) for k, v in runs.items())
     kept = decontamination.decontaminate(docs, bench, block_bytes=block)
     assert kept.columns == docs.columns
     assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(repr(row) for row, x in zip(rows, expected, strict=True) if not x[-1])
-    cut = decontamination.decontaminate(docs, bench, remove="spans", block_bytes=1 << 24).collect()
+    cut = decontamination.decontaminate(docs, bench, remove="spans", block_bytes=block).collect()
     lengths = sorted(len(decontamination.words_of(r.text.encode())) for r in cut if r.text)
     assert lengths == sorted(x[1] - x[2] for (_, t), x in zip(rows, expected, strict=True) if t)
     assert not any(r.contaminated or r.n_hit for r in decontamination.scan(docs, bench.where("false")).collect())
@@ -142,6 +144,22 @@ def test_spans_of_several_blocks_are_judged_on_the_input(spark, documents):
     assert {len(decontamination.words_of(r.text.encode())) for r in decontamination.decontaminate(docs, bench, remove="spans", block_bytes=300).where("doc_id = 0").collect()} == {2}
 
 
+def test_columns_may_have_the_names_of_internal_ones(spark):
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(words[k : k + 30]), "mine", "own", 7) for k in range(30)] + [(40, "y", "mine", "own", 7)], "doc_id bigint, text string, digest string, found_digest string, spans int")
+    bench = spark.createDataFrame([(k, " ".join(words[k * 15 : k * 15 + 14])) for k in range(4)], "item_id bigint, text string")
+    for block, remove in product((1 << 24, 40), ("documents", "spans")):
+        found = decontamination.decontaminate(docs, bench, remove=remove, block_bytes=block)
+        assert found.columns == docs.columns and {tuple(r)[2:] for r in found.collect()} == {("mine", "own", 7)}
+
+
+def test_an_index_is_small():
+    rng = random.Random(8)
+    for words in ([f"word{k}" for k in range(5000)], list("abcdefghij")):
+        text = " ".join(rng.choices(words, k=40_000)).encode()
+        assert decontamination.WindowIndex([(1, text), (2, text)]).nbytes < decontamination.INDEX_LEAST + decontamination.INDEX_SHARE * 2 * len(text)
+
+
 def corpus(seed):
     rng = random.Random(seed)
     letters = {"en": "etaoinshrdlu", "fr": "esaitnruléàô", "de": "enisratdhuüö"}
@@ -176,16 +194,41 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     rows = corpus(2)
     other = [(i, t, "xx" if zlib.crc32(str(i).encode()) % 5 == 0 else lang) for i, t, lang in rows]
     a, b = (language_id.fit(spark.createDataFrame(x, "doc_id bigint, text string, lang string")) for x in (rows, other))
-    assert a.languages == b.languages and all((x.grams == y.grams).all() and (x.log_p == y.log_p).all() for x, y in zip(a.levels, b.levels, strict=True))
+    assert a.languages == b.languages and all((x.grams == y.grams).all() and (x.log_p == y.log_p).all() for x, y in zip(a.blocks[0], b.blocks[0], strict=True))
 
 
 def test_probabilities_sum_to_one():
     grams = {"de": {"    a": 3, "   ab": 2, "  aba": 2, " abab": 1, "ababa": 4, "baba ": 1}, "en": {"    b": 2, "   bb": 1}}
+    grams |= {f"x{k}": {"    c": 1, "   ca": k + 1} for k in range(5)}
     model = language_id.KneserNey(grams)
-    symbols = [int(model.symbol[ord(c)]) for c in " ab"] + [0]
-    for context in ((0, 0, 0, 0), tuple(int(model.symbol[ord(c)]) for c in "abab"), tuple(int(model.symbol[ord(c)]) for c in "   b")):
-        code = 0
-        for c in context:
-            code = code << language_id.SYMBOL_BITS | c
-        total = np.exp(model._at(language_id.ORDER, np.array([code << language_id.SYMBOL_BITS | s for s in symbols]))).sum(axis=0)
-        assert np.allclose(total, 1, atol=1e-5)
+    known = [ord(c) for c in " abc"]
+    for context in ("    ", "abab", "   b"):
+        rows = np.array([[s, *map(ord, reversed(context))] for s in [*known, 0x4E00]], dtype=np.uint64)
+        assert np.allclose(np.exp(model.log_p(rows)).sum(axis=0), 1, atol=1e-5)
+
+
+def test_numerals_are_no_letters(spark):
+    model = language_id.fit(spark.createDataFrame(corpus(3), "doc_id bigint, text string, lang string"))
+    rows = [(k, t) for k, t in enumerate(["\u00b2", "\u00bd", "\u2460 \u2167", "12_", "a\u00bd", "\u65e5", "\U0001d7ce"])]
+    found = {r.doc_id: r.lang_pred for r in language_id.predict(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    assert [found[k] == "und" for k in range(7)] == [True, True, True, True, False, False, True]
+
+
+def test_many_letters_and_languages(spark):
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 6000)]
+    lexicon = {f"l{k:03d}": letters[k * 30 : k * 30 + 30] for k in range(200)}
+    rows = [(k, "".join(rng.choices(lexicon[lang], k=60)), lang) for k, lang in enumerate(sorted(lexicon) * 8)]
+    rows += [(10_000 + k, rows[0][1], rows[0][2]) for k in range(2)] + [(5, rows[5][1], rows[5][2])] * 50 + [(20_000, "x" * 90_000, "long")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(docs, sample_docs=20, sample_chars=1000)
+    assert len(model.languages) == 201 and "long" in model.languages
+    found = language_id.predict(docs, model).collect()
+    truth = {i: lang for i, _, lang in rows}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in found) / len(found) > 0.99 and len(found) == len(rows)
+
+
+def test_labels_of_sampled_rows_are_bounded(spark):
+    rows = [(k, "some words here", "aa") for k in range(500)] + [(1000 + k, "andere worte da", "bb") for k in range(3)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_docs=5)
+    assert model.languages == ["aa", "bb"]

@@ -2,38 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wellspring.scratch import kept, shared_folder
+
+__all__ = ["byte_list", "cut", "free", "kept", "pieces", "table", "utf8"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    The folder is the session's (``spark.checkpoint.dir``). Only where none is named, as in local tests, a new one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    """``df`` computed once and kept in the shared checkpoint folder (see ``wellspring.scratch``), so that a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Like :func:`cut`, but as a Parquet table in the checkpoint folder: compressed, for larger rows. The table stays until the folder is emptied."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    path = f"{sc.getCheckpointDir().rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def free(columns: Iterable[str], name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__`` and so on that is none of the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def utf8(column: str = "text"):

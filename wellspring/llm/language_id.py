@@ -1,14 +1,18 @@
 """Language ID by interpolated Kneser-Ney character models, one per language, with a calibrated rejection.
 
-The models are fitted on a bounded sample of labelled rows: of each language, the ``sample_docs`` rows of at most ``sample_chars`` characters whose ids hash
-lowest. One in ten of them is held back to calibrate the rejection. Spark counts the sample's character n-grams; the model made of the counts is broadcast
-and, like the sample, bounded. Every document is then scored whole, in parallel, without a shuffle.
-
-A model is, for each order, a sorted array of n-gram hashes (characters packed into 64 bits, so that equal hashes are equal n-grams) with one column of
-log-probabilities per language, and the same for contexts with their back-off weights. A text's language is the one of least cross-entropy per character.
-
-A text is lower-cased and every run of other characters than letters becomes one space. Null texts and texts without a letter are ``und`` with score 0. Rows
-with null text or label are not learned from. Repeated rows are scored alike. If nothing can be learned, every row is ``und``. An empty table gives an empty result.
+The models are fitted on a bounded sample of labelled rows: of each language, the ``sample_docs`` rows whose hashes are lowest, of each of them all or a hashed window
+of ``sample_chars`` characters, fewer where there are so many languages that all together would pass ``sample_total`` characters. One in ten of the rows is held
+back to calibrate the rejection. Only hashes are ranked, those below a limit that follows from the number of rows of the language; the texts are fetched
+afterwards. Spark counts the sample's character n-grams; the model made of the counts is broadcast and, like the sample, bounded. Every document is then
+scored whole, in parallel, without a shuffle.
+
+A model is, for each order, a sorted array of n-gram hashes (64 bits of sums of characters times odd numbers, for any alphabet) with one column of
+log-probabilities for each of ``BLOCK`` languages, and the same for contexts with their back-off weights. A text's language is the one of least cross-entropy per
+character, of equal ones the first by name.
+
+A text is lower-cased and every run of other characters than letters (Unicode's categories of letters, so not ``2/3`` or numerals in one sign) becomes one space. Null
+texts and texts without a letter are ``und`` with score 0. Rows with null text, label or id are not learned from; a row with a null id counts as held out. Repeated
+rows are learned from once and scored alike. Very long texts are scored whole. If nothing can be learned, every row is ``und``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,20 +27,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellspring.llm._common import pieces
+from wellspring.llm._common import cut, kept, pieces
+from wellspring.scratch import BROADCAST_ROWS
 
 ORDER = 5
-SYMBOL_BITS = 12
+BLOCK = 4
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
+SAMPLE_TOTAL = 32_000_000
 MARGIN = 1.0
 #: Nats by which a text of one character may exceed its limit; of n characters by the square root of n less, as a mean of n terms varies.
 SHORT = 4.0
 UNKNOWN = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
+# Numerals that are neither letters nor decimal digits, which the pattern's word characters take in.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_OTHER = re.compile(rf"[\W\d_{re.escape(_NUMERALS)}]+")
 _PAD = " " * (ORDER - 1)
-_MASK = (1 << SYMBOL_BITS) - 1
+_WEIGHT = np.random.default_rng(23).integers(1, 2**63, size=ORDER, dtype=np.uint64) | np.uint64(1)
 
 
 def normalise(text: str | None) -> str:
@@ -60,80 +68,66 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys if len(sorted_keys) else np.zeros(len(keys), dtype=bool)
 
 
+def _points(line: str) -> np.ndarray:
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+def _hashes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of ``ORDER`` characters, the last one first: the hashes of their n-grams and of these n-grams' contexts, a column per order."""
+    own = np.cumsum((symbols + np.uint64(1)) * _WEIGHT, axis=1, dtype=np.uint64)
+    before = np.zeros_like(own)
+    before[:, 1:] = np.cumsum((symbols[:, 1:] + np.uint64(1)) * _WEIGHT[:-1], axis=1, dtype=np.uint64)
+    return own, before
+
+
 class KneserNey:
-    """Models of all languages; ``limits`` has each language's largest cross-entropy that is not rejected."""
+    """Models of all languages, in blocks; ``limits`` has each language's largest cross-entropy that is not rejected."""
 
     def __init__(self, counts: dict[str, dict[str, int]]):
         self.languages = sorted(counts)
-        symbols = Counter()
-        for grams in counts.values():
-            for gram, n in grams.items():
-                symbols[gram[-1]] += n
-        kept = sorted(symbols, key=lambda c: (-symbols[c], c))[: _MASK - 1]
-        self.symbol = np.zeros(0x110000, dtype=np.uint16)
-        for k, c in enumerate(kept):
-            self.symbol[ord(c)] = k + 1
         self.limits = np.full(len(self.languages), np.inf)
-        self.base = -np.log(len(kept) + 1.0)
-        tables = [self._tables(counts[language]) for language in self.languages]
-        self.levels: list[Level] = []
-        for order in range(1, ORDER + 1 if tables else 1):
-            grams = np.unique(np.concatenate([t[order - 1][0] for t in tables]))
+        self.base = -np.log(len({gram[-1] for grams in counts.values() for gram in grams}) + 1.0)
+        self.blocks = [self._block([_tables(counts[language]) for language in self.languages[k : k + BLOCK]]) for k in range(0, len(self.languages), BLOCK)]
+
+    def _block(self, tables: list) -> list[Level]:
+        levels: list[Level] = []
+        for order in range(1, ORDER + 1):
+            grams, first = np.unique(np.concatenate([t[order - 1][0] for t in tables]), return_index=True)
+            own, before = _hashes(np.concatenate([t[order - 1][4] for t in tables])[first])
             contexts = np.unique(np.concatenate([t[order - 1][2] for t in tables]))
-            lower = self._at(order - 1, grams & ((1 << SYMBOL_BITS * (order - 1)) - 1))
+            lower = self._at(levels, len(tables), own, before)
             log_p, back_off = np.empty((len(grams), len(tables)), dtype=np.float32), np.zeros((len(contexts), len(tables)), dtype=np.float32)
+            c_at, _ = _find(contexts, before[:, order - 1])
             for k, table in enumerate(tables):
-                own, share, own_contexts, weight = table[order - 1]
+                held, share, own_contexts, weight, _ = table[order - 1]
                 at, known = _find(own_contexts, contexts)
                 back_off[known, k] = np.log(weight[at[known]])
-                at, known = _find(own, grams)
-                c_at, _ = _find(contexts, grams >> SYMBOL_BITS)
+                at, known = _find(held, grams)
                 p = np.exp(back_off[c_at, k] + lower[:, k])
                 p[known] += share[at[known]]
                 log_p[:, k] = np.log(p)
-            self.levels.append(Level(grams, log_p, contexts, back_off))
-
-    def _codes(self, symbols: np.ndarray, order: int) -> np.ndarray:
-        """Hashes of the n-grams that end at each symbol from the (ORDER-1)th on."""
-        n = len(symbols) - ORDER + 1
-        out = np.zeros(max(n, 0), dtype=np.int64)
-        for k in range(order):
-            out = (out << SYMBOL_BITS) | symbols[ORDER - order + k : ORDER - order + k + n]
-        return out
-
-    def _tables(self, grams: dict[str, int]) -> list[tuple[np.ndarray, ...]]:
-        """By order: n-grams, their discounted shares, contexts, and the contexts' weights for lower orders."""
-        flat = self.symbol[np.frombuffer("".join(grams).encode("utf-32-le"), dtype=np.uint32)].reshape(-1, ORDER).astype(np.int64)
-        codes = np.zeros(len(flat), dtype=np.int64)
-        for k in range(ORDER):
-            codes = (codes << SYMBOL_BITS) | flat[:, k]
-        codes, where = np.unique(codes, return_inverse=True)
-        counts = np.bincount(where, weights=np.fromiter(grams.values(), dtype=float, count=len(grams)))
-        out = []
-        for order in range(ORDER, 0, -1):
-            once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-            discount = once / (once + 2 * twice) if once and twice else 0.5
-            contexts, of = np.unique(codes >> SYMBOL_BITS, return_inverse=True)
-            total, types = np.bincount(of, weights=counts), np.bincount(of)
-            out.append((codes, (counts - discount) / total[of], contexts, discount * types / total))
-            codes, seen = np.unique(codes & ((1 << SYMBOL_BITS * (order - 1)) - 1), return_counts=True)
-            counts = seen.astype(float)
-        return out[::-1]
-
-    def _at(self, order: int, grams: np.ndarray) -> np.ndarray:
-        """Log-probabilities of n-grams of ``order``, by way of lower orders where they are not known; (n, languages)."""
-        total = np.zeros((len(grams), len(self.languages)), dtype=np.float32)
-        rest = np.arange(len(grams))
-        for k in range(order, 0, -1):
-            level, own = self.levels[k - 1], grams[rest] & ((1 << SYMBOL_BITS * k) - 1)
-            at, known = _find(level.grams, own)
+            levels.append(Level(grams, log_p, contexts, back_off))
+        return levels
+
+    def _at(self, levels: list[Level], width: int, own: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Log-probabilities of n-grams of the levels' highest order, by way of lower orders where they are not known; (n, languages of the block)."""
+        total = np.zeros((len(own), width), dtype=np.float32)
+        rest = np.arange(len(own))
+        for k in range(len(levels), 0, -1):
+            level = levels[k - 1]
+            at, known = _find(level.grams, own[rest, k - 1])
             total[rest[known]] += level.log_p[at[known]]
-            rest, own = rest[~known], own[~known]
-            at, known = _find(level.contexts, own >> SYMBOL_BITS)
+            rest = rest[~known]
+            at, known = _find(level.contexts, before[rest, k - 1])
             total[rest[known]] += level.back_off[at[known]]
         total[rest] += self.base
         return total
 
+    def log_p(self, symbols: np.ndarray) -> np.ndarray:
+        """Log-probabilities under every language of the first of each row of characters (last one first), after the others."""
+        own, before = _hashes(symbols)
+        return np.hstack([self._at(levels, levels[0].log_p.shape[1], own, before) for levels in self.blocks])
+
     def cross_entropy(self, texts: list[str]) -> np.ndarray:
         """Nats per character of each normalised text under each language; infinite for empty texts."""
         out = np.full((len(texts), len(self.languages)), np.inf)
@@ -141,20 +135,42 @@ class KneserNey:
         if not full or not self.languages:
             return out
         sizes = np.array([len(texts[k]) for k in full])
-        symbols = self.symbol[np.frombuffer((_PAD + _PAD.join(texts[k] for k in full)).encode("utf-32-le"), dtype=np.uint32)].astype(np.int64)
-        grams = self._codes(symbols, ORDER)
+        points = _points(_PAD + _PAD.join(texts[k] for k in full))
+        n = len(points) - ORDER + 1
+        grams = np.zeros(n, dtype=np.uint64)
+        for k in range(ORDER):
+            grams += (points[ORDER - 1 - k : ORDER - 1 - k + n] + np.uint64(1)) * _WEIGHT[k]
         starts = np.concatenate(([0], np.cumsum(sizes[:-1] + len(_PAD))))
-        inside = np.zeros(len(grams) + 1, dtype=np.int8)
+        inside = np.zeros(n + 1, dtype=np.int8)
         inside[starts] += 1
         np.subtract.at(inside, starts + sizes, 1)
-        grams = grams[np.cumsum(inside[:-1]) > 0]
-        distinct, where = np.unique(grams, return_inverse=True)
-        log_p = self._at(ORDER, distinct)[where]
+        own = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+        _, first, where = np.unique(grams[own], return_index=True, return_inverse=True)
+        log_p = self.log_p(points[own[first][:, None] + np.arange(ORDER - 1, -1, -1)])[where]
         ends = np.cumsum(sizes)
         out[full] = -np.add.reduceat(log_p, ends - sizes, axis=0, dtype=np.float64) / sizes[:, None]
         return out
 
 
+def _tables(grams: dict[str, int]) -> list[tuple[np.ndarray, ...]]:
+    """By order: n-grams, their discounted shares, contexts, the contexts' weights for lower orders, and the n-grams' characters, last one first."""
+    symbols = _points("".join(grams)).reshape(-1, ORDER)[:, ::-1]
+    counts = np.fromiter(grams.values(), dtype=float, count=len(grams))
+    out = []
+    for order in range(ORDER, 0, -1):
+        own, before = _hashes(symbols)
+        codes, first, where = np.unique(own[:, order - 1], return_index=True, return_inverse=True)
+        counts = np.bincount(where, weights=counts)
+        once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        contexts, of = np.unique(before[first, order - 1], return_inverse=True)
+        total, types = np.bincount(of, weights=counts), np.bincount(of)
+        symbols = symbols[first]
+        out.append((codes, (counts - discount) / total[of], contexts, discount * types / total, symbols))
+        counts = np.ones(len(codes))
+    return out[::-1]
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: Counter = Counter()
@@ -199,19 +215,30 @@ def _keep(shared, text_col: str):
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """Whether a row is never learned from: its id's CRC-32 is a multiple of 5."""
+    """Whether a row is never learned from: its id is null or its id's CRC-32 is a multiple of 5."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, margin: float = MARGIN) -> KneserNey:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_total: int = SAMPLE_TOTAL, margin: float = MARGIN) -> KneserNey:
     """Models of the languages among rows that are not held out.
 
     A language's limit is the largest cross-entropy of its calibration rows plus ``margin`` nats; a language without such rows has no limit.
     """
-    order = Window.partitionBy("lang").orderBy("at", "id", "text")
-    usable = docs.where(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) <= sample_chars))
-    sample = usable.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("at"))
-    sample = sample.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs).select("id", "lang", "text", "k")
+    usable = docs.where(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("at"), F.col(text_col).alias("text"))
+    rows = usable.groupBy("lang").agg(F.count("*").alias("n")).cache()
+    # Of a language of n rows those whose hashes lie below a share of all that holds some four times as many rows as are wanted.
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs + 64) / F.col("n"))
+    limit = rows.select("lang", F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * 2.0**63).cast("bigint")).alias("limit"))
+    languages = max(1, rows.count())
+    chars = max(1, min(sample_chars, sample_total // (languages * sample_docs)))
+    order = Window.partitionBy("lang").orderBy("at")
+    low = usable.select("lang", "at").join(limit, "lang").where(F.col("at").bitwiseAND(F.lit((1 << 63) - 1)) <= F.col("limit")).select("lang", "at").distinct()
+    ranked = cut(low.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs))
+    rows.unpersist()
+    start = F.pmod(F.col("at"), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
+    # The ranking has at most ``sample_docs`` rows a language, of 30 bytes; it is broadcast while that is some megabytes.
+    chosen = F.broadcast(ranked) if languages * sample_docs <= BROADCAST_ROWS else ranked
+    sample = kept(usable.join(chosen, ["lang", "at"]).select("lang", "k", F.substring("text", start, F.lit(chars)).alias("text")).dropDuplicates(["lang", "k"]))
     grams = sample.where("k % 10 <> 0 or k = 1").mapInArrow(_count_grams, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
     for row in grams.toPandas().sort_values(["lang", "gram"]).itertuples(index=False):

@@ -8,7 +8,7 @@ Only DataFrame functions are used. Lines go through the shuffle as 8-byte hashes
 a very common line is one row of each task. Removal joins back the positions of the hit lines by document, not by line, so a line that a third of all documents have stays spread.
 
 Null text stays null and has no lines; an empty text has one line, which is blank. A null site counts as no site. Repeated rows are treated alike, and
-count once per site. An empty table gives an empty result. Columns of the same name as an internal one do not clash: those start with two underscores.
+count once per site. Very long texts are one row of lines each. An empty table gives an empty result. Columns of the documents may have any names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.llm._common import cut
+from wellspring.llm._common import cut, free
 
 MIN_SITES = 10
 LG_K = 12
@@ -44,20 +44,23 @@ def boilerplate(docs: DataFrame, text_col: str = "text", site_col: str = "source
 
 
 def _hits(docs: DataFrame, lines: DataFrame, key: Column, text_col: str) -> DataFrame:
-    """The positions of the lines to remove, by document."""
-    placed = docs.where(F.col(text_col).isNotNull()).select(key.alias("__key"), F.posexplode(_lines(F.col(text_col))).alias("__at", "__text")).where(~_blank(F.col("__text"))).select("__key", "__at", F.xxhash64("__text").alias("line"))
-    return placed.join(lines.select("line"), "line", "left_semi").groupBy("__key").agg(F.sort_array(F.collect_set("__at")).alias("__gone"))
+    """The positions of the lines to remove (``gone``), by document (``key``)."""
+    placed = docs.where(F.col(text_col).isNotNull()).select(key.alias("key"), F.posexplode(_lines(F.col(text_col))).alias("at", "line_text")).where(~_blank(F.col("line_text"))).select("key", "at", F.xxhash64("line_text").alias("line"))
+    return placed.join(lines.select("line"), "line", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("gone"))
 
 
-def _kept(text_col: str) -> Column:
-    return F.filter(_lines(F.col(text_col)), lambda _, i: ~F.array_contains("__gone", i))
+def _kept(text_col: str, gone: str) -> Column:
+    return F.filter(_lines(F.col(text_col)), lambda _, i: ~F.array_contains(gone, i))
 
 
-def _joined(docs: DataFrame, text_col: str, id_col: str, site_col: str, **rule) -> DataFrame:
-    """``docs`` with ``__gone``, the positions of its lines that are boilerplate, or null."""
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col))
-    hits = _hits(docs, boilerplate(docs, text_col, site_col, **rule), key, text_col)
-    return docs.withColumn("__key", key).join(hits, "__key", "left").drop("__key")
+def _joined(docs: DataFrame, text_col: str, id_col: str, site_col: str, **rule) -> tuple[DataFrame, str]:
+    """``docs`` with the positions of its lines that are boilerplate, or null, and the name of that column, which is none of its own."""
+    gone, key = free(docs.columns, "gone"), free(docs.columns, "key")
+    # Two hashes, as of very many documents some share one.
+    row = [F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)]
+    both = F.struct(F.xxhash64(*row).alias("a"), F.xxhash64(F.lit(1), *row).alias("b"))
+    hits = _hits(docs, boilerplate(docs, text_col, site_col, **rule), both, text_col).select(F.col("key").alias(key), F.col("gone").alias(gone))
+    return docs.withColumn(key, both).join(hits, key, "left").drop(key), gone
 
 
 def remove_boilerplate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", site_col: str = "source", **rule) -> DataFrame:
@@ -65,14 +68,15 @@ def remove_boilerplate(docs: DataFrame, text_col: str = "text", id_col: str = "d
 
     ``rule``: ``min_sites``, ``lg_k``, ``margin`` of :func:`boilerplate`.
     """
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(_kept(text_col), "\n"))
-    return _joined(docs, text_col, id_col, site_col, **rule).withColumn(text_col, text).select(*docs.columns)
+    joined, gone = _joined(docs, text_col, id_col, site_col, **rule)
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(_kept(text_col, gone), "\n"))
+    return joined.withColumn(text_col, text).select(*docs.columns)
 
 
 def report(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", site_col: str = "source", **rule) -> DataFrame:
     """One row per document: its id, ``n_lines``, ``n_removed`` and ``kept_sha256`` of the text that stays (null: empty)."""
-    kept = F.when(F.col("__gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(_kept(text_col), "\n"))
+    found, gone = _joined(docs.select(id_col, text_col, site_col), text_col, id_col, site_col, **rule)
+    kept = F.when(F.col(gone).isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(_kept(text_col, gone), "\n"))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(_lines(F.col(text_col))))
-    n_removed = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))
-    found = _joined(docs.select(id_col, text_col, site_col), text_col, id_col, site_col, **rule)
+    n_removed = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone))
     return found.select(id_col, n_lines.cast("bigint").alias("n_lines"), n_removed.cast("bigint").alias("n_removed"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))

@@ -4,9 +4,10 @@ Two sets of similarity t have a shingle in common among the first n - ceil(t n)
 many texts share come last in that order, so that a passage common to many texts brings no two of them together; which these are is taken from a sample,
 which decides the work and not the result. Sets that meet at a shingle are candidates and are compared as a whole.
 
-Equal sets are one node. Of the sets that meet at a shingle, each is first compared with one of them, another one at each shingle; what is tied
-together then needs no further comparison, and only pairs that are still apart are compared one by one. So a large group of near copies does not
-make all its pairs, but a crowd of sets that share rare shingles without being similar does.
+Equal sets are one node. Only the first shingles are moved for the search, and only texts that meet another are moved for the comparison. In ``ROUNDS`` rounds each
+set is compared with one other, that of the sets chosen at its shingles that it meets most often; what is tied together needs no further comparison. Only pairs
+that are still apart are compared one by one. So a large group of near copies does not make all its pairs, but a crowd of sets that share rare shingles without
+being similar does.
 
 Null, empty and wordless texts have the empty set. Texts of fewer words than ``width`` have one shingle, all their words. Case is ignored for A-Z.
 """
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.llm import _hashing as H
@@ -29,7 +30,7 @@ from wellspring.llm.components import components
 SAMPLE = 20_000
 COMMON = 16
 MOST_COMMON = 1 << 18
-TRIES = 8
+ROUNDS = 3
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -49,63 +50,82 @@ def set_name(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def _lists(found: list[np.ndarray]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32()), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *found])))
+def first_keys(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, the common ones last: one at least of them is among those of any set that is similar enough."""
+    late = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles if len(common) else np.zeros(len(shingles), dtype=bool)
+    return np.concatenate((shingles[~late], shingles[late]))[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]
 
 
-def _set_rows(width: int):
+def common_shingles(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
+    """The shingles that occur most in a sample of about ``SAMPLE`` rows, ``MOST_COMMON`` at most, sorted."""
+    part = max(1, docs.count() // SAMPLE)
+    sample = docs.select(utf8(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             found = [shingle_set(t, width) for t in byte_list(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array([set_name(x) for x in found], pa.int64()), _lists(found)], names=["name", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, dtype=np.int64), *found]))], names=["key"])
 
-    return run
+    seen = sample.mapInArrow(run, "key bigint").groupBy("key").count().where(F.col("count") >= COMMON)
+    return np.sort(np.array([r.key for r in seen.orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()], dtype=np.int64))
 
 
-def _prefix_rows(shared, similarity: float):
+def _compare(width: int, similarity: float):
+    """A batch function: the pairs (a, b) whose texts' sets are similar enough. Rows of one b stand together, so its set is made once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
-        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
-            names, sizes, found = batch.column("name").to_numpy(), [], []
-            offsets, values = batch.column("shingles").offsets.to_numpy(), batch.column("shingles").values.to_numpy()
-            for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                own = values[start:end]
-                late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own if len(common) else np.zeros(len(own), dtype=bool)
-                found.append(np.concatenate((own[~late], own[late]))[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1])
-                sizes.append(len(own))
-            reach = [len(x) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, reach)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), reach)), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *found]))], names=["name", "size", "key"])
+        last, held = None, None
+        for batch in (small for whole in pieces(batches, "text_a") for small in pieces(iter([whole]), "text_b")):
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            good = []
+            for name, x, y in zip(b, byte_list(batch.column("text_a")), byte_list(batch.column("text_b")), strict=True):
+                if name != last:
+                    last, held = name, shingle_set(y, width)
+                own = shingle_set(x, width)
+                both = len(np.intersect1d(own, held, assume_unique=True))
+                good.append((1 + similarity) * both >= similarity * (len(own) + len(held)) - 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def similar_links(docs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of set names, a < b, of the given similarity or more, whose components are those of all such pairs."""
+def similar_links(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of set names of the given similarity or more, whose components are those of all such pairs.
+
+    ``found``: id, digest (of the text), name, size and keys (:func:`first_keys`) of every row of ``docs``.
+    """
     if not 0 < similarity <= 1:
         raise ValueError("a similarity is over 0 and at most 1")
-    sets = docs.select(utf8(text_col).alias("text")).mapInArrow(_set_rows(width), "name bigint, shingles array<bigint>")
-    sets = kept(sets.groupBy("name").agg(F.first("shingles").alias("shingles")))
-    part = max(1, sets.count() // SAMPLE)
-    seen = sets.where(F.pmod(F.xxhash64("name"), F.lit(part)) == 0).select(F.explode("shingles").alias("key")).groupBy("key").count().where(F.col("count") >= COMMON)
-    common = np.sort(np.array([r.key for r in seen.orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()], dtype=np.int64))
-    met = sets.mapInArrow(_prefix_rows(docs.sparkSession.sparkContext.broadcast(common), similarity), "name bigint, size int, key bigint")
-    place = Window.partitionBy("key")
-    first = F.min(F.struct(F.xxhash64("name", "key").alias("of"), "name", "size")).over(place)
-    met = kept(met.withColumn("n", F.count("*").over(place)).withColumn("first", first).where("n > 1").select("name", "size", "key", F.col("first.name").alias("to"), F.col("first.size").alias("to_size")))
+    reps = found.groupBy("name").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    each = reps.select("name", "size", F.explode("keys").alias("key"))
+    several = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = kept(each.join(several, "key", "left_semi"))
+    wanted = found.join(met.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("rep"))
+    wanted = wanted.select("name", F.col("rep.id").alias("rep_id"), F.col("rep.digest").alias("rep_digest"))
+    named = docs.select(F.col(id_col).alias("id"), F.xxhash64(utf8(text_col)).alias("digest"), utf8(text_col).alias("text"))
+    texts = named.join(wanted, named["digest"].eqNullSafe(wanted["rep_digest"]) & named["id"].eqNullSafe(wanted["rep_id"]))
+    texts = kept(texts.groupBy("name").agg(F.first("text").alias("text")))
 
     def fits(a: str, b: str):
         return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - F.lit(1e-9)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("name").alias(x), F.col("shingles").alias(f"of_{x}")) for x in ("a", "b"))
-        both = F.size(F.array_intersect("of_a", "of_b"))
-        return cut(pairs.join(a, "a").join(b, "b").where(F.lit(1 + similarity) * both >= F.lit(similarity) * (F.size("of_a") + F.size("of_b")) - F.lit(1e-9)).select("a", "b"))
-
-    turn = F.row_number().over(Window.partitionBy("name").orderBy("key"))
-    tries = met.where(F.col("name") != F.col("to")).where(fits("size", "to_size")).withColumn("turn", turn).where(F.col("turn") <= TRIES)
-    tried = similar(tries.select(F.least("name", "to").alias("a"), F.greatest("name", "to").alias("b")).distinct())
-    named = met.select("name", "size", "key").join(components(tried).withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    apart = named.withColumn("low", F.min("component").over(place)).withColumn("high", F.max("component").over(place)).where("low < high")
+        a, b = (texts.select(F.col("name").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
+        return cut(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare(width, similarity), "a bigint, b bigint"))
+
+    tied = None
+    for turn in range(ROUNDS):
+        placed = met if tied is None else met.join(components(tied).withColumnRenamed("node", "name"), "name", "left")
+        placed = placed.withColumn("component", F.col("name") if tied is None else F.coalesce("component", "name"))
+        order = F.col("name") if turn == 0 else F.xxhash64("name", F.lit(turn))
+        first = placed.groupBy("key").agg(F.min(F.struct(order.alias("at"), "name", "size", "component")).alias("to"))
+        tries = placed.join(first, "key").where(F.col("component") != F.col("to.component")).where(fits("size", "to.size"))
+        best = tries.groupBy("name", F.col("to.name").alias("b")).agg(F.count("*").alias("n")).groupBy("name").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+        new = similar(best.withColumnRenamed("name", "a"))
+        tied = new if tied is None else tied.unionByName(new)
+    placed = kept(met.join(components(tied).withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name")))
+    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    apart = placed.join(apart, "key", "left_semi")
     x, y = (apart.select("key", F.col("name").alias(k), F.col("size").alias(f"size_{k}"), F.col("component").alias(f"component_{k}")) for k in ("a", "b"))
     rest = x.join(y, "key").where("a < b and component_a <> component_b").where(fits("size_a", "size_b")).select("a", "b").distinct()
-    return tried.unionByName(similar(rest))
+    return tied.unionByName(similar(rest)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
