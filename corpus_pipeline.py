@@ -1,8 +1,14 @@
-"""From raw documents to packed sequences: the stages in order, each written and read again before the next."""
+"""From raw documents to packed sequences: the stages in order, each written and read again before the next.
+
+Documents with null text or without a letter, empty ones among them, have no language and go in the first stage. Line dedup takes lines out and leaves the documents, even
+those that end up empty. Repeated rows, equal texts and near copies are one document after the third stage, that of the smallest id, null ids last. Very long texts are
+read whole. Columns of the documents may have any names. Empty tables give no pieces; an empty benchmark removes nothing.
+
+On a cluster ``spark.checkpoint.dir`` must name the shared folder. A stage's own tables are deleted once its rows are written, and these once the next stage's are.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +17,7 @@ from pyspark.sql import functions as F
 from wellspring.llm import decontamination, language_id, line_dedup, packing, simhash
 from wellspring.llm._common import table
 from wellspring.llm.queries import TOKENIZER
+from wellspring.scratch import forget, remove, shared_folder, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,16 +48,19 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", identify_language), ("line_dedup", remove_lines), ("simhash_near_dedup", one_of_near_duplicates), ("benchmark_decontamination", decontaminate), ("packing", pack)]
 
-#: SQL cannot express the trained and iterative stages; tests hold them against plain versions.
+#: SQL cannot express the trained and iterative stages; ``tests/llm/test_pipeline.py`` holds them against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each stage's rows kept as Parquet in the shared checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
-    base = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        mark, path = written(spark), f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        forget(spark, mark)
+        if last is not None:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs

@@ -35,9 +35,15 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> int:
-    """Deletes the tables that :func:`kept` has written for this application so far, and says how many. What still reads them must be written by then."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
+def written(spark: SparkSession) -> int:
+    """How many tables :func:`kept` has written for this application: a mark for :func:`forget`."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def forget(spark: SparkSession, mark: int = 0) -> int:
+    """Deletes the tables that :func:`kept` has written since the mark, and says how many. What reads them must be written by then."""
+    held = _written.get(spark.sparkContext.applicationId, [])
+    paths, held[mark:] = held[mark:], []
     for path in paths:
         remove(spark, path)
     return len(paths)
