@@ -17,6 +17,10 @@ from wellspring.scratch import written
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
 def plain_lines(rows):
     sites = {}
     for _, t, _, s, _ in rows:
@@ -31,7 +35,7 @@ def plain_lines(rows):
 
 
 def plain_near(rows):
-    shingles = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t, *_ in rows]
+    shingles = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := lower(t or "").split()) else set() for _, t, *_ in rows]
     prints = [simhash.fingerprint_of((t or "").encode()) for _, t, *_ in rows]
     label = list(range(len(rows)))
     for a in range(len(rows)):
@@ -46,7 +50,7 @@ def plain_near(rows):
 
 
 def plain_clean(rows, items):
-    fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
     windows = {tuple(w[k : k + 13]) for t in items for w in [fold(t)] for k in range(len(w) - 12)}
     out = []
     for row in rows:
@@ -72,7 +76,7 @@ def tables(spark, tmp_path_factory):
     rows += [(200 + k, f"{items[k % 3]} {' '.join(rng.choices(lexicon['en'], k=n))}", "en", "s1") for k, n in enumerate((10, 40, 900, 5))]
     rows += [(300 + k, rows[k][1].replace(" ", "  ", 1), rows[k][2], "s3") for k in range(8)] + [(0, rows[0][1], rows[0][2], "s0")]
     rows += [(400 + k, " ".join([*rows[-20][1].split()[: 800 - k], "changed"]), "en", "s2") for k in range(3)]
-    rows += [(500, None, "en", "s1"), (501, "", "en", "s1"), (502, "12 ½ ?", "en", None), (503, " ".join("".join(rng.choices("qxzjkwvy", k=9)) for _ in range(30)), "en", "s1"), (504, rows[1][1].upper(), None, None)]
+    rows += [(500, None, "en", "s1"), (501, "", "en", "s1"), (502, "12 ½ ?", "en", None), (503, " ".join("".join(rng.choices("qxzjkwvy", k=9)) for _ in range(30)), None, "s1"), (504, rows[1][1].upper(), None, None)]
     rows = [(*r, None if r[1] is None else len(r[1])) for r in rows]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")

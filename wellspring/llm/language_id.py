@@ -40,15 +40,17 @@ MARGIN = 1.0
 SHORT = 4.0
 UNKNOWN = "und"
 
-# Numerals that are neither letters nor decimal digits, which the pattern's word characters take in.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_OTHER = re.compile(rf"[\W\d_{re.escape(_NUMERALS)}]+")
+_OTHER = re.compile(r"[\W\d_]+")
+# Numerals that are neither letters nor decimal digits, which the pattern above takes for letters.
+_NUMERAL = re.compile(f"[{re.escape(''.join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()))}]+")
 _PAD = " " * (ORDER - 1)
 _WEIGHT = np.random.default_rng(23).integers(1, 2**63, size=ORDER, dtype=np.uint64) | np.uint64(1)
 
 
 def normalise(text: str | None) -> str:
     """Lower-case letters and single spaces, with a space at the end; empty if there is no letter."""
+    if text and not text.isascii():
+        text = _NUMERAL.sub(" ", text)
     plain = _OTHER.sub(" ", text.lower()).strip() if text else ""
     return plain + " " if plain else ""
 
@@ -145,7 +147,9 @@ class KneserNey:
         inside[starts] += 1
         np.subtract.at(inside, starts + sizes, 1)
         own = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-        _, first, where = np.unique(grams[own], return_index=True, return_inverse=True)
+        distinct, where = np.unique(grams[own], return_inverse=True)
+        first = np.empty(len(distinct), dtype=np.int64)
+        first[where] = np.arange(len(own))
         log_p = self.log_p(points[own[first][:, None] + np.arange(ORDER - 1, -1, -1)])[where]
         ends = np.cumsum(sizes)
         out[full] = -np.add.reduceat(log_p, ends - sizes, axis=0, dtype=np.float64) / sizes[:, None]

@@ -127,7 +127,9 @@ class WordTokenizer:
         if not len(starts):
             return [np.empty(0, dtype="<u4")] * len(texts)
         hashes = H.span_hash(H.byte_prefix(data), starts, ends, H.BYTE_BASE)
-        _, place, where = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, where = np.unique(hashes, return_inverse=True)
+        place = np.empty(len(distinct), dtype=np.int64)
+        place[where] = np.arange(len(hashes))
         folded = data.tobytes()
         whole = odd[np.searchsorted(firsts, starts[place], side="right") - 1]
         parts = [folded[a:b] for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]

@@ -4,10 +4,11 @@ Two sets of similarity t have a shingle in common among the first n - ceil(t n)
 many texts share come last in that order, so that a passage common to many texts brings no two of them together; which these are is taken from a sample,
 which decides the work and not the result. Sets that meet at a shingle are candidates and are compared as a whole.
 
-Equal sets are one node. Only the first shingles are moved for the search, and only texts that meet another are moved for the comparison. In ``ROUNDS`` rounds each
-set is compared with one other, that of the sets chosen at its shingles that it meets most often; what is tied together needs no further comparison. Only pairs
-that are still apart are compared one by one. So a large group of near copies does not make all its pairs, but a crowd of sets that share rare shingles without
-being similar does.
+Equal sets are one node. Only the first shingles are moved for the search. Of a pair of candidates, first the numbers of shingles in each of ``SEGMENTS`` ranges of
+hashes are compared: their Manhattan distance is never more than the number of shingles in one set only, so where it is too large the pair is not similar. Only
+texts of pairs that pass are moved, and compared exactly. Each set is compared with ``ROUNDS`` others to begin with, those of the sets chosen at its shingles that
+it meets most often; then only pairs that are still apart. So a large group of near copies does not make all its pairs, but a crowd of sets that share rare
+shingles without being similar does.
 
 Null, empty and wordless texts have the empty set. Texts of fewer words than ``width`` have one shingle, all their words. Case is ignored for A-Z.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,13 @@ from pyspark.sql import functions as F
 from wellspring.llm import _hashing as H
 from wellspring.llm._common import byte_list, cut, kept, pieces, utf8
 from wellspring.llm.components import components
+from wellspring.scratch import BROADCAST_ROWS
 
-SAMPLE = 20_000
-COMMON = 16
+SAMPLE = 4_000
+COMMON = 4
 MOST_COMMON = 1 << 18
 ROUNDS = 3
+SEGMENTS = 256
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -56,6 +60,11 @@ def first_keys(shingles: np.ndarray, common: np.ndarray, similarity: float) -> n
     return np.concatenate((shingles[~late], shingles[late]))[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]
 
 
+def segment_counts(shingles: np.ndarray) -> bytes:
+    """How many shingles are in each range of hashes, 255 at most: a byte each. Cutting at 255 brings no two sets further apart."""
+    return np.minimum(np.bincount(shingles.view(np.uint64) >> np.uint64(56), minlength=SEGMENTS), 255).astype(np.uint8).tobytes()
+
+
 def common_shingles(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
     """The shingles that occur most in a sample of about ``SAMPLE`` rows, ``MOST_COMMON`` at most, sorted."""
     part = max(1, docs.count() // SAMPLE)
@@ -89,43 +98,57 @@ def _compare(width: int, similarity: float):
     return run
 
 
+def _may_be_similar(similarity: float):
+    """A batch function: the pairs (a, b) whose segment counts do not rule out that their sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(byte_list(batch.column(c))), dtype=np.uint8).reshape(-1, SEGMENTS).astype(np.int16) for c in ("counts_a", "counts_b"))
+            apart = np.abs(x - y).sum(axis=1)
+            both = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array((1 + similarity) * apart <= (1 - similarity) * both + 1e-9))
+
+    return run
+
+
 def similar_links(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of set names of the given similarity or more, whose components are those of all such pairs.
 
-    ``found``: id, digest (of the text), name, size and keys (:func:`first_keys`) of every row of ``docs``.
+    ``found``: id, digest (of the text), name, size, counts (:func:`segment_counts`) and keys (:func:`first_keys`) of every row of ``docs``.
     """
     if not 0 < similarity <= 1:
         raise ValueError("a similarity is over 0 and at most 1")
-    reps = found.groupBy("name").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    reps = kept(found.groupBy("name").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("rep"), F.first("size").alias("size"), F.first("counts").alias("counts"), F.first("keys").alias("keys")))
     each = reps.select("name", "size", F.explode("keys").alias("key"))
     several = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = kept(each.join(several, "key", "left_semi"))
-    wanted = found.join(met.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("rep"))
-    wanted = wanted.select("name", F.col("rep.id").alias("rep_id"), F.col("rep.digest").alias("rep_digest"))
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(utf8(text_col)).alias("digest"), utf8(text_col).alias("text"))
-    texts = named.join(wanted, named["digest"].eqNullSafe(wanted["rep_digest"]) & named["id"].eqNullSafe(wanted["rep_id"]))
-    texts = kept(texts.groupBy("name").agg(F.first("text").alias("text")))
 
     def fits(a: str, b: str):
         return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - F.lit(1e-9)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("name").alias(x), F.col("text").alias(f"text_{x}")) for x in ("a", "b"))
-        return cut(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare(width, similarity), "a bigint, b bigint"))
-
-    tied = None
+        a, b = (reps.select(F.col("name").alias(x), F.col("size").alias(f"size_{x}"), F.col("counts").alias(f"counts_{x}")) for x in ("a", "b"))
+        likely = kept(pairs.join(a, "a").join(b, "b").select("a", "b", "size_a", "size_b", "counts_a", "counts_b").mapInArrow(_may_be_similar(similarity), "a bigint, b bigint"))
+        names = likely.select(F.col("a").alias("name")).unionByName(likely.select(F.col("b").alias("name"))).distinct()
+        wanted = cut(reps.select("name", F.col("rep.id").alias("rep_id"), F.col("rep.digest").alias("rep_digest")).join(names, "name", "left_semi"))
+        if wanted.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        texts = named.join(wanted, (F.col("digest") == F.col("rep_digest")) & F.col("id").eqNullSafe(F.col("rep_id"))).groupBy("name").agg(F.first("text").alias("text"))
+        x, y = (texts.select(F.col("name").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+        return cut(likely.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare(width, similarity), "a bigint, b bigint"))
+
+    tries = []
     for turn in range(ROUNDS):
-        placed = met if tied is None else met.join(components(tied).withColumnRenamed("node", "name"), "name", "left")
-        placed = placed.withColumn("component", F.col("name") if tied is None else F.coalesce("component", "name"))
         order = F.col("name") if turn == 0 else F.xxhash64("name", F.lit(turn))
-        first = placed.groupBy("key").agg(F.min(F.struct(order.alias("at"), "name", "size", "component")).alias("to"))
-        tries = placed.join(first, "key").where(F.col("component") != F.col("to.component")).where(fits("size", "to.size"))
-        best = tries.groupBy("name", F.col("to.name").alias("b")).agg(F.count("*").alias("n")).groupBy("name").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-        new = similar(best.withColumnRenamed("name", "a"))
-        tied = new if tied is None else tied.unionByName(new)
+        first = met.groupBy("key").agg(F.min(F.struct(order.alias("at"), "name", "size")).alias("to"))
+        pairs = met.join(first, "key").where(F.col("name") != F.col("to.name")).where(fits("size", "to.size"))
+        best = pairs.groupBy("name", F.col("to.name").alias("b")).agg(F.count("*").alias("n")).groupBy("name").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+        tries.append(best.select(F.least("name", "b").alias("a"), F.greatest("name", "b").alias("b")))
+    tied = similar(reduce(DataFrame.unionByName, tries).distinct())
     placed = kept(met.join(components(tied).withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name")))
     apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    apart = placed.join(apart, "key", "left_semi")
+    apart = kept(placed.join(apart, "key", "left_semi"))
     x, y = (apart.select("key", F.col("name").alias(k), F.col("size").alias(f"size_{k}"), F.col("component").alias(f"component_{k}")) for k in ("a", "b"))
     rest = x.join(y, "key").where("a < b and component_a <> component_b").where(fits("size_a", "size_b")).select("a", "b").distinct()
-    return tied.unionByName(similar(rest)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return tied.unionByName(similar(rest))
