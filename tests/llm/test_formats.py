@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -222,6 +223,26 @@ def test_warc_audit_finds_each_fault(spark):
     assert warc.tree(warc.records(pages.where("false"))).collect() == []
 
 
+def test_a_lost_record_is_one_difference_and_files_read_back(spark, tmp_path):
+    rows = [(k, f"http://a/{k}", f"<p>{'x' * (k * 37 % 900)}é\n\r\n\r\n</p>") for k in range(300)] + [(7, "u", "same")] * 3 + [(400, "long", "y" * 30_000)]
+    made = warc.records(spark.createDataFrame(rows, "page_id bigint, url string, html string"), per_archive=100).cache()
+    warc.write_archives(made, str(tmp_path / "warc"), segment_bytes=9_000)
+    back = warc.read_archives(spark, str(tmp_path / "warc"))
+    columns = ["archive", "seq", "offset", "length", "record"]
+    assert sorted(map(tuple, back.select(columns).collect())) == sorted(map(tuple, made.select(columns).collect()))
+    heads = [bytes(r.record).split(b"\r\n\r\n")[0] for r in made.collect()]
+    assert all(b"WARC-Date: " in h and b"WARC-Record-ID: <urn:uuid:" in h for h in heads) and len(set(heads)) == len(rows)
+    levels = warc.depth(made, 4)
+    own = warc.tree(made, 4, levels)
+    # Without its record, a replica counts its places on from the next one.
+    lost = back.where("not (archive = 1 and seq = 30)").withColumn("seq", F.expr("if(archive = 1 and seq > 30, seq - 1, seq)"))
+    found = warc.audit(own, warc.tree(warc.aligned(lost, made), 4, levels), levels, 4).collect()
+    assert [(r.archive, r.seq, r.status) for r in found] == [(1, 30, "missing")]
+    more = lost.unionByName(lost.where("archive = 2 and seq = 3").withColumn("record_id", F.lit("other")))
+    found = warc.audit(own, warc.tree(warc.aligned(more, made), 4, levels), levels, 4).collect()
+    assert {(r.archive, r.status) for r in found} == {(1, "missing"), (2, "extra")} and len(found) == 2
+
+
 def test_warc_archives_are_cut_into_segments(spark):
     rows = [(7, "http://a/7", "same" * 20)] * 120 + [(7, f"http://a/{k}", "x" * (k * 31 % 400)) for k in range(200)] + [(k, "http://b", "y" * k) for k in range(20)] + [(300, "http://c", "z" * 9000), (None, None, None)]
     made = warc.records(spark.createDataFrame(rows, "page_id bigint, url string, html string"), large_bytes=20_000).cache()

@@ -27,7 +27,9 @@ def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = F.overlay(F.col("record").cast("string"), F.lit("resourcE"), F.lit(22)).cast("binary")
     replica = warc.split_archives(warc.archives(made.withColumn("record", F.when(F.sha2("record", 256).startswith("00"), damaged).otherwise(F.col("record")))))
     levels = warc.depth(made)
-    own, other = warc.tree(made, levels=levels), warc.tree(replica, levels=levels)
+    own = warc.tree(made, levels=levels)
+    hashed = replica.withColumn("hash", F.sha2("record", 256)).drop("record")
+    other = warc.tree(warc.aligned(hashed, own.where("level = 0").select("archive", F.col("node").alias("seq"))), levels=levels)
     found = warc.audit(own, other, levels).select("archive", "seq", "status")
     root = own.where(F.col("level") == levels).select("archive", F.col("hash").alias("root_sha256"))
     leaves = own.where("level = 0").select("archive", F.col("node").alias("seq"), F.col("first").alias("offset"), (F.col("end") - F.col("first")).alias("length"), F.col("hash").alias("record_sha256"))
@@ -87,10 +89,12 @@ ORACLE: dict[str, str] = {
     "op3_warc_fixity": r"""
         WITH made AS (
             SELECT page_id, CAST(floor(page_id / 256) AS BIGINT) AS archive,
-                'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(replace(replace(url, chr(13), ''), chr(10), ''), '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+                row_number() OVER (PARTITION BY CAST(floor(page_id / 256) AS BIGINT) ORDER BY page_id) - 1 AS seq, md5(CAST(floor(page_id / 256) AS BIGINT) || ':' || seq) AS u,
+                'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                || 'WARC-Record-ID: <urn:uuid:' || u[1:8] || '-' || u[9:12] || '-' || u[13:16] || '-' || u[17:20] || '-' || u[21:32] || '>' || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(replace(replace(url, chr(13), ''), chr(10), ''), '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
                 || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM pages),
         leaf AS (
-            SELECT page_id, archive, row_number() OVER o - 1 AS seq, CAST(coalesce(sum(strlen(record)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+            SELECT page_id, archive, seq, CAST(coalesce(sum(strlen(record)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
                 CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS record_sha256 FROM made WINDOW o AS (PARTITION BY archive ORDER BY page_id)),
         up1 AS (SELECT archive, seq // 16 AS node, sha256(string_agg(record_sha256, '' ORDER BY seq)) AS h FROM leaf GROUP BY ALL),
         up2 AS (SELECT archive, node // 16 AS node, sha256(string_agg(h, '' ORDER BY node)) AS h FROM up1 GROUP BY ALL)

@@ -2,14 +2,16 @@
 
 Pages become WARC records, records become archives of ``per_archive`` consecutive page ids. In an archive, records are leaves in the order of their byte
 offsets; ``fanout`` neighbouring nodes, an ordered range of offsets, make the node above, up to the archive's root. Two replicas are compared by roots, and
-only below a node that differs are its children compared, level by level, down to the records that differ. An archive's rows meet in one
+only below a node that differs are its children compared, level by level, down to the records that differ. A replica's records take their places in the tree by
+their WARC-Record-ID (see :func:`aligned`), so a lost or inserted record is one difference and shifts no other. An archive's rows meet in one
 group per node, never more than ``fanout`` of them; different archives are independent. The order of an archive of over ``large_bytes`` comes from running sums over parts of an archive (a
 page id and a range of record hashes), over hashes and lengths only, with equal records as one row. An archive's bytes are written and read in segments of about ``segment_bytes``.
 
 A node's hash is the SHA-256 of its children's hexadecimal hashes, joined; a leaf's is that of the record's bytes.
 
-Null page ids take a hash of the page in their place. Null URLs and pages are empty. Repeated rows are repeated records. A record or archive that only one
-replica has is reported as ``missing`` (not in the replica) or ``extra``. An empty table gives empty trees.
+Null page ids take a hash of the page in their place. Null URLs and pages are empty. Repeated rows are repeated records. Pages of equal ids are ordered by a hash of
+their records; those of equal hashes too are equal. Columns of the pages may have any names. A record is held whole in a task's memory, however long. A record or archive
+that only one replica has is reported as ``missing`` (not in the replica) or ``extra``. An empty table gives empty trees.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wellspring.llm._common import byte_list, cut
+from wellspring.scratch import BROADCAST_ROWS
 
 PER_ARCHIVE = 256
 FANOUT = 16
@@ -31,20 +34,35 @@ LARGE_BYTES = 32 << 20
 _BLOCK = 1 << 16
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_archive: int = PER_ARCHIVE, large_bytes: int = LARGE_BYTES) -> DataFrame:
+# The head of a record up to its id, and from there on; fixed values of the format. The pages carry no date, so it is a parameter.
+_TYPE, _ID, _DATE, _TARGET, _LENGTH = "WARC/1.1\r\nWARC-Type: resource\r\n", "WARC-Record-ID: <urn:uuid:", ">\r\nWARC-Date: ", "\r\nWARC-Target-URI: ", "\r\nContent-Type: text/html\r\nContent-Length: "
+DATE = "2024-01-01T00:00:00Z"
+
+
+def record_id(archive: Column, seq: Column) -> Column:
+    """The id of an archive's record: a hash of its place, in the form of a UUID."""
+    digest = F.md5(F.concat_ws(":", archive.cast("string"), seq.cast("string")).cast("binary"))
+    return F.concat_ws("-", *(F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_archive: int = PER_ARCHIVE, large_bytes: int = LARGE_BYTES, date: str = DATE) -> DataFrame:
     """``archive``, ``seq``, ``offset``, ``length``, ``record`` (bytes) and ``id`` of each page's record."""
     url, html = F.coalesce(F.translate(F.col(url_col), "\r\n", ""), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
-    made = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col), F.xxhash64(url_col, html_col)).alias("key"), F.concat(head, html, F.lit("\r\n\r\n")).cast("binary").alias("record"))
-    placed = made.withColumn("archive", F.floor(F.col("key") / per_archive)).withColumn("length", F.octet_length("record").cast("bigint")).withColumn("digest", F.xxhash64("record"))
+    rest = F.concat(F.lit(_DATE + date + _TARGET), url, F.lit(_LENGTH), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"))
+    made = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col), F.xxhash64(url_col, html_col)).alias("key"), rest.cast("binary").alias("record"))
+    length = F.octet_length("record").cast("bigint") + F.lit(len(_TYPE) + len(_ID) + 36)
+    placed = made.withColumn("archive", F.floor(F.col("key") / per_archive)).withColumn("length", length).withColumn("digest", F.xxhash64("record"))
     # Archives that fit a task are ranked whole, in the exchange that also serves to write them.
     big = cut(placed.groupBy("archive").agg(F.sum("length").alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > large_bytes) | (F.col("n") > large_bytes // 512)).select("archive"))
     order = Window.partitionBy("archive").orderBy("key", "digest")
-    columns = ["archive", "seq", "offset", "length", "record", "id"]
+    whole = F.concat(F.lit(_TYPE + _ID).cast("binary"), record_id(F.col("archive"), F.col("seq")).cast("binary"), F.col("record")).alias("record")
+    columns = ["archive", "seq", "offset", "length", whole, "id"]
     if big.isEmpty():
         return _ranked(placed, order).select(columns)
-    small = _ranked(placed.join(F.broadcast(big), "archive", "left_anti"), order).select(columns)
-    return small.unionByName(_ranked_by_parts(placed.join(F.broadcast(big), "archive", "left_semi")).select(columns))
+    # A small archive is over ``large_bytes`` in no case, so their number over that is what can be large, and is checked.
+    few = F.broadcast(big) if big.count() <= BROADCAST_ROWS else big
+    small = _ranked(placed.join(few, "archive", "left_anti"), order).select(columns)
+    return small.unionByName(_ranked_by_parts(placed.join(few, "archive", "left_semi")).select(columns))
 
 
 def _ranked(placed: DataFrame, order) -> DataFrame:
@@ -87,35 +105,70 @@ def _join_rows(rows: pa.Table) -> pa.Table:
 def archives(made: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """``archive``, ``segment``, ``first``, ``start`` (number and offset of its first record) and ``content``, its records' bytes in order.
 
-    The records that start in a stretch of ``segment_bytes`` are a segment; a record has 90 bytes at least, so a segment's rows are bounded too.
+    The records that start in a stretch of ``segment_bytes`` are a segment; a record has 150 bytes at least, so a segment's rows are bounded too.
     """
     cutting = made.select("archive", F.floor(F.col("offset") / segment_bytes).alias("segment"), "seq", "offset", "record")
     return cutting.groupBy("archive", "segment").applyInArrow(_join_rows, "archive bigint, segment bigint, first bigint, start bigint, content binary")
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SPLIT = "archive bigint, seq bigint, offset bigint, length bigint, record binary, record_id string"
+_NAME = b"warc-record-id: <urn:uuid:"
+
+
+def _split_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            archive, first, start, content = (batch.column(name)[k].as_py() for name in ("archive", "first", "start", "content"))
-            starts, found, at = [], [], 0
+            archive, segment, first, start, content = (batch.column(name)[k].as_py() for name in ("archive", "segment", "first", "start", "content"))
+            starts, found, names, at = [], [], [], 0
             while at < len(content):
                 body = content.index(b"\r\n\r\n", at) + 4
-                size = next(int(line[15:]) for line in content[at:body].split(b"\r\n") if line[:15].lower() == b"content-length:")
+                head = content[at:body].split(b"\r\n")
+                size = next(int(line[15:]) for line in head if line[:15].lower() == b"content-length:")
+                names.append(next((line[len(_NAME) : -1].decode("latin-1") for line in head if line[: len(_NAME)].lower() == _NAME), None))
                 starts.append(start + at)
                 found.append(content[at : body + size + 4])
                 at = body + size + 4
             n = len(found)
-            yield pa.RecordBatch.from_arrays([pa.array([archive] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(starts, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(found, pa.binary())], names=["archive", "seq", "offset", "length", "record"])
+            columns = [pa.array([segment] * n, pa.int64()), pa.array([archive] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(starts, pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(found, pa.binary()), pa.array(names, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["segment", "archive", "seq", "offset", "length", "record", "record_id"])
 
 
 def split_archives(held: DataFrame) -> DataFrame:
-    """``archive``, ``seq``, ``offset``, ``length`` and ``record`` of each record in archives' bytes, counted on from where each segment starts."""
-    return held.select("archive", "first", "start", "content").mapInArrow(_split, "archive bigint, seq bigint, offset bigint, length bigint, record binary")
+    """``archive``, ``seq``, ``offset``, ``length``, ``record`` and ``record_id`` of each record in archives' bytes, counted on from where each segment starts."""
+    return held.select("archive", "segment", "first", "start", "content").mapInArrow(_split_segments, f"segment bigint, {_SPLIT}").drop("segment")
+
+
+def write_archives(made: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
+    """WARC files below ``path``, one for each segment of an archive: the records end with two line breaks, which the text format puts after each."""
+    text = F.expr("substring(record, 1, length - 4)").cast("string").alias("value")
+    named = made.select("archive", F.floor(F.col("offset") / segment_bytes).alias("segment"), "offset", text)
+    ordered = named.repartition("archive", "segment").sortWithinPartitions("archive", "segment", "offset")
+    ordered.select("archive", "segment", "value").write.partitionBy("archive", "segment").option("lineSep", "\r\n\r\n").text(path)
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The records of such files, as :func:`split_archives` gives them; places and offsets count on from where each segment starts."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    part = lambda name: F.regexp_extract("path", rf"{name}=(-?\d+)", 1).cast("bigint").alias(name)
+    zero = F.lit(0).cast("bigint")
+    found = files.select(part("archive"), part("segment"), zero.alias("first"), zero.alias("start"), "content").mapInArrow(_split_segments, f"segment bigint, {_SPLIT}")
+    before = Window.partitionBy("archive").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = found.groupBy("archive", "segment").agg(F.sum("length").alias("bytes"), F.count("*").alias("n")).select("archive", "segment", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return found.join(sizes, ["archive", "segment"]).select("archive", (F.col("seq") + F.col("first")).alias("seq"), (F.col("offset") + F.col("start")).alias("offset"), "length", "record", "record_id")
+
+
+def aligned(replica: DataFrame, primary: DataFrame) -> DataFrame:
+    """A replica's records (of :func:`split_archives`) with ``seq`` that of the primary's record of the same id; records of other ids come after the primary's last place."""
+    own = primary.select("archive", F.col("seq").alias("place"), record_id(F.col("archive"), F.col("seq")).alias("record_id"))
+    last = primary.groupBy("archive").agg(F.max("seq").alias("last"))
+    found = replica.join(own, ["archive", "record_id"], "left").join(last, "archive", "left")
+    # An unknown record keeps its own number, after the primary's; where that has no such archive, from 0.
+    return found.withColumn("seq", F.coalesce("place", F.coalesce(F.col("last") + 1, F.lit(0)) + F.col("seq"))).drop("place", "last")
 
 
 def tree(made: DataFrame, fanout: int = FANOUT, levels: int | None = None) -> DataFrame:
-    """``archive``, ``level`` (0 for leaves), ``node``, ``first``, ``end`` (byte offsets) and ``hash`` of every node; the root of every archive is at the last level."""
-    level = cut(made.select("archive", F.col("seq").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("end"), F.sha2("record", 256).alias("hash")))
+    """From records, or their ``hash`` in place of them: ``archive``, ``level`` (0 for leaves), ``node``, ``first``, ``end`` (byte offsets) and ``hash`` of every node; the root of every archive is at the last level."""
+    level = cut(made.select("archive", F.col("seq").alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("end"), (F.col("hash") if "hash" in made.columns else F.sha2("record", 256)).alias("hash")))
     if levels is None:
         levels = depth(level.withColumnRenamed("node", "seq"), fanout)
     out = level.withColumn("level", F.lit(0))
