@@ -50,7 +50,13 @@ def _hits(docs: DataFrame, lines: DataFrame, key: Column, text_col: str) -> Data
 
 
 def _kept(text_col: str, gone: str) -> Column:
-    return F.filter(_lines(F.col(text_col)), lambda _, i: ~F.array_contains(gone, i))
+    """The lines that stay. The lines are bound to a variable, so that they are split once; the positions that stay come from a hash set."""
+
+    def at_places(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.transform(places, lambda i: F.get(lines, i))
+
+    return F.transform(F.array(_lines(F.col(text_col))), at_places)[0]
 
 
 def _joined(docs: DataFrame, text_col: str, id_col: str, site_col: str, **rule) -> tuple[DataFrame, str]:
