@@ -81,6 +81,20 @@ def test_repeated_rows_meet_as_one(documents, module, run):
     assert "copies" not in found[0].asDict()
 
 
+def test_buckets_meet_in_groups(spark, documents):
+    """A text in most buckets: rounds of groups give the rows of a single one."""
+    rng = random.Random(8)
+    shared = " ".join(f"s{k}" for k in range(70))
+    rows = [(k, " ".join(f"u{rng.random()}" for _ in range(20)) + f" {shared} x{k}") for k in range(40)] + list(enumerate(texts(5, 12), 100))
+    wide, narrow = ([sorted(map(repr, run(documents(rows), bucket_bytes=1_000, fan=fan).collect())) for run in (phrase_dedup.remove_passages, suffix_dedup.remove_repeats)] for fan in (1 << 16, 3))
+    assert wide == narrow
+    counts = [(b, "often", 1) for b in range(30)] + [(7, "once", 1), (29, "twice", 2)]
+    found = phrase_dedup.totalled(spark.createDataFrame(counts, "bucket bigint, key string, n bigint"), 30, "key", fan=3).collect()
+    assert len(found) == len(counts)
+    assert {(r.key, r.total) for r in found if r.home} == {("often", 30), ("once", 1), ("twice", 2)}
+    assert sum(r.home for r in found) == 3 and all(r.total > 1 for r in found if not r.home)
+
+
 def test_interval_expansion_equals_plain_common_prefixes():
     rng = random.Random(3)
     parts = [bytes(rng.choices(b"ab", k=rng.randint(0, 40))) for _ in range(12)] + [b"ab" * 30, b"", b"ab" * 30]

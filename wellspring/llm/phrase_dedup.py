@@ -9,7 +9,7 @@
    windows, and equal tiles are one pattern. The bucket's documents are streamed through it, and every occurrence is located by text, not by hash.
 
 An automaton holds at most its bucket's text, whatever the corpus; a passage that a third of all documents share is counted once per bucket before it
-is shuffled. Windows are judged on the input.
+is shuffled, and buckets meet in groups of ``fan``, so that no task holds all rows of a common passage. Windows are judged on the input.
 
 Null, empty and wordless texts have no words. Repeated rows are documents like any other, so their passages recur. Texts of fewer words than ``width`` keep
 all of them. An empty table gives an empty result.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -32,13 +33,20 @@ from wellspring.llm._common import byte_list, kept, utf8
 WIDTH = 35
 SEED = 8
 BUCKET_BYTES = 2 << 20
+#: Buckets whose rows of one key meet in one window: some megabytes.
+FAN = 1 << 16
 _BLOCK = 1 << 16
 
 
 def dealt(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) -> DataFrame:
     """``bucket``, ``id``, ``text`` (bytes), ``copies`` (rows of this id and text), with as many buckets as the corpus needs at ``bucket_bytes`` each."""
+    return dealt_into(docs, id_col, text_col, bucket_bytes)[0]
+
+
+def dealt_into(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) -> tuple[DataFrame, int]:
+    """The rows of :func:`dealt`, and the number of buckets."""
     named = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    total = named.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = (named.agg(F.sum(F.length("text"))).first()[0] or 0) // bucket_bytes + 1
     # Only rows whose hash occurs twice are grouped by their texts, so that the others are not moved for it.
     row = F.xxhash64("id", "text")
     twice = kept(named.groupBy(row.alias("row")).agg(F.count("*").alias("n")).where("n > 1").select("row"))
@@ -47,7 +55,7 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) -> Dat
         hashed = named.withColumn("row", row)
         grouped = hashed.join(twice, "row", "left_semi").groupBy("id", "text").agg(F.count("*").alias("copies"))
         rows = hashed.join(twice, "row", "left_anti").select("id", "text", F.lit(1).cast("bigint").alias("copies")).unionByName(grouped)
-    return rows.select(F.pmod(row, F.lit(total // bucket_bytes + 1)).alias("bucket"), "id", "text", "copies")
+    return rows.select(F.pmod(row, F.lit(buckets)).alias("bucket"), "id", "text", "copies"), buckets
 
 
 def expanded(out: DataFrame) -> DataFrame:
@@ -62,9 +70,27 @@ def counted(docs: pa.Table) -> Iterator[tuple[bytes | None, int]]:
     return zip(byte_list(docs.column("text")), np.minimum(docs.column("copies").to_numpy(), 2).tolist(), strict=True)
 
 
-def recurring(rows: DataFrame, *key: str) -> DataFrame:
-    """``bucket`` and key of the rows (bucket, key, n) whose key has n > 1 over all buckets. A key has one row per bucket, so none is large."""
-    return rows.withColumn("all", F.sum("n").over(Window.partitionBy(*key))).where(F.col("all") > 1).select("bucket", *key)
+def totalled(rows: DataFrame, buckets: int, *key: str, fan: int = FAN) -> DataFrame:
+    """``rows`` (bucket, key, n and more; one row of a key in a bucket) with ``home``, true on one row of each key, and there n over all buckets as ``total``.
+
+    On a key's other rows ``total`` is more than 1. Buckets meet in groups of ``fan``, then the groups' first rows in groups of ``fan`` groups and so on, so that no
+    window holds more than ``fan`` rows, whatever the number of buckets a key is in.
+    """
+    size, settled = 1, []
+    while True:
+        size *= fan
+        same = Window.partitionBy(*key) if size >= buckets else Window.partitionBy(*key, F.col("bucket") - F.pmod("bucket", F.lit(size)))
+        rows = rows.withColumn("total", F.sum("n").over(same)).withColumn("home", F.col("bucket") == F.min("bucket").over(same))
+        if size >= buckets:
+            return reduce(DataFrame.unionByName, settled, rows)
+        rows = kept(rows)
+        settled.append(rows.where("not home"))
+        rows = rows.where("home").withColumn("n", F.col("total")).drop("total", "home")
+
+
+def recurring(rows: DataFrame, buckets: int, *key: str, fan: int = FAN) -> DataFrame:
+    """``bucket`` and key of the rows (bucket, key, n) whose key has n > 1 over all buckets."""
+    return totalled(rows, buckets, *key, fan=fan).where(F.col("total") > 1).select("bucket", *key)
 
 
 class Words:
@@ -181,13 +207,13 @@ def _remove_rows(width: int):
     return run
 
 
-def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN) -> DataFrame:
     """One row per document row: its id, ``n_words``, ``n_removed``, ``kept_sha256``, ``kept`` (the words that stay, joined by spaces) and ``spans`` (runs of removed words)."""
-    held = dealt(docs, id_col, text_col, bucket_bytes)
+    held, buckets = dealt_into(docs, id_col, text_col, bucket_bytes)
     kind = held.schema["id"].dataType.simpleString()
     by_bucket = held.groupBy("bucket")
-    anchors = recurring(by_bucket.applyInArrow(_anchor_rows(width, seed), "bucket bigint, anchor bigint, n bigint"), "anchor")
+    anchors = recurring(by_bucket.applyInArrow(_anchor_rows(width, seed), "bucket bigint, anchor bigint, n bigint"), buckets, "anchor", fan=fan)
     windows = by_bucket.cogroup(anchors.groupBy("bucket")).applyInArrow(_window_rows(width, seed), "bucket bigint, first bigint, second bigint, n bigint")
-    confirmed = recurring(windows, "first", "second").select("bucket", "first")
+    confirmed = recurring(windows, buckets, "first", "second", fan=fan).select("bucket", "first")
     out = by_bucket.cogroup(confirmed.groupBy("bucket")).applyInArrow(_remove_rows(width), f"id {kind}, copies bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, spans array<array<bigint>>")
     return expanded(out).withColumnRenamed("id", id_col)

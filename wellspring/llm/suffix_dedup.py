@@ -26,13 +26,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.llm import _hashing as H
 from wellspring.llm._common import byte_list, kept
 from wellspring.llm.bwt import recurring_starts
-from wellspring.llm.phrase_dedup import BUCKET_BYTES, _signed, _unsigned, counted, dealt, expanded, is_in, recurring
+from wellspring.llm.phrase_dedup import BUCKET_BYTES, FAN, _signed, _unsigned, counted, dealt_into, expanded, is_in, recurring, totalled
 
 WIDTH = 400
 SEED = 32
@@ -224,16 +224,15 @@ def _remove_rows(width: int, seed: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, fan: int = FAN) -> DataFrame:
     """One row per document row: its id, ``n_bytes``, ``n_removed``, ``spans`` (maximal removed runs), ``kept_sha256`` and ``kept`` (bytes)."""
-    held = dealt(docs, id_col, text_col, bucket_bytes)
+    held, buckets = dealt_into(docs, id_col, text_col, bucket_bytes)
     kind = held.schema["id"].dataType.simpleString()
     by_bucket = held.groupBy("bucket")
-    anchors = recurring(by_bucket.applyInArrow(_anchor_rows(width, seed), "bucket bigint, anchor bigint, n bigint"), "anchor")
+    anchors = recurring(by_bucket.applyInArrow(_anchor_rows(width, seed), "bucket bigint, anchor bigint, n bigint"), buckets, "anchor", fan=fan)
     found = by_bucket.cogroup(anchors.groupBy("bucket")).applyInArrow(_context_rows(width, seed), "bucket bigint, context binary, anchor bigint, cores array<bigint>, n bigint")
-    same = Window.partitionBy("context")
-    found = found.withColumn("total", F.sum("n").over(same)).withColumn("home", F.min("bucket").over(same))
-    cores = found.where("bucket = home").select("bucket", "context", "anchor", F.col("total").alias("n"), F.explode("cores").alias("core"))
+    found = totalled(found, buckets, "context", fan=fan)
+    cores = found.where("home").select("bucket", "context", "anchor", F.col("total").alias("n"), F.explode("cores").alias("core"))
     # All columns are used in each branch, so that the branches share one exchange of contexts.
     useful = cores.groupBy("core").agg(F.count("context").alias("k"), F.min("n").alias("least"), F.min("bucket").alias("b"), F.count("anchor").alias("a")).where("k > 1 and least = 1 and b >= 0 and a > 0").select("core")
     wanted = cores.join(useful, "core", "left_semi").groupBy("context").agg(F.min("bucket").alias("bucket"), F.min("anchor").alias("anchor"), F.min("n").alias("n"))
