@@ -65,24 +65,29 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
     n = len(text)
     before = text[order - 1]
     by_character = np.argsort(before, kind="stable")
-    step = np.empty(n, dtype=np.int64)
-    step[by_character] = np.arange(n)
-    head = np.concatenate(([True], np.diff(before[by_character]) != 0))
+    step = np.empty(n, dtype=np.int32)
+    step[by_character] = np.arange(n, dtype=np.int32)
     out = np.full(n + 1, limit)
     out[0] = out[n] = 0
     unset = np.ones(n + 1, dtype=bool)
     unset[0] = unset[n] = False
-    low, size = np.array([0]), np.array([n])
+    # Every end within the numbers that close the texts is set by the first step, so no later one goes there: what is left are bytes, which sort by counting.
+    inner, letter = before < 256, np.minimum(before, 255).astype(np.uint8)
+    low = np.flatnonzero(np.concatenate(([True], np.diff(before[by_character]) != 0))).astype(np.int32)
+    size = np.diff(np.append(low, n)).astype(np.int32)
     for length in range(limit):
-        owner = np.repeat(np.arange(len(low)), size)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + low[owner]
-        to = step[place]
-        ranked = np.argsort(to)
-        to, owner = to[ranked], owner[ranked]
-        new = np.concatenate(([True], (to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1]))) | head[to]
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(to)))
-        low = to[first]
+        if length:
+            place = np.arange(size.sum(), dtype=np.int32) + np.repeat(low - (np.cumsum(size, dtype=np.int32) - size), size)
+            owner = np.repeat(np.arange(len(low), dtype=np.int32), size)
+            held = inner[place]
+            place, owner = place[held], owner[held]
+            # Intervals are in order of place and the steps of one character too, so sorting by character sorts the steps.
+            own = letter[place]
+            ranked = np.argsort(own, kind="stable")
+            to, owner, own = step[place[ranked]], owner[ranked], own[ranked]
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(to)), dtype=bool), (owner[1:] != owner[:-1]) | (own[1:] != own[:-1]))))
+            size = np.diff(np.append(first, len(to))).astype(np.int32)
+            low = to[first]
         fresh = unset[low + size]
         low, size = low[fresh], size[fresh]
         out[low + size] = length
