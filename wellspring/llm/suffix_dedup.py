@@ -37,6 +37,9 @@ from wellspring.llm.phrase_dedup import BUCKET_BYTES, FAN, _signed, _unsigned, c
 WIDTH = 400
 SEED = 32
 SHARD_BYTES = 1 << 20
+SHARDS_A_TASK = 8
+#: Tasks that a stage is dealt into at most; beyond, each has more shards, one after the other.
+MOST_TASKS = 50_000
 
 _RANGES = pa.list_(pa.list_(pa.int64()))
 
@@ -147,7 +150,9 @@ def _decided(spans: DataFrame, shard_bytes: int, width: int) -> DataFrame:
     """``context`` and ``ranges`` (recurring windows) of spans (context, group, n, text) in groups that fit a shard; a span seen twice recurs whole."""
     total = spans.agg(F.sum(F.length("text"))).first()[0] or 0
     shard = F.pmod(F.col("group"), F.lit(total // shard_bytes + 1)).alias("shard")
-    return spans.select("context", "text", shard).groupBy("shard").applyInArrow(_shard_rows(width), "context binary, ranges array<array<bigint>>")
+    # Few bytes take long, so shards are dealt by their number and not put together by their bytes.
+    tasks = min(total // (SHARDS_A_TASK * shard_bytes) + 1, MOST_TASKS)
+    return spans.select("context", "text", shard).repartition(tasks, "shard").groupBy("shard").applyInArrow(_shard_rows(width), "context binary, ranges array<array<bigint>>")
 
 
 def _whole(width: int) -> Column:
