@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 from wellspring import metrics
 from wellspring.plans import events as plans
 from wellspring.operators.graph import delivery_order
+from wellspring.streaming import arriving, latency_series, observed, run_logged
 from wellspring.streaming import delivered, drain, graph_stream, prepare, staged, write_batches
 
 ENDS = [{"user_id": -1, "event_type": t, "value": v} for t in ("click", "view") for v in (1.0, 25.0)]
 
 
+
 @pytest.fixture(scope="module")
 def events(spark):
     prepare(spark)
@@ -20,7 +22,7 @@ def stream(events, stamped=False):
     return plans.source(staged(events, "event_id", "ts", ends=ENDS), watermark="0 seconds", stamped=stamped)
 
 
-@pytest.mark.parametrize("name", ["anomaly", "accident", "inarea"])
+@pytest.mark.parametrize("name", ["anomaly", "accident", "inarea", "followup"])
 def test_streams_equal_batches(events, name):
     plan, hidden = plans.PLANS[name], ["ts", "l_ts", "r_ts"]
     batch = plan(plans.source(events)).df.drop("event", *hidden)
@@ -98,3 +100,34 @@ def test_graph_stream_equals_batch_and_batches_can_come_again(events, tmp_path):
     assert edges == {(r.sink, r.source) for r in batch.edges("inarea").collect()}
     assert found.where("kind = 'SINK'").count() == batch.df.count() == found.where("kind = 'ACK' and uid1 like 'inarea|%'").count()
     assert metrics.progress_summary(progress)["rows_per_s"] > 0
+
+
+def test_delays_are_logged_by_batch_and_second(events, tmp_path):
+    spark, log = events.sparkSession, str(tmp_path / "log")
+    rows = plans.source(arriving(staged(events, "event_id", "ts", ends=ENDS)), watermark="0 seconds")
+    results = rows.window_agg(["user_id"], "24 hours", n=F.count("*"), stimulus=F.max("stimulus"))
+    run_logged(observed(results.plain()), lambda held, n: held.write.mode("overwrite").parquet(f"{tmp_path}/rows/batch={n}"), str(tmp_path / "progress"), log)
+    series = latency_series(spark, log).collect()
+    written = spark.read.parquet(str(tmp_path / "rows"))
+    assert sum(r["count"] for r in series) == written.count() == plans.source(events).window_agg(["user_id"], "24 hours", n=F.count("*")).df.count()
+    seconds = sorted(r.second for r in series)
+    assert seconds == list(range(seconds[0], seconds[-1] + 1))
+    assert all(0 < r.average <= r.most for r in series if r["count"])
+    # A batch's record that comes again replaces the first.
+    before = sorted(tmp_path.joinpath("log").glob("*.json"))
+    assert before and len({p.name for p in before}) == len(before)
+
+
+def test_the_state_of_an_interval_join_is_let_go(spark, tmp_path):
+    prepare(spark)
+    rows = spark.range(600).select(F.col("id").alias("event_id"), F.timestamp_seconds(1704067200 + F.col("id") * 600).alias("ts"), (F.col("id") % 5).alias("user_id"), F.when(F.col("id") % 2 == 0, "click").otherwise("purchase").alias("event_type"), F.lit(1.0).alias("value"))
+    for k in range(6):
+        rows.where(F.col("event_id").between(100 * k, 100 * k + 99)).coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "rows"))
+    joined = plans.follow_up(plans.source(source, watermark="0 seconds")).plain()
+    progress = write_batches(joined, lambda held, n: held.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"), str(tmp_path / "progress"))
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
+    assert len(state) >= 6 and max(state) < 300 and state[-1] <= 200
+    found = spark.read.parquet(str(tmp_path / "out")).select("l_event_id", "r_event_id")
+    batch = plans.follow_up(plans.source(rows)).plain().select("l_event_id", "r_event_id")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, batch.collect()))

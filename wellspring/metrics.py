@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wellspring.operators.asof import next_in_log
+
 #: Share of a run's start and end that is left out of its figures. Fixed value.
 TRIM = 0.1
 
@@ -12,7 +14,11 @@ TRIM = 0.1
 def per_second(rows: DataFrame, ts: str, value: str, step: int = 1) -> DataFrame:
     """``second`` (or first of ``step`` seconds), ``count``, ``average`` and ``most``; steps between the first and the last without rows have 0, -1 and -1."""
     at = (F.floor(F.unix_micros(ts) / (1_000_000 * step)) * step).alias("second")
-    held = rows.groupBy(at).agg(F.count("*").alias("count"), F.avg(value).alias("average"), F.max(value).alias("most"))
+    return each_step(rows.groupBy(at).agg(F.count("*").alias("count"), F.avg(value).alias("average"), F.max(value).alias("most")), step)
+
+
+def each_step(held: DataFrame, step: int) -> DataFrame:
+    """``held`` (second, count, average, most) with the steps of so many seconds that it leaves out between its first and last."""
     # Days first, so that no row holds all steps of a long span.
     day = step * max(1, 86_400 // step)
     span = held.agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a is not null").select("b", F.explode(F.expr(f"sequence(a, b, {day}L)")).alias("from"))
@@ -35,18 +41,17 @@ def wall_latency(rows: DataFrame, stimulus: str, step: int = 1) -> DataFrame:
 
 
 def ack_delivery(acks: DataFrame, safe: DataFrame) -> DataFrame:
-    """Each ACK's ``delivery_ms``: from when event time was first safe past it until it was delivered.
+    """Each ACK with ``delivery_ms``: from when event time was first safe past it at every sink until it was delivered; null while a sink has not reported a later time.
 
-    ``acks``: uid1, ts (event time, microseconds) and ``delivered`` (an instant). ``safe``: ts (event time that was safe) and ``stimulus`` (when it was). The log is one row for
-    each report of a sink, which is small beside the graph; it is joined by the hour of event time, so that a long one is not compared as a whole.
+    ``acks``: uid1, ts (event time, microseconds), ``delivered`` (an instant) and whatever else. ``safe``: ts (event time that was safe), ``stimulus`` (when it was) and, where there are several sinks, ``name``.
+    It does not matter how long before a report an ACK's time is.
     """
-    hour = 3_600_000_000
-    log = safe.groupBy("ts").agg(F.min("stimulus").alias("stimulus"))
-    spans = log.withColumn("before", F.coalesce(F.max("ts").over(Window.orderBy("ts").rowsBetween(-1, -1)), F.col("ts") - 24 * hour))
-    cells = spans.withColumn("cell", F.explode(F.expr(f"sequence(before div {hour}, ts div {hour})")))
-    due = acks.withColumn("cell", F.expr(f"ts div {hour}")).alias("a")
-    met = due.join(cells.alias("s"), (F.col("a.cell") == F.col("s.cell")) & (F.col("a.ts") < F.col("s.ts")) & (F.col("a.ts") >= F.col("s.before")))
-    return met.select("a.uid1", (F.unix_millis("a.delivered") - F.unix_millis("s.stimulus")).alias("delivery_ms"))
+    log = safe.select(*(["name"] if "name" in safe.columns else [F.lit("").alias("name")]), "ts", F.unix_millis("stimulus").alias("stimulus"))
+    # There is a row for each sink, of which there are few, and an ACK waits for the last of them.
+    each = acks.withColumn("ack", F.struct(*acks.columns)).join(F.broadcast(log.select("name").distinct()))
+    found = next_in_log(each.select("ack", "name", "ts"), log, "ts", "stimulus", ["name"])
+    last = found.groupBy("ack").agg(F.max("next_value").alias("safe"), F.min(F.col("next_value").isNotNull()).alias("all"))
+    return last.select("ack.*", F.when(F.col("all"), F.unix_millis("ack.delivered") - F.col("safe")).alias("delivery_ms")).drop("ts", "delivered")
 
 
 def results(spark: SparkSession, folder: str) -> DataFrame:

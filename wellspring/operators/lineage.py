@@ -7,7 +7,8 @@ Two ways to know, with equal results:
   joins them to what their windows held, step by step: a key of a join has those of both sides in it and needs no join. Keys of few results are broadcast, after
   a count, so that the sources are scanned and not shuffled. No row ever holds a group, so a window over all keys or a hot key stays spread. Batch only.
 
-Texts of different ids differ: in a key, ``\``, ``|`` and ``#`` are escaped, and null is ``\0``.
+Texts of different ids differ: in a key, ``\``, ``|``, ``#`` and ``@`` are escaped, null is ``\0``, times are their microseconds and nested values are JSON. Each result has an id
+of its own that is a function of the data: rows that :meth:`Lineage.explode` makes of one row have its id, ``@`` and their place in the array or their key in the map.
 
 Beside its own columns each row has ``ts`` (the largest of its inputs' times, as a fact about the data) and ``event`` (what later windows go by: a result's
 window end less a microsecond). ``reach`` is the longest sum of window lengths from the sources: nothing contributes to a result later than that.
@@ -15,17 +16,19 @@ window end less a microsecond). ``reach`` is the longest sum of window lengths f
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DateType, MapType, NumericType, StructType, TimestampNTZType, TimestampType
 
 from wellspring.scratch import BROADCAST_ROWS, kept
 
 HIDDEN = ("rid", "rkey", "prov", "event")
+#: Names that rows may not bring along, as the operators give them.
+RESERVED = (*HIDDEN, "window", "r_window")
 
 
 @dataclass(frozen=True)
@@ -54,13 +57,31 @@ def seconds(length: str) -> int:
     return int(count) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
 
 
-def _text(df: DataFrame, column: str) -> Column:
-    """A key as text, without the marks that stand between keys."""
-    text = F.col(column).cast("string")
-    if not isinstance(df.schema[column].dataType, NumericType | BooleanType | DateType | TimestampType):
-        for mark, instead in (("\\", "\\\\"), ("|", "\\p"), ("#", "\\h")):
+#: How times look in nested keys: with all their digits, and instants with their offset, so that different ones differ.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+
+
+def _text(kind: DataType, key: Column) -> Column:
+    """A key as text, without the marks that stand between keys. Different keys of one type have different texts."""
+    if isinstance(kind, TimestampType):
+        text = F.unix_micros(key).cast("string")
+    elif isinstance(kind, ArrayType | StructType):
+        text = F.to_json(F.struct(key.alias("k")), _TIMES)
+    elif isinstance(kind, BinaryType):
+        text = F.hex(key)
+    else:
+        text = key.cast("string")
+    if not isinstance(kind, NumericType | BooleanType | DateType | TimestampType | TimestampNTZType | BinaryType):
+        for mark, instead in (("\\", "\\\\"), ("|", "\\p"), ("#", "\\h"), ("@", "\\a")):
             text = F.replace(text, F.lit(mark), F.lit(instead))
-    return F.coalesce(text, F.lit("\\0"))
+    return F.when(key.isNull(), F.lit("\\0")).otherwise(text)
+
+
+def _free(names: Iterable[str], taken: Iterable[str] = RESERVED) -> None:
+    """Refuses columns whose names the operators need, whatever their case, rather than lose them."""
+    lost = sorted({n for n in names if n.lower() in taken})
+    if lost:
+        raise ValueError(f"columns named {', '.join(lost)}: these names are taken, so rename them first")
 
 
 def _end(window: str) -> Column:
@@ -80,8 +101,12 @@ class Lineage:
     def source(cls, df: DataFrame, uid: str, ts: str, carry: bool = True, watermark: str | None = None, stamped: bool = False) -> Lineage:
         """Source rows; ``uid`` is a unique long. ``watermark``: how late a stream's rows may be.
 
+        Columns named as in ``RESERVED``, or ``ts`` beside the time, are refused.
+
         ``stamped``: ``prov`` has more than ids: (``id``, ``ts`` in microseconds, ``data``, the other columns as JSON), all that a graph needs of a source.
         """
+        _free(df.columns)
+        _free([c for c in df.columns if c != ts], ("ts",))
         payload = [c for c in df.columns if c not in (uid, ts)]
         df = df.withColumnRenamed(ts, "ts") if ts != "ts" else df
         df = df.withColumn("event", F.col("ts"))
@@ -108,14 +133,29 @@ class Lineage:
         """Columns by name or expression; the time and the lineage stay."""
         named = [c for c in columns if isinstance(c, str)]
         kept = [c for c in ("ts", *self._hidden()) if c not in named]
-        return replace(self, df=self.df.select(*columns, *kept))
+        df = self.df.select(*columns, *kept)
+        _free([c for c in set(df.columns) if df.columns.count(c) > 1])
+        return replace(self, df=df)
 
     def with_column(self, name: str, value: Column) -> Lineage:
+        _free([name])
         return replace(self, df=self.df.withColumn(name, value))
 
     def explode(self, column: Column, *names: str) -> Lineage:
-        """A row for each element of an array (one name) or entry of a map (two names)."""
-        return replace(self, df=self.df.select("*", F.explode(column).alias(*names)))
+        """A row for each element of an array (one name) or entry of a map (two names), each with an id of its own: an element's has its place, an entry's its key."""
+        _free(names)
+        kind = self.df.select(column.alias("c")).schema["c"].dataType
+        if isinstance(kind, MapType):
+            df = self.df.select("*", F.explode(column).alias(*names))
+            own, text = F.col(names[0]), _text(kind.keyType, F.col(names[0]))
+        else:
+            df = self.df.select("*", F.posexplode(column).alias("r_window", *names))
+            own = text = F.col("r_window")
+        df = df.withColumn("rid", F.concat("rid", F.lit("@"), text.cast("string")))
+        if self.carry:
+            return replace(self, df=df.drop("r_window"))
+        df = df.withColumn("rkey", F.struct(F.col("rkey").alias("of"), own.alias("at"))).drop("r_window")
+        return replace(self, df=df, trace=lambda links: self.trace(links.of(F.col("key.of"))))
 
     def union(self, *others: Lineage) -> Lineage:
         """Rows of all, by column name."""
@@ -137,8 +177,10 @@ class Lineage:
 
         Results have the keys, ``window_end`` and the aggregates.
         """
+        _free(aggregates)
+        _free([*keys, *aggregates], ("window_end",))
         windowed = self.df.withColumn("window", F.window("event", size, slide or size))
-        rid = F.concat_ws("|", *(_text(self.df, k) for k in keys), _end("window"))
+        rid = F.concat_ws("|", *(_text(self.df.schema[k].dataType, F.col(k)) for k in keys), _end("window"))
         more = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("prov")))).alias("prov")] if self.carry else []
         grouped = windowed.groupBy("window", *keys).agg(*(c.alias(n) for n, c in aggregates.items()), *([] if "ts" in aggregates else [F.max("ts").alias("ts")]), *more)
         out = grouped.withColumn("rid", rid)

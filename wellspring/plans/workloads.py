@@ -93,8 +93,11 @@ def objects(frames: Lineage, payloads: tuple[str, ...]) -> Lineage:
     """A row for each annotation: ``payload_type``, ``object_id``, ``label``, ``x``, ``y``, ``z``."""
     held = frames.explode(F.array(*payloads), "payload")
     held = held.select(F.col("payload.payload_type").alias("payload_type"), F.col("payload.annotations").alias("annotations"))
-    each = held.explode(F.col("annotations"), "entry") if dict(held.df.dtypes)["annotations"].startswith("array") else held.explode(F.map_entries("annotations"), "entry")
-    return each.select("payload_type", F.col("entry.key").alias("object_id"), *(F.col(f"entry.value.{c}").alias(c) for c in ("label", "x", "y", "z")))
+    if dict(held.df.dtypes)["annotations"].startswith("array"):
+        each = held.explode(F.col("annotations"), "entry").with_column("key", F.col("entry.key")).with_column("value", F.col("entry.value"))
+    else:
+        each = held.explode(F.col("annotations"), "key", "value")
+    return each.select("payload_type", F.col("key").alias("object_id"), *(F.col(f"value.{c}").alias(c) for c in ("label", "x", "y", "z")))
 
 
 def crossed_pedestrians(frames: Lineage, size: str = "2 seconds", slide: str = "1 seconds") -> Lineage:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from wellspring.functions import event_time
 from wellspring.operators import ForwardGraph, Lineage, forward_graph
 from wellspring.operators.graph import delivery_order, latencies, violations
 from wellspring.plans import events as plans
-from wellspring.sinks import DeliveryStore, backward_lines, command_lines, graph_tables, lines, timestamped_lines
+from wellspring.scratch import kept
+from wellspring.sinks import DeliveryStore, backward_lines, command_lines, graph_tables, lines, plain_lines, timestamped_lines
 from wellspring.sources import repeated, synthetic_lineage, synthetic_overlap
-from wellspring.streaming import delivered, drain, graph_stream, prepare, staged
+from wellspring.streaming import arriving, delivered, drain, graph_stream, latency_series, observed, prepare, run_logged, staged
 from wellspring.streaming.run import folder
 
 #: What each plan's rows show.
@@ -135,6 +137,37 @@ def delivery_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second).select("poll", "kind", "uid1", "uid2", "ts", "data")
 
 
+def _polled(spark: SparkSession, sf_dir: str) -> DeliveryStore:
+    """A store with the graph's nodes in eight transactions by time, a poll after each, and a clock that goes on by a second whenever it is read. Each sink reports its time a transaction late."""
+    graph = _graph(spark, sf_dir)
+    nodes = kept(graph.nodes().where("kind <> 'ACK'"))
+    seconds = count(1_700_000_000)
+    store = DeliveryStore(spark, folder(spark, "store"), lambda: float(next(seconds))).create(GRAPHED)
+    for k in range(8):
+        low, high = _DAYS[0] + k * _DAYS[1], _DAYS[0] + (k + 1) * _DAYS[1]
+        due = F.lit(True) if k == 7 else F.col("ts") < high
+        store.append(nodes.where(due if k == 0 else due & (F.col("ts") >= low)), k)
+        store.append(nodes.where("false"), k)  # comes again, and finds its record
+        for sink in GRAPHED:
+            store.mark_safe(sink, low, k)
+        store.deliver(graph.max_delay, k)
+    return store
+
+
+#: The start of the transactions' times, and how long each is: four days.
+_DAYS = (1704067200_000_000, 4 * 86_400_000_000)
+
+
+def delivery_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each delivered ACK of a source, the poll, and how long its time had been past at every sink."""
+    return _polled(spark, sf_dir).ack_latency()
+
+
+def delivery_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements and largest time of each committed transaction."""
+    return _polled(spark, sf_dir).statistics().select("batch", "rows", "most")
+
+
 def repeated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = repeated(plans.read(spark, sf_dir), 3, "ts", "event_id")
     return held.select("event_id", F.unix_micros("ts").alias("ts_us"), "value")
@@ -189,6 +222,26 @@ def stream_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(drain(plans.anomaly(_stream(spark, sf_dir)).plain(), "anomaly"), SHOWN["anomaly"])
 
 
+def stream_followup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval join as a stream: both sides have watermarks, so its state is let go once the interval has passed."""
+    return _shown(drain(plans.follow_up(_stream(spark, sf_dir)).plain(), "followup"), SHOWN["followup"])
+
+
+def stream_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream's series of delays by second: how many results it has, whether there is one row a second, and whether delays are sound."""
+    prepare(spark)
+    ends = [{"user_id": -1, "event_type": "click", "value": v} for v in (1.0, 25.0)]
+    rows = plans.source(arriving(staged(plans.read(spark, sf_dir), "event_id", "ts", ends=ends)), watermark="0 seconds")
+    results = rows.where("value > 10 AND value < 40").window_agg(["user_id"], "96 hours", "48 hours", n=F.count("*"), stimulus=F.max("stimulus")).where("n > 5")
+    log = folder(spark, "latency")
+    run_logged(observed(results.plain()), lambda held, batch: plain_lines(held).write.mode("overwrite").parquet(f"{log}-lines/batch={batch}"), f"{log}-progress", log)
+    held = latency_series(spark, log)
+    lines_held = spark.read.schema("value STRING, delay_ms BIGINT").parquet(f"{log}-lines").agg(F.count("*").alias("lines"), F.min("delay_ms").alias("least"))
+    sound = F.when(F.col("count") > 0, (F.col("average") >= 0) & (F.col("average") <= F.col("most"))).otherwise((F.col("average") == -1) & (F.col("most") == -1))
+    figures = held.agg(F.sum("count").alias("results"), (F.count("*") == F.max("second") - F.min("second") + 1).alias("each_second"), F.every(sound).alias("sound"))
+    return figures.join(lines_held).select("results", "lines", "each_second", (F.col("sound") & (F.col("least") >= 0)).alias("sound"))
+
+
 def stream_accident(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(drain(plans.accident(_stream(spark, sf_dir)).plain(), "accident"), SHOWN["accident"])
 
@@ -219,8 +272,8 @@ def stream_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DIRECT = (
-    anomaly_prov, graph_source, graph_sink, graph_edge, graph_ack, graph_violations, graph_sound, graph_latency, graph_lines, graph_timestamped_lines, graph_commands, graph_relations, backward_text, delivery_poll, repeated_events, union_counts,
-    exploded_props, day_series, orders_by_week, shipped_soon, synthetic_edges, synthetic_shared, stream_anomaly, stream_accident, stream_graph, stream_delivery, stream_edges, stream_sources,
+    anomaly_prov, graph_source, graph_sink, graph_edge, graph_ack, graph_violations, graph_sound, graph_latency, graph_lines, graph_timestamped_lines, graph_commands, graph_relations, backward_text, delivery_poll, delivery_latency, delivery_statistics, repeated_events, union_counts,
+    exploded_props, day_series, orders_by_week, shipped_soon, synthetic_edges, synthetic_shared, stream_anomaly, stream_followup, stream_latency, stream_accident, stream_graph, stream_delivery, stream_edges, stream_sources,
 )
 
 
@@ -349,6 +402,12 @@ def oracle_sql() -> dict[str, str]:
         "delivery_poll": f"""WITH node AS (SELECT * FROM ({_NODES}) WHERE kind <> 'ACK'), part AS (SELECT CAST(CASE WHEN ts < 1705190400000000 THEN 1 ELSE 2 END AS INTEGER) AS poll, * FROM node)
             SELECT * FROM part UNION ALL SELECT poll, 'ACK', uid1, NULL, ts, NULL FROM part WHERE kind = 'SINK'
             UNION ALL SELECT 2, 'ACK', uid1, NULL, ts + {_DELAY}, NULL FROM node WHERE kind = 'SOURCE' AND ts + {_DELAY} < 1705708800000000""",
+        # The clock: 1 for the sinks' registration, then for poll k its transaction (the copy reads no clock), the two reports and the poll.
+        "delivery_latency": f"""WITH ack AS (SELECT id AS uid1, ts + {_DELAY} AS ts FROM ({_SOURCES})),
+            report AS (SELECT k, 1704067200000000 + k * 345600000000 AS safe FROM range(8) t(k)),
+            met AS (SELECT uid1, ts, min(k) AS poll FROM ack JOIN report ON ts < safe GROUP BY ALL)
+            SELECT poll, uid1, CAST(1000 AS BIGINT) AS delivery_ms FROM met""",
+        "delivery_statistics": f"""SELECT greatest(0, least(7, (ts - 1704067200000000) // 345600000000)) AS batch, count(*) AS rows, max(ts) AS most FROM ({_NODES}) WHERE kind <> 'ACK' GROUP BY ALL""",
         "repeated_events": """SELECT (k << 58) | event_id AS event_id, epoch_us(ts) + k * len AS ts_us, value
             FROM events, (SELECT epoch_us(max(ts)) - epoch_us(min(ts)) + 1000000 AS len FROM events), (SELECT CAST(range AS BIGINT) AS k FROM range(3))""",
         "union_counts": f"""SELECT user_id, CASE WHEN value < 10 THEN 'small' ELSE 'large' END AS side, count(*) AS n, epoch_us(w) AS window_end_us
@@ -367,6 +426,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT avg(len(list_intersect(x.ids, y.ids))) AS mean_overlap FROM held x JOIN held y ON x.i = y.i + 1""",
         "stream_anomaly": _plan_sql("anomaly"),
         "stream_accident": _plan_sql("accident"),
+        "stream_followup": _plan_sql("followup"),
+        "stream_latency": f"SELECT count(*) AS results, count(*) AS lines, true AS each_second, true AS sound FROM ({PLAN_SQL['inarea']})",
         "stream_edges": _edge_sql("inarea"),
         "stream_graph": _node_sql(*_IN_AREA),
         "stream_delivery": f"SELECT count(*) AS edges, CAST(0 AS BIGINT) AS early, CAST(0 AS BIGINT) AS late FROM ({_edge_sql('inarea')})",

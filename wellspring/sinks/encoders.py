@@ -39,6 +39,12 @@ def timestamped_lines(nodes: DataFrame, ordered: bool = False) -> DataFrame:
     return (out.orderBy("at", "order", "value") if ordered else out).select("value")
 
 
+def plain_lines(rows: DataFrame, stimulus: str = "stimulus") -> DataFrame:
+    """``value``, the row as JSON without its ``stimulus``, and ``delay_ms``, from when its last input arrived until now."""
+    late = F.unix_millis(F.current_timestamp()) - F.unix_millis(stimulus)
+    return rows.select(F.to_json(F.struct(*(c for c in rows.columns if c != stimulus))).alias("value"), late.alias("delay_ms"))
+
+
 def backward_lines(query: Lineage, sources: DataFrame, uid: str, name: str = "") -> DataFrame:
     """``value``: ``> {tuple} <- [n] {``, the n source tuples on lines of their own in order of id, ``}``."""
     payload = sources.select(F.col(uid).alias("source"), F.to_json(F.struct(*sources.columns)).alias("row"))

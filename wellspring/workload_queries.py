@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wellspring.functions import event_time, speed_kmh
-from wellspring.operators import Lineage
+from wellspring.functions import event_time, from_units, speed_kmh
+from wellspring.operators import Lineage, forward_graph
 from wellspring.plans import workloads
 from wellspring.sources import frames, synthetic_lineage
 
@@ -17,8 +17,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
 
 
-def _at(seconds: Column) -> Column:
-    return F.timestamp_millis((seconds * 1000).cast("bigint")).alias("ts")
+def _at(count: Column, milliseconds: int = 1000) -> Column:
+    return from_units(count, milliseconds).alias("ts")
 
 
 def reports(events: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def vehicle_frames(events: DataFrame) -> DataFrame:
     seen = lambda name, held: F.struct(F.lit(name).alias("payload_type"), held.alias("annotations"))
     far, one = F.col("value"), F.lit(1.0)
     return events.select(
-        F.col("event_id").alias("uid"), _at(F.col("event_id") / 5), seen("lidar", _one(F.lit("b"), "BICYCLE", far, one)).alias("lidar"),
+        F.col("event_id").alias("uid"), _at(F.col("event_id") * F.lit(200), 1), seen("lidar", _one(F.lit("b"), "BICYCLE", far, one)).alias("lidar"),
         seen("ring_front_left", _one(number(F.col("user_id") % 7), "PEDESTRIAN", one, one)).alias("left"), seen("ring_front_right", _one(number(F.col("event_id") % 11), "PEDESTRIAN", one, one)).alias("right"),
     )
 
@@ -78,7 +78,7 @@ def _plan(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = plan(Lineage.source(rows(_events(spark, sf_dir)), "uid", "ts", carry=False)).plain()
-        if name == "lv_crossed":  # pairs without ids of their own, so they are counted
+        if name == "lv_crossed":  # how often two cameras saw one; lv_crossed_graph has each pair
             out = out.groupBy("l_payload_type", "l_object_id", "r_payload_type", "window_end").agg(F.count("*").alias("n"))
         return _shown(out, columns)
 
@@ -123,12 +123,28 @@ def odd_key_prov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.df.select(F.concat(F.lit("odd|"), "rid").alias("sink"), "n", F.array_join(F.col("prov").cast("array<string>"), ",").alias("sources"))
 
 
+def array_key_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by keys that are arrays, some of which look alike when they are joined by commas, and instants."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = lambda *words: F.array(*(F.lit(w) for w in words))
+    a = F.element_at(F.array(text("a, b"), text("a", "b"), text("a, b", "c"), text("a", "b, c"), F.lit(None).cast("array<string>")), (F.col("user_id") % 5 + 1).cast("int"))
+    rows = events.select("event_id", event_time("ts").alias("ts"), a.alias("a"), event_time("ts").alias("hour")).withColumn("hour", F.date_trunc("hour", "hour"))
+    return Lineage.source(rows, "event_id", "ts", carry=False).window_agg(["a", "hour"], "24 hours", n=F.count("*")).edges("array")
+
+
+def lv_crossed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forward graph of pedestrians crossing: each pair of annotations is a result of its own."""
+    rows = vehicle_frames(_events(spark, sf_dir))
+    nodes = forward_graph({"lv_crossed": workloads.crossed_pedestrians(Lineage.source(rows, "uid", "ts", carry=False))}, rows, "uid", "ts").nodes()
+    return nodes.select("kind", "uid1", "uid2", "ts")
+
+
 def synthetic_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes of generated sources."""
     return synthetic_lineage(spark, 2000, 25, 10, 0, 48).select(F.explode("prov").alias("p")).select("p.uid", F.lower(F.hex("p.data")).alias("data"))
 
 
-DIRECT = (lv_frames, cv_current_speed, odd_key_edges, odd_key_prov, synthetic_data)
+DIRECT = (lv_frames, lv_crossed_graph, cv_current_speed, odd_key_edges, odd_key_prov, array_key_edges, synthetic_data)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -162,7 +178,7 @@ def _kmh(a: str, b: str, t: str) -> str:
 _SPEED = f"""SELECT *, {_kmh('a', 'b', '((epoch_us(t1) - epoch_us(t0)) // 1000)')} AS speed FROM (
     SELECT car_id, arg_min({{'lat': lat, 'lon': lon}}, ts) AS a, arg_max({{'lat': lat, 'lon': lon}}, ts) AS b, min(ts) AS t0, max(ts) AS t1, car_id || '|' || epoch_us(w) AS rid, {_AGG}
     FROM {_windowed(_POSITIONS, 15, 5)} GROUP BY car_id, w HAVING count(*) > 1)"""
-_WALKERS = f"""(SELECT uid, ts, 'ring_front_left' AS cam, l AS obj FROM {_FRAMES} UNION ALL SELECT uid, ts, 'ring_front_right', r FROM {_FRAMES})"""
+_WALKERS = f"""(SELECT uid, uid || '@0@' || l AS id, ts, 'ring_front_left' AS cam, l AS obj FROM {_FRAMES} UNION ALL SELECT uid, uid || '@1@' || r, ts, 'ring_front_right', r FROM {_FRAMES})"""
 _OTHER = "CASE a.cam WHEN 'ring_front_left' THEN 'ring_front_right' ELSE 'ring_front_left' END"
 PLAN_SQL = {
     "lr_stopped": _STOPPED,
@@ -172,7 +188,7 @@ PLAN_SQL = {
     "sg_blackout": f"SELECT count(*) AS count, CAST(epoch_us(w) AS VARCHAR) AS rid, flatten(list(prov)) AS prov, w AS window_end FROM {_windowed(_later(f'SELECT * FROM ({_DAY}) WHERE total <= 0'), 86400, 86400)} GROUP BY w HAVING count(*) > 7",
     "cv_highspeed": f"SELECT car_id, avg(speed) AS average, car_id || '|' || epoch_us(w) AS rid, flatten(list(prov)) AS prov, w AS window_end FROM {_windowed(_later(_SPEED), 120, 60)} GROUP BY car_id, w HAVING avg(speed) > 70",
     "cv_inarea": f"SELECT car_id, count(*) AS count, car_id || '|' || epoch_us(w) AS rid, {_AGG} FROM {_windowed(f'(SELECT * FROM {_POSITIONS} WHERE lat > 39.912915 AND lat < 39.9206835 AND lon > 116.299221 AND lon < 116.3188575)', 300, 150)} GROUP BY car_id, w HAVING count(*) > 9",
-    "lv_crossed": f"""SELECT a.cam AS l_payload_type, a.obj AS l_object_id, b.cam AS r_payload_type, a.uid || '#' || b.uid || '#' || epoch_us(a.w) AS rid, [a.uid, b.uid] AS prov, a.w AS window_end
+    "lv_crossed": f"""SELECT a.cam AS l_payload_type, a.obj AS l_object_id, b.cam AS r_payload_type, a.id || '#' || b.id || '#' || epoch_us(a.w) AS rid, greatest(a.ts, b.ts) AS ts, [a.uid, b.uid] AS prov, a.w AS window_end
         FROM {_windowed(_WALKERS, 2, 1)} a JOIN {_windowed(_WALKERS, 2, 1)} b ON a.w = b.w AND a.obj = b.obj AND b.cam = {_OTHER}""",
     "lv_cycles": f"SELECT 'lidar' AS payload_type, count(*) AS count, 'lidar|' || epoch_us(w) AS rid, {_AGG} FROM {_windowed(f'(SELECT * FROM {_FRAMES} WHERE abs(value) < 20)', 6, 3)} GROUP BY w HAVING count(*) >= 11",
 }
@@ -190,7 +206,14 @@ def oracle_sql() -> dict[str, str]:
     escaped = "coalesce(replace(replace(replace({0}, '\\', '\\\\'), '|', '\\p'), '#', '\\h'), '\\0')".format
     odd = f"""SELECT 'odd|' || {escaped('a')} || '|' || {escaped('b')} || '|' || epoch_us(date_trunc('day', ts) + INTERVAL 1 DAY) AS sink, count(*) AS n, list(event_id) AS prov
         FROM (SELECT event_id, ts, [NULL, '', 'a|b', 'a', 'a#\\'][user_id % 5 + 1] AS a, ['c', 'b|c', NULL, 'z'][event_id % 4 + 1] AS b FROM events) GROUP BY a, b, date_trunc('day', ts)"""
+    crossed, seen = f"SELECT 'lv_crossed|' || rid AS id, epoch_us(ts) AS ts, prov FROM ({PLAN_SQL['lv_crossed']})", f"SELECT uid, epoch_us(ts) AS ts FROM {_FRAMES}"
     return out | {
+        "lv_crossed_graph": f"""WITH sink AS ({crossed}), edge AS (SELECT DISTINCT id, ts, unnest(prov) AS uid FROM sink), source AS (SELECT * FROM ({seen}) WHERE uid IN (SELECT uid FROM edge))
+            SELECT 'SOURCE' AS kind, CAST(uid AS VARCHAR) AS uid1, NULL AS uid2, ts FROM source UNION ALL SELECT 'ACK', CAST(uid AS VARCHAR), NULL, ts + 2000000 FROM source
+            UNION ALL SELECT 'SINK', id, NULL, ts FROM sink UNION ALL SELECT 'ACK', id, NULL, ts FROM sink
+            UNION ALL SELECT 'EDGE', CAST(uid AS VARCHAR), id, greatest(edge.ts, source.ts) FROM edge JOIN source USING (uid)""",
+        "array_key_edges": """SELECT 'array|' || CASE WHEN a IS NULL THEN '\\0' ELSE '{"k":' || to_json(a) || '}' END || '|' || epoch_us(date_trunc('hour', ts)) || '|' || epoch_us(date_trunc('day', ts) + INTERVAL 1 DAY) AS sink, event_id AS source
+            FROM (SELECT event_id, ts, [['a, b'], ['a', 'b'], ['a, b', 'c'], ['a', 'b, c'], NULL][user_id % 5 + 1] AS a FROM events)""",
         "lv_frames": """WITH p AS (SELECT event_id, late, name, row_number() OVER (ORDER BY event_id * 100000000 + late, name) - 1 AS k
                 FROM events, (VALUES ('ring_front_left', 3000000), ('lidar', 0), ('ring_front_right', 5000001)) v(name, late)),
             f AS (SELECT row_number() OVER (ORDER BY k // 3) - 1 AS i, count(*) OVER () AS len, max(event_id * 100000000 + late) FILTER (WHERE name = 'lidar') AS ns,
