@@ -236,3 +236,14 @@ def test_line_dedup_near_the_threshold_is_exact(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     found = line_dedup.boilerplate(docs, min_sites=20, lg_k=5).count()
     assert found == 20
+
+
+def test_words_made_by_doubling_are_different(documents):
+    """Thue-Morse words have equal polynomial hashes modulo 2**64, whatever the base."""
+    bits = [bin(k).count("1") % 2 for k in range(4096)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    same = " ".join(f"w{k}" for k in range(34))
+    found = phrase_dedup.remove_passages(documents([(1, f"{same} {a}"), (2, f"{same} {b}"), (3, "x")])).collect()
+    assert {r.doc_id: r.n_removed for r in found} == {1: 0, 2: 0, 3: 0}
+    again = phrase_dedup.remove_passages(documents([(1, f"{same} {a}"), (2, f"{same} {a}")])).collect()
+    assert {r.doc_id: r.n_removed for r in again} == {1: 35, 2: 35}

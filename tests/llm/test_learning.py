@@ -6,6 +6,7 @@ from itertools import product
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wellspring.llm import decontamination, language_id, packing
@@ -137,7 +138,7 @@ def test_spans_of_several_blocks_are_judged_on_the_input(spark, documents):
     rows = [(0, " ".join(["a", *words[:65], "b"])), (1, " ".join(words[:20] + ["x"] + words[20:25])), (2, None), (3, ""), (4, "y z")]
     rows += [rows[0], (5, " ".join(words[20:27] + words[:20] + words[27:33]))]
     docs, bench = documents(rows), spark.createDataFrame(items, "item_id bigint, text string")
-    assert decontamination._count(bench, "item_id", "text", 300) > 2
+    assert len(decontamination._blocks(bench, "item_id", "text", 300)) > 2
     one, many = (sorted(map(repr, ((r.doc_id, r.text) for r in decontamination.decontaminate(docs, bench, remove="spans", block_bytes=b).collect()))) for b in (1 << 24, 300))
     assert many == one
     assert decontamination.decontaminate(docs, bench, remove="spans", block_bytes=300).columns == docs.columns
@@ -232,3 +233,27 @@ def test_labels_of_sampled_rows_are_bounded(spark):
     rows = [(k, "some words here", "aa") for k in range(500)] + [(1000 + k, "andere worte da", "bb") for k in range(3)]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample_docs=5)
     assert model.languages == ["aa", "bb"]
+
+
+def test_a_row_that_is_repeated_hides_no_language(spark):
+    few = [(k, " ".join(f"{a}{b}" for a in "xyz" for b in ("qu", "wo", "ri", chr(97 + k % 26))), "bb") for k in range(1, 60)]
+    many = [(k, " ".join(f"{a}{b}" for a in "mnl" for b in ("ea", "io", chr(97 + k % 26))), "aa") for k in range(100, 160)]
+    one = spark.range(200_000).select(F.lit(few[0][0]).alias("doc_id"), F.lit(few[0][1]).alias("text"), F.lit("bb").alias("lang"))
+    docs = spark.createDataFrame(few + many, "doc_id bigint, text string, lang string").unionByName(one)
+    model = language_id.fit(docs)
+    assert model.languages == ["aa", "bb"]
+    found = language_id.predict(spark.createDataFrame(few, "doc_id bigint, text string, lang string"), model).collect()
+    assert {r.lang_pred for r in found} == {"bb"}
+
+
+def test_long_ids_and_uneven_blocks_are_no_reason_to_refuse(spark, documents):
+    items = spark.createDataFrame([(f"{k}-" + "i" * 500, f"word{k}") for k in range(3000)], "item_id string, text string")
+    assert len(decontamination._blocks(items, "item_id", "text", 1 << 24)) == 1
+    blocks = decontamination._blocks(items, "item_id", "text", 40_000)
+    sizes = [items.where(F.pmod(F.xxhash64(F.col("item_id"), F.col("text").cast("binary")), F.lit(n)) == rest).agg(F.sum(F.length("item_id") + F.length("text"))).first()[0] for n, rest in blocks]
+    assert max(sizes) <= 80_000 and sum(sizes) == items.agg(F.sum(F.length("item_id") + F.length("text"))).first()[0]
+    docs = documents([(1, "word7 and word2999"), (2, "none")])
+    for size in (1 << 24, 400_000):
+        assert {r.doc_id: len(r["items"]) for r in decontamination.scan(docs, items, block_bytes=size).collect()} == {1: 2, 2: 0}
+    # One item larger than a block is a block.
+    assert decontamination._blocks(items.limit(1), "item_id", "text", 10) != []

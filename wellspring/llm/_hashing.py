@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _U = np.uint64
 _ROW = np.random.default_rng(7).integers(1, 2**63, size=256, dtype=np.uint64) | _U(1)
@@ -51,6 +52,18 @@ def byte_prefix(data: np.ndarray) -> np.ndarray:
     return prefix(_ROW[data], BYTE_BASE)
 
 
+#: Bytes up to which a word's polynomial hash is taken. Modulo 2**64, texts made by doubling (Thue-Morse) have equal hashes whatever the base, from some thousand bytes on.
+LONG_WORD = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes: longer words, of which there are few, are hashed one by one."""
+    out = span_hash(byte_prefix(data), starts, ends, BYTE_BASE)
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return out
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes other than space and 0x09 to 0x0D."""
     inside = np.zeros(len(data) + 2, dtype=np.int8)

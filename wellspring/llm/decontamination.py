@@ -2,8 +2,8 @@
 
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing A-Z, which is a rule on single bytes of UTF-8. A window is
 ``n`` consecutive words of one item; an item of fewer words, but not none, is one window. The distinct windows of one block of the benchmark are
-broadcast as a set of hashes in sorted arrays with the items' words, on which a hit is verified. A block is bounded by ``block_bytes`` of item text, checked
-before it is collected, and its index by ``INDEX_SHARE`` times that, checked before it is broadcast; a larger benchmark is scanned block by block. Every document
+broadcast as a set of hashes in sorted arrays with the items' words, on which a hit is verified. A block has at most twice ``block_bytes`` of item texts and ids, or one
+item, which is known before it is collected, and its index ``INDEX_SHARE`` times that; a larger benchmark is scanned block by block. Every document
 is read whole; no row is shuffled while there is one block.
 
 Null or wordless texts have no words and no hits. Items with null text or no words have no windows. Repeated rows are judged alike, one by one;
@@ -26,7 +26,7 @@ from wellspring.llm._common import byte_list, free, pieces, utf8
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
-#: Bytes of an index for each byte of item text, at most; words of one letter come near it. And what an index may have whatever the text.
+#: Bytes of an index for each byte of item texts and ids, at most; words of one letter come near it. And what an index may have whatever the text.
 INDEX_SHARE, INDEX_LEAST = 40, 1 << 20
 SHARE = 20
 
@@ -58,7 +58,7 @@ class WindowIndex:
         self.line = b" ".join(w for _, words in held for w in words)
         data = np.frombuffer(self.line, dtype=np.uint8)
         self.starts, self.ends = (x.astype(np.uint32) for x in H.word_spans(data))
-        sums = [H.prefix(H.span_hash(H.byte_prefix(data), self.starts, self.ends, H.BYTE_BASE), base) for base in (H.WORD_BASE, H.SECOND_BASE)]
+        sums = [H.prefix(H.word_hashes(data, self.starts, self.ends), base) for base in (H.WORD_BASE, H.SECOND_BASE)]
         count = np.fromiter((len(words) for _, words in held), dtype=np.int64, count=len(held))
         own = np.fromiter((-1 if item is None else number[str(item)] for item, _ in held), dtype=np.int32, count=len(held))
         begin = np.cumsum(count) - count
@@ -90,7 +90,7 @@ class WindowIndex:
         hit, items = np.zeros(len(starts) + 1, dtype=np.int32), set()
         if not len(starts):
             return np.zeros(0, dtype=bool), items
-        sums = H.prefix(H.span_hash(H.byte_prefix(data), starts, ends, H.BYTE_BASE), H.WORD_BASE)
+        sums = H.prefix(H.word_hashes(data, starts, ends), H.WORD_BASE)
         for width, held in self.windows.items():
             keys = H.grams(sums, width, H.WORD_BASE)
             at = np.searchsorted(held.hashes, keys)
@@ -111,22 +111,32 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     return benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), utf8(text_col).alias("text")).distinct()
 
 
-def _count(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> int:
-    """How many blocks the items make."""
-    total = _items(benchmark, item_col, text_col).agg(F.sum(F.length("text"))).first()[0] or 0
-    return -(-total // block_bytes) or 1
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[tuple[int, int]]:
+    """Shares (parts, rest) of the items' hashes, each of at most twice ``block_bytes`` of texts and ids, or of one item: what a hash deals unevenly is dealt again."""
+    items = _items(benchmark, item_col, text_col)
+    size, h = F.length("text") + F.coalesce(F.length(F.col("item").cast("string")), F.lit(0)), F.xxhash64("item", "text")
+    parts = max(1, -(-(items.agg(F.sum(size)).first()[0] or 0) // block_bytes))
+    out, todo = [], [(1, 0)] if parts == 1 else [(parts, None)]
+    while todo:
+        n, rest = todo.pop(0)
+        if n == 1:
+            out.append((1, 0))
+            continue
+        own = items if rest is None else items.where(F.pmod(h, F.lit(n // 2)) == rest)
+        for r in own.groupBy(F.pmod(h, F.lit(n)).alias("rest")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).collect():
+            if r.bytes <= 2 * block_bytes or r.n == 1:
+                out.append((n, r.rest))
+            else:
+                todo.append((2 * n, r.rest))
+    return sorted(out)
 
 
-def _indexes(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_bytes: int, count: int | None = None) -> Iterator:
-    """Broadcast indexes of the items in blocks of about ``block_bytes`` of text; the sum of sizes is known before anything is collected."""
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, n: int, blocks: list[tuple[int, int]]) -> Iterator:
+    """Broadcast indexes of the items in blocks, whose sizes are known before anything is collected: an index has ``INDEX_SHARE`` bytes at most for each of its texts and ids, and ``INDEX_LEAST``."""
     items = _items(benchmark, item_col, text_col)
-    count = count or _count(benchmark, item_col, text_col, block_bytes)
-    for k in range(count):
-        block = [(r.item, bytes(r.text)) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k).collect()]
-        index = WindowIndex(block, n)
-        if index.nbytes > INDEX_LEAST + INDEX_SHARE * sum(len(t) for _, t in block):
-            raise ValueError(f"an index of {index.nbytes} bytes is too large to broadcast")
-        yield benchmark.sparkSession.sparkContext.broadcast(index)
+    for parts, rest in blocks:
+        block = [(r.item, bytes(r.text)) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == rest).collect()]
+        yield benchmark.sparkSession.sparkContext.broadcast(WindowIndex(block, n))
 
 
 def _scan(shared):
@@ -154,7 +164,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """One row per document row: its id, ``n_words``, ``n_hit``, ``items`` (sorted ids as strings), ``spans`` (hit word runs) and ``contaminated``."""
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(utf8(text_col)).alias("digest"), utf8(text_col).alias("text"))
     schema = f"id {named.schema['id'].dataType.simpleString()}, digest bigint, n_words bigint, n_hit bigint, items array<string>, spans array<array<bigint>>"
-    frames = [named.mapInArrow(_scan(shared), schema) for shared in _indexes(benchmark, item_col, item_text_col, n, block_bytes)]
+    frames = [named.mapInArrow(_scan(shared), schema) for shared in _indexes(benchmark, item_col, item_text_col, n, _blocks(benchmark, item_col, item_text_col, block_bytes))]
     out = frames[0].drop("digest") if len(frames) == 1 else _merged(frames)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(SHARE) * F.col("n_hit") >= F.col("n_words"))).withColumnRenamed("id", id_col)
 
@@ -233,9 +243,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
     With several blocks, documents and spans are judged on the input by ``scan`` over all of them, and spans are removed in one pass.
     """
-    count = _count(benchmark, item_col, item_text_col, block_bytes)
-    if count == 1:
-        (shared,) = _indexes(benchmark, item_col, item_text_col, n, block_bytes, 1)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    if len(blocks) == 1:
+        (shared,) = _indexes(benchmark, item_col, item_text_col, n, blocks)
         return docs.mapInArrow(_remove(shared, text_col, remove == "spans"), docs.schema)
     digest, bad, spans = (free(docs.columns, name) for name in ("digest", "found_digest", "found_spans"))
     named = docs.withColumn(digest, F.xxhash64(utf8(text_col)))

@@ -230,8 +230,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     A language's limit is the largest cross-entropy of its calibration rows plus ``margin`` nats; a language without such rows has no limit.
     """
     usable = docs.where(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("at"), F.col(text_col).alias("text"))
-    rows = usable.groupBy("lang").agg(F.count("*").alias("n")).cache()
-    # Of a language of n rows those whose hashes lie below a share of all that holds some four times as many rows as are wanted.
+    rows = usable.groupBy("lang").agg(F.approx_count_distinct("at", 0.02).alias("n")).cache()
+    # Of a language of about n different rows those whose hashes lie below a share of all that holds some four times as many rows as are wanted.
     share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs + 64) / F.col("n"))
     limit = rows.select("lang", F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * 2.0**63).cast("bigint")).alias("limit"))
     languages = max(1, rows.count())

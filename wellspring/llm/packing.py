@@ -126,7 +126,7 @@ class WordTokenizer:
         starts, ends = _parts(data, kind)
         if not len(starts):
             return [np.empty(0, dtype="<u4")] * len(texts)
-        hashes = H.span_hash(H.byte_prefix(data), starts, ends, H.BYTE_BASE)
+        hashes = H.word_hashes(data, starts, ends)
         distinct, where = np.unique(hashes, return_inverse=True)
         place = np.empty(len(distinct), dtype=np.int64)
         place[where] = np.arange(len(hashes))

@@ -100,7 +100,7 @@ class Words:
         data = np.frombuffer(text or b"", dtype=np.uint8)
         self.starts, self.ends = H.word_spans(data)
         self.n = len(self.starts)
-        self.hashes = H.span_hash(H.byte_prefix(data), self.starts, self.ends, H.BYTE_BASE)
+        self.hashes = H.word_hashes(data, self.starts, self.ends)
         self.sums = H.prefix(self.hashes, H.WORD_BASE)
 
     def anchors(self, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wellspring.llm import chat_format, decontamination, hard_negatives, language_id, line_dedup, media, packing, periodic_runs, phrase_dedup, simhash, suffix_dedup, topk_search, warc
@@ -22,19 +22,30 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica, read from its archives' bytes, whose records lost the case of one header letter where their SHA-256 starts with 00."""
+    """Audits a replica, read from its archives' bytes. Its records lost the case of one header letter where their SHA-256 starts with 00; in every third archive the first two
+    records have changed places; and records whose SHA-256 starts with 01 come once more at their archive's end, which has no place in the primary."""
     made = warc.records(table(spark, sf_dir, "pages"))
+    hashed = made.withColumn("sha", F.sha2("record", 256))
     damaged = F.overlay(F.col("record").cast("string"), F.lit("resourcE"), F.lit(22)).cast("binary")
-    replica = warc.split_archives(warc.archives(made.withColumn("record", F.when(F.sha2("record", 256).startswith("00"), damaged).otherwise(F.col("record")))))
+    size = hashed.groupBy("archive").agg(F.max("seq").alias("last"), F.sum("length").alias("bytes"), F.sum(F.when(F.col("seq") == 0, F.col("length"))).alias("l0"), F.sum(F.when(F.col("seq") == 1, F.col("length"))).alias("l1"))
+    wide = hashed.join(size, "archive").withColumn("swap", (F.col("archive") % 3 == 0) & (F.col("seq") < 2) & (F.col("last") > 0))
+    placed = wide.withColumn("place", F.when(F.col("swap"), 1 - F.col("seq")).otherwise(F.col("seq"))).withColumn("at", F.when(F.col("swap"), F.when(F.col("seq") == 0, F.col("l1")).otherwise(0)).otherwise(F.col("offset")))
+    order = Window.partitionBy("archive").orderBy("seq")
+    again = wide.where(F.col("sha").startswith("01")).withColumn("place", F.col("last") + F.row_number().over(order)).withColumn("at", F.col("bytes") + F.sum("length").over(order) - F.col("length"))
+    columns = ["archive", F.col("place").alias("seq"), F.col("at").alias("offset"), "length", "record"]
+    sent = placed.withColumn("record", F.when(F.col("sha").startswith("00"), damaged).otherwise(F.col("record"))).select(*columns).unionByName(again.select(*columns))
     levels = warc.depth(made)
     own = warc.tree(made, levels=levels)
-    hashed = replica.withColumn("hash", F.sha2("record", 256)).drop("record")
-    other = warc.tree(warc.aligned(hashed, own.where("level = 0").select("archive", F.col("node").alias("seq"))), levels=levels)
-    found = warc.audit(own, other, levels).select("archive", "seq", "status")
+    other = warc.split_archives(warc.archives(sent)).withColumn("hash", F.sha2("record", 256)).drop("record")
+    other = warc.tree(warc.aligned(other, own.where("level = 0").select("archive", F.col("node").alias("seq"))), levels=levels)
+    found = warc.audit(own, other, levels).select("archive", "seq", "status", "first", "end")
     root = own.where(F.col("level") == levels).select("archive", F.col("hash").alias("root_sha256"))
     leaves = own.where("level = 0").select("archive", F.col("node").alias("seq"), F.col("first").alias("offset"), (F.col("end") - F.col("first")).alias("length"), F.col("hash").alias("record_sha256"))
     named = made.select("archive", "seq", F.col("id").alias("page_id"))
-    return named.join(leaves, ["archive", "seq"]).join(found, ["archive", "seq"], "left").join(root, "archive").select("page_id", "archive", "seq", "offset", "length", "record_sha256", "root_sha256", F.coalesce("status", F.lit("intact")).alias("status"))
+    mine = named.join(leaves, ["archive", "seq"]).join(found.drop("first", "end"), ["archive", "seq"], "left").withColumn("status", F.coalesce("status", F.lit("intact")))
+    none = F.lit(None)
+    extra = found.where("status = 'extra'").select("archive", "seq", none.cast("bigint").alias("page_id"), F.col("first").alias("offset"), (F.col("end") - F.col("first")).alias("length"), none.cast("string").alias("record_sha256"), "status")
+    return mine.unionByName(extra).join(root, "archive").select("page_id", "archive", "seq", "offset", "length", "record_sha256", "root_sha256", "status")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +129,13 @@ ORACLE: dict[str, str] = {
         leaf AS (
             SELECT page_id, archive, seq, CAST(coalesce(sum(strlen(record)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
                 CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS record_sha256 FROM made WINDOW o AS (PARTITION BY archive ORDER BY page_id)),
-        up1 AS (SELECT archive, seq // 16 AS node, sha256(string_agg(record_sha256, '' ORDER BY seq)) AS h FROM leaf GROUP BY ALL),
-        up2 AS (SELECT archive, node // 16 AS node, sha256(string_agg(h, '' ORDER BY node)) AS h FROM up1 GROUP BY ALL)
-        SELECT page_id, archive, seq, "offset", length, record_sha256, up2.h AS root_sha256, CASE WHEN record_sha256 LIKE '00%' THEN 'corrupt' ELSE 'intact' END AS status FROM leaf JOIN up2 USING (archive)""",
+        up1 AS (SELECT archive, seq // 16 AS node, min("offset") AS a, max("offset" + length) AS b, sha256(string_agg(record_sha256 || ':' || "offset" || '-' || "offset" + length || chr(10), '' ORDER BY seq)) AS h FROM leaf GROUP BY ALL),
+        up2 AS (SELECT archive, node // 16 AS node, sha256(string_agg(h || ':' || a || '-' || b || chr(10), '' ORDER BY node)) AS h FROM up1 GROUP BY ALL),
+        size AS (SELECT archive, max(seq) AS last, CAST(sum(length) AS BIGINT) AS bytes FROM leaf GROUP BY archive),
+        again AS (SELECT archive, length, last + row_number() OVER w AS k, CAST(bytes + sum(length) OVER w - length AS BIGINT) AS begins, last FROM leaf JOIN size USING (archive) WHERE record_sha256 LIKE '01%' WINDOW w AS (PARTITION BY archive ORDER BY seq))
+        SELECT page_id, archive, seq, "offset", length, record_sha256, up2.h AS root_sha256,
+            CASE WHEN record_sha256 LIKE '00%' THEN 'corrupt' WHEN archive % 3 = 0 AND seq < 2 AND last > 0 THEN 'moved' ELSE 'intact' END AS status FROM leaf JOIN up2 USING (archive) JOIN size USING (archive)
+        UNION ALL SELECT NULL, archive, last + 1 + k, begins, length, NULL, up2.h, 'extra' FROM again JOIN up2 USING (archive)""",
     "op8_decontamination": r"""
         WITH doc AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -45,7 +45,7 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     starts, ends = H.word_spans(data)
     if not len(starts):
         return np.empty(0, dtype=np.int64)
-    words = H.span_hash(H.byte_prefix(data), starts, ends, H.BYTE_BASE)
+    words = H.word_hashes(data, starts, ends)
     return np.unique(H.grams(H.prefix(words, H.WORD_BASE), min(width, len(words)), H.WORD_BASE).view(np.int64))
 
 

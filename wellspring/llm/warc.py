@@ -7,7 +7,9 @@ their WARC-Record-ID (see :func:`aligned`), so a lost or inserted record is one
 group per node, never more than ``fanout`` of them; different archives are independent. The order of an archive of over ``large_bytes`` comes from running sums over parts of an archive (a
 page id and a range of record hashes), over hashes and lengths only, with equal records as one row. An archive's bytes are written and read in segments of about ``segment_bytes``.
 
-A node's hash is the SHA-256 of its children's hexadecimal hashes, joined; a leaf's is that of the record's bytes.
+A node's hash is the SHA-256 of a line for each child in order, ``hash:first-end``, its hexadecimal hash and its range of byte offsets; a leaf's hash is that of the record's bytes.
+So a root vouches for every record's bytes and place. A record whose bytes are right but whose range is another is ``moved``: records that changed places, or all that
+follow one that was lost, inserted or has another length. Of records with one id in a replica's archive, the first in its order takes the place and the others are ``extra``.
 
 Null page ids take a hash of the page in their place. Null URLs and pages are empty. Repeated rows are repeated records. Pages of equal ids are ordered by a hash of
 their records; those of equal hashes too are equal. Columns of the pages may have any names. A record is held whole in a task's memory, however long. A record or archive
@@ -161,7 +163,9 @@ def aligned(replica: DataFrame, primary: DataFrame) -> DataFrame:
     """A replica's records (of :func:`split_archives`) with ``seq`` that of the primary's record of the same id; records of other ids come after the primary's last place."""
     own = primary.select("archive", F.col("seq").alias("place"), record_id(F.col("archive"), F.col("seq")).alias("record_id"))
     last = primary.groupBy("archive").agg(F.max("seq").alias("last"))
-    found = replica.join(own, ["archive", "record_id"], "left").join(last, "archive", "left")
+    # The first record of an id in the replica; the others have no place. A count of copies is all that meets at an id.
+    first = replica.where("record_id is not null").groupBy("archive", "record_id").agg(F.min("seq").alias("seq"))
+    found = replica.join(first.join(own, ["archive", "record_id"]), ["archive", "record_id", "seq"], "left").join(last, "archive", "left")
     # An unknown record keeps its own number, after the primary's; where that has no such archive, from 0.
     return found.withColumn("seq", F.coalesce("place", F.coalesce(F.col("last") + 1, F.lit(0)) + F.col("seq"))).drop("place", "last")
 
@@ -174,8 +178,9 @@ def tree(made: DataFrame, fanout: int = FANOUT, levels: int | None = None) -> Da
     out = level.withColumn("level", F.lit(0))
     # Each level is a small part of the one below; only the leaves are worth keeping.
     for k in range(1, levels + 1):
-        children = F.array_sort(F.collect_list(F.struct("node", "hash")))
-        level = level.groupBy("archive", F.floor(F.col("node") / fanout).alias("up")).agg(F.min("first").alias("first"), F.max("end").alias("end"), children.alias("c")).select("archive", F.col("up").alias("node"), "first", "end", F.sha2(F.array_join(F.col("c.hash"), "").cast("binary"), 256).alias("hash"))
+        line = F.concat("hash", F.lit(":"), F.col("first").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit("\n"))
+        children = F.array_sort(F.collect_list(F.struct("node", line.alias("line"))))
+        level = level.groupBy("archive", F.floor(F.col("node") / fanout).alias("up")).agg(F.min("first").alias("first"), F.max("end").alias("end"), children.alias("c")).select("archive", F.col("up").alias("node"), "first", "end", F.sha2(F.array_join(F.col("c.line"), "").cast("binary"), 256).alias("hash"))
         out = out.unionByName(level.withColumn("level", F.lit(k)))
     return out.select("archive", "level", "node", "first", "end", "hash")
 
@@ -187,9 +192,9 @@ def depth(made: DataFrame, fanout: int = FANOUT) -> int:
 
 
 def audit(primary: DataFrame, replica: DataFrame, levels: int, fanout: int = FANOUT) -> DataFrame:
-    """Records that differ between two trees: ``archive``, ``seq``, ``status`` (corrupt, missing, extra), and the byte range ``first`` to ``end``.
+    """Records that differ between two trees: ``archive``, ``seq``, ``status`` (corrupt, moved, missing, extra), and the byte range ``first`` to ``end``.
 
-    Starts from the roots; each level keeps the nodes below a differing one whose hashes differ.
+    Starts from the roots; each level keeps the nodes below a differing one whose hashes or ranges differ. A moved record's range is the primary's.
     """
     bad = None
     for k in range(levels, -1, -1):
@@ -197,7 +202,7 @@ def audit(primary: DataFrame, replica: DataFrame, levels: int, fanout: int = FAN
         if bad is not None:
             above = bad.select("archive", F.col("node").alias("up"))
             a, b = (t.withColumn("up", F.floor(F.col("node") / fanout)).join(above, ["archive", "up"], "left_semi").drop("up") for t in (a, b))
-        joined = a.alias("a").join(b.alias("b"), ["archive", "node"], "full").where(~F.col("a.hash").eqNullSafe(F.col("b.hash")))
-        status = F.when(F.col("b.hash").isNull(), "missing").when(F.col("a.hash").isNull(), "extra").otherwise("corrupt")
+        joined = a.alias("a").join(b.alias("b"), ["archive", "node"], "full").where(~F.struct("a.hash", "a.first", "a.end").eqNullSafe(F.struct("b.hash", "b.first", "b.end")))
+        status = F.when(F.col("b.hash").isNull(), "missing").when(F.col("a.hash").isNull(), "extra").when(F.col("a.hash") == F.col("b.hash"), "moved").otherwise("corrupt")
         bad = cut(joined.select("archive", "node", status.alias("status"), F.coalesce("a.first", "b.first").alias("first"), F.coalesce("a.end", "b.end").alias("end")))
     return bad.withColumnRenamed("node", "seq")
