@@ -24,11 +24,12 @@ from functools import reduce
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.llm import _hashing as H
-from wellspring.llm._common import byte_list, kept, utf8
+from wellspring.llm._common import byte_list, kept, pieces, utf8
 
 WIDTH = 35
 SEED = 8
@@ -39,7 +40,7 @@ _BLOCK = 1 << 16
 
 
 def dealt(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) -> DataFrame:
-    """``bucket``, ``id``, ``text`` (bytes), ``copies`` (rows of this id and text), with as many buckets as the corpus needs at ``bucket_bytes`` each."""
+    """``bucket``, ``id``, ``text`` (bytes, see :func:`texts_of`), ``copies`` (rows of this id and text), with as many buckets as the corpus needs at ``bucket_bytes`` each."""
     return dealt_into(docs, id_col, text_col, bucket_bytes)[0]
 
 
@@ -55,7 +56,22 @@ def dealt_into(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) -
         hashed = named.withColumn("row", row)
         grouped = hashed.join(twice, "row", "left_semi").groupBy("id", "text").agg(F.count("*").alias("copies"))
         rows = hashed.join(twice, "row", "left_anti").select("id", "text", F.lit(1).cast("bigint").alias("copies")).unionByName(grouped)
-    return rows.select(F.pmod(row, F.lit(buckets)).alias("bucket"), "id", "text", "copies"), buckets
+    shown = rows.select(F.pmod(row, F.lit(buckets)).alias("bucket"), "id", "text", "copies")
+    return shown.mapInArrow(_packed, f"bucket bigint, id {shown.schema['id'].dataType.simpleString()}, text binary, copies bigint"), buckets
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts are what is moved most, so they are packed for it, each by itself."""
+    packer = zstandard.ZstdCompressor(level=1)
+    for batch in pieces(batches, "text"):
+        packed = [None if t is None else packer.compress(t) for t in byte_list(batch.column("text"))]
+        yield batch.set_column(2, "text", pa.array(packed, pa.binary()))
+
+
+def texts_of(docs: pa.Table) -> list[bytes | None]:
+    """The texts of dealt rows, unpacked."""
+    unpacker = zstandard.ZstdDecompressor()
+    return [None if t is None else unpacker.decompress(t) for t in byte_list(docs.column("text"))]
 
 
 def expanded(out: DataFrame) -> DataFrame:
@@ -67,7 +83,7 @@ def expanded(out: DataFrame) -> DataFrame:
 
 def counted(docs: pa.Table) -> Iterator[tuple[bytes | None, int]]:
     """Each text with 1, or 2 for several copies: what occurs in it recurs then, and no count is asked for more."""
-    return zip(byte_list(docs.column("text")), np.minimum(docs.column("copies").to_numpy(), 2).tolist(), strict=True)
+    return zip(texts_of(docs), np.minimum(docs.column("copies").to_numpy(), 2).tolist(), strict=True)
 
 
 def totalled(rows: DataFrame, buckets: int, *key: str, fan: int = FAN) -> DataFrame:
@@ -181,13 +197,13 @@ def _remove_rows(width: int):
         # Of the confirmed hashes one half is enough to know a bucket's own windows by.
         known = np.sort(_unsigned(confirmed.column("first")))
         # Latin-1 keeps bytes apart as characters, so the automaton works on the text's bytes.
-        texts = [(t or b"").decode("latin-1") for t in byte_list(docs.column("text"))]
-        split = [[w.decode("latin-1") for w in (t or b"").split()] for t in byte_list(docs.column("text"))]
+        texts = [t or b"" for t in texts_of(docs)]
+        split = [[w.decode("latin-1") for w in t.split()] for t in texts]
         passages: set[str] = set()
         if len(known):
             for words, text in zip(split, texts, strict=True):
                 if len(words) >= width:
-                    for start, end in H.runs(is_in(Words(text.encode("latin-1")).windows(width)[0], known)).tolist():
+                    for start, end in H.runs(is_in(Words(text).windows(width)[0], known)).tolist():
                         for k in {*range(start, end, width), end - 1}:
                             passages.add(f" {' '.join(words[k : k + width])} ")
         automaton = compile_automaton(passages)

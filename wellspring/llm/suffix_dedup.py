@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.llm import _hashing as H
-from wellspring.llm._common import byte_list, kept
+from wellspring.llm._common import kept
 from wellspring.llm.bwt import recurring_starts
-from wellspring.llm.phrase_dedup import BUCKET_BYTES, FAN, _signed, _unsigned, counted, dealt_into, expanded, is_in, recurring, totalled
+from wellspring.llm.phrase_dedup import BUCKET_BYTES, FAN, _signed, _unsigned, counted, dealt_into, expanded, is_in, recurring, texts_of, totalled
 
 WIDTH = 400
 SEED = 32
@@ -124,7 +124,7 @@ def _fetch_rows(width: int, seed: int):
         left = dict(zip(wanted.column("context").to_pylist(), wanted.column("n").to_pylist(), strict=True))
         known = np.unique(_unsigned(wanted.column("anchor")))
         found, values, counts, rel, texts = [], [], [], [], []
-        for text in byte_list(docs.column("text")) if left else []:
+        for text in texts_of(docs) if left else []:
             for value, place, first, last in contexts(text, width, seed, known):
                 piece = text[first : last + width]
                 if (name := _name(piece)) in left:
@@ -210,7 +210,7 @@ def _remove_rows(width: int, seed: int):
         ranges = dict(zip(decided.column("context").to_pylist(), decided.column("ranges").to_pylist(), strict=True))
         known = np.unique(_unsigned(decided.column("anchor")))
         n, removed, spans, digest, kept_text = [], [], [], [], []
-        for text in byte_list(docs.column("text")):
+        for text in texts_of(docs):
             text = text or b""
             marks = np.zeros(len(text) + 1, dtype=np.int64)
             for _, _, first, last in contexts(text, width, seed, known) if len(known) else ():
@@ -236,7 +236,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_bucket = held.groupBy("bucket")
     anchors = recurring(by_bucket.applyInArrow(_anchor_rows(width, seed), "bucket bigint, anchor bigint, n bigint"), buckets, "anchor", fan=fan)
     found = by_bucket.cogroup(anchors.groupBy("bucket")).applyInArrow(_context_rows(width, seed), "bucket bigint, context binary, anchor bigint, cores array<bigint>, n bigint")
-    found = totalled(found, buckets, "context", fan=fan)
+    # A later join leaves null contexts out. There are none; said here, it is the same in all branches, and they share the contexts and their exchange.
+    found = totalled(found.where(F.col("context").isNotNull()), buckets, "context", fan=fan)
     cores = found.where("home").select("bucket", "context", "anchor", F.col("total").alias("n"), F.explode("cores").alias("core"))
     # All columns are used in each branch, so that the branches share one exchange of contexts.
     useful = cores.groupBy("core").agg(F.count("context").alias("k"), F.min("n").alias("least"), F.min("bucket").alias("b"), F.count("anchor").alias("a")).where("k > 1 and least = 1 and b >= 0 and a > 0").select("core")
