@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from wellspring import metrics
 from wellspring.plans import events as plans
 from wellspring.operators.graph import delivery_order
+from wellspring.sources import frames
+from wellspring.streaming import frame_stream
 from wellspring.streaming import arriving, latency_series, observed, run_logged
 from wellspring.streaming import delivered, drain, graph_stream, prepare, staged, write_batches
 
@@ -131,3 +133,42 @@ def test_the_state_of_an_interval_join_is_let_go(spark, tmp_path):
     found = spark.read.parquet(str(tmp_path / "out")).select("l_event_id", "r_event_id")
     batch = plans.follow_up(plans.source(rows)).plain().select("l_event_id", "r_event_id")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def dark(events):
+    """Windows over windows, the later ones over all keys."""
+    daily = events.window_agg(["user_id"], "24 hours", total=F.sum("value")).where("total < 400")
+    return daily.window_agg([], "48 hours", users=F.count("*")).where("users > 1")
+
+
+@pytest.mark.parametrize("plan", [plans.in_area, dark])
+def test_the_graph_without_lists_equals_the_batch(events, plan):
+    batch = plan(plans.source(events))
+    rows = delivered(graph_stream({"q": plan(plans.source(staged(events, "event_id", "ts", ends=ENDS), carry=False, watermark="0 seconds"))}))
+    found = rows.collect()
+    assert {(r.uid2, int(r.uid1)) for r in found if r.kind == "EDGE"} == {(r.sink, r.source) for r in batch.edges("q").collect()} != set()
+    assert sum(r.kind == "EDGE" for r in found) == batch.edges("q").count()
+    assert {(r.uid1, r.data) for r in found if r.kind == "SINK"} == {(r.sink, r.data) for r in batch.sinks("q").collect()}
+    assert sorted(r.uid1 for r in found if r.kind == "ACK") == sorted(r.uid1 for r in found if r.kind in ("SOURCE", "SINK"))
+    assert all(r.data.startswith("{") for r in found if r.kind == "SOURCE") and delivery_order(rows).first()[1:] == (0, 0)
+
+
+def test_streams_without_lists_say_what_they_cannot_do(events):
+    held = plans.source(staged(events, "event_id", "ts", ends=ENDS), carry=False, watermark="0 seconds")
+    with pytest.raises(NotImplementedError, match="carry"):
+        held.window_join(held, {"user_id": "user_id"}, "1 hours").flow()
+
+
+def test_frames_of_a_stream_equal_those_of_a_table(spark, tmp_path):
+    prepare(spark)
+    kinds = ["lidar", "ring_front_left", "ring_front_right", "lidar", "ring_front_left", "ring_front_right", "lidar", "lidar", "ring_front_left", "ring_front_left", "ring_front_right", "lidar"]
+    rows = [(k, 10**15 + 400_000_000 * n + 1, [(f"t{n}", ("A", n / 7, 0.0, 1.0))]) for n, k in enumerate(kinds * 5)]
+    table = spark.createDataFrame(rows, "payload_type string, ns bigint, annotations array<struct<key:string,value:struct<label:string,x:double,y:double,z:double>>>")
+    for k in range(5):
+        table.where(f"ns between {rows[12 * k][1]} and {rows[12 * k + 11][1]}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    table.limit(1).withColumn("payload_type", F.lit("end")).withColumn("ns", F.lit(1 << 62)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for every in (1, 2):
+        batch = frames(table.withColumn("annotations", F.map_from_entries("annotations")), every)
+        found = drain(frame_stream(stream, every))
+        assert sorted(map(str, found.collect())) == sorted(map(str, batch.collect())) != []

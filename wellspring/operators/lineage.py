@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DateType, MapType, NumericType, StructType, TimestampNTZType, TimestampType
 
+from wellspring.operators.members import EDGE, Members
 from wellspring.scratch import BROADCAST_ROWS, kept
 
 HIDDEN = ("rid", "rkey", "prov", "event")
@@ -96,6 +97,9 @@ class Lineage:
     trace: Trace
     reach: int = 0
     carry: bool = True
+    #: For streams with ``carry=False``: sources by row, see :meth:`flow`, and the sources themselves (rid, ts, event, data).
+    sources_of: Callable[[DataFrame, list[str]], DataFrame] | None = None
+    roots: tuple[DataFrame, ...] = ()
 
     @classmethod
     def source(cls, df: DataFrame, uid: str, ts: str, carry: bool = True, watermark: str | None = None, stamped: bool = False) -> Lineage:
@@ -121,7 +125,17 @@ class Lineage:
             df = df.withColumn("prov", F.array(F.struct(own.alias("id"), at.alias("ts"), F.to_json(F.struct(*payload)).alias("data"))))
         else:
             df = df.withColumn("prov", F.array(own))
-        return cls(df, lambda links: links.df.select("out", F.col("key").alias("uid")), 0, carry)
+        trace = lambda links: links.df.select("out", F.col("key").alias("uid"))
+        if carry or not df.isStreaming:
+            return cls(df, trace, 0, carry)
+        flow = lambda rows, keep: rows.select(F.col("rkey").alias("uid"), F.col("ts").alias("source_ts"), "event", *keep)
+        return cls(df, trace, 0, carry, flow, (df.select("rid", "ts", "event", F.to_json(F.struct(*payload)).alias("data")),))
+
+    def flow(self, *keep: str) -> DataFrame:
+        """In a stream: ``uid``, ``source_ts`` and ``event`` for each row and source of it, with the row's columns ``keep``. Of sources, windows over them and windows over those."""
+        if self.sources_of is None:
+            raise NotImplementedError("streams without lists know the lineage of windows only; use carry=True")
+        return self.sources_of(self.df, list(keep))
 
     def _hidden(self) -> list[str]:
         return [c for c in HIDDEN if c in self.df.columns]
@@ -155,7 +169,7 @@ class Lineage:
         if self.carry:
             return replace(self, df=df.drop("r_window"))
         df = df.withColumn("rkey", F.struct(F.col("rkey").alias("of"), own.alias("at"))).drop("r_window")
-        return replace(self, df=df, trace=lambda links: self.trace(links.of(F.col("key.of"))))
+        return replace(self, df=df, trace=lambda links: self.trace(links.of(F.col("key.of"))), sources_of=None)
 
     def union(self, *others: Lineage) -> Lineage:
         """Rows of all, by column name."""
@@ -195,7 +209,17 @@ class Lineage:
             match = [F.col("of.end") == F.col("end"), *(F.col(f"of.k{i}").eqNullSafe(F.col(f"k{i}")) for i in range(len(keys)))]
             return self.trace(Links(members.join(F.broadcast(wanted) if links.rows <= BROADCAST_ROWS else wanted, match).select("out", "key")))
 
-        return Lineage(out, trace, self.reach + seconds(size), self.carry)
+        def flow(rows: DataFrame, keep: list[str]) -> DataFrame:
+            none = lambda kind: F.lit(None).cast(kind)
+            held = self.flow(*keys).withColumn("window", F.window("event", size, slide or size))
+            held = held.select(rid.alias("id"), "event", F.unix_micros("window.end").alias("end"), "uid", "source_ts", none("string").alias("kept"))
+            fired = rows.select(F.col("rid").alias("id"), "event", none("bigint").alias("end"), none("bigint").alias("uid"), none("bigint").alias("source_ts"), F.to_json(F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))), _TIMES).alias("kept"))
+            found = held.unionByName(fired).groupBy("id").transformWithState(Members(), EDGE, "append", "eventTime", eventTimeColumnName="event")
+            kinds = ", ".join(f"c{i} {rows.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+            row = F.from_json("kept", kinds, _TIMES) if keep else None
+            return found.select("uid", "source_ts", "event", *(row[f"c{i}"].alias(c) for i, c in enumerate(keep)))
+
+        return Lineage(out, trace, self.reach + seconds(size), self.carry, flow if self.sources_of is not None else None, self.roots)
 
     def _sides(self, other: Lineage, on: dict[str, str], prefix: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
         left = self.df.select(*(F.col(c).alias(f"{prefix[0]}{c}") for c in self.df.columns))

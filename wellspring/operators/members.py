@@ -1,0 +1,50 @@
+"""What the windows of a stream held, kept by key until they fire."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import Row
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+#: What goes in: sources of a window (``end``: its end in microseconds), and results (``kept`` is not null) of windows that have fired.
+MEMBER = "id string, event timestamp, end long, uid long, source_ts long, kept string"
+#: What comes out: a row for each result and source.
+EDGE = "event timestamp, uid long, source_ts long, kept string"
+
+
+class Members(StatefulProcessor):
+    """Of one window and key: a list in the state store of its sources' ids, one entry each. A result gives one row for each of them; when time has passed the window, the list goes.
+
+    Results come with the batch whose watermark closes their window, and timers after a batch's rows, so a list is there when its result comes.
+    No row and no Python object holds a window: the list is read and written entry by entry.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "uid long, source_ts long")
+        self.known = handle.getValueState("known", "end long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        results, timed = [], self.known.exists()
+        for r in rows:
+            if r.kept is not None:
+                results.append((r.event, r.kept))
+                continue
+            self.held.appendValue((r.uid, r.source_ts))
+            if not timed:
+                timed = True
+                self.known.update((r.end,))
+                self.handle.registerTimer(r.end // 1000)
+        # A window has one result; a repeated delivery of it would be one more.
+        for event, kept in results:
+            for uid, source_ts in self.held.get():
+                yield Row(event=event, uid=uid, source_ts=source_ts, kept=kept)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        self.held.clear()
+        self.known.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass

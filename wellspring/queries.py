@@ -255,6 +255,23 @@ def stream_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(_stream_nodes(spark, sf_dir), "graph")
 
 
+def _flow(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The streaming graph of a plan whose rows hold no lineage."""
+    prepare(spark)
+    ends = [{"user_id": -1, "event_type": "click", "value": v} for v in (1.0, 25.0)]
+    return graph_stream({name: plans.PLANS[name](plans.source(staged(plans.read(spark, sf_dir), "event_id", "ts", ends=ends), carry=False, watermark="0 seconds"))})
+
+
+def stream_flow_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as stream_graph, without an array in any row: windows' sources are in keyed state, entry by entry."""
+    return drain(_flow(spark, sf_dir, "inarea"), "flow")
+
+
+def stream_flow_blackout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of windows over windows, the later ones over all keys."""
+    return drain(_flow(spark, sf_dir, "blackout"), "flow").where("kind = 'EDGE'").select(F.col("uid2").alias("sink"), F.col("uid1").cast("bigint").alias("source"))
+
+
 def stream_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the streaming graph, and how many were delivered before their vertices or after an ACK of one."""
     return delivery_order(delivered(_stream_nodes(spark, sf_dir)))
@@ -273,7 +290,7 @@ def stream_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DIRECT = (
     anomaly_prov, graph_source, graph_sink, graph_edge, graph_ack, graph_violations, graph_sound, graph_latency, graph_lines, graph_timestamped_lines, graph_commands, graph_relations, backward_text, delivery_poll, delivery_latency, delivery_statistics, repeated_events, union_counts,
-    exploded_props, day_series, orders_by_week, shipped_soon, synthetic_edges, synthetic_shared, stream_anomaly, stream_followup, stream_latency, stream_accident, stream_graph, stream_delivery, stream_edges, stream_sources,
+    exploded_props, day_series, orders_by_week, shipped_soon, synthetic_edges, synthetic_shared, stream_anomaly, stream_followup, stream_latency, stream_accident, stream_graph, stream_flow_graph, stream_flow_blackout, stream_delivery, stream_edges, stream_sources,
 )
 
 
@@ -430,6 +447,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_latency": f"SELECT count(*) AS results, count(*) AS lines, true AS each_second, true AS sound FROM ({PLAN_SQL['inarea']})",
         "stream_edges": _edge_sql("inarea"),
         "stream_graph": _node_sql(*_IN_AREA),
+        "stream_flow_graph": _node_sql(*_IN_AREA),
+        "stream_flow_blackout": _edge_sql("blackout"),
         "stream_delivery": f"SELECT count(*) AS edges, CAST(0 AS BIGINT) AS early, CAST(0 AS BIGINT) AS late FROM ({_edge_sql('inarea')})",
         "stream_sources": f"SELECT kind, CAST(uid1 AS BIGINT) AS uid, ts FROM ({_node_sql(*_IN_AREA)}) WHERE kind = 'SOURCE' OR kind = 'ACK' AND uid1 NOT LIKE 'inarea|%'",
     }

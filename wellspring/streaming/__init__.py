@@ -1,7 +1,8 @@
 """The plans as streams, and the forward graph with keyed state and event-time timers."""
 
+from wellspring.streaming.frames import frame_stream
 from wellspring.streaming.graph import graph_stream, prepare
 from wellspring.streaming.latency import LatencyLog, arriving, latency_series, observed, run_logged
-from wellspring.streaming.run import delivered, drain, staged, write_batches
+from wellspring.streaming.run import delivered, drain, staged, started, write_batches
 
-__all__ = ["LatencyLog", "arriving", "delivered", "drain", "graph_stream", "latency_series", "observed", "prepare", "run_logged", "staged", "write_batches"]
+__all__ = ["LatencyLog", "arriving", "delivered", "drain", "frame_stream", "graph_stream", "latency_series", "observed", "prepare", "run_logged", "staged", "started", "write_batches"]

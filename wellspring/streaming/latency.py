@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from wellspring.metrics import each_step
+from wellspring.streaming.run import started
 
 #: The name under which a stream's rows are observed.
 OBSERVED = "latency"
@@ -71,7 +72,7 @@ def run_logged(stream: DataFrame, write, checkpoint: str, path: str) -> None:
     log = LatencyLog(spark, path, name)
     spark.streams.addListener(log)
     try:
-        stream.writeStream.queryName(name).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        started(stream.writeStream.queryName(name).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True), spark).awaitTermination()
         # Events come after the fact; the last of a query says that it has ended.
         log.over.wait(60)
     finally:

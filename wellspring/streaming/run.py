@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from wellspring.scratch import shared_folder
 
@@ -14,6 +15,20 @@ from wellspring.scratch import shared_folder
 END_TS, END_UID = "2999-01-01 23:30:00", -1
 
 
+def started(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Starts a query with each exchange computed for itself. Where two branches of a stream share one, Spark does not see the watermark below it for the second, whose windows then never close.
+
+    A query takes the session's settings when it starts, so batch queries keep theirs.
+    """
+    name = "spark.sql.exchange.reuse"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, before)
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder for staged rows, results or a stream's progress, in the folder that driver and executors share."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -36,8 +51,7 @@ def staged(df: DataFrame, uid: str, ts: str, parts: int = 4, ends: Sequence[dict
 def drain(stream: DataFrame, name: str = "out") -> DataFrame:
     """Runs a stream over all rows that there are; its results as a table. The checkpoint lets an interrupted run go on."""
     spark, path = stream.sparkSession, folder(stream.sparkSession, name)
-    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
+    started(stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True), spark).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
@@ -54,7 +68,7 @@ def write_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], ch
         finally:
             held.unpersist()
 
-    query = stream.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = started(stream.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True), stream.sparkSession)
     query.awaitTermination()
     return [dict(p) if isinstance(p, dict) else p for p in query.recentProgress]
 

@@ -11,6 +11,8 @@ from wellspring.functions import event_time, from_units, speed_kmh
 from wellspring.operators import Lineage, forward_graph
 from wellspring.plans import workloads
 from wellspring.sources import frames, synthetic_lineage
+from wellspring.streaming import drain, frame_stream, prepare
+from wellspring.streaming.run import folder
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +99,18 @@ def lv_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.unix_millis("ts").alias("ms"), key("lidar"), key("left"), key("right"))
 
 
+def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third frame of the same payloads an hour later, as a stream."""
+    prepare(spark)
+    rows, path = payloads(_events(spark, sf_dir)).withColumn("ns", F.col("ns") + 3_600_000_000_000).withColumn("annotations", F.map_entries("annotations")), folder(spark, "payloads")
+    rows.repartition(4).write.parquet(path)
+    # The row that ends the stream is of no kind that a frame has.
+    spark.range(1).select(F.lit("end").alias("payload_type"), F.lit(1 << 62).alias("ns"), F.lit(None).cast(rows.schema["annotations"].dataType).alias("annotations")).write.mode("append").parquet(path)
+    held = drain(frame_stream(spark.readStream.schema(rows.schema).parquet(path), every=3), "frames")
+    key = lambda side: F.col(f"{side}.annotations")[0]["key"].cast("bigint").alias(side)
+    return held.select(F.unix_millis("ts").alias("ms"), key("lidar"), key("left"), key("right"))
+
+
 def cv_current_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The speed between each position of a car and its next."""
     order = Window.partitionBy("car_id").orderBy("ts")
@@ -144,7 +158,7 @@ def synthetic_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic_lineage(spark, 2000, 25, 10, 0, 48).select(F.explode("prov").alias("p")).select("p.uid", F.lower(F.hex("p.data")).alias("data"))
 
 
-DIRECT = (lv_frames, lv_crossed_graph, cv_current_speed, odd_key_edges, odd_key_prov, array_key_edges, synthetic_data)
+DIRECT = (lv_frames, stream_frames, lv_crossed_graph, cv_current_speed, odd_key_edges, odd_key_prov, array_key_edges, synthetic_data)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -194,6 +208,12 @@ PLAN_SQL = {
 }
 
 
+_FRAME_SQL = """WITH p AS (SELECT event_id, late, name, row_number() OVER (ORDER BY event_id * 100000000 + late, name) - 1 AS k
+        FROM events, (VALUES ('ring_front_left', 3000000), ('lidar', 0), ('ring_front_right', 5000001)) v(name, late)),
+    f AS (SELECT row_number() OVER (ORDER BY k // 3) - 1 AS i, count(*) OVER () AS len, max(event_id * 100000000 + late) FILTER (WHERE name = 'lidar') AS ns,
+        max(event_id) FILTER (WHERE name = 'lidar') AS lidar, max(event_id) FILTER (WHERE name LIKE '%left') AS l, max(event_id) FILTER (WHERE name LIKE '%right') AS r FROM p GROUP BY k // 3)"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, (_, _, columns) in PLANS.items():
@@ -214,12 +234,9 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'EDGE', CAST(uid AS VARCHAR), id, greatest(edge.ts, source.ts) FROM edge JOIN source USING (uid)""",
         "array_key_edges": """SELECT 'array|' || CASE WHEN a IS NULL THEN '\\0' ELSE '{"k":' || to_json(a) || '}' END || '|' || epoch_us(date_trunc('hour', ts)) || '|' || epoch_us(date_trunc('day', ts) + INTERVAL 1 DAY) AS sink, event_id AS source
             FROM (SELECT event_id, ts, [['a, b'], ['a', 'b'], ['a, b', 'c'], ['a', 'b, c'], NULL][user_id % 5 + 1] AS a FROM events)""",
-        "lv_frames": """WITH p AS (SELECT event_id, late, name, row_number() OVER (ORDER BY event_id * 100000000 + late, name) - 1 AS k
-                FROM events, (VALUES ('ring_front_left', 3000000), ('lidar', 0), ('ring_front_right', 5000001)) v(name, late)),
-            f AS (SELECT row_number() OVER (ORDER BY k // 3) - 1 AS i, count(*) OVER () AS len, max(event_id * 100000000 + late) FILTER (WHERE name = 'lidar') AS ns,
-                max(event_id) FILTER (WHERE name = 'lidar') AS lidar, max(event_id) FILTER (WHERE name LIKE '%left') AS l, max(event_id) FILTER (WHERE name LIKE '%right') AS r FROM p GROUP BY k // 3),
-            s AS (SELECT max(ns) - min(ns) + 1 AS shift FROM f)
+        "lv_frames": f"""{_FRAME_SQL}, s AS (SELECT max(ns) - min(ns) + 1 AS shift FROM f)
             SELECT CAST((ns + turn * shift) // 1000000 AS BIGINT) AS ms, lidar, l AS "left", r AS "right" FROM f, s, range(2) t(turn) WHERE (turn * len + i) % 3 = 0""",
+        "stream_frames": f"""{_FRAME_SQL} SELECT CAST(ns // 1000000 AS BIGINT) + 3600000 AS ms, lidar, l AS "left", r AS "right" FROM f WHERE i % 3 = 0""",
         "cv_current_speed": f"""SELECT a.uid, round({_kmh('a', 'a.b', "((epoch_us(a.b.ts) - epoch_us(a.ts)) // 1000)")}, 4) AS speed
             FROM (SELECT *, lead({{'lat': lat, 'lon': lon, 'ts': ts}}) OVER (PARTITION BY car_id ORDER BY ts) AS b FROM {_POSITIONS}) a""",
         "odd_key_edges": f"SELECT sink, unnest(prov) AS source FROM ({odd})",
