@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 from wellspring import metrics
 from wellspring.plans import events as plans
 from wellspring.operators.graph import delivery_order
+from wellspring.operators import forward_graph
 from wellspring.sources import frames
-from wellspring.streaming import frame_stream
+from wellspring.streaming import frame_stream, standard_graph_stream
 from wellspring.streaming import arriving, latency_series, observed, run_logged
 from wellspring.streaming import delivered, drain, graph_stream, prepare, staged, write_batches
 
@@ -153,6 +154,17 @@ def test_the_graph_without_lists_equals_the_batch(events, plan):
     assert all(r.data.startswith("{") for r in found if r.kind == "SOURCE") and delivery_order(rows).first()[1:] == (0, 0)
 
 
+@pytest.mark.parametrize("plan,carry", [(plans.in_area, True), (plans.in_area, False), (dark, True)])
+def test_the_graph_from_standard_operators_equals_the_batch(events, plan, carry):
+    batch = plan(plans.source(events))
+    held = plan(plans.source(staged(events, "event_id", "ts", ends=ENDS), carry=carry, watermark="0 seconds"))
+    rows = delivered(standard_graph_stream({"q": held}))
+    graph = forward_graph({"q": batch}, events, "event_id", "ts")
+    shown = lambda df: sorted(map(str, df.select("kind", "uid1", "uid2", "ts", "data").collect()))
+    assert shown(rows) == shown(graph.nodes())
+    assert delivery_order(rows).first()[1:] == (0, 0)
+
+
 def test_streams_without_lists_say_what_they_cannot_do(events):
     held = plans.source(staged(events, "event_id", "ts", ends=ENDS), carry=False, watermark="0 seconds")
     with pytest.raises(NotImplementedError, match="carry"):

@@ -89,6 +89,15 @@ def _end(window: str) -> Column:
     return F.unix_micros(F.col(f"{window}.end")).cast("string")
 
 
+def _all(parts: Iterable[Lineage]) -> tuple[DataFrame, ...]:
+    """The sources of all parts, each once."""
+    out: list[DataFrame] = []
+    for root in (r for p in parts for r in p.roots):
+        if not any(root is x for x in out):
+            out.append(root)
+    return tuple(out)
+
+
 @dataclass(frozen=True)
 class Lineage:
     """Rows with their lineage. Make one with :meth:`source`; every method returns a new one."""
@@ -97,7 +106,7 @@ class Lineage:
     trace: Trace
     reach: int = 0
     carry: bool = True
-    #: For streams with ``carry=False``: sources by row, see :meth:`flow`, and the sources themselves (rid, ts, event, data).
+    #: For streams: with ``carry=False`` the sources by row, see :meth:`flow`; and the sources themselves (rid, ts, event, data).
     sources_of: Callable[[DataFrame, list[str]], DataFrame] | None = None
     roots: tuple[DataFrame, ...] = ()
 
@@ -126,10 +135,10 @@ class Lineage:
         else:
             df = df.withColumn("prov", F.array(own))
         trace = lambda links: links.df.select("out", F.col("key").alias("uid"))
-        if carry or not df.isStreaming:
+        if not df.isStreaming:
             return cls(df, trace, 0, carry)
         flow = lambda rows, keep: rows.select(F.col("rkey").alias("uid"), F.col("ts").alias("source_ts"), "event", *keep)
-        return cls(df, trace, 0, carry, flow, (df.select("rid", "ts", "event", F.to_json(F.struct(*payload)).alias("data")),))
+        return cls(df, trace, 0, carry, None if carry else flow, (df.select("rid", "ts", "event", F.to_json(F.struct(*payload)).alias("data")),))
 
     def flow(self, *keep: str) -> DataFrame:
         """In a stream: ``uid``, ``source_ts`` and ``event`` for each row and source of it, with the row's columns ``keep``. Of sources, windows over them and windows over those."""
@@ -184,7 +193,7 @@ class Lineage:
             links = links.settled()
             return reduce(DataFrame.unionByName, [p.trace(Links(links.df.where(F.col("key.part") == k), links.rows).of(F.col(f"key.k{k}"))) for k, p in enumerate(parts)])
 
-        return Lineage(reduce(DataFrame.unionByName, frames), trace, max(p.reach for p in parts), self.carry)
+        return Lineage(reduce(DataFrame.unionByName, frames), trace, max(p.reach for p in parts), self.carry, roots=_all(parts))
 
     def window_agg(self, keys: list[str], size: str, slide: str | None = None, **aggregates: Column) -> Lineage:
         """Aggregates over sliding (or, without ``slide``, tumbling) windows of event time, by keys; no keys: over all rows of a window.
@@ -240,7 +249,7 @@ class Lineage:
             return self.trace(links.of(F.col("key.l"))).unionByName(other.trace(links.of(F.col("key.r"))))
 
         hidden = [f"{p}{c}" for p in (a, b) for c in HIDDEN]
-        return Lineage(out.drop(*(h for h in hidden if h in out.columns)), trace, reach, self.carry)
+        return Lineage(out.drop(*(h for h in hidden if h in out.columns)), trace, reach, self.carry, roots=_all((self, other)))
 
     def window_join(self, other: Lineage, on: dict[str, str], size: str, slide: str | None = None, prefix: tuple[str, str] = ("l_", "r_")) -> Lineage:
         """All pairs with equal keys in the same window; a pair that shares several windows is there several times. Columns get the sides' prefixes."""

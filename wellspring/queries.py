@@ -15,8 +15,8 @@ from wellspring.operators.graph import delivery_order, latencies, violations
 from wellspring.plans import events as plans
 from wellspring.scratch import kept
 from wellspring.sinks import DeliveryStore, backward_lines, command_lines, graph_tables, lines, plain_lines, timestamped_lines
-from wellspring.sources import repeated, synthetic_lineage, synthetic_overlap
-from wellspring.streaming import arriving, delivered, drain, graph_stream, latency_series, observed, prepare, run_logged, staged
+from wellspring.sources import repeated, synthetic_overlap, synthetic_sources
+from wellspring.streaming import arriving, delivered, drain, graph_stream, latency_series, observed, prepare, run_logged, staged, standard_graph_stream
 from wellspring.streaming.run import folder
 
 #: What each plan's rows show.
@@ -208,14 +208,18 @@ def shipped_soon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.plain().groupBy(F.col("o_o_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.round(F.sum("i_l_quantity"), 6).alias("quantity"))
 
 
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("sink_id"))
+
+
 def synthetic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sources of 250,000 generated results, by result."""
-    held = synthetic_lineage(spark, 250_000, 25, 10, 2).select("sink_id", "sink_ts", F.explode("prov.uid").alias("uid"))
+    """Generated sources of each event, taken as a result, two of them shared with the event before."""
+    held = synthetic_sources(_numbers(spark, sf_dir), 25, 10, 2).select("sink_id", "sink_ts", F.explode("prov.uid").alias("uid"))
     return held.groupBy("sink_id", "sink_ts").agg(F.count("*").alias("n"), F.min("uid").alias("first"), F.max("uid").alias("last"), F.sum("uid").alias("total"))
 
 
 def synthetic_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic_overlap(synthetic_lineage(spark, 50_000, 25, 50, 12))
+    return synthetic_overlap(synthetic_sources(_numbers(spark, sf_dir), 25, 50, 12))
 
 
 def stream_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,6 +271,11 @@ def stream_flow_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(_flow(spark, sf_dir, "inarea"), "flow")
 
 
+def stream_standard_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as stream_graph, from Spark's own operators alone."""
+    return drain(standard_graph_stream({"inarea": plans.in_area(_stream(spark, sf_dir))}), "standard")
+
+
 def stream_flow_blackout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of windows over windows, the later ones over all keys."""
     return drain(_flow(spark, sf_dir, "blackout"), "flow").where("kind = 'EDGE'").select(F.col("uid2").alias("sink"), F.col("uid1").cast("bigint").alias("source"))
@@ -290,7 +299,7 @@ def stream_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DIRECT = (
     anomaly_prov, graph_source, graph_sink, graph_edge, graph_ack, graph_violations, graph_sound, graph_latency, graph_lines, graph_timestamped_lines, graph_commands, graph_relations, backward_text, delivery_poll, delivery_latency, delivery_statistics, repeated_events, union_counts,
-    exploded_props, day_series, orders_by_week, shipped_soon, synthetic_edges, synthetic_shared, stream_anomaly, stream_followup, stream_latency, stream_accident, stream_graph, stream_flow_graph, stream_flow_blackout, stream_delivery, stream_edges, stream_sources,
+    exploded_props, day_series, orders_by_week, shipped_soon, synthetic_edges, synthetic_shared, stream_anomaly, stream_followup, stream_latency, stream_accident, stream_graph, stream_flow_graph, stream_standard_graph, stream_flow_blackout, stream_delivery, stream_edges, stream_sources,
 )
 
 
@@ -438,8 +447,8 @@ def oracle_sql() -> dict[str, str]:
             FROM {_windowed('(SELECT CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS ts, o_orderpriority, o_totalprice FROM orders)', 672, 168)} GROUP BY o_orderpriority, w""",
         "shipped_soon": """SELECT o_orderkey, count(*) AS n, round(sum(l_quantity), 6) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey
             AND CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE) AND CAST(l_shipdate AS DATE) <= CAST(o_orderdate AS DATE) + INTERVAL 30 DAY GROUP BY o_orderkey""",
-        "synthetic_edges": "SELECT i AS sink_id, i + 25 AS sink_ts, count(*) AS n, min(i * 8 + j) AS first, max(i * 8 + j) AS last, CAST(sum(i * 8 + j) AS BIGINT) AS total FROM range(250000) a(i), range(10) b(j) GROUP BY i",
-        "synthetic_shared": """WITH held AS (SELECT i, list(i * 38 + j) AS ids FROM range(50000) a(i), range(50) b(j) GROUP BY i)
+        "synthetic_edges": "SELECT i AS sink_id, i + 25 AS sink_ts, count(*) AS n, min(i * 8 + j) AS first, max(i * 8 + j) AS last, CAST(sum(i * 8 + j) AS BIGINT) AS total FROM (SELECT event_id AS i FROM events), range(10) b(j) GROUP BY i",
+        "synthetic_shared": """WITH held AS (SELECT i, list(i * 38 + j) AS ids FROM (SELECT event_id AS i FROM events), range(50) b(j) GROUP BY i)
             SELECT avg(len(list_intersect(x.ids, y.ids))) AS mean_overlap FROM held x JOIN held y ON x.i = y.i + 1""",
         "stream_anomaly": _plan_sql("anomaly"),
         "stream_accident": _plan_sql("accident"),
@@ -448,6 +457,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_edges": _edge_sql("inarea"),
         "stream_graph": _node_sql(*_IN_AREA),
         "stream_flow_graph": _node_sql(*_IN_AREA),
+        "stream_standard_graph": _node_sql(*_IN_AREA),
         "stream_flow_blackout": _edge_sql("blackout"),
         "stream_delivery": f"SELECT count(*) AS edges, CAST(0 AS BIGINT) AS early, CAST(0 AS BIGINT) AS late FROM ({_edge_sql('inarea')})",
         "stream_sources": f"SELECT kind, CAST(uid1 AS BIGINT) AS uid, ts FROM ({_node_sql(*_IN_AREA)}) WHERE kind = 'SOURCE' OR kind = 'ACK' AND uid1 NOT LIKE 'inarea|%'",

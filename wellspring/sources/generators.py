@@ -12,7 +12,12 @@ def _draw(below: int, *parts: Column) -> Column:
 
 
 def synthetic_lineage(spark: SparkSession, length: int = 1000, delay: int = 10, size: int = 100, overlap: int = 0, tuple_bytes: int = 32) -> DataFrame:
-    """Sink rows with lineage: ``sink_id`` i from 0, ``sink_ts`` = ``delay`` + i, and ``prov``, ``size`` sources (uid, ts, data), ``overlap`` of them shared with the sink before.
+    """:func:`synthetic_sources` of sinks numbered from 0 to ``length`` - 1."""
+    return synthetic_sources(spark.range(length).withColumnRenamed("id", "sink_id"), delay, size, overlap, tuple_bytes)
+
+
+def synthetic_sources(sinks: DataFrame, delay: int = 10, size: int = 100, overlap: int = 0, tuple_bytes: int = 32) -> DataFrame:
+    """Sink rows (``sink_id`` i) with lineage: ``sink_ts`` = ``delay`` + i, and ``prov``, ``size`` sources (uid, ts, data), ``overlap`` of them shared with the sink before.
 
     A sink's own sources are numbered from i * (size - overlap); the shared ones are the last of the sink before, while the delay allows. A source's time is
     its first sink's less a draw below the delay.
@@ -20,7 +25,7 @@ def synthetic_lineage(spark: SparkSession, length: int = 1000, delay: int = 10,
     if not 0 <= overlap < size:
         raise ValueError("overlap is from 0 to size - 1")
     fresh = size - overlap
-    rows = spark.range(length).withColumnRenamed("id", "sink_id").withColumn("sink_ts", F.col("sink_id") + delay)
+    rows = sinks.select("sink_id").withColumn("sink_ts", F.col("sink_id") + delay)
     ids = F.sequence(F.col("sink_id") * fresh, F.col("sink_id") * fresh + size - 1)
 
     def source(uid: Column) -> Column:

@@ -35,14 +35,18 @@ class _Frames(StatefulProcessor):
         yield from self._leave(key, timerValues.getCurrentWatermarkInMs())
 
     def _leave(self, key, watermark: int) -> Iterator[Row]:
-        past = sorted((tuple(k) for k in self.waiting.keys() if k[0] // 1_000_000 < watermark), key=lambda k: (k[0], k[1]))
+        if not self.waiting.exists():
+            return
+        held = [(k[0], k[1], v[0]) for k, v in self.waiting.iterator()]
+        past = sorted((x for x in held if x[0] // 1_000_000 < watermark), key=lambda x: x[:2])
         if not past:
             return
         made = self.made.get()[0] if self.made.exists() else 0
         three = [tuple(r) for r in self.three.get()]
-        for ns, kind in past:
-            three.append((ns, kind, self.waiting.getValue((ns, kind))[0]))
-            self.waiting.removeKey((ns, kind))
+        for ns, kind, annotations in past:
+            three.append((ns, kind, annotations))
+            if len(past) < len(held):
+                self.waiting.removeKey((ns, kind))
             if len(three) == 3:
                 # Of two payloads of a kind the later counts.
                 of = {("lidar" if k == "lidar" else "left" if "left" in k else "right"): (n, k, a) for n, k, a in three}
@@ -52,8 +56,13 @@ class _Frames(StatefulProcessor):
                         lidar, left, right = (of[k] for k in ("lidar", "left", "right"))
                         yield Row(vehicle=key[0], ns=lidar[0], lidar_type=lidar[1], lidar=lidar[2], left_type=left[1], left=left[2], right_type=right[1], right=right[2])
                     made += 1
+        if len(past) == len(held):
+            self.waiting.clear()
         self.made.update((made,))
-        self.three.put([(n, k, a) for n, k, a in three])
+        if three:
+            self.three.put(three)
+        else:
+            self.three.clear()
 
     def close(self) -> None:
         pass

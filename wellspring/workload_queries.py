@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wellspring.functions import event_time, from_units, speed_kmh
 from wellspring.operators import Lineage, forward_graph
 from wellspring.plans import workloads
-from wellspring.sources import frames, synthetic_lineage
+from wellspring.sources import cloud_vehicles, frames, linear_road, smart_grid, synthetic_sources
 from wellspring.streaming import drain, frame_stream, prepare
 from wellspring.streaming.run import folder
 
@@ -111,6 +111,31 @@ def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.unix_millis("ts").alias("ms"), key("lidar"), key("left"), key("right"))
 
 
+def _file(rows: DataFrame, name: str) -> str:
+    """The rows as a text input without a header."""
+    path = folder(rows.sparkSession, name)
+    rows.write.csv(path)
+    return path
+
+
+def lr_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position reports written as text and read by two instances, the second with vehicles of its own."""
+    rows = reports(_events(spark, sf_dir)).select("type", F.unix_seconds("ts").alias("time"), "vid", "speed", "xway", "lane", "dir", "seg", "pos")
+    return linear_road(spark, _file(rows, "linear-road"), 2, 1_000_000).select("key", F.unix_micros("ts").alias("ts_us"), "xway", "vid", "speed", "pos")
+
+
+def sg_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meter readings written as text and read by three instances."""
+    rows = readings(_events(spark, sf_dir)).select(F.expr("unix_seconds(ts) div 3600").alias("hours"), F.col("key").alias("meter"), "value")
+    return smart_grid(spark, _file(rows, "smart-grid"), 3, 1000).select("key", F.unix_micros("ts").alias("ts_us"), "value")
+
+
+def cv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vehicle positions written as text and read back."""
+    rows = positions(_events(spark, sf_dir)).select(F.unix_seconds("ts").alias("seconds"), "car_id", "lat", "lon")
+    return cloud_vehicles(spark, _file(rows, "cloud")).select(F.unix_micros("ts").alias("ts_us"), F.col("car_id").cast("bigint").alias("car_id"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
 def cv_current_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The speed between each position of a car and its next."""
     order = Window.partitionBy("car_id").orderBy("ts")
@@ -154,11 +179,11 @@ def lv_crossed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bytes of generated sources."""
-    return synthetic_lineage(spark, 2000, 25, 10, 0, 48).select(F.explode("prov").alias("p")).select("p.uid", F.lower(F.hex("p.data")).alias("data"))
+    """The bytes of ten generated sources of each event."""
+    return synthetic_sources(_events(spark, sf_dir).select(F.col("event_id").alias("sink_id")), 25, 10, 0, 48).select(F.explode("prov").alias("p")).select("p.uid", F.lower(F.hex("p.data")).alias("data"))
 
 
-DIRECT = (lv_frames, stream_frames, lv_crossed_graph, cv_current_speed, odd_key_edges, odd_key_prov, array_key_edges, synthetic_data)
+DIRECT = (lr_file, sg_file, cv_file, lv_frames, stream_frames, lv_crossed_graph, cv_current_speed, odd_key_edges, odd_key_prov, array_key_edges, synthetic_data)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -237,9 +262,13 @@ def oracle_sql() -> dict[str, str]:
         "lv_frames": f"""{_FRAME_SQL}, s AS (SELECT max(ns) - min(ns) + 1 AS shift FROM f)
             SELECT CAST((ns + turn * shift) // 1000000 AS BIGINT) AS ms, lidar, l AS "left", r AS "right" FROM f, s, range(2) t(turn) WHERE (turn * len + i) % 3 = 0""",
         "stream_frames": f"""{_FRAME_SQL} SELECT CAST(ns // 1000000 AS BIGINT) + 3600000 AS ms, lidar, l AS "left", r AS "right" FROM f WHERE i % 3 = 0""",
+        "lr_file": """SELECT CAST(vid AS VARCHAR) AS key, ts_us, xway, vid, CAST(speed AS INT) AS speed, CAST(pos AS INT) AS pos FROM (
+            SELECT event_id + x * 1000000 AS vid, (event_id * 20 + j * 30) * 1000000 AS ts_us, CAST(x AS INT) AS xway, CASE WHEN user_id % 3 = 0 THEN 0 ELSE 50 END AS speed, user_id % 5 AS pos FROM events, range(4) r(j), range(2) i(x))""",
+        "sg_file": f"SELECT CAST(CAST(key AS BIGINT) + k * 1000 AS VARCHAR) AS key, epoch_us(ts) AS ts_us, value FROM {_READINGS}, range(3) i(k)",
+        "cv_file": f"SELECT epoch_us(ts) AS ts_us, car_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM {_POSITIONS}",
         "cv_current_speed": f"""SELECT a.uid, round({_kmh('a', 'a.b', "((epoch_us(a.b.ts) - epoch_us(a.ts)) // 1000)")}, 4) AS speed
             FROM (SELECT *, lead({{'lat': lat, 'lon': lon, 'ts': ts}}) OVER (PARTITION BY car_id ORDER BY ts) AS b FROM {_POSITIONS}) a""",
         "odd_key_edges": f"SELECT sink, unnest(prov) AS source FROM ({odd})",
         "odd_key_prov": f"SELECT sink, n, array_to_string(list_sort(prov), ',') AS sources FROM ({odd})",
-        "synthetic_data": "SELECT i * 10 + j AS uid, repeat(sha256(CAST(i * 10 + j AS VARCHAR)), 2)[:96] AS data FROM range(2000) a(i), range(10) b(j)",
+        "synthetic_data": "SELECT i * 10 + j AS uid, repeat(sha256(CAST(i * 10 + j AS VARCHAR)), 2)[:96] AS data FROM (SELECT event_id AS i FROM events), range(10) b(j)",
     }
