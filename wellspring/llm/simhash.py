@@ -72,19 +72,19 @@ def _fingerprints(width: int, sets):
             if sets is not None:
                 shingle, common, similarity = sets
                 found = [shingle_set(t, shingle) for t in texts]
-                keys = [first_keys(x, common.value, similarity) for x in found]
+                keys, late = zip(*(first_keys(x, common.value, similarity) for x in found), strict=True)
                 flat = pa.array(np.concatenate([np.empty(0, dtype=np.int64), *keys]))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in keys]))), pa.int32()), flat)
-                more, names = [pa.array([set_name(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array([segment_counts(x) for x in found], pa.binary()), lists], ["name", "size", "counts", "keys"]
+                more, names = [pa.array([set_name(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int32()), pa.array([segment_counts(x) for x in found], pa.binary()), lists, pa.array(late, pa.int32())], ["name", "size", "counts", "keys", "common"]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(prints), *more], names=["id", "digest", "print", *names])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, sets=None) -> DataFrame:
-    """``id``, ``digest`` (a hash of the text), ``print``, the fingerprint as a signed long, and with ``sets`` the ``name``, ``size``, segment ``counts`` and first ``keys`` of its shingle set, of every row."""
+    """``id``, ``digest`` (a hash of the text), ``print``, the fingerprint as a signed long, and with ``sets`` the ``name``, ``size``, segment ``counts``, first ``keys`` and number of ``common`` ones among them of its shingle set, of every row."""
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(utf8(text_col)).alias("digest"), utf8(text_col).alias("text"))
-    return named.mapInArrow(_fingerprints(width, sets), f"id {named.schema['id'].dataType.simpleString()}, digest bigint, print bigint" + ", name bigint, size int, counts binary, keys array<bigint>" * (sets is not None))
+    return named.mapInArrow(_fingerprints(width, sets), f"id {named.schema['id'].dataType.simpleString()}, digest bigint, print bigint" + ", name bigint, size int, counts binary, keys array<bigint>, common int" * (sets is not None))
 
 
 def _hex(column: str):

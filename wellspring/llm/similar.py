@@ -6,9 +6,12 @@ which decides the work and not the result. Sets that meet at a shingle are candi
 
 Equal sets are one node. Only the first shingles are moved for the search. Of a pair of candidates, first the numbers of shingles in each of ``SEGMENTS`` ranges of
 hashes are compared: their Manhattan distance is never more than the number of shingles in one set only, so where it is too large the pair is not similar. Only
-texts of pairs that pass are moved, and compared exactly. Each set is compared with ``ROUNDS`` others to begin with, those of the sets chosen at its shingles that
-it meets most often; then only pairs that are still apart. So a large group of near copies does not make all its pairs, but a crowd of sets that share rare
-shingles without being similar does.
+texts of pairs that pass are moved, and compared exactly. Each set is compared with two others to begin with: at each shingle all sets meet the one of least and the one of
+greatest name, and a set is compared with those of either kind that it meets most often; then only pairs that are still apart. So a large group of near copies does not make
+all its pairs, but a crowd of sets that share rare shingles without being similar does.
+
+Shingles outside the sample's common ones are met in one exchange, by a window for each; a common one may be a third of all sets', so the sets are joined to its two names, which
+are aggregated first, and a join that is skewed is split.
 
 Null, empty and wordless texts have the empty set. Texts of fewer words than ``width`` have one shingle, all their words. Case is ignored for A-Z.
 """
@@ -17,12 +20,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.llm import _hashing as H
@@ -33,7 +35,6 @@ from wellspring.scratch import BROADCAST_ROWS
 SAMPLE = 4_000
 COMMON = 4
 MOST_COMMON = 1 << 18
-ROUNDS = 3
 SEGMENTS = 256
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -54,10 +55,11 @@ def set_name(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def first_keys(shingles: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set, the common ones last: one at least of them is among those of any set that is similar enough."""
+def first_keys(shingles: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, the common ones last, and how many of them are common: one at least of them is among those of any set that is similar enough."""
     late = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles if len(common) else np.zeros(len(shingles), dtype=bool)
-    return np.concatenate((shingles[~late], shingles[late]))[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]
+    wanted, rare = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1, shingles[~late]
+    return np.concatenate((rare, shingles[late]))[:wanted], max(0, min(wanted, len(shingles)) - len(rare))
 
 
 def segment_counts(shingles: np.ndarray) -> bytes:
@@ -114,14 +116,17 @@ def _may_be_similar(similarity: float):
 def similar_links(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of set names of the given similarity or more, whose components are those of all such pairs.
 
-    ``found``: id, digest (of the text), name, size, counts (:func:`segment_counts`) and keys (:func:`first_keys`) of every row of ``docs``.
+    ``found``: id, digest (of the text), name, size, counts (:func:`segment_counts`), keys and common (:func:`first_keys`) of every row of ``docs``.
     """
     if not 0 < similarity <= 1:
         raise ValueError("a similarity is over 0 and at most 1")
-    reps = kept(found.groupBy("name").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("rep"), F.first("size").alias("size"), F.first("counts").alias("counts"), F.first("keys").alias("keys")))
-    each = reps.select("name", "size", F.explode("keys").alias("key"))
-    several = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = kept(each.join(several, "key", "left_semi"))
+    of = (F.first(c).alias(c) for c in ("size", "counts", "keys", "common"))
+    reps = kept(found.groupBy("name").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("rep"), *of))
+    rare, late = (reps.select("name", "size", F.explode(F.expr(part)).alias("key")) for part in ("slice(keys, 1, size(keys) - common)", "slice(keys, size(keys) - common + 1, common)"))
+    own, at = F.struct("name", "size"), Window.partitionBy("key")
+    rare = rare.select("key", "name", "size", F.min(own).over(at).alias("low"), F.max(own).over(at).alias("high")).where("low.name < high.name")
+    ends = late.groupBy("key").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low.name < high.name")
+    met = kept(rare.unionByName(late.join(ends, "key").select(*rare.columns)))
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(utf8(text_col)).alias("digest"), utf8(text_col).alias("text"))
 
     def fits(a: str, b: str):
@@ -138,15 +143,11 @@ def similar_links(found: DataFrame, docs: DataFrame, id_col: str, text_col: str,
         x, y = (texts.select(F.col("name").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
         return cut(likely.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare(width, similarity), "a bigint, b bigint"))
 
-    tries = []
-    for turn in range(ROUNDS):
-        order = F.col("name") if turn == 0 else F.xxhash64("name", F.lit(turn))
-        first = met.groupBy("key").agg(F.min(F.struct(order.alias("at"), "name", "size")).alias("to"))
-        pairs = met.join(first, "key").where(F.col("name") != F.col("to.name")).where(fits("size", "to.size"))
-        best = pairs.groupBy("name", F.col("to.name").alias("b")).agg(F.count("*").alias("n")).groupBy("name").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-        tries.append(best.select(F.least("name", "b").alias("a"), F.greatest("name", "b").alias("b")))
-    tied = similar(reduce(DataFrame.unionByName, tries).distinct())
-    placed = kept(met.join(components(tied).withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name")))
+    sides = [F.struct(F.lit(k).alias("side"), F.col(f"{c}.name").alias("name"), F.col(f"{c}.size").alias("size")) for k, c in enumerate(("low", "high"))]
+    pairs = met.select("name", "size", F.explode(F.array(*sides)).alias("to")).where(F.col("name") != F.col("to.name")).where(fits("size", "to.size"))
+    best = pairs.groupBy("name", F.col("to.side").alias("side"), F.col("to.name").alias("b")).agg(F.count("*").alias("n")).groupBy("name", "side").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    tied = similar(best.select(F.least("name", "b").alias("a"), F.greatest("name", "b").alias("b")).distinct())
+    placed = kept(met.select("key", "name", "size").join(components(tied).withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name")))
     apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     apart = kept(placed.join(apart, "key", "left_semi"))
     x, y = (apart.select("key", F.col("name").alias(k), F.col("size").alias(f"size_{k}"), F.col("component").alias(f"component_{k}")) for k in ("a", "b"))
