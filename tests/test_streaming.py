@@ -184,3 +184,19 @@ def test_frames_of_a_stream_equal_those_of_a_table(spark, tmp_path):
         batch = frames(table.withColumn("annotations", F.map_from_entries("annotations")), every)
         found = drain(frame_stream(stream, every))
         assert sorted(map(str, found.collect())) == sorted(map(str, batch.collect())) != []
+
+
+def test_frames_reach_over_windows_and_equal_payloads_count(spark, tmp_path):
+    """Threes begin in one window and end in a later one, windows have one, two or many payloads, and a payload that comes twice counts twice, as in the batch."""
+    prepare(spark)
+    kinds = ["lidar", "ring_front_left", "ring_front_right", "ring_front_left", "lidar", "ring_front_right", "lidar", "lidar"]
+    seconds = [0, 1, 61, 62, 130, 130, 190, 250, 251, 252, *range(310, 330), 400, 470, 471, 2000, 2001, 2100]
+    rows = [(kinds[n % len(kinds)], 10**15 + 10**9 * s + 3 * n, [(f"t{n}", ("A", n / 7, 0.0, 1.0))]) for n, s in enumerate(seconds)]
+    rows = rows + rows[5:6]
+    table = spark.createDataFrame(rows, "payload_type string, ns bigint, annotations array<struct<key:string,value:struct<label:string,x:double,y:double,z:double>>>")
+    for low, high in ((0, 100), (100, 300), (300, 3000)):
+        table.where(f"ns >= {10**15 + 10**9 * low} and ns < {10**15 + 10**9 * high}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    table.limit(1).withColumn("payload_type", F.lit("end")).withColumn("ns", F.lit(1 << 62)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    batch = frames(table.withColumn("annotations", F.map_from_entries("annotations")), 2)
+    assert sorted(map(str, drain(frame_stream(stream, 2)).collect())) == sorted(map(str, batch.collect())) != []

@@ -1,82 +1,72 @@
-"""Frames of vehicle payloads as a stream: payloads wait in keyed buffers until no earlier one can come, and are put together in order of time."""
+"""Frames of vehicle payloads as a stream: windows hold the payloads in order of time, and a small state of each vehicle says where a window's first frame begins."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+_ITEM = "ns bigint, payload_type string, annotations string, code int"
 
-class _Frames(StatefulProcessor):
-    """Of one vehicle: payloads in a map by time and kind. Those that event time has passed leave it in order; each three of them make a frame if all kinds are among them."""
 
-    def __init__(self, every: int):
-        self.every = every
+class _Places(StatefulProcessor):
+    """Of one vehicle: how many frames its windows have made, and the last payloads (two at most) that wait for a third. Takes a row for each window and gives one: what waits before it.
+
+    Windows come once they are closed, those of earlier batches before those of later ones, so within a batch their order is that of their times.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ns long, payload_type string", "annotations string")
-        self.three = handle.getListState("three", "ns long, payload_type string, annotations string")
-        self.made = handle.getValueState("made", "frames long")
+        self.state = handle.getValueState("state", "made long, waiting string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        seconds = set()
-        for r in rows:
-            self.waiting.updateValue((r.ns, r.payload_type), (r.annotations,))
-            seconds.add(r.ns // 1_000_000_000 + 1)
-        # At the end of each second that has payloads they leave, if no rows make them leave before.
-        for second in seconds:
-            self.handle.registerTimer(second * 1000)
-        yield from self._leave(key, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        yield from self._leave(key, timerValues.getCurrentWatermarkInMs())
-
-    def _leave(self, key, watermark: int) -> Iterator[Row]:
-        if not self.waiting.exists():
-            return
-        held = [(k[0], k[1], v[0]) for k, v in self.waiting.iterator()]
-        past = sorted((x for x in held if x[0] // 1_000_000 < watermark), key=lambda x: x[:2])
-        if not past:
-            return
-        made = self.made.get()[0] if self.made.exists() else 0
-        three = [tuple(r) for r in self.three.get()]
-        for ns, kind, annotations in past:
-            three.append((ns, kind, annotations))
-            if len(past) < len(held):
-                self.waiting.removeKey((ns, kind))
-            if len(three) == 3:
-                # Of two payloads of a kind the later counts.
-                of = {("lidar" if k == "lidar" else "left" if "left" in k else "right"): (n, k, a) for n, k, a in three}
-                three = []
-                if len(of) == 3:
-                    if made % self.every == 0:
-                        lidar, left, right = (of[k] for k in ("lidar", "left", "right"))
-                        yield Row(vehicle=key[0], ns=lidar[0], lidar_type=lidar[1], lidar=lidar[2], left_type=left[1], left=left[2], right_type=right[1], right=right[2])
-                    made += 1
-        if len(past) == len(held):
-            self.waiting.clear()
-        self.made.update((made,))
-        if three:
-            self.three.put(three)
-        else:
-            self.three.clear()
+        made, waiting = self.state.get() if self.state.exists() else (0, "[]")
+        wait = json.loads(waiting)
+        for event, n, ends, whole in sorted((r.event, r.n, r.ends, (r.whole0, r.whole1, r.whole2)) for r in rows):
+            yield Row(vehicle=key[0], event=event, made=made, waiting=json.dumps(wait))
+            head, tail = json.loads(ends)
+            if len(wait) + n < 3:
+                wait += head[:n]
+                continue
+            # The first payloads end the three that waits; the others are in threes from there, and what is left waits.
+            lead = -len(wait) % 3
+            if wait:
+                made += len({x["code"] for x in wait + head[:lead]}) == 3
+            made += whole[lead]
+            left = (n - lead) % 3
+            wait = tail[len(tail) - left :]
+        self.state.update((made, json.dumps(wait)))
 
     def close(self) -> None:
         pass
 
 
-def frame_stream(payloads: DataFrame, every: int = 1, watermark: str = "0 seconds", vehicle: str | None = None) -> DataFrame:
+def _whole(of: str, first: str) -> str:
+    """SQL for the places k of an array's threes from ``first`` on, (first + 3k, + 1, + 2), that have all kinds."""
+    kinds = " | ".join(f"{of}[int({first} + 3 * k + {i})].code" for i in range(3))
+    return f"if(size({of}) < {first} + 3, array(), filter(sequence(0, int((size({of}) - {first}) div 3) - 1), k -> ({kinds}) = 7))"
+
+
+def frame_stream(payloads: DataFrame, every: int = 1, watermark: str = "0 seconds", vehicle: str | None = None, window: str = "1 minute") -> DataFrame:
     """Frames (``ts``, ``lidar``, ``left``, ``right``, and ``vehicle`` if it is named) of a stream of payloads (payload_type, ns, annotations), as ``sources.frames`` makes them of a table: every ``every``-th.
 
-    Each vehicle has state of its own: the payloads that are not ``watermark`` old yet, and up to two that wait for a third. The last payloads of a stream leave when a later row comes, as windows do.
+    Payloads wait in windows of event time, dealt by vehicle and window; what meets in one place is a window's payloads, and of a vehicle a row for each window with its number of payloads and
+    frames, its first two and its last two. Of equal payloads each counts. The payloads of a window leave when a row comes that is ``watermark`` later than its end.
     """
     kind = f"a {payloads.schema['annotations'].dataType.simpleString()}"
-    held = payloads.select(F.coalesce(F.col(vehicle).cast("string"), F.lit("")).alias("vehicle") if vehicle else F.lit("").alias("vehicle"), "payload_type", "ns", F.to_json(F.struct(F.col("annotations").alias("a"))).alias("annotations"), F.timestamp_micros(F.expr("ns div 1000")).alias("event"))
-    schema = "vehicle string, ns long, lidar_type string, lidar string, left_type string, left string, right_type string, right string"
-    found = held.withWatermark("event", watermark).groupBy("vehicle").transformWithState(_Frames(every), schema, "append", "eventTime")
-    at = F.timestamp_millis(F.expr("ns div 1000000"))
-    payload = lambda name: F.struct(F.col(f"{name}_type").alias("payload_type"), at.alias("ts"), F.from_json(name, kind)["a"].alias("annotations")).alias(name)
-    return found.select(*(["vehicle"] if vehicle else []), at.alias("ts"), payload("lidar"), payload("left"), payload("right"))
+    code = F.when(F.col("payload_type") == "lidar", 1).when(F.col("payload_type").contains("left"), 2).otherwise(4)
+    item = F.struct("ns", "payload_type", F.to_json(F.struct(F.col("annotations").alias("a"))).alias("annotations"), code.alias("code"))
+    held = payloads.select(F.coalesce(F.col(vehicle).cast("string"), F.lit("")).alias("vehicle") if vehicle else F.lit("").alias("vehicle"), item.alias("item"), F.timestamp_micros(F.expr("ns div 1000")).alias("event"))
+    grouped = held.withWatermark("event", watermark).groupBy("vehicle", F.window("event", window)).agg(F.sort_array(F.collect_list("item")).alias("items"))
+    grouped = grouped.select("vehicle", F.window_time("window").alias("event"), "items")
+    whole = [F.size(F.expr(_whole("items", str(k)))).cast("bigint").alias(f"whole{k}") for k in range(3)]
+    ends = F.to_json(F.array(F.expr("slice(items, 1, 2)"), F.expr("slice(items, greatest(size(items) - 1, 1), 2)"))).alias("ends")
+    placed = grouped.select("vehicle", "event", F.size("items").cast("bigint").alias("n"), ends, *whole).groupBy("vehicle").transformWithState(_Places(), "vehicle string, event timestamp, made long, waiting string", "append", "eventTime", eventTimeColumnName="event")
+    met = grouped.join(placed, ["vehicle", "event"]).select("vehicle", "made", F.concat(F.from_json("waiting", f"array<struct<{_ITEM}>>"), "items").alias("items"))
+    threes = met.select("vehicle", "made", "items", F.posexplode(F.expr(_whole("items", "0"))).alias("place", "k")).where((F.col("made") + F.col("place")) % every == 0)
+    of = threes.select("vehicle", *(F.expr(f"filter(slice(items, 3 * k + 1, 3), x -> x.code = {c})[0]").alias(name) for name, c in (("lidar", 1), ("left", 2), ("right", 4))))
+    at = F.timestamp_millis(F.expr("lidar.ns div 1000000"))
+    payload = lambda name: F.struct(F.col(f"{name}.payload_type").alias("payload_type"), at.alias("ts"), F.from_json(f"{name}.annotations", kind)["a"].alias("annotations")).alias(name)
+    return of.select(*(["vehicle"] if vehicle else []), at.alias("ts"), payload("lidar"), payload("left"), payload("right"))
