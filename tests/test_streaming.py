@@ -200,3 +200,8 @@ def test_frames_reach_over_windows_and_equal_payloads_count(spark, tmp_path):
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     batch = frames(table.withColumn("annotations", F.map_from_entries("annotations")), 2)
     assert sorted(map(str, drain(frame_stream(stream, 2)).collect())) == sorted(map(str, batch.collect())) != []
+
+
+def test_streams_without_lists_call_no_processor_for_each_source(events):
+    held = plans.source(staged(events, "event_id", "ts", ends=ENDS), carry=False, watermark="0 seconds")
+    assert "TransformWithState" not in graph_stream({"blackout": plans.PLANS["blackout"](held)})._jdf.queryExecution().analyzed().toString()
