@@ -247,3 +247,15 @@ def test_words_made_by_doubling_are_different(documents):
     assert {r.doc_id: r.n_removed for r in found} == {1: 0, 2: 0, 3: 0}
     again = phrase_dedup.remove_passages(documents([(1, f"{same} {a}"), (2, f"{same} {a}")])).collect()
     assert {r.doc_id: r.n_removed for r in again} == {1: 35, 2: 35}
+
+
+def test_what_counts_as_common_does_not_grow_with_the_table(spark, monkeypatch):
+    """A passage in a twelfth of the rows is common in a sample that is a share of them, and hardly there in one of a fixed number of rows."""
+    from wellspring.llm import similar
+
+    monkeypatch.setattr(similar, "SAMPLE", 12)
+    monkeypatch.setattr(similar, "SHARE", 4, raising=False)
+    passage = "this passage is in many texts and so brings no two of them together"
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(20)) + (f" {passage}" if i % 12 == 0 else "")) for i in range(1200)]
+    common = similar.common_shingles(spark.createDataFrame(rows, "doc_id bigint, text string"), "text", 5)
+    assert set(similar.shingle_set(passage.encode(), 5).tolist()) <= set(common.tolist())

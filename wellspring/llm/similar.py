@@ -32,9 +32,11 @@ from wellspring.llm._common import byte_list, cut, kept, pieces, utf8
 from wellspring.llm.components import components
 from wellspring.scratch import BROADCAST_ROWS
 
+#: Rows of the sample at least, and its share of all rows: a shingle in some COMMON * SHARE rows counts as common, however many rows there are, so crowds do not grow with the table.
 SAMPLE = 4_000
+SHARE = 16
 COMMON = 4
-MOST_COMMON = 1 << 18
+MOST_COMMON = 1 << 20
 SEGMENTS = 256
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -68,8 +70,8 @@ def segment_counts(shingles: np.ndarray) -> bytes:
 
 
 def common_shingles(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """The shingles that occur most in a sample of about ``SAMPLE`` rows, ``MOST_COMMON`` at most, sorted."""
-    part = max(1, docs.count() // SAMPLE)
+    """The shingles that occur most in a sample of about one row of ``SHARE``, or of about ``SAMPLE`` rows if that is more, ``MOST_COMMON`` at most, sorted."""
+    part = min(SHARE, max(1, docs.count() // SAMPLE))
     sample = docs.select(utf8(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +80,7 @@ def common_shingles(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, dtype=np.int64), *found]))], names=["key"])
 
     seen = sample.mapInArrow(run, "key bigint").groupBy("key").count().where(F.col("count") >= COMMON)
-    return np.sort(np.array([r.key for r in seen.orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()], dtype=np.int64))
+    return np.sort(seen.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").toArrow()["key"].to_numpy().astype(np.int64))
 
 
 def _compare(width: int, similarity: float):
