@@ -102,3 +102,13 @@ def test_series_and_trimming(spark):
     series = spark.createDataFrame([(s, float(s - 5)) for s in range(11)], "second bigint, v double")
     kept = {r.second: r.v for r in metrics.trimmed(series).collect()}
     assert sorted(kept) == list(range(1, 10)) and kept[1] is None and kept[9] == 4
+
+
+def test_frames_are_dealt_to_more_tasks_where_there_are_more_payloads(spark, monkeypatch):
+    from wellspring.sources import files
+
+    monkeypatch.setattr(files, "TASK_ROWS", 100, raising=False)
+    held = spark.range(1200).select(F.element_at(F.array(*map(F.lit, ("lidar", "ring_front_left", "ring_front_right"))), (F.col("id") % 3 + 1).cast("int")).alias("payload_type"), (F.col("id") * 600_000_000_000).alias("ns"), F.create_map(F.lit("t"), F.col("id")).alias("annotations"))
+    found = frames(held)
+    dealt = [x for x in found._jdf.queryExecution().analyzed().toString().splitlines() if "RepartitionByExpression" in x]
+    assert dealt and all(x.rstrip().endswith(", 12") for x in dealt) and found.count() == 400

@@ -59,26 +59,29 @@ def _millis(ns: str) -> Column:
 
 
 _HOUR = 3_600_000_000_000
+#: Payloads of a task on average, so that what a task sorts does not grow with the table; an hour's stay together.
+TASK_ROWS = 250_000
 
 
 def frames(held: DataFrame, every: int = 1, times: int = 1) -> DataFrame:
     """Frames ``ts``, ``lidar``, ``left``, ``right`` of payloads (payload_type, ns, annotations), whose clocks differ: in order of time, each three payloads make one.
 
     The frame has its lidar's time. The whole is played ``times`` over, each time later by its length, and every ``every``-th frame of it stays. Threes without all
-    of the payloads make no frame. Places in the order come from counts by hour, so that only an hour's payloads are sorted together.
+    of the payloads make no frame. Places in the order come from counts by hour, so that only an hour's payloads are sorted together. The payloads are counted first, and dealt to as many tasks as they need.
     """
+    parts = max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held.count() // TASK_ROWS))
     plain = held.select("payload_type", "ns", F.map_entries("annotations").alias("annotations"), F.expr(f"ns div {_HOUR}").alias("hour"))
     before = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     first = plain.groupBy("hour").agg(F.count("*").alias("n")).select("hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     order = Window.partitionBy("hour").orderBy("ns", "payload_type")
-    placed = plain.withColumn("place", F.row_number().over(order)).join(first, "hour").withColumn("three", F.expr("(first + place - 1) div 3"))
+    placed = plain.repartition(parts, "hour").withColumn("place", F.row_number().over(order)).join(first, "hour").withColumn("three", F.expr("(first + place - 1) div 3")).repartition(parts, "three")
     part = lambda which, name: F.max(F.when(which, F.struct("payload_type", "ns", "annotations"))).alias(name)
     lidar, left = F.col("payload_type") == "lidar", F.col("payload_type").contains("left")
     threes = placed.groupBy("three").agg(part(lidar, "lidar"), part(left, "left"), part(~lidar & ~left, "right")).where("lidar is not null and left is not null and right is not null")
     span = F.broadcast(threes.agg(F.count("*").alias("length"), (F.max("lidar.ns") - F.min("lidar.ns") + 1).alias("shift")))
     ranked = threes.withColumn("hour", F.expr(f"lidar.ns div {_HOUR}"))
     start = ranked.groupBy("hour").agg(F.count("*").alias("n")).select("hour", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    numbered = ranked.withColumn("place", F.row_number().over(Window.partitionBy("hour").orderBy("three"))).join(start, "hour").withColumn("index", F.col("first") + F.col("place") - 1)
+    numbered = ranked.repartition(parts, "hour").withColumn("place", F.row_number().over(Window.partitionBy("hour").orderBy("three"))).join(start, "hour").withColumn("index", F.col("first") + F.col("place") - 1)
     played = numbered.join(span).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).where((F.col("turn") * F.col("length") + F.col("index")) % every == 0)
     played = played.withColumn("at", F.col("lidar.ns") + F.col("turn") * F.col("shift"))
     payload = lambda name: F.struct(F.col(f"{name}.payload_type").alias("payload_type"), _millis("at").alias("ts"), F.col(f"{name}.annotations").alias("annotations")).alias(name)
