@@ -218,3 +218,24 @@ def test_ids_of_null_and_marked_keys_differ(spark, carry):
 def test_ids_keep_generator_and_counter(spark):
     r = spark.range(1).select(uid(F.lit(3), F.lit(12345)).alias("u")).first()
     assert r.u == (3 << 58) | 12345
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_pairs_are_not_compared_where_a_plan_gives_each_once(spark, monkeypatch, few):
+    """A join's pairs come out of it as they are, also those of a reading that is in its own day, and of rows that are there twice."""
+    if not few:
+        monkeypatch.setattr("wellspring.operators.lineage.BROADCAST_ROWS", 0)
+    rows = [(m * 24 + h, at(3600 * h), str(m), 9 + h * m) for m in range(5) for h in range(24)]
+    readings = spark.createDataFrame(rows + rows[:30] + rows[-1:], "uid bigint, ts timestamp, key string, value bigint")
+    plan = lambda carry: workloads.anomalies(Lineage.source(readings, "uid", "ts", carry))
+    found = plan(False).edges("odd")
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() in ("Union", "Project")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plan(True).edges("odd").collect()))
+    assert found.count() == found.distinct().count() == 5 * 24
+
+
+def test_chains_of_joins_give_each_pair_once(spark, events):
+    held = {carry: plans.source(events, carry=carry) for carry in (True, False)}
+    chain = lambda e: e.window_join(e.where("value > 40"), {"user_id": "user_id"}, "4 hours").window_join(e.where("value > 10"), {"l_user_id": "user_id"}, "8 hours", prefix=("a_", "b_"))
+    carried, traced = (sorted(map(tuple, chain(held[c]).edges("q").collect())) for c in (True, False))
+    assert carried == traced and len(traced) == len(set(traced)) > 100

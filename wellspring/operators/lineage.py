@@ -6,6 +6,8 @@ Two ways to know, with equal results:
 * ``carry=False``: rows carry only their own id, as text (``rid``) and in its parts with their types (``rkey``). :meth:`Lineage.edges` writes the results' keys down and
   joins them to what their windows held, step by step: a key of a join has those of both sides in it and needs no join. Keys of few results are broadcast, after
   a count, so that the sources are scanned and not shuffled. No row ever holds a group, so a window over all keys or a hot key stays spread. Batch only.
+  Where a plan cannot give a pair twice (windows over sources, joins of those with rows of one source each), pairs are not compared with each other: what is made
+  distinct before is results and sources, of which there are fewer.
 
 Texts of different ids differ: in a key, ``\``, ``|``, ``#`` and ``@`` are escaped, null is ``\0``, times are their microseconds and nested values are JSON. Each result has an id
 of its own that is a function of the data: rows that :meth:`Lineage.explode` makes of one row have its id, ``@`` and their place in the array or their key in the map.
@@ -33,19 +35,27 @@ RESERVED = (*HIDDEN, "window", "r_window")
 
 @dataclass(frozen=True)
 class Links:
-    """Results (``out``) and the keys of rows they came from (``key``); ``rows`` is known once they are written down."""
+    """Results (``out``) and the keys of rows they came from (``key``); ``rows`` is known once they are written down.
+
+    More columns hold a source each that ``out`` gets elsewhere and that is left out here.
+    """
 
     df: DataFrame
     rows: int | None = None
 
+    @property
+    def but(self) -> list[str]:
+        return [c for c in self.df.columns if c not in ("out", "key")]
+
     def settled(self) -> Links:
         if self.rows is not None:
             return self
         held = kept(self.df)
-        return Links(held, held.count())
+        return replace(self, df=held, rows=held.count())
 
-    def of(self, key: Column) -> Links:
-        return Links(self.df.select("out", key.alias("key")), self.rows)
+    def of(self, key: Column, but: Column | None = None) -> Links:
+        more = [] if but is None else [but.alias(f"but{len(self.but)}")]
+        return replace(self, df=self.df.select("out", key.alias("key"), *self.but, *more))
 
 
 Trace = Callable[[Links], DataFrame]
@@ -108,6 +118,10 @@ class Lineage:
     #: For streams: with ``carry=False`` the sources by row, see :meth:`flow`; and the sources themselves (rid, ts, event, data).
     sources_of: Callable[[DataFrame, list[str]], DataFrame] | None = None
     roots: tuple[DataFrame, ...] = ()
+    #: Of rows with one source each, that source's id from the row's key; whether no two rows share it; and whether ``trace`` gives each pair once.
+    one: Callable[[Column], Column] | None = None
+    own: bool = False
+    once: bool = False
 
     @classmethod
     def source(cls, df: DataFrame, uid: str, ts: str, carry: bool = True, watermark: str | None = None, stamped: bool = False) -> Lineage:
@@ -133,9 +147,13 @@ class Lineage:
             df = df.withColumn("prov", F.array(F.struct(own.alias("id"), at.alias("ts"), F.to_json(F.struct(*payload)).alias("data"))))
         else:
             df = df.withColumn("prov", F.array(own))
-        trace = lambda links: links.df.select("out", F.col("key").alias("uid"))
+
+        def trace(links: Links) -> DataFrame:
+            new = reduce(lambda a, b: a & b, [~F.col("key").eqNullSafe(F.col(c)) for c in links.but], F.lit(True))
+            return links.df.where(new).select("out", F.col("key").alias("uid"))
+
         if not df.isStreaming:
-            return cls(df, trace, 0, carry)
+            return cls(df, trace, 0, carry, one=lambda key: key, own=True, once=True)
         flow = lambda rows, keep: rows.select(F.col("rkey").alias("uid"), F.col("ts").alias("source_ts"), "event", *keep)
         return cls(df, trace, 0, carry, None if carry else flow, (df.select("rid", "ts", "event", F.to_json(F.struct(*payload)).alias("data")),))
 
@@ -177,7 +195,8 @@ class Lineage:
         if self.carry:
             return replace(self, df=df.drop("r_window"))
         df = df.withColumn("rkey", F.struct(F.col("rkey").alias("of"), own.alias("at"))).drop("r_window")
-        return replace(self, df=df, trace=lambda links: self.trace(links.of(F.col("key.of"))), sources_of=None)
+        one = None if self.one is None else lambda key: self.one(key["of"])
+        return replace(self, df=df, trace=lambda links: self.trace(links.of(F.col("key.of"))), sources_of=None, one=one, own=False)
 
     def union(self, *others: Lineage) -> Lineage:
         """Rows of all, by column name."""
@@ -190,7 +209,7 @@ class Lineage:
 
         def trace(links: Links) -> DataFrame:
             links = links.settled()
-            return reduce(DataFrame.unionByName, [p.trace(Links(links.df.where(F.col("key.part") == k), links.rows).of(F.col(f"key.k{k}"))) for k, p in enumerate(parts)])
+            return reduce(DataFrame.unionByName, [p.trace(replace(links, df=links.df.where(F.col("key.part") == k)).of(F.col(f"key.k{k}"))) for k, p in enumerate(parts)])
 
         return Lineage(reduce(DataFrame.unionByName, frames), trace, max(p.reach for p in parts), self.carry, roots=_all(parts))
 
@@ -212,10 +231,13 @@ class Lineage:
 
         def trace(links: Links) -> DataFrame:
             links = links.settled()
-            wanted = links.df.select("out", F.col("key").alias("of"))
+            wanted = links.df.select("out", F.col("key").alias("of"), *links.but)
+            small = links.rows <= BROADCAST_ROWS
             members = windowed.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col("window.end").alias("end"), F.col("rkey").alias("key"))
             match = [F.col("of.end") == F.col("end"), *(F.col(f"of.k{i}").eqNullSafe(F.col(f"k{i}")) for i in range(len(keys)))]
-            return self.trace(Links(members.join(F.broadcast(wanted) if links.rows <= BROADCAST_ROWS else wanted, match).select("out", "key")))
+            if self.own:
+                members = (members.join(F.broadcast(wanted.select("of").distinct()), match, "left_semi") if small else members).distinct()
+            return self.trace(Links(members.join(F.broadcast(wanted) if small else wanted, match).select("out", "key", *links.but)))
 
         def flow(rows: DataFrame, keep: list[str]) -> DataFrame:
             # Sources wait in the join's state until time has passed their window; its result comes in the batch that closes it.
@@ -224,7 +246,7 @@ class Lineage:
             fired = rows.select(F.col("rid").alias("id"), "event", *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)))
             return held.join(fired, ["id", "event"]).select("uid", "source_ts", "event", *(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)))
 
-        return Lineage(out, trace, self.reach + seconds(size), self.carry, flow if self.sources_of is not None else None, self.roots)
+        return Lineage(out, trace, self.reach + seconds(size), self.carry, flow if self.sources_of is not None else None, self.roots, once=self.own)
 
     def _sides(self, other: Lineage, on: dict[str, str], prefix: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
         left = self.df.select(*(F.col(c).alias(f"{prefix[0]}{c}") for c in self.df.columns))
@@ -242,10 +264,13 @@ class Lineage:
 
         def trace(links: Links) -> DataFrame:
             links = links.settled()
-            return self.trace(links.of(F.col("key.l"))).unionByName(other.trace(links.of(F.col("key.r"))))
+            l, r = F.col("key.l"), F.col("key.r")
+            if other.one is not None:
+                return self.trace(links.of(l, other.one(r))).unionByName(other.trace(links.of(r)))
+            return self.trace(links.of(l)).unionByName(other.trace(links.of(r, None if self.one is None else self.one(l))))
 
         hidden = [f"{p}{c}" for p in (a, b) for c in HIDDEN]
-        return Lineage(out.drop(*(h for h in hidden if h in out.columns)), trace, reach, self.carry, roots=_all((self, other)))
+        return Lineage(out.drop(*(h for h in hidden if h in out.columns)), trace, reach, self.carry, roots=_all((self, other)), once=self.once and other.once and (self.one is not None or other.one is not None))
 
     def window_join(self, other: Lineage, on: dict[str, str], size: str, slide: str | None = None, prefix: tuple[str, str] = ("l_", "r_")) -> Lineage:
         """All pairs with equal keys in the same window; a pair that shares several windows is there several times. Columns get the sides' prefixes."""
@@ -273,13 +298,19 @@ class Lineage:
 
     def edges(self, name: str = "") -> DataFrame:
         """``sink`` (the name, ``|`` and the row's id) and ``source`` ids, each pair once."""
-        sink = F.concat(F.lit(f"{name}|"), "rid").alias("sink")
+        return self.pairs(F.concat(F.lit(f"{name}|"), "rid")).withColumnsRenamed({"out": "sink", "uid": "source"})
+
+    def pairs(self, out: Column, once: bool = True) -> DataFrame:
+        """``out``, an expression over the row that tells it from others, and ``uid``, a source of it, each pair once (or, where that is not asked for, at least once)."""
         if self.carry:
-            found = self.df.select(sink, F.explode("prov").alias("source"))
-            stamped = dict(found.dtypes)["source"] != "bigint"
-            return (found.select("sink", F.col("source.id").alias("source")) if stamped else found).distinct()
-        found = self.trace(Links(self.df.select(sink.alias("out"), F.col("rkey").alias("key"))))
-        return found.select(F.col("out").alias("sink"), F.col("uid").alias("source")).distinct()
+            found = self.df.select(out.alias("out"), F.explode("prov").alias("uid"))
+            stamped = dict(found.dtypes)["uid"] != "bigint"
+            found = found.select("out", F.col("uid.id").alias("uid")) if stamped else found
+            return found.distinct() if once else found
+        links = self.df.select(out.alias("out"), F.col("rkey").alias("key"))
+        if once and self.once:
+            return self.trace(Links(links.distinct()))
+        return self.trace(Links(links)).distinct() if once else self.trace(Links(links))
 
     def settled(self) -> Lineage:
         """The same with its rows written down, for uses that would compute them more than once."""
