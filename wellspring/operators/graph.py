@@ -15,30 +15,35 @@ from pyspark.sql import functions as F
 from wellspring.operators.lineage import Lineage
 from wellspring.scratch import kept
 
+#: Sources whose edges are compared in one task.
+SOURCES_A_TASK = 50_000
 #: Order of kinds at one time. Fixed values.
 ORDER = {"SINK": 0, "SOURCE": 1, "EDGE": 2, "ACK": 3}
 
 
 @dataclass(frozen=True)
 class ForwardGraph:
-    """``source`` (id, ts, data), ``sink`` (id, ts, data), ``edge`` (source, sink), ``ack`` (id, ts); source ids as text."""
+    """``source`` (id, ts, data), ``sink`` (id, ts, data), ``edge`` (source, sink), ``ack`` (id, ts); source ids as text. ``timed``: edges with ``ts``, their later vertex's; null where there is no such source."""
 
     source: DataFrame
     sink: DataFrame
-    edge: DataFrame
+    timed: DataFrame
     ack: DataFrame
     max_delay: int
 
+    @property
+    def edge(self) -> DataFrame:
+        return self.timed.select("source", "sink")
+
     def nodes(self) -> DataFrame:
         """The graph as one table: ``kind``, ``uid1``, ``uid2`` (edges only), ``ts`` (microseconds; an edge's is its later vertex's) and ``data``."""
         none = F.lit(None).cast("string")
-        at = self.edge.join(self.source.select(F.col("id").alias("source"), F.col("ts").alias("a")), "source").join(self.sink.select(F.col("id").alias("sink"), F.col("ts").alias("b")), "sink")
         return reduce(
             DataFrame.unionByName,
             [
                 self.source.select(F.lit("SOURCE").alias("kind"), F.col("id").alias("uid1"), none.alias("uid2"), "ts", "data"),
                 self.sink.select(F.lit("SINK").alias("kind"), F.col("id").alias("uid1"), none.alias("uid2"), "ts", "data"),
-                at.select(F.lit("EDGE").alias("kind"), F.col("source").alias("uid1"), F.col("sink").alias("uid2"), F.greatest("a", "b").alias("ts"), none.alias("data")),
+                self.timed.where("ts is not null").select(F.lit("EDGE").alias("kind"), F.col("source").alias("uid1"), F.col("sink").alias("uid2"), "ts", none.alias("data")),
                 self.ack.select(F.lit("ACK").alias("kind"), F.col("id").alias("uid1"), none.alias("uid2"), "ts", none.alias("data")),
             ],
         )
@@ -52,35 +57,51 @@ def forward_graph(queries: dict[str, Lineage], sources: DataFrame, uid: str, ts:
     """The graph of named queries over ``sources``. ``max_delay`` in seconds; by default what the queries' windows need."""
     delay = max(q.reach for q in queries.values()) if max_delay is None else max_delay
     queries = {n: q.settled() for n, q in queries.items()}
-    edge = kept(reduce(DataFrame.unionByName, [q.edges(n) for n, q in queries.items()]))
     sink = _us(reduce(DataFrame.unionByName, [q.sinks(n) for n, q in queries.items()])).groupBy(F.col("sink").alias("id")).agg(F.max("ts").alias("ts"), F.max("data").alias("data"))
     payload = [c for c in sources.columns if c not in (uid, ts)]
     held = _us(sources.withColumnRenamed(ts, "ts") if ts != "ts" else sources)
-    source = held.join(edge.select(F.col("source").alias(uid)).distinct(), uid, "left_semi").select(F.col(uid).cast("string").alias("id"), "ts", F.to_json(F.struct(*payload)).alias("data"))
+    # Pairs are dealt by source once: for their copies, and for the source's time. A result's time comes along.
+    found = reduce(DataFrame.unionByName, [_pairs(q, n) for n, q in queries.items()])
+    tasks = max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held.count() // SOURCES_A_TASK))
+    once = found.repartition(tasks, "uid").groupBy("uid", "sink").agg(F.max("b").alias("b"))
+    seen = held.select(F.col(uid).alias("uid"), "ts").repartition(tasks, "uid").groupBy("uid").agg(F.max("ts").alias("a"))
+    late = F.when(F.col("a").isNotNull(), F.greatest("a", "b")).alias("ts")
+    edge = kept(once.join(seen, "uid", "left").select("uid", "sink", late))
+    source = held.join(edge.select(F.col("uid").alias(uid)).distinct(), uid, "left_semi").select(F.col(uid).cast("string").alias("id"), "ts", F.to_json(F.struct(*payload)).alias("data"))
     ack = source.select("id", (F.col("ts") + delay * 1_000_000).alias("ts")).unionByName(sink.select("id", "ts"))
-    return ForwardGraph(source, sink, edge.select(F.col("source").cast("string").alias("source"), "sink"), ack, delay)
+    return ForwardGraph(source, sink, edge.select(F.col("uid").cast("string").alias("source"), "sink", "ts"), ack, delay)
+
+
+def _pairs(q: Lineage, name: str) -> DataFrame:
+    """``sink``, its time ``b``, and ``uid`` of a source, each pair at least once."""
+    at = F.col("ts") if dict(q.df.dtypes)["ts"] == "bigint" else F.unix_micros("ts")
+    found = q.pairs(F.struct(F.concat(F.lit(f"{name}|"), "rid").alias("sink"), at.alias("ts")), once=False)
+    return found.select(F.col("out.sink").alias("sink"), F.col("out.ts").alias("b"), "uid")
 
 
 def violations(nodes: DataFrame) -> DataFrame:
     """``rule`` and the offending ``uid1``, ``uid2`` in a graph of :meth:`ForwardGraph.nodes`; none for a sound graph."""
-    vertex = nodes.where("kind in ('SOURCE', 'SINK')")
-    v = vertex.groupBy("uid1").agg(F.count("*").alias("n"), F.min("ts").alias("seen"))
-    a = nodes.where("kind = 'ACK'").groupBy("uid1").agg(F.count("*").alias("m"), F.min("ts").alias("acked"))
-    both = v.join(a, "uid1", "full")
+    own = F.when(F.col("kind") == "ACK", F.col("ts")), F.when(F.col("kind") != "ACK", F.col("ts"))
+    count = lambda kinds: F.sum(F.col("kind").isin(*kinds).cast("int"))
+    each = nodes.where("kind <> 'EDGE'").groupBy("uid1").agg(count(["SOURCE", "SINK"]).alias("n"), count(["ACK"]).alias("m"), F.min(own[1]).alias("seen"), F.min(own[0]).alias("acked"))
     edges = nodes.where("kind = 'EDGE'").select("uid1", "uid2", "ts")
-    ends = edges.join(both, "uid1", "left").unionByName(edges.join(both.withColumnRenamed("uid1", "uid2"), "uid2", "left"))
-    rule = lambda name, rows: rows.select(F.lit(name).alias("rule"), "uid1", *([F.col("uid2")] if "uid2" in rows.columns else [F.lit(None).cast("string").alias("uid2")]))
-    found = [
-        rule("vertex once", both.where("n > 1")),
-        rule("ack once", both.where("m > 1")),
-        rule("ack of a vertex", both.where("n is null")),
-        rule("vertex acked", both.where("m is null")),
-        rule("ack after vertex", both.where("acked < seen")),
-        rule("edge after vertices", ends.where("seen is null or ts < seen")),
-        rule("edge before ack", ends.where("ts > acked")),
-        rule("edge once", edges.groupBy("uid1", "uid2").agg(F.count("*").alias("k")).where("k > 1")),
-    ]
-    return reduce(DataFrame.unionByName, found)
+    times = each.select("uid1", F.when(F.col("n") > 0, F.col("seen")).alias("seen"), F.col("acked"))
+    after, before = ("edge after vertices", "seen is null or ts < seen"), ("edge before ack", "ts > acked")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _broken(each.withColumn("uid2", F.lit(None).cast("string")), ("vertex once", "n > 1"), ("ack once", "m > 1"), ("ack of a vertex", "n = 0"), ("vertex acked", "m = 0"), ("ack after vertex", "acked < seen")),
+            _broken(edges.join(times, "uid1", "left"), after, before),
+            _broken(edges.join(times.withColumnRenamed("uid1", "uid2"), "uid2", "left"), after, before),
+            _broken(edges.groupBy("uid1", "uid2").agg(F.count("*").alias("k")), ("edge once", "k > 1")),
+        ],
+    )
+
+
+def _broken(rows: DataFrame, *rules: tuple[str, str]) -> DataFrame:
+    """A row for each rule that a row breaks, from one look at it."""
+    found = F.array_compact(F.array(*(F.when(F.expr(broken), F.lit(name)) for name, broken in rules)))
+    return rows.select(F.explode(found).alias("rule"), "uid1", "uid2")
 
 
 def delivery_order(nodes: DataFrame) -> DataFrame:
