@@ -257,3 +257,11 @@ def test_long_ids_and_uneven_blocks_are_no_reason_to_refuse(spark, documents):
         assert {r.doc_id: len(r["items"]) for r in decontamination.scan(docs, items, block_bytes=size).collect()} == {1: 2, 2: 0}
     # One item larger than a block is a block.
     assert decontamination._blocks(items.limit(1), "item_id", "text", 10) != []
+
+
+def test_packing_patterns_hold_no_pool():
+    """A pattern of the plan has memory of its own: as a row of the pool that it was taken from it would keep that whole, one pool for each step."""
+    rng = np.random.default_rng(3)
+    sizes = np.unique(rng.integers(9, 256, 90))[::-1]
+    solved = packing.solve(rng.integers(1, 9, len(sizes)), sizes, 512)
+    assert len(solved) == len(sizes) and all(p.base is None or p.base.nbytes <= 2 * p.nbytes for p, _ in solved)

@@ -283,13 +283,13 @@ def solve(demand: np.ndarray, sizes: np.ndarray, capacity: int, gap: float = GAP
         duals = inverse.sum(axis=0)
         worth = pool @ duals if len(pool) else np.empty(0)
         if len(worth) and worth.max() > 1 + gap:
-            column = pool[int(worth.argmax())]
+            column = pool[int(worth.argmax())].copy()  # a view would keep the whole pool
         else:
             value, found = price(np.maximum(duals, 0), sizes, capacity, MORE)
             if value <= 1 + gap:
                 break
             gains = found @ duals
-            column = found[int(gains.argmax())]
+            column = found[int(gains.argmax())].copy()
             pool = np.concatenate((pool[np.argsort(-worth)[: POOL - len(found)]], found)) if len(pool) else found
             if gains.max() <= 1 + gap:  # only negative duals made it look better
                 break
