@@ -46,6 +46,20 @@ def test_every_vertex_is_acknowledged_once_and_last(events):
     assert all(ts["ACK", u] - ts["SOURCE", u] == batch.reach * 1_000_000 for u in used)
 
 
+def test_sources_of_a_slice_and_bucket_share_a_key_and_a_timer(events, tmp_path):
+    """Slices of a day: no source has a timer of its own, and each is still acknowledged after its last edge."""
+    nodes = graph_stream({"inarea": plans.in_area(stream(events, stamped=True))}, buckets=2)
+    out = str(tmp_path / "nodes")
+    progress = write_batches(nodes, lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}"), str(tmp_path / "progress"))
+    timers = sum(o["customMetrics"].get("numRegisteredTimers", 0) for p in progress for o in p["stateOperators"])
+    found = events.sparkSession.read.schema("kind string, uid1 string, uid2 string, ts bigint, data string, batch bigint").parquet(out)
+    batch = forward_graph({"inarea": plans.in_area(plans.source(events))}, events, "event_id", "ts")
+    shown = lambda df: sorted(map(str, df.select("kind", "uid1", "uid2", "ts", "data").collect()))
+    assert shown(found) == shown(batch.nodes()) != []
+    assert delivery_order(found).first()[1:] == (0, 0)
+    assert 0 < timers <= 2 * 19 < found.where("kind = 'SOURCE'").count()
+
+
 def test_a_stream_goes_on_where_it_stopped(events, tmp_path):
     """The second run, with new state stores and the first one's checkpoint, has the rest of the rows: windows that were open and sources that waited are not lost."""
     spark, rows, out = events.sparkSession, str(tmp_path / "rows"), str(tmp_path / "out")

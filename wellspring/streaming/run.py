@@ -34,14 +34,14 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, uid: str, ts: str, parts: int = 4, ends: Sequence[dict] = ({},)) -> DataFrame:
+def staged(df: DataFrame, uid: str, ts: str, parts: int | None = None, ends: Sequence[dict] = ({},)) -> DataFrame:
     """``df`` as a stream of files, and last rows far in the future: a stream has no end of its own, and only later rows close its last windows.
 
     Filters move below the watermark, so each branch of a plan needs an end row that passes its filters: ``ends`` has the values of each. End rows come
-    out of no closed window; where they come out of a stateful step, they are to be left out after it.
+    out of no closed window; where they come out of a stateful step, they are to be left out after it. ``parts``: files of the rows, one for each core if not given.
     """
     spark, path = df.sparkSession, folder(df.sparkSession, "staged")
-    df.repartition(parts).write.parquet(path)
+    df.repartition(parts or max(4, spark.sparkContext.defaultParallelism)).write.parquet(path)
     for values in ends:
         row = {**values, uid: END_UID, ts: END_TS}
         spark.range(1).select(*(F.lit(row.get(c)).cast(t).alias(c) for c, t in df.dtypes)).write.mode("append").parquet(path)
