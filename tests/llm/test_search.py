@@ -67,6 +67,32 @@ def test_segments_rule_rows_out_before_all_are_processed():
     assert len(block.possible(np.zeros(16, dtype=np.int64), 5, 1.0, 5)) == 500
 
 
+def test_rows_are_ruled_out_before_most_postings_in_many_dimensions():
+    """Vectors without structure and a known score: a round that can rule nothing out is put off, and of the postings, all of which were processed before, at least a tenth are not."""
+    rng = np.random.default_rng(5)
+    values = np.floor(128 * rng.normal(size=(2000, 64))).astype(np.int64)
+    import pyarrow as pa
+
+    made = topk_search._indexed(64)(pa.table({"id": pa.array(np.arange(2000)), "vector": pa.array(values.tolist(), type=pa.list_(pa.int64()))}))
+    block = topk_search.Block(made.to_pylist()[0], 64)
+    processed, calls = 0, 0
+
+    class Counting(np.ndarray):
+        def __getitem__(self, at):
+            nonlocal processed, calls
+            if isinstance(at, tuple) and isinstance(at[1], slice):
+                processed, calls = processed + int(at[1].stop - at[1].start), calls + 1
+            return np.asarray(self)[at]
+
+    block.rows = block.rows.view(Counting)
+    queries = np.floor(128 * rng.normal(size=(20, 64))).astype(np.int64)
+    for query in queries:
+        scores = values @ query
+        known = float(np.sort(scores)[-4])
+        assert set(np.flatnonzero(scores >= known)) <= set(block.possible(query, 10, known, 128))
+    assert processed < 0.9 * 20 * values.size and calls < 20 * 64 * 4
+
+
 @pytest.mark.parametrize("block,anchors", [(64, 7), (2048, 1000), (150, 1000)])
 def test_hard_negatives_equal_brute_force(spark, block, anchors):
     rows = rows_of(4)

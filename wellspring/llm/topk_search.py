@@ -2,8 +2,9 @@
 
 Vectors are dealt to blocks. A block's index has, for each dimension, its rows in the order of their quantised component (``level``): a segment is the rows of one
 dimension and level. For a query, a segment's impact is how much more it can add to a score than the dimension's worst level. Segments are processed by
-descending impact, in rounds; each adds its impact to the accumulators of its rows. After a round, a row has at most what it has gathered, and the largest impact
-not yet processed for each dimension in which it has not been met; it has at least what it has gathered, less what quantising may have added. Rows whose most is
+descending impact, in rounds of which each goes down to half the impact of the one before; each segment adds its impact to the accumulators of its rows. After a round, a row has at
+most what it has gathered, and for each dimension in which it has not been met the largest impact not yet processed there: all dimensions' together, less the least of those met for
+each time that it was. It has at least what it has gathered, less what quantising may have added. Rows whose most is
 below the k-th highest score known (of this block's least scores, or of earlier blocks' exact ones) are proven out. Rounds end once few rows are left or all
 segments are processed; the rows left are scored exactly. Nothing else ends a search.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from wellspring.llm import vectors
 
 #: Levels on either side of zero, and rounds that a query's impacts are processed in at most.
-LEVELS, ROUNDS = 64, 12
+LEVELS, ROUNDS = 64, 6
 
 _INDEX = "ids binary, components binary, bits int, step bigint, rows binary, level binary, ends binary"
 
@@ -61,6 +62,9 @@ class Block:
         self.level = np.frombuffer(row["level"], dtype=np.int16).reshape(width, n)
         self.ends = np.frombuffer(row["ends"], dtype=np.int32).reshape(width, 2 * LEVELS + 1)
         self.low, self.high = (self.level[:, 0].astype(np.int64), self.level[:, -1].astype(np.int64)) if n else (np.zeros(width, np.int64),) * 2
+        # Levels above a dimension's lowest, for positive components of a query, and below its highest, for negative ones.
+        self.above, self.below = self.level - self.low[:, None].astype(np.float64), self.high[:, None].astype(np.float64) - self.level
+        self.row, self.add = np.empty(n * width, dtype=np.intp), np.empty(n * width)
 
     def possible(self, query: np.ndarray, k: int, known: float, few: int) -> np.ndarray:
         """Places of the rows that may be among the k highest scores or reach ``known``, found score at a time."""
@@ -75,33 +79,32 @@ class Block:
         worst = np.where(q > 0, q * (self.low[used] * self.step + self.step - 1), q * (self.high[used] * self.step)).sum()
         vague = (np.abs(q) * (self.step - 1)).sum()
         slack = 1e-12 * (most.sum() + abs(worst) + vague)
-        gathered, met = np.zeros(n), np.zeros(n)
-        done, left, top = np.zeros(len(used), dtype=np.int64), np.arange(n), most.max()
+        gathered, met, up, places = np.zeros(n), np.zeros(n), (q > 0).tolist(), used.tolist()
+        done, left, top, bar = np.zeros(len(used), dtype=np.int64), np.arange(n), most.max(), known
         for turn in range(1, ROUNDS + 1):
-            floor = top * (1 - turn / ROUNDS)
             # Levels down from a dimension's best whose impact is over the floor; in the last round, all.
+            floor = top / 2**turn
             reach = np.minimum(span + 1, np.ceil((most - floor) / weight).astype(np.int64)) if turn < ROUNDS else span + 1
             reach = np.maximum(done, reach)
-            row, add = [], []
-            for i in np.flatnonzero(reach > done):
-                d = used[i]
-                if q[i] > 0:
-                    a, b = self.ends[d, self.high[d] - reach[i] + 1 + LEVELS], self.ends[d, self.high[d] - done[i] + 1 + LEVELS]
-                    impact = weight[i] * (self.level[d, a:b] - self.low[d])
-                else:
-                    a, b = self.ends[d, self.low[d] + done[i] + LEVELS], self.ends[d, self.low[d] + reach[i] + LEVELS]
-                    impact = weight[i] * (self.high[d] - self.level[d, a:b])
-                row.append(self.rows[d, a:b])
-                add.append(impact)
+            rest = np.where(reach <= span, weight * (span - reach), 0.0)
+            if turn < ROUNDS and rest.sum() + worst >= bar > -np.inf:
+                continue  # A row that was not met at all could still reach the bar, so this round would rule none out; the next one does its work.
+            start = np.where(q > 0, self.ends[used, self.high[used] - reach + 1 + LEVELS], self.ends[used, self.low[used] + done + LEVELS])
+            end = np.where(q > 0, self.ends[used, self.high[used] - done + 1 + LEVELS], self.ends[used, self.low[used] + reach + LEVELS])
+            m = 0
+            for i in np.flatnonzero(end > start).tolist():
+                d, a, b = places[i], int(start[i]), int(end[i])
+                self.row[m : m + b - a] = self.rows[d, a:b]
+                np.multiply((self.above if up[i] else self.below)[d, a:b], weight[i], out=self.add[m : m + b - a])
+                m += b - a
             done = reach
-            if row:
-                row = np.concatenate(row)
-                gathered += np.bincount(row, weights=np.concatenate(add), minlength=n)
-                met += np.bincount(row, minlength=n)
-            rest = np.where(done <= span, weight * (span - done), 0.0).max()
+            gathered += np.bincount(self.row[:m], weights=self.add[:m], minlength=n)
+            met += np.bincount(self.row[:m], minlength=n)
+            # A row was met in dimensions that were touched, so it has none of what is left there.
+            unmet = rest.sum() - met * (rest[done > 0].min() if (done > 0).any() else 0.0)
             least = gathered + (worst - vague - slack)
             bar = max(known, np.partition(least, n - k)[n - k]) if n >= k else known
-            left = np.flatnonzero(gathered + (len(used) - met) * rest + (worst + slack) >= bar)
+            left = np.flatnonzero(gathered + unmet + (worst + slack) >= bar)
             if len(left) <= few:
                 break
         return left
