@@ -135,6 +135,15 @@ def test_delays_are_logged_by_batch_and_second(events, tmp_path):
     assert before and len({p.name for p in before}) == len(before)
 
 
+def test_the_mean_delay_of_many_rows_is_exact(spark, tmp_path):
+    """All rows arrive at once, so their mean delay is the largest, however many they are."""
+    log, at = str(tmp_path / "log"), F.timestamp_millis(F.lit(1704067200123))
+    rows = staged(spark.range(50_000).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts")), "event_id", "ts")
+    run_logged(observed(rows.select("event_id", at.alias("stimulus"))), lambda held, n: held.write.mode("overwrite").parquet(f"{tmp_path}/rows/batch={n}"), str(tmp_path / "progress"), log)
+    found = [r for r in latency_series(spark, log).collect() if r["count"]]
+    assert [(r["count"], r.average) for r in found] == [(50_001, found[0].most)]
+
+
 def test_the_state_of_an_interval_join_is_let_go(spark, tmp_path):
     prepare(spark)
     rows = spark.range(600).select(F.col("id").alias("event_id"), F.timestamp_seconds(1704067200 + F.col("id") * 600).alias("ts"), (F.col("id") % 5).alias("user_id"), F.when(F.col("id") % 2 == 0, "click").otherwise("purchase").alias("event_type"), F.lit(1.0).alias("value"))

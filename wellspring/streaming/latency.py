@@ -24,9 +24,12 @@ def arriving(stream: DataFrame) -> DataFrame:
 
 
 def observed(stream: DataFrame, stimulus: str = "stimulus") -> DataFrame:
-    """The same rows, which are counted on their way to the sink, with the mean and least ``stimulus`` of each micro-batch."""
+    """The same rows, which are counted on their way to the sink, with the mean and least ``stimulus`` of each micro-batch.
+
+    The mean is of decimals: from some thousand rows on, a sum of milliseconds since 1970 is beyond what a double holds exactly, and the mean could be less than the least.
+    """
     at = F.unix_millis(stimulus)
-    return stream.observe(OBSERVED, F.count(F.lit(1)).alias("rows"), F.avg(at).alias("mean"), F.min(at).alias("least"))
+    return stream.observe(OBSERVED, F.count(F.lit(1)).alias("rows"), F.avg(at.cast("decimal(20,0)")).alias("mean"), F.min(at).alias("least"))
 
 
 class LatencyLog(StreamingQueryListener):
@@ -48,7 +51,7 @@ class LatencyLog(StreamingQueryListener):
         if p.name != self.name or seen is None:
             return
         end = int(datetime.fromisoformat(p.timestamp.replace("Z", "+00:00")).timestamp() * 1000) + p.batchDuration
-        held = {"batch": p.batchId, "at": end, "rows": seen["rows"], "average": None if seen["mean"] is None else end - seen["mean"], "most": None if seen["least"] is None else end - seen["least"]}
+        held = {"batch": p.batchId, "at": end, "rows": seen["rows"], "average": None if seen["mean"] is None else float(end - seen["mean"]), "most": None if seen["least"] is None else end - seen["least"]}
         jvm = self.spark._jvm.org.apache.hadoop.fs
         draft, place = jvm.Path(f"{self.path}/.draft-{uuid.uuid4().hex}"), jvm.Path(f"{self.path}/{p.batchId}.json")
         fs = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -87,4 +90,5 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 def latency_series(spark: SparkSession, path: str) -> DataFrame:
     """``second``, ``count``, ``average`` and ``most`` (milliseconds) of the results that batches gave in it; seconds without have 0, -1 and -1."""
     held = records(spark, path).where("rows > 0").groupBy(F.expr("at div 1000").alias("second"))
-    return each_step(held.agg(F.sum("rows").alias("count"), (F.sum(F.col("average") * F.col("rows")) / F.sum("rows")).alias("average"), F.max("most").alias("most")), 1)
+    total = F.sum(F.col("average").cast("decimal(18,4)") * F.col("rows").cast("decimal(16,0)"))
+    return each_step(held.agg(F.sum("rows").alias("count"), (total / F.sum("rows")).cast("double").alias("average"), F.max("most").alias("most")), 1)
