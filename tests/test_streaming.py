@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +230,23 @@ def test_frames_reach_over_windows_and_equal_payloads_count(spark, tmp_path):
 def test_streams_without_lists_call_no_processor_for_each_source(events):
     held = plans.source(staged(events, "event_id", "ts", ends=ENDS), carry=False, watermark="0 seconds")
     assert "TransformWithState" not in graph_stream({"blackout": plans.PLANS["blackout"](held)})._jdf.queryExecution().analyzed().toString()
+
+
+def _taken(path):
+    return sum(os.lstat(os.path.join(d, f)).st_blocks * 512 for d, _, names in os.walk(path) for f in names if os.path.lexists(os.path.join(d, f)))
+
+
+def test_small_state_takes_little_disk(events, tmp_path):
+    """Windows over windows: operators that keep state are few, and a store with few rows takes little of the executors' disk."""
+    spark = events.sparkSession
+    local = spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())
+    nodes = graph_stream({"q": dark(plans.source(staged(events, "event_id", "ts", ends=ENDS), carry=False, watermark="0 seconds"))})
+    before, seen = _taken(local), []
+
+    def write(rows, n):
+        rows.write.mode("overwrite").parquet(f"{tmp_path}/nodes/batch={n}")
+        seen.append(_taken(local))
+
+    progress = write_batches(nodes, write, str(tmp_path / "progress"))
+    assert len(progress[-1]["stateOperators"]) <= 14
+    assert max(seen) - before < 40e6
