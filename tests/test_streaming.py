@@ -250,3 +250,11 @@ def test_small_state_takes_little_disk(events, tmp_path):
     progress = write_batches(nodes, write, str(tmp_path / "progress"))
     assert len(progress[-1]["stateOperators"]) <= 14
     assert max(seen) - before < 40e6
+
+
+def test_the_graph_without_lists_opens_few_stores(events, tmp_path):
+    """What a stream with little state costs is opening and committing its stores: one for each of seven operators in each partition, a join's too."""
+    nodes = graph_stream({"q": plans.in_area(plans.source(staged(events, "event_id", "ts", ends=ENDS), carry=False, watermark="0 seconds"))})
+    progress = write_batches(nodes, lambda rows, n: rows.write.mode("overwrite").parquet(f"{tmp_path}/nodes/batch={n}"), str(tmp_path / "progress"))
+    held = progress[-1]["stateOperators"]
+    assert len(held) <= 7 and sum(s["numStateStoreInstances"] for s in held) <= 7 * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
