@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from wellspring.operators.lineage import HIDDEN, Lineage
 
 
+def _node(kind: str, uid1: str, uid2: str | None, ts: str | Column, data: str | Column | None) -> Column:
+    of = lambda c: F.lit(None).cast("string") if c is None else F.col(c) if isinstance(c, str) else c
+    return F.struct(F.lit(kind).alias("kind"), of(uid1).alias("uid1"), of(uid2).alias("uid2"), of(ts).alias("ts"), of(data).alias("data"))
+
+
 def _nodes(rows: DataFrame, keep: list[str], *nodes: tuple[str, str, str | None, str | Column, str | Column | None]) -> DataFrame:
     """Of each row the ``nodes`` (kind, uid1, uid2, ts, data), with its columns ``keep``: several of one row, so that what made it is not computed for each."""
-    of = lambda c: F.lit(None).cast("string") if c is None else F.col(c) if isinstance(c, str) else c
-    each = [F.struct(F.lit(kind).alias("kind"), of(uid1).alias("uid1"), of(uid2).alias("uid2"), of(ts).alias("ts"), of(data).alias("data")) for kind, uid1, uid2, ts, data in nodes]
-    return rows.select(*keep, F.explode(F.array(*each)).alias("node")).select(*keep, "node.*")
+    return rows.select(*keep, F.explode(F.array(*(_node(*n) for n in nodes))).alias("node")).select(*keep, "node.*")
 
 
 def _due(rows: DataFrame, at: str, delay: int) -> DataFrame:
@@ -34,42 +37,62 @@ def standard_graph_stream(queries: dict[str, Lineage], max_delay: int | None = N
     A source comes once, with the first result that it is in. Its ACK comes out of a window over the source's time that ends one to two delays after it, so after the last edge; its time is the
     source's plus the delay, as in the batch.
 
-    With ``carry=False`` edges bring their source along: one deduplication, whose state goes by such windows too, gives sources and edges. With ``carry=True`` a stream-stream semi-join by id gives sources; its
-    state goes when time has passed the source by the delay. Spark computes what two branches of a stream share for each of them, with a state of its own, so there are as few branches as can be.
+    With ``carry=False`` edges bring their source along: one deduplication, whose state goes by such windows too, gives sources and edges. With ``carry=True`` results and edges come out of the same rows, and
+    a stream-stream semi-join by id gives sources; its state goes when time has passed the source by the delay. Spark computes what two branches of a stream share for each of them, with a state of its own,
+    so there are as few branches as can be.
     """
     delay = max(q.reach for q in queries.values()) if max_delay is None else max_delay
-    out = []
-    for name, q in queries.items():
-        data = F.to_json(F.struct(*(c for c in q.df.columns if c not in (*HIDDEN, "ts"))))
-        held = q.df.withColumn("rid", F.concat(F.lit(f"{name}|"), "rid"))
-        out.append(_nodes(held, [], ("SINK", "rid", None, "ts", data), ("ACK", "rid", None, "ts", None)))
-    return reduce(DataFrame.unionByName, out + (_looked_up if any(q.carry for q in queries.values()) else _brought)(queries, delay))
+    return reduce(DataFrame.unionByName, (_looked_up if any(q.carry for q in queries.values()) else _brought)(queries, delay))
 
 
 def _sink(name: str) -> Column:
     return F.concat(F.lit(f"{name}|"), "rid").alias("sink")
 
 
+#: A result and its ACK.
+_OWN = ("SINK", "sink", None, "ts", "data"), ("ACK", "sink", None, "ts", None)
+
+
+def _results(name: str, q: Lineage, *columns: str | Column) -> DataFrame:
+    """``sink``, ``ts`` and ``data``, the payload as JSON, of a query's results, with ``columns``."""
+    payload = [c for c in q.df.columns if c not in (*HIDDEN, "ts")]
+    return q.df.select(_sink(name), "ts", F.to_json(F.struct(*payload)).alias("data"), *columns)
+
+
+def _source_id(prov: DataFrame) -> Column:
+    """The id in an element ``uid`` of a lineage, stamped or not."""
+    return (F.col("uid") if dict(prov.dtypes)["uid"] == "bigint" else F.col("uid.id")).cast("string")
+
+
+def _with_edges(name: str, q: Lineage) -> DataFrame:
+    """Nodes of results with ``prov`` and of their edges, from one look at them: a result and its ACK come at the place of its first source."""
+    each = _results(name, q, F.posexplode_outer("prov").alias("place", "uid"))
+    each = each.withColumn("uid", _source_id(each))
+    own, edge = [_node(*n) for n in _OWN], _node("EDGE", "uid", "sink", "ts", None)
+    nodes = F.when(F.col("place") > 0, F.array(edge)).when(F.col("place") == 0, F.array(*own, edge)).otherwise(F.array(*own))
+    return each.select(F.explode(nodes).alias("node")).select("node.*")
+
+
 def _brought(queries: dict[str, Lineage], delay: int) -> list[DataFrame]:
-    """Nodes of sources and edges, from edges that have their source with them."""
+    """Nodes of results, sources and edges, from edges that have their source with them."""
     edges = reduce(DataFrame.unionByName, [q.flow("rid", "ts").select("__uid", "__ts", "__at", "__data", "ts", _sink(name)) for name, q in queries.items()])
     kept = _due(edges, "__at", max(delay, *(q.reach for q in queries.values())))
     found = _nodes(kept, ["window"], ("SOURCE", "__uid", None, "__ts", "__data"), ("EDGE", "__uid", "sink", "ts", None))
-    return [found.dropDuplicates(["window", "kind", "uid1", "uid2"]).drop("window"), _acks(edges, "__uid", "__ts", "__at", delay)]
+    return [*(_nodes(_results(name, q), [], *_OWN) for name, q in queries.items()), found.dropDuplicates(["window", "kind", "uid1", "uid2"]).drop("window"), _acks(edges, "__uid", "__ts", "__at", delay)]
 
 
 def _looked_up(queries: dict[str, Lineage], delay: int) -> list[DataFrame]:
-    """Nodes of sources and edges, from edges that have their source's id only."""
+    """Nodes of results, sources and edges, from edges that have their source's id only."""
     out, edges, roots = [], [], []
     for name, q in queries.items():
         if q.carry:
-            each = q.df.select("event", "ts", "rid", F.explode("prov").alias("uid"))
-            stamped = dict(each.dtypes)["uid"] != "bigint"
-            held = each.select("event", "ts", _sink(name), (F.col("uid.id") if stamped else F.col("uid")).cast("string").alias("uid"))
+            out.append(_with_edges(name, q))
+            held = q.df.select("event", F.explode("prov").alias("uid"))
+            edges.append(held.select(_source_id(held).alias("uid"), F.col("event").alias("seen")))
         else:
             held = q.flow("rid", "ts").select("event", "ts", _sink(name), F.col("__uid").alias("uid"))
-        out.append(_nodes(held, [], ("EDGE", "uid", "sink", "ts", None)))
-        edges.append(held.select("uid", F.col("event").alias("seen")))
+            out += [_nodes(_results(name, q), [], *_OWN), _nodes(held, [], ("EDGE", "uid", "sink", "ts", None))]
+            edges.append(held.select("uid", F.col("event").alias("seen")))
         roots += [r for r in q.roots if not any(r is x for x in roots)]
     seen = reduce(DataFrame.unionByName, edges)
     for root in roots:
