@@ -10,7 +10,7 @@ from wellspring.operators import forward_graph
 from wellspring.sources import frames
 from wellspring.streaming import frame_stream, standard_graph_stream
 from wellspring.streaming import arriving, latency_series, observed, run_logged
-from wellspring.streaming import delivered, drain, graph_stream, prepare, staged, write_batches
+from wellspring.streaming import delivered, drain, graph_stream, prepare, staged, started, write_batches
 
 ENDS = [{"user_id": -1, "event_type": t, "value": v} for t in ("click", "view") for v in (1.0, 25.0)]
 
@@ -271,3 +271,20 @@ def test_results_and_edges_with_lists_come_from_one_aggregation(events, tmp_path
     batch = forward_graph({"q": plans.in_area(plans.source(rows))}, rows, "event_id", "ts").nodes()
     shown = lambda df: sorted(map(str, df.select("kind", "uid1", "uid2", "ts", "data").collect()))
     assert shown(found) == shown(batch) != []
+
+
+def test_payloads_are_dealt_before_they_are_gathered(spark, tmp_path):
+    """No task gathers windows of what it has read, which it would hold as a whole; payloads without annotations count, and frames are those of the table."""
+    prepare(spark)
+    kinds = ["lidar", "ring_front_left", "ring_front_right"]
+    rows = [(kinds[n % 3], 10**15 + 7 * 10**9 * n, None if n % 4 == 0 else [(f"t{n}", ("A", n / 7, 0.0, 1.0))]) for n in range(90)]
+    table = spark.createDataFrame(rows + rows[30:33], "payload_type string, ns bigint, annotations array<struct<key:string,value:struct<label:string,x:double,y:double,z:double>>>")
+    end = table.limit(1).withColumn("payload_type", F.lit("end")).withColumn("ns", F.lit(1 << 62))
+    table.unionByName(end).write.parquet(str(tmp_path / "in"))
+    query = started(frame_stream(spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")), 2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True), spark)
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False).splitlines()
+    below = [plan[n + 1] for n, line in enumerate(plan) if "partial_collect_list" in line]
+    assert len(below) == 2 and all("Exchange hashpartitioning(vehicle" in line for line in below)
+    batch = frames(table.withColumn("annotations", F.map_from_entries("annotations")), 2)
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, batch.collect())) != []
